@@ -193,8 +193,8 @@ def encode(
 
     kept = [c for c in docs.columns]
     long = docs.where(size > chunk).select(F.struct(*kept).alias("row"), F.col(text).alias("t"))
-    # Rows need an id that a recomputed task gives again: equal rows have equal ids, and then equal chunks.
-    long = long.withColumn("rid", F.sha2(F.to_json(F.struct("row")), 256))
+    # Chunks depend on the text alone, so copies of one text share them.
+    long = long.withColumn("rid", F.sha2("t", 256))
     texts = long.groupBy("rid").agg(F.first("t").alias("t"))
     n = F.ceil((F.length("t") - overlap - margin) / F.lit(chunk)).cast("int")
     pieces = texts.select("rid", "t", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("k"))
