@@ -96,11 +96,14 @@ def batches(texts: Sequence[str | None], limit: int = SHARD_BYTES) -> Iterator[t
         yield first, got
 
 
-def words(texts: list[bytes], is_word: np.ndarray, limit: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], is_word: np.ndarray, limit: int = SHARD_BYTES, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all lower-cased words, and the offset of each text's first word (one more at the end).
 
     A long text is hashed slice by slice; slices end at a separator, so that no word is cut.
+    With ``prefix``, the hashes have a second row: those of each word's first ``prefix`` bytes.
     """
+    if not texts:
+        return np.zeros((2, 0) if prefix else 0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
     joined = b"\n".join(texts) + b"\n"
     assert not is_word[10]
     whole = LOWER[np.frombuffer(joined, dtype=np.uint8)]
@@ -118,11 +121,12 @@ def words(texts: list[bytes], is_word: np.ndarray, limit: int = SHARD_BYTES) ->
                     ahead += 1
                 stop = min(len(whole), ahead + 1)
         s, e = spans(whole[at:stop], is_word)
-        hashes.append(hash_spans(whole[at:stop], s, e))
+        h = hash_spans(whole[at:stop], s, e)
+        hashes.append(np.stack([h, hash_spans(whole[at:stop], s, np.minimum(e, s + prefix))]) if prefix else h)
         starts.append(s + at)
         at = stop
-    h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-    s = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
+    h = np.concatenate(hashes, axis=-1)
+    s = np.concatenate(starts)
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     offsets[1:] = np.searchsorted(s, ends, side="left")
     return h, offsets
