@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -62,3 +63,13 @@ class Scratch:
             jvm = self.spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows of ids that are sent to every executor instead of shuffling the wide side of a join.
+NARROW_ROWS = 2_000_000
+
+
+def narrow(ids: DataFrame, scratch: Scratch, most: int = NARROW_ROWS) -> DataFrame:
+    """``ids`` (a few short columns) saved, and marked for broadcast if it has at most ``most`` rows; else it is joined by a shuffle."""
+    ids = scratch.save(ids, "ids")
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

@@ -10,10 +10,12 @@ from .bpe import op9_byte_bpe
 from .decontaminate import op1_decontaminate
 from .html import op3_html_text
 from .language import op7_language
+from .minhash import op10_superminhash
 from .toxicity import op4_toxicity
 from .urls import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_superminhash": op10_superminhash,
     "op1_decontaminate": op1_decontaminate,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
