@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_byte_bpe
 from .decontaminate import op1_decontaminate
+from .embeddings import op2_itq_embeddings
 from .html import op3_html_text
 from .language import op7_language
 from .minhash import op10_superminhash
@@ -17,6 +18,7 @@ from .urls import op5_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_superminhash": op10_superminhash,
     "op1_decontaminate": op1_decontaminate,
+    "op2_itq_embeddings": op2_itq_embeddings,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
