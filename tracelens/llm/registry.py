@@ -12,6 +12,7 @@ from .embeddings import op2_itq_embeddings
 from .html import op3_html_text
 from .language import op7_language
 from .minhash import op10_superminhash
+from .pii import op6_pii
 from .toxicity import op4_toxicity
 from .urls import op5_url_filter
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op6_pii": op6_pii,
     "op7_language": op7_language,
     "op9_byte_bpe": op9_byte_bpe,
 }
