@@ -11,6 +11,7 @@ from .decontaminate import op1_decontaminate
 from .embeddings import op2_itq_embeddings
 from .html import op3_html_text
 from .language import op7_language
+from .linededup import op8_line_dedup
 from .minhash import op10_superminhash
 from .pii import op6_pii
 from .toxicity import op4_toxicity
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
     "op7_language": op7_language,
+    "op8_line_dedup": op8_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
