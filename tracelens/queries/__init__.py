@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import extraction, mining, runs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**mining.QUERIES, **extraction.QUERIES, **runs.QUERIES}
+ORACLE_SQL: dict[str, str] = {**mining.ORACLE_SQL, **extraction.ORACLE_SQL, **runs.ORACLE_SQL}
