@@ -22,20 +22,21 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.save(e, "edges")
-    seen = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = e.select(F.col("v").alias("hub"), F.col("u").alias("leaf")).join(low, F.col("hub") == F.col("u")).select(F.col("leaf").alias("u"), F.col("m").alias("v"))
+        large = scratch.save(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after = scratch.save(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        after = scratch.save(small.where("u != v").distinct(), "edges")
+        scratch.drop(large)
         scratch.drop(e)
         e = after
-        if now == seen:
+        # done when each node points to one other, and none of those points on
+        loose = e.select("u").groupBy("u").count().where("count > 1").select("u").union(e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u")))
+        if loose.isEmpty():
             break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     star = e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -7,11 +7,11 @@ against independent hashes.  Ranks are tried level by level, and a document
 stops at the first level that leaves none of its slots without a smaller value.
 
 Banding: documents that agree in all rows of a band are candidates.  A group of
-candidates is not expanded into pairs.  Pivots of each group are compared with
-its members, links join components, and a group is done when all members
-outside its largest component have been pivots: every pair in two components has
-then been compared, and pairs within one need no comparison.  The number of
-pivots a round grows, so large groups take few rounds and no group is cut short.
+candidates is not expanded into all its pairs.  A few pivots of each group are
+compared with its members, which joins most of a family of copies to one
+component.  Then only the members outside a group's largest component are
+compared with the rest of it: pairs within one component need no comparison, and
+no other pair is left out.
 
 Verification: pairs are confirmed on the full sets of 64-bit shingle hashes.
 Grouping: union-find inside each partition of links, then star contraction
@@ -43,8 +43,8 @@ BANDS, ROWS = 24, 6
 SLOTS = BANDS * ROWS
 PERCENT = 85
 WORD = word_table([0x20, *range(0x09, 0x0E)])
-#: Pivots of the first round, and the factor from round to round.
-PIVOTS, GROWTH = 1, 4
+#: Pivots of a group of candidates.
+PIVOTS = 4
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -182,53 +182,44 @@ def local_forest(edges: DataFrame) -> DataFrame:
     return edges.mapInPandas(run, "a long, b long")
 
 
-def linked(members: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE, max_rounds: int = 40) -> DataFrame:
+def linked(heads: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(id, component) of all documents with a confirmed link.
 
-    ``members``: (bucket, id, n) of candidate groups, ``texts``: (id, text) of all ids.
+    ``heads``: (id, n, bands) of one document of each class, ``texts``: (id, text) of all ids.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    groups = scratch.save(members.join(sizes.select("bucket"), "bucket"), "groups")
+    members = heads.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    several = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    groups = scratch.save(members.join(several, "bucket"), "groups")
     mine = groups.select("id").distinct()
     full = scratch.save(texts.join(narrow(mine, scratch), "id").select("id", _set_maker(size)("text").alias("s")), "sets")
-    edges, comps = None, None
-    done = None  # (bucket, id) that have been pivots
-    pivots = PIVOTS
-    for _ in range(max_rounds):
-        if comps is None:
-            rows = groups.withColumn("c", F.col("id"))
-        else:
-            rows = groups.join(comps, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
-        # the largest component of each bucket needs no pivots
-        count = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.min("id").alias("first"))
-        top = count.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("neg"))).alias("t"), F.count("*").alias("parts"))
-        top = top.where("parts > 1").select("bucket", (-F.col("t.neg")).alias("main"))
-        open_rows = rows.join(top, "bucket")
-        rest = open_rows.where("c != main") if done is not None else open_rows
-        if done is not None:
-            rest = rest.join(done, ["bucket", "id"], "left_anti")
-        # the smallest ids of each bucket, one from each residue class: a map-side combined minimum, no sort of a bucket
-        picked = rest.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("lane")).agg(F.min("id").alias("p")).select("bucket", "p")
-        picked = scratch.save(picked, "pivots")
-        if picked.isEmpty():
-            break
-        mark = picked.join(rows.select("bucket", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn")), ["bucket", "p"])
-        pairs = open_rows.join(mark, "bucket").where("id != p and c != pc").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-        pairs = pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        checked = pairs.select("a", "b", (F.octet_length("sa") / 8 + F.octet_length("sb") / 8).cast("long").alias("both"), _common()("sa", "sb").alias("i"))
-        found = checked.where(F.col("i") * 100 >= (F.col("both") - F.col("i")) * percent).select("a", "b")
-        found = scratch.save(local_forest(found), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        comps = scratch.save(components(edges, scratch), "components")
-        marked = picked.select("bucket", F.col("p").alias("id"))
-        done = marked if done is None else done.unionByName(marked)
-        pivots *= GROWTH
-    else:
-        raise RuntimeError("candidate groups did not settle")
-    if comps is None:
-        return scratch.spark.createDataFrame([], "id long, component long")
-    return comps
+        both = (F.octet_length("sa") / 8 + F.octet_length("sb") / 8).cast("long")
+        checked = pairs.select("a", "b", both.alias("both"), _common()("sa", "sb").alias("i"))
+        return scratch.save(local_forest(checked.where(F.col("i") * 100 >= (F.col("both") - F.col("i")) * percent).select("a", "b")), "links")
+
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    # first the smallest ids of each bucket's residue classes: a map-side combined minimum, no sort of a bucket
+    lane = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
+    pivots = groups.groupBy("bucket", lane.alias("lane")).agg(F.min(F.struct("id", "n")).alias("p")).select("bucket", F.col("p.id").alias("p"), F.col("p.n").alias("m"))
+    pairs = groups.join(pivots, "bucket").where("id != p").where(near)
+    edges = confirmed(pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct())
+    comps = components(edges, scratch)
+
+    # then whoever is outside the largest component of a bucket, against all of it
+    rows = groups.join(comps.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    rows = scratch.save(rows, "labelled")
+    count = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    top = count.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("neg"))).alias("t"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(top.select("bucket", (-F.col("t.neg")).alias("main")), "bucket").join(heads.select("id", "bands"), "id")
+    rows = scratch.save(rows, "open")
+    apart = rows.where("c != main").select("bucket", F.col("id").alias("p"), F.col("n").alias("m"), F.col("c").alias("pc"), F.col("bands").alias("pbands"))
+    # a pair counts in the first band that it shares; of two outsiders the larger id asks
+    before = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("band")), F.slice("pbands", F.lit(1), F.col("band")))
+    pairs = rows.join(apart, "bucket").where("c != pc and (c = main or id < p)").where(near & ~before)
+    more = confirmed(pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")))
+    return comps if more.isEmpty() else components(edges.unionByName(more), scratch)
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -239,11 +230,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
     real = got.where("class is not null and doc_id is not null")
     # classes of equal sets: one representative each, counted before the shuffle
     classes = scratch.save(real.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
-    heads = real.join(classes, "class").where("doc_id = id").dropDuplicates(["class"])
-    members = heads.select("id", "n", F.explode("bands").alias("bucket")).select("bucket", "id", "n")
+    heads = real.join(classes, "class").where("doc_id = id").dropDuplicates(["class"]).select("id", "n", "bands")
+    heads = scratch.save(heads, "heads")
     # a doc_id that heads several classes (rows with an equal doc_id and different texts) joins them
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    comps = linked(members, texts, scratch, percent, size)
+    comps = linked(heads, texts, scratch, percent, size)
     head = classes.join(comps, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
     out = got.join(head, "class", "left")
     whole = F.coalesce("component_id", "doc_id")
