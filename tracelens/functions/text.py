@@ -70,7 +70,7 @@ def tokens(s: Column, least: int = 3, keep_stop: bool = False) -> Column:
 
 
 def quote(s: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(s.cast("string"), '"', '\\\\\\\\"'), F.lit('"'))
+    return F.concat(F.lit('"'), F.replace(s.cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
 def join_and(items: Column) -> Column:
