@@ -5,8 +5,8 @@ removed if an earlier one, by doc_id and then line number, has at least
 ``PERCENT`` hundredths of Jaccard similarity with it; the earliest of a group of
 equal sets stays.
 
-Words are ordered by rarity, from counts over all documents (in 16,384 hashed
-bins, so that the table has a fixed size; any one order gives right results).
+Words are ordered by rarity, from counts over all documents (in 2**18 hashed bins,
+so that the table has a fixed size; any one order gives right results).
 Two similar sets share a word among the first few of that order, so only these
 prefixes are joined.  Length and positional filters drop pairs that cannot
 reach the overlap, and the rest are verified on the full sets.
@@ -16,50 +16,104 @@ with the others first; what it removes is no longer sought.  What remains is
 joined with all earlier lines that share a prefix word.  Large families of copies
 end in the first step, which is linear, and no pair is left out.
 
-Words are compared by 56 bits of a hash and their bin's count.  Only DataFrame
-operations are used.  Defined results: lines without a word are kept and match
-nothing; null and empty texts stay; rows with one doc_id are one place, whose
-equal line numbers do not remove each other; null doc_ids come first.
+Words are compared by 56 bits of a hash and their bin's rarity.  Lines are cut,
+hashed and ordered by numpy over whole batches; counting, joins, filters and
+grouping are DataFrame operations.  (Built from DataFrame functions alone, one pass
+of cutting and hashing took 340 CPU seconds a GB; see the README.)
+
+Defined results: lines without a word are kept and match nothing; null and empty
+texts stay; rows with one doc_id are one place, whose equal line numbers do not
+remove each other; null doc_ids come first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, table
+from .minhash import _common as common_words
+from .textbytes import U64, batches, mix, word_table, words
 
 PERCENT = 80
-BINS = 1 << 14
+BINS = 1 << 18
 PLACE = "decimal(38,0)"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), r"\s+"), lambda w: w != "")
-
-
-def rarity(docs: DataFrame) -> Column:
-    """The frequency class of each bin as a constant array: ``BINS`` small numbers, whatever the corpus."""
-    h = docs.select(F.explode(_words(F.col("text"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BINS)).cast("int").alias("bin"))
-    level = ["0"] * BINS
-    for r in h.groupBy("bin").agg(F.least(F.lit(127), F.floor(F.log2(F.count("*") + 1) * 4)).alias("f")).collect():
-        level[r["bin"]] = str(r["f"])
-    return F.split(F.lit(",".join(level)), ",").cast("array<bigint>")
-
-
-def lines(docs: DataFrame, freq: Column) -> DataFrame:
-    """(d, l, place, tokens, n, c) of each line with words: its place in the order, its words rarest first, and its set's class."""
-
-    def packed(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(freq, F.pmod(h, F.lit(BINS)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
+WORD = word_table([0x20, *range(0x09, 0x0E)])
+
+
+def _cut(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """For some texts at a time: the number of lines of each, and the words of all lines with the first word of each line."""
+    for _, some in batches(texts):
+        parts = [t.split(b"\n") for t in some]
+        h, at = words([x for p in parts for x in p], WORD)
+        yield [len(p) for p in parts], h, at
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """The frequency class of each bin, from the words of all documents.  Each partition adds up its own counts first."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(BINS, dtype=np.int64)
+        for part in parts:
+            for _, h, _ in _cut(part["text"].tolist()):
+                n += np.bincount((h % U64(BINS)).astype(np.int64), minlength=BINS)
+        some = np.flatnonzero(n)
+        yield pd.DataFrame({"bin": some.astype(np.int32), "n": n[some]})
+
+    seen = docs.select("text").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    got = seen.select("bin", F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1) * 4)).cast("int").alias("f")).toPandas()  # BINS rows at most
+    level = np.zeros(BINS, dtype=np.uint64)
+    level[got["bin"].to_numpy()] = got["f"].to_numpy()
+    return level
+
+
+def _line_maker(spark: SparkSession, level: np.ndarray, percent: int, whole: bool):
+    shared = spark.sparkContext.broadcast(level)
+
+    def per_text(batch: list, out: list) -> None:
+        for counts, h, at in _cut(batch):
+            line = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            key = (shared.value[(h % U64(BINS)).astype(np.int64)] << U64(56)) | (h >> U64(8))
+            order = np.lexsort((key, line))
+            line, key = line[order], key[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+            line, key = line[new], key[new]
+            n = np.bincount(line, minlength=len(at) - 1)
+            start = np.cumsum(n) - n
+            total = np.add.reduceat(np.append(mix(key), U64(0)), np.minimum(start, len(key)))
+            name = mix(total * U64(0x9FB21C651E98DF25) + n.astype(np.uint64)).view(np.int64)
+            stop = start + (n if whole else n - (n * percent + 99) // 100 + 1)
+            signed = key.view(np.int64)
+            a = 0
+            for c in counts:
+                full = np.flatnonzero(n[a : a + c])
+                sets = [signed[start[a + i] : stop[a + i]] for i in full]
+                out.append((full.astype(np.int32), n[a : a + c][full].astype(np.int32), name[a : a + c][full], [x.tobytes() for x in sets] if whole else sets))
+                a += c
+
+    @F.pandas_udf(f"l array<int>, n array<int>, c array<long>, t array<{'binary' if whole else 'array<long>'}>")
+    def make(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            values, out = batch.tolist(), []
+            for i in range(0, len(values), 512):
+                per_text(values[i : i + 512], out)
+            yield pd.DataFrame(out, columns=["l", "n", "c", "t"])
+
+    return make
+
+
+def lines(docs: DataFrame, level: np.ndarray, percent: int, whole: bool = False) -> DataFrame:
+    """(d, l, place, n, c, t) of each line with words: its place in the order, the size and class of its set, and its rarest words or all of them."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(d.alias("d"), F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    rows = rows.select("d", "l", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), packed))).alias("tokens")).where(F.size("tokens") > 0)
+    rows = docs.select(d.alias("d"), _line_maker(docs.sparkSession, level, percent, whole)("text").alias("x"))
+    rows = rows.select("d", F.explode(F.arrays_zip("x.l", "x.n", "x.c", "x.t")).alias("r")).select("d", "r.*")
     place = F.col("d").cast(PLACE) * F.lit(2**31).cast("decimal(11,0)") + F.col("l").cast("decimal(11,0)")
-    return rows.select("d", "l", place.cast(PLACE).alias("place"), "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("c"))
+    return rows.select("d", "l", place.cast(PLACE).alias("place"), "n", "c", "t")
 
 
 def _may_match(n: Column, pos: Column, m: Column, q: Column, percent: int) -> Column:
@@ -68,40 +122,37 @@ def _may_match(n: Column, pos: Column, m: Column, q: Column, percent: int) -> Co
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - q) + 1 >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The classes of column a that are similar to their partner b."""
-    full = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return full.where(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select(F.col("a").alias("c")).distinct()
-
-
 def removals(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(d, l) of every line that an earlier line removes."""
     docs = docs.select("doc_id", "text").where("text is not null")
-    freq = rarity(docs)
-    rows = lines(docs, freq)
-    keep = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
-    classes = rows.groupBy("c", "n").agg(F.min("place").alias("place"), F.first(keep).alias("prefix"))
-    classes = scratch.save(classes, "classes")
+    level = rarity(docs)
+    rows = lines(docs, level, percent)
+    classes = scratch.save(rows.groupBy("c", "n").agg(F.min("place").alias("place"), F.first("t").alias("prefix")), "classes")
 
     prefix = classes.select("c", "n", "place", F.posexplode("prefix").alias("p", "token")).withColumn("p", F.col("p") + 1)
     shared = narrow(prefix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), scratch)
     prefix = scratch.save(prefix.join(shared, "token"), "prefix")
-    need = narrow(prefix.select("c", "place").distinct(), scratch)
-    sets = scratch.save(rows.join(need, ["c", "place"], "left_semi").select("c", "tokens"), "sets")
-
-    first = prefix.groupBy("token").agg(F.min("place").alias("place"))
-    first = prefix.join(first, ["token", "place"]).select("token", F.col("c").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("place").alias("before"))
-    first = scratch.save(first, "first")
-    near = prefix.join(first, "token").where("before < place").where(_may_match(F.col("n"), F.col("p"), F.col("m"), F.col("q"), percent))
-    gone = scratch.save(_verified(near.select(F.col("c").alias("a"), "b").distinct(), sets, percent), "gone")
 
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The classes of column a that are similar to their partner b, by their full sets."""
+        pairs = scratch.save(pairs.distinct(), "pairs")
+        need = narrow(pairs.select(F.col("a").alias("c"), F.col("pa").alias("place")).union(pairs.select("b", "pb")).distinct(), scratch)
+        full = lines(docs, level, percent, whole=True).join(need, ["c", "place"], "left_semi").select("c", "t")
+        full = scratch.save(full, "sets")
+        both = pairs.join(full.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(full.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
+        size = (F.octet_length("ta") / 8 + F.octet_length("tb") / 8).cast("long")
+        both = both.select("a", size.alias("size"), common_words()("ta", "tb").alias("i"))
+        return scratch.save(both.where(F.col("i") * 100 >= (F.col("size") - F.col("i")) * percent).select(F.col("a").alias("c")).distinct(), "gone")
+
+    other = [F.col("c").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("place").alias("pb")]
+    near = (F.col("pb") < F.col("place")) & _may_match(F.col("n"), F.col("p"), F.col("m"), F.col("q"), percent)
+    columns = [F.col("c").alias("a"), "b", F.col("place").alias("pa"), "pb"]
+    first = prefix.groupBy("token").agg(F.min(F.struct("place", "c", "n", "p")).alias("f")).select("token", *[F.col(f"f.{x}").alias(y) for x, y in (("c", "b"), ("n", "m"), ("p", "q"), ("place", "pb"))])
+    gone = similar(prefix.join(first, "token").where(near).select(*columns))
     left = prefix.join(narrow(gone, scratch), "c", "left_anti")
-    source = prefix.select("token", F.col("c").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("place").alias("before"))
-    near = left.join(source, "token").where("before < place").where(_may_match(F.col("n"), F.col("p"), F.col("m"), F.col("q"), percent))
-    more = _verified(near.select(F.col("c").alias("a"), "b").distinct(), sets, percent)
-    gone = scratch.save(gone.union(more), "gone").select("c", F.lit(True).alias("gone"))
+    more = similar(left.join(prefix.select("token", *other), "token").where(near).select(*columns))
 
+    gone = gone.union(more).select("c", F.lit(True).alias("gone"))
     kept = classes.select("c", "n", F.col("place").alias("head")).join(gone, "c", "left")
     return rows.select("d", "l", "place", "c", "n").join(kept, ["c", "n"]).where(F.col("gone") | (F.col("place") > F.col("head"))).select("d", "l")
 
