@@ -3,7 +3,8 @@
 Host and path rules decide first.  All other pages are judged through their
 aliases: redirects, canonical links and refreshes are edges between addresses
 (written without scheme, ``www.``, fragment, tracking parameters and trailing
-slash), and the connected components of that graph share a verdict.  An explicit
+slash), and the connected components of that graph share a verdict; addresses known from links
+only count too.  An explicit
 allow anywhere in a component goes before a block.
 
 Only DataFrame operations are used.  Pages without an edge never enter the
@@ -27,8 +28,8 @@ from .graph import components
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,27 +65,31 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between addresses that the pages themselves state: canonical links and refreshes to absolute URLs."""
+    """(from_url, to_url) of what the pages themselves state: canonical links and refreshes to absolute URLs."""
     hit = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
     tags = hit.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
     refresh = F.regexp_extract("tag", r"(?is)url\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     to = F.when(F.lower(_attribute(F.col("tag"), "rel")) == "canonical", _attribute(F.col("tag"), "href")).when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", refresh)
-    return tags.select(address(F.col("url")).alias("a"), address(to).alias("b")).where("a is not null and b is not null and a != b")
+    return tags.select(F.col("url").alias("from_url"), to.alias("to_url"))
 
 
 def judge(pages: DataFrame, scratch: Scratch, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.  ``redirects`` (from_url, to_url) adds edges seen by a crawler."""
-    edges = page_links(pages)
+    links = page_links(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(address(F.col("from_url")).alias("a"), address(F.col("to_url")).alias("b")))
-    edges = scratch.save(edges.distinct(), "links")
+        links = links.unionByName(redirects.select("from_url", "to_url"))
+    links = links.select(*[F.struct(address(F.col(u)).alias("addr"), fitting_rule(host(F.col(u)), path(F.col(u)), rules)["verdict"].alias("own")).alias(e) for u, e in (("from_url", "a"), ("to_url", "b"))])
+    links = scratch.save(links.where("a.addr is not null and b.addr is not null and a.addr != b.addr").distinct(), "links")
+    edges = links.select(F.col("a.addr").alias("a"), F.col("b.addr").alias("b"))
     part = scratch.save(components(edges, scratch), "components") if not edges.isEmpty() else None
 
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), address(F.col("url")).alias("addr"))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "addr", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("own"))
     # One row an address, summed before the shuffle; then one a component.
-    said = rows.where("addr is not null and own is not null").groupBy("addr").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
+    # Both ends of a link count, also where no page of that address is in the table.
+    ends = links.select(F.explode(F.array("a", "b")).alias("e")).select("e.addr", "e.own")
+    said = rows.select("addr", "own").unionByName(ends).where("addr is not null and own is not null").groupBy("addr").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     if part is not None:
         ends = part.select(F.col("id").alias("addr"), "component")
         said = said.join(ends, "addr", "left").withColumn("component", F.coalesce("component", "addr"))
