@@ -225,10 +225,12 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None) ->
 
 
 def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, number of tokens, and digests of the ids and of the decoded bytes; saved, so that batches stay small."""
     ids = encode(docs.select("doc_id", "text"), scratch)
-    return ids.select(
+    out = ids.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256"))
+    return scratch.save(out, "digests")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ after another one is lost, and Parquet keeps it small.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_SCRATCH[app]}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows that a Python worker gets at once: texts and word sets are long, and both sides of the pipe hold a batch.
+BATCH_ROWS = 1024
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside hand Python workers ``BATCH_ROWS`` rows at a time at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder under one unique name."""
 
@@ -51,7 +77,8 @@ class Scratch:
         """Write ``df`` and read it back: the result has no lineage before the files."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._tracelens_path = path
         return back
