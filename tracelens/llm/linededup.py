@@ -5,8 +5,8 @@ removed if an earlier one, by doc_id and then line number, has at least
 ``PERCENT`` hundredths of Jaccard similarity with it; the earliest of a group of
 equal sets stays.
 
-Words are ordered by rarity, from counts over all documents (in 2**18 hashed bins,
-so that the table has a fixed size; any one order gives right results).
+Words are ordered by rarity, from counts over all documents (in 2**20 hashed bins
+of one byte, so that the table has a fixed size; any one order gives right results).
 Two similar sets share a word among the first few of that order, so only these
 prefixes are joined.  Length and positional filters drop pairs that cannot
 reach the overlap, and the rest are verified on the full sets.
@@ -35,12 +35,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, narrow, table
+from .common import Scratch, fresh, narrow, table
 from .minhash import _common as common_words
 from .textbytes import U64, batches, mix, word_table, words
 
 PERCENT = 80
-BINS = 1 << 18
+BINS = 1 << 20
+#: The frequency class of a word that occurs once.
+ONCE = 4
 PLACE = "decimal(38,0)"
 WORD = word_table([0x20, *range(0x09, 0x0E)])
 
@@ -60,13 +62,14 @@ def rarity(docs: DataFrame) -> np.ndarray:
         n = np.zeros(BINS, dtype=np.int64)
         for part in parts:
             for _, h, _ in _cut(part["text"].tolist()):
-                n += np.bincount((h % U64(BINS)).astype(np.int64), minlength=BINS)
+                bins, times = np.unique((h % U64(BINS)).astype(np.int64), return_counts=True)
+                n[bins] += times
         some = np.flatnonzero(n)
         yield pd.DataFrame({"bin": some.astype(np.int32), "n": n[some]})
 
     seen = docs.select("text").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    got = seen.select("bin", F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1) * 4)).cast("int").alias("f")).toPandas()  # BINS rows at most
-    level = np.zeros(BINS, dtype=np.uint64)
+    got = seen.where("n > 1").select("bin", F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1) * ONCE)).cast("byte").alias("f")).toPandas()  # BINS rows at most
+    level = np.full(BINS, ONCE, dtype=np.uint8)
     level[got["bin"].to_numpy()] = got["f"].to_numpy()
     return level
 
@@ -77,7 +80,7 @@ def _line_maker(spark: SparkSession, level: np.ndarray, percent: int, whole: boo
     def per_text(batch: list, out: list) -> None:
         for counts, h, at in _cut(batch):
             line = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            key = (shared.value[(h % U64(BINS)).astype(np.int64)] << U64(56)) | (h >> U64(8))
+            key = (shared.value[(h % U64(BINS)).astype(np.int64)].astype(np.uint64) << U64(56)) | (h >> U64(8))
             order = np.lexsort((key, line))
             line, key = line[order], key[order]
             new = np.ones(len(key), dtype=bool)
@@ -158,16 +161,17 @@ def removals(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataF
 
 
 def remove_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the removed lines taken out of ``text``, and their number as ``n_removed``."""
-    gone = removals(docs, scratch, percent).distinct().groupBy("d").agg(F.collect_list("l").alias("_gone"))
-    gone = narrow(gone.withColumnRenamed("d", "_d"), scratch)
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    out = keyed.join(gone, "_d", "left")
+    """``docs`` with the removed lines taken out of ``text``, and their number as ``n_removed`` (with underscores added if ``docs`` has that column)."""
+    key, cut, number = fresh(docs, "_d"), fresh(docs, "_gone"), fresh(docs, "n_removed")
+    gone = removals(docs, scratch, percent).distinct().groupBy("d").agg(F.collect_list("l").alias(cut))
+    gone = narrow(gone.withColumnRenamed("d", key), scratch)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    out = keyed.join(gone, key, "left")
     parts = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    n = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay))
-    return out.withColumn("n_removed", n.cast("long")).withColumn("text", text).select(*docs.columns, "n_removed")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
+    text = F.when(F.col(cut).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    n = F.when(F.col(cut).isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay))
+    return out.withColumn(number, n.cast("long")).withColumn("text", text).select(*docs.columns, number)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
