@@ -18,24 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import bpe, decontaminate, language, linededup, minhash
-from tracelens.llm.common import Scratch, narrow, table
+from tracelens.llm.common import Scratch, fresh, narrow, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = language.bucket(F.col("doc_id"), 5) == 0
     predict = language.predictor(spark, language.fit(docs, ~held))
-    return docs.withColumn("_p", predict("text")).where("_p.lang != 'und'").select(*docs.columns)
+    guess = fresh(docs, "_p")
+    return docs.withColumn(guess, predict("text")).where(F.col(guess)["lang"] != "und").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linededup.remove_lines(docs, Scratch(spark, "lines"))
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
-    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    removed = F.col(out.columns[-1]) > 0
+    emptied = removed & ~F.col("text").rlike(r"\S")
+    out = out.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(removed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "minhash")
-    gone = minhash.near_duplicates(docs, scratch).where("not kept").select("doc_id").distinct()
+    # rows of one doc_id are one document: it goes if none of them is kept
+    gone = minhash.near_duplicates(docs, scratch).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
     return docs.join(narrow(gone, scratch), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -223,7 +223,7 @@ def blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Block]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with a struct column ``hit``: n_words, n_hit, runs of hit words, items, and the longest match with its place in words."""
+    """``docs`` with a struct column ``hit`` (which replaces any of that name): n_words, n_hit, runs of hit words, items, and the longest match with its place in words."""
     if not 0 < window <= DEPTH:
         raise ValueError(f"a window has 1 to {DEPTH} words")
     spark, out = scratch.spark, None
@@ -249,7 +249,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, windo
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of a benchmark item occurs."""
-    return contamination(docs, benchmark, scratch, window).where("hit.n_hit = 0").select(*docs.columns)
+    row = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return contamination(row, benchmark, scratch, window).where("hit.n_hit = 0").select("row.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
