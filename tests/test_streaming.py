@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -7,8 +8,10 @@ from tracelens.streaming import ingest
 
 
 def files(tmp_path, rows, n=3):
+    """Files a second apart: the file source reads the oldest first, and equal times leave their order open."""
     for i in range(n):
         (tmp_path / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows[i * len(rows) // n : (i + 1) * len(rows) // n]))
+        os.utime(tmp_path / f"{i}.json", (1_700_000_000 + i,) * 2)
     return str(tmp_path)
 
 

@@ -20,7 +20,7 @@ PROMOTION = "flow string, status string, streak long, runs long, clean long, fai
 
 
 def events(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
-    """New JSON files of a folder as a stream."""
+    """New JSON files of a folder as a stream, oldest first; numbers and states follow that order, so files should not share a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
