@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Origins that connect nothing, and the sizes at which mining stops growing.
@@ -10,6 +14,7 @@ PSEUDO_SOURCES = ("prompt", "workspace", "catalog", "constant")
 MAX_FREQUENT_EDGES = 400
 MAX_CONCEPTS = 20_000
 MAX_CANDIDATE_EDGES = 60
+WORD_BITS = 62
 
 
 def frequent_edges(edges: DataFrame, episode: list[str], min_support: int = 2) -> DataFrame:
@@ -24,29 +29,78 @@ def top_edges(found: DataFrame, most: int = MAX_FREQUENT_EDGES) -> tuple[DataFra
     return top, found.limit(most + 1).count() > most
 
 
-def closed_sets(edges: DataFrame, found: DataFrame, episode: list[str], min_support: int = 2, most: int = MAX_CANDIDATE_EDGES) -> DataFrame:
-    """(mask, support): every closed set of up to 62 numbered edges as a bit mask.
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and without lineage; only a session on one machine may do without a named folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracelens-"))
+    return df.checkpoint()
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """All of ``found``, most frequent first, with their numbers in ``bit``."""
+    return found.withColumn("bit", (F.row_number().over(W.orderBy(F.desc("support"), "source", "value_type", "target")) - 1).cast("int"))
+
 
-    ``found`` numbers the edges in a column ``bit``.  Each episode becomes one mask, and equal masks are counted first.
-    A set is closed if it is the intersection of all masks that hold it, so sets grow by one edge and are closed by a
-    bitwise and over their masks.  Sets meet their masks by an equi-join on the lowest bit, and only those with enough support go on.
+def _closed(edges: DataFrame, found: DataFrame, episode: list[str], min_support: int) -> tuple[DataFrame, int]:
+    """(w0, w1, .., support) of every closed set of numbered edges, and the number of words; a word holds ``WORD_BITS`` edges.
+
+    Each episode becomes one mask, and equal masks are counted first.  A set is closed if it is the intersection of all masks
+    that hold it.  It grows by one edge of a higher number than its last and is closed by a bitwise and over its masks;
+    what gets an edge of a lower number by that is found from another set, so each closed set is found once.
+    Sets meet their masks by an equi-join on the last edge that was added, and only those with enough support go on.
     """
+    number = found.agg(F.max("bit")).first()[0]
+    words = range((number or 0) // WORD_BITS + 1)
+    one = lambda bit, k: F.when(F.floor(bit / WORD_BITS) == k, F.call_function("shiftleft", F.lit(1).cast("long"), bit % WORD_BITS)).otherwise(F.lit(0).cast("long"))
+    below = lambda bit, k: F.when(F.floor(bit / WORD_BITS) > k, F.lit((1 << WORD_BITS) - 1)).otherwise(F.greatest(one(bit, k) - 1, F.lit(0)))
+    every = lambda conditions: reduce(Column.__and__, conditions)
+    closure = [*[F.bit_and(f"m{k}").alias(f"w{k}") for k in words], F.sum("n").alias("support")]
+    bit = F.col("bit")
+
+    def kept(grown: DataFrame) -> DataFrame:
+        right = every([F.col(f"w{k}").bitwiseAND(below(bit, k)) == F.col(f"p{k}").bitwiseAND(below(bit, k)) for k in words])
+        return cut(grown.where((F.col("support") >= min_support) & right).select(*[f"w{k}" for k in words], "support", "bit"))
+
     own = edges.select(*episode, "source", "value_type", "target").distinct().join(F.broadcast(found.select("source", "value_type", "target", "bit")), ["source", "value_type", "target"])
-    masks = own.groupBy(*episode).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("m")).groupBy("m").agg(F.count("*").alias("n"))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(61)), lambda i: F.col("m").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
-    by_bit = masks.select("m", "n", bits.alias("bits")).select("m", "n", "bits", F.explode("bits").alias("low")).persist()
-    fresh = by_bit.groupBy("low").agg(F.expr("bit_and(m)").alias("mask"), F.sum("n").alias("support")).where(F.col("support") >= min_support).select("mask", "support").distinct().persist()
-    seen = fresh
-    for _ in range(most):
-        low = F.log2(F.col("mask").bitwiseAND(-F.col("mask"))).cast("int")
-        held = fresh.select("mask", low.alias("low")).join(by_bit, "low").where(F.col("mask").bitwiseAND(F.col("m")) == F.col("mask"))
-        more = held.select("mask", "m", "n", F.explode("bits").alias("bit")).where(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, bit)")) == 0)
-        grown = more.groupBy("mask", "bit").agg(F.expr("bit_and(m)").alias("new"), F.sum("n").alias("support")).where(F.col("support") >= min_support)
-        fresh = grown.select(F.col("new").alias("mask"), "support").distinct().join(seen, ["mask", "support"], "left_anti").persist()
-        if fresh.isEmpty():
-            break
-        seen = seen.union(fresh)
-    return seen
+    masks = own.groupBy(*episode).agg(*[F.bit_or(one(bit, k)).alias(f"m{k}") for k in words], F.array_sort(F.collect_list("bit")).alias("bits"))
+    masks = cut(masks.groupBy(*[f"m{k}" for k in words]).agg(F.first("bits").alias("bits"), F.count("*").alias("n")))
+    root = masks.agg(*closure).where(F.col("support") >= min_support)
+    common = F.broadcast(root.select(*[F.col(f"w{k}").alias(f"p{k}") for k in words]))
+    by_bit = masks.withColumn("low", F.explode("bits"))
+    first = by_bit.groupBy(F.col("low").alias("bit")).agg(*closure).crossJoin(common)
+    fresh = kept(first.where(every([F.col(f"p{k}").bitwiseAND(one(bit, k)) == 0 for k in words])))
+    levels = [root.where(~every([F.col(f"w{k}") == 0 for k in words]))]
+    while not fresh.isEmpty():
+        levels.append(fresh.drop("bit"))
+        sets = fresh.select(*[F.col(f"w{k}").alias(f"p{k}") for k in words], F.col("bit").alias("low"))
+        held = sets.join(by_bit, "low").where(every([F.col(f"p{k}").bitwiseAND(F.col(f"m{k}")) == F.col(f"p{k}") for k in words]))
+        more = held.withColumn("bit", F.explode(F.filter("bits", lambda b: b > F.col("low")))).where(every([F.col(f"p{k}").bitwiseAND(one(bit, k)) == 0 for k in words]))
+        fresh = kept(more.groupBy(*[f"p{k}" for k in words], "bit").agg(*closure))
+    return reduce(DataFrame.unionByName, levels), len(words)
+
+
+def closed_sets(edges: DataFrame, found: DataFrame, episode: list[str], min_support: int = 2) -> DataFrame:
+    """(mask, support): every closed set of up to 62 edges, numbered in a column ``bit`` of ``found``, as a bit mask."""
+    out, words = _closed(edges, found, episode, min_support)
+    if words > 1:
+        raise ValueError(f"a mask holds {WORD_BITS} edges: use closed_edge_lists")
+    return out.select(F.col("w0").alias("mask"), "support")
+
+
+def closed_edge_lists(edges: DataFrame, found: DataFrame, episode: list[str], min_support: int = 2) -> DataFrame:
+    """(edges, support): every closed set of any number of numbered edges, as a list of their texts in the order of ``bit``."""
+    out, words = _closed(edges, found, episode, min_support)
+    text = edge_text(F.col("source"), F.col("value_type"), F.col("target"))
+    names = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", text.alias("text")))), lambda x: x["text"]).alias("names"))
+
+    def bits(k: int) -> Column:
+        held = F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda i: F.col(f"w{k}").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+        return F.transform(held, lambda i: i + k * WORD_BITS)
+
+    return out.crossJoin(F.broadcast(names)).select(F.transform(F.concat(*[bits(k) for k in range(words)]), lambda i: F.get("names", i)).alias("edges"), "support")
 
 
 def components_of(edges: list[tuple[str, str, str]]) -> list[frozenset]:
@@ -66,18 +120,15 @@ def components_of(edges: list[tuple[str, str, str]]) -> list[frozenset]:
     return [frozenset(e for e, i in label.items() if i == k) for k in sorted(set(label.values()))]
 
 
-def participating_calls(seeds: DataFrame, deps: DataFrame, episode: list[str], max_depth: int = 50) -> DataFrame:
-    """(episode, call): the seed calls and all calls whose results they bind to, directly or through others.
+def participating_calls(seeds: DataFrame, deps: DataFrame, episode: list[str]) -> DataFrame:
+    """(episode, call): the seed calls and all calls whose results they bind to, directly or through any number of others.
 
     ``deps`` has one row (episode, call, source) for each binding.
     """
-    seen = seeds.select(*episode, "call").distinct()
-    fresh = seen
-    for _ in range(max_depth):
+    seen = fresh = cut(seeds.select(*episode, "call").distinct())
+    while not fresh.isEmpty():
         step = fresh.join(deps, [*episode, "call"]).select(*episode, F.col("source").alias("call")).distinct()
-        fresh = step.join(seen, [*episode, "call"], "left_anti").persist()
-        if fresh.isEmpty():
-            break
+        fresh = cut(step.join(seen, [*episode, "call"], "left_anti"))
         seen = seen.unionByName(fresh)
     return seen
 
@@ -86,14 +137,17 @@ def edge_text(source: Column, value_type: Column, target: Column) -> Column:
     return F.concat(source, F.lit(" --"), value_type, F.lit("--> "), target)
 
 
-def layers(edges: DataFrame, source: str = "source", target: str = "target", max_depth: int = 100) -> DataFrame:
-    """(node, layer): the longest path from a node without incoming edges, over edges without cycles."""
-    nodes = edges.select(F.col(source).alias("node")).union(edges.select(F.col(target).alias("node"))).distinct()
-    level = nodes.join(edges.select(F.col(target).alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(0).cast("long"))
-    done = level
-    for depth in range(1, max_depth):
-        level = level.join(edges, F.col("node") == F.col(source)).select(F.col(target).alias("node")).distinct().withColumn("layer", F.lit(depth).cast("long")).persist()
-        if level.isEmpty():
-            break
+def layers(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(node, layer): the longest path from a node without incoming edges; edges with a cycle raise."""
+    nodes = cut(edges.select(F.col(source).alias("node")).union(edges.select(F.col(target).alias("node"))).distinct())
+    done = level = cut(nodes.join(edges.select(F.col(target).alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(0).cast("long")))
+    depth, most = 0, nodes.count()
+    while not level.isEmpty():
+        depth += 1
+        if depth > most:
+            raise ValueError("the edges have a cycle")
+        level = cut(level.join(edges, F.col("node") == F.col(source)).select(F.col(target).alias("node")).distinct().withColumn("layer", F.lit(depth).cast("long")))
         done = done.unionByName(level)
+    if done.select("node").distinct().count() < most:
+        raise ValueError("the edges have a cycle")
     return done.groupBy("node").agg(F.max("layer").alias("layer"))

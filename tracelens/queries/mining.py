@@ -186,6 +186,23 @@ SQL_CLOSED_SETS = f"""WITH RECURSIVE {EDGES}, f AS (SELECT source, value_type, t
  SELECT c.mask, CAST(sum(b.n) AS BIGINT) AS support FROM c JOIN b ON b.mask & c.mask = c.mask GROUP BY c.mask HAVING sum(b.n) >= 3"""
 
 
+def closed_edge_sets_all(spark, sf_dir):
+    """The closed sets of all frequent edges; closed_edge_sets is held to SQL over the 12 most frequent."""
+    e = _edges(spark, sf_dir)
+    s = dataflow.closed_edge_lists(e, dataflow.numbered(dataflow.frequent_edges(e, EPISODE, 3)), EPISODE, 3)
+    return s.select(F.array_join("edges", "; ").alias("edges"), F.size("edges").cast("long").alias("n"), "support")
+
+
+SQL_CLOSED_SETS_ALL = f"""WITH RECURSIVE {EDGES}, f AS (SELECT source, value_type, target, count(*) AS s FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3),
+ num AS (SELECT *, row_number() OVER (ORDER BY s DESC, source, value_type, target) - 1 AS bit FROM f),
+ m AS (SELECT user_id, day, CAST(sum(CAST(1 AS HUGEINT) << bit) AS HUGEINT) AS mask FROM (SELECT DISTINCT user_id, day, bit FROM edges JOIN num USING (source, value_type, target)) GROUP BY user_id, day),
+ b AS (SELECT mask, count(*) AS n FROM m GROUP BY mask),
+ c AS (SELECT mask FROM b UNION SELECT c.mask & b.mask FROM c, b WHERE c.mask & b.mask != 0),
+ k AS (SELECT c.mask, CAST(sum(b.n) AS BIGINT) AS support FROM c JOIN b ON b.mask & c.mask = c.mask GROUP BY c.mask HAVING sum(b.n) >= 3)
+ SELECT string_agg(source || ' --' || value_type || '--> ' || target, '; ' ORDER BY bit) AS edges, count(*) AS n, any_value(support) AS support
+ FROM k JOIN num ON k.mask & (CAST(1 AS HUGEINT) << bit) != 0 GROUP BY k.mask"""
+
+
 def participating_calls(spark, sf_dir):
     e = _edges(spark, sf_dir)
     seeds = e.where("target = 'error'").select(*EPISODE, "call")
@@ -202,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_collapse, calls_per_token, ngram_support, seq_closed_patterns, prompt_index, result_per_prompt, ordered_prompts, episode_numbers, parent_anti_join, active_session, resequence,
-        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, frequent_edges, closed_edge_sets, participating_calls, graph_layers,
+        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, frequent_edges, closed_edge_sets, closed_edge_sets_all, participating_calls, graph_layers,
     )
 }
 ORACLE_SQL = {
@@ -232,6 +249,7 @@ ORACLE_SQL = {
  SELECT "at", src, ['exact', '1d', '1h'][n + 1] AS round, CAST([d0, d1, d2][n + 1] AS BIGINT) AS delta FROM o WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "at" ORDER BY src, n) = 1""",
     "frequent_edges": f"WITH {EDGES} SELECT source, value_type, target, count(*) AS support FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3",
     "closed_edge_sets": SQL_CLOSED_SETS,
+    "closed_edge_sets_all": SQL_CLOSED_SETS_ALL,
     "participating_calls": f"""WITH RECURSIVE {EDGES}, r AS (SELECT user_id, day, call FROM edges WHERE target = 'error' UNION SELECT r.user_id, r.day, e.src FROM r JOIN edges e ON e.call = r.call AND e.user_id = r.user_id AND e.day = r.day WHERE e.value_type = 'even')
  SELECT call FROM r""",
     "graph_layers": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 10 AS a, o_orderkey % 20 + 10 AS b FROM orders WHERE o_orderkey < 200 AND o_custkey % 10 < o_orderkey % 20 + 10),
