@@ -215,11 +215,17 @@ def graph_layers(spark, sf_dir):
     return dataflow.layers(e.where("a < b").select(F.col("a").alias("source"), F.col("b").alias("target")).distinct())
 
 
+def graph_layers_all(spark, sf_dir):
+    """All orders as edges from customers to orders."""
+    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("target"))
+    return dataflow.layers(o.distinct())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         run_collapse, calls_per_token, ngram_support, seq_closed_patterns, prompt_index, result_per_prompt, ordered_prompts, episode_numbers, parent_anti_join, active_session, resequence,
-        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, frequent_edges, closed_edge_sets, closed_edge_sets_all, participating_calls, graph_layers,
+        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, frequent_edges, closed_edge_sets, closed_edge_sets_all, participating_calls, graph_layers, graph_layers_all,
     )
 }
 ORACLE_SQL = {
@@ -255,4 +261,5 @@ ORACLE_SQL = {
     "graph_layers": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 10 AS a, o_orderkey % 20 + 10 AS b FROM orders WHERE o_orderkey < 200 AND o_custkey % 10 < o_orderkey % 20 + 10),
  n AS (SELECT a AS node FROM e UNION SELECT b FROM e), l AS (SELECT node, 0 AS layer FROM n WHERE node NOT IN (SELECT b FROM e) UNION SELECT e.b, l.layer + 1 FROM l JOIN e ON l.node = e.a)
  SELECT node, CAST(max(layer) AS BIGINT) AS layer FROM l GROUP BY 1""",
+    "graph_layers_all": "SELECT DISTINCT 'customer ' || o_custkey AS node, CAST(0 AS BIGINT) AS layer FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL UNION ALL SELECT DISTINCT 'order ' || o_orderkey, 1 FROM orders",
 }
