@@ -23,7 +23,7 @@ of cutting and hashing took 340 CPU seconds a GB; see the README.)
 
 Defined results: lines without a word are kept and match nothing; null and empty
 texts stay; rows with one doc_id are one place, whose equal line numbers do not
-remove each other; null doc_ids come first.
+remove each other, but each loses only its own lines; null doc_ids come first.
 """
 
 from __future__ import annotations
@@ -111,12 +111,12 @@ def _line_maker(spark: SparkSession, level: np.ndarray, percent: int, whole: boo
 
 
 def lines(docs: DataFrame, level: np.ndarray, percent: int, whole: bool = False) -> DataFrame:
-    """(d, l, place, n, c, t) of each line with words: its place in the order, the size and class of its set, and its rarest words or all of them."""
+    """(d, h, l, place, n, c, t) of each line with words: its row (doc_id and a hash of the text), its place in the order, the size and class of its set, and its rarest words or all of them."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(d.alias("d"), _line_maker(docs.sparkSession, level, percent, whole)("text").alias("x"))
-    rows = rows.select("d", F.explode(F.arrays_zip("x.l", "x.n", "x.c", "x.t")).alias("r")).select("d", "r.*")
+    rows = docs.select(d.alias("d"), F.xxhash64("text").alias("h"), _line_maker(docs.sparkSession, level, percent, whole)("text").alias("x"))
+    rows = rows.select("d", "h", F.explode(F.arrays_zip("x.l", "x.n", "x.c", "x.t")).alias("r")).select("d", "h", "r.*")
     place = F.col("d").cast(PLACE) * F.lit(2**31).cast("decimal(11,0)") + F.col("l").cast("decimal(11,0)")
-    return rows.select("d", "l", place.cast(PLACE).alias("place"), "n", "c", "t")
+    return rows.select("d", "h", "l", place.cast(PLACE).alias("place"), "n", "c", "t")
 
 
 def _may_match(n: Column, pos: Column, m: Column, q: Column, percent: int) -> Column:
@@ -126,7 +126,7 @@ def _may_match(n: Column, pos: Column, m: Column, q: Column, percent: int) -> Co
 
 
 def removals(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """(d, l) of every line that an earlier line removes."""
+    """(d, h, l) of every line that an earlier line removes: another row of the same doc_id keeps its own line l."""
     docs = docs.select("doc_id", "text").where("text is not null")
     level = rarity(docs)
     rows = lines(docs, level, percent)
@@ -157,16 +157,16 @@ def removals(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataF
 
     gone = gone.union(more).select("c", F.lit(True).alias("gone"))
     kept = classes.select("c", "n", F.col("place").alias("head")).join(gone, "c", "left")
-    return rows.select("d", "l", "place", "c", "n").join(kept, ["c", "n"]).where(F.col("gone") | (F.col("place") > F.col("head"))).select("d", "l")
+    return rows.select("d", "h", "l", "place", "c", "n").join(kept, ["c", "n"]).where(F.col("gone") | (F.col("place") > F.col("head"))).select("d", "h", "l")
 
 
 def remove_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and their number as ``n_removed`` (with underscores added if ``docs`` has that column)."""
-    key, cut, number = fresh(docs, "_d"), fresh(docs, "_gone"), fresh(docs, "n_removed")
-    gone = removals(docs, scratch, percent).distinct().groupBy("d").agg(F.collect_list("l").alias(cut))
-    gone = narrow(gone.withColumnRenamed("d", key), scratch)
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    out = keyed.join(gone, key, "left")
+    key, name, cut, number = fresh(docs, "_d"), fresh(docs, "_h"), fresh(docs, "_gone"), fresh(docs, "n_removed")
+    gone = removals(docs, scratch, percent).distinct().groupBy("d", "h").agg(F.collect_list("l").alias(cut))
+    gone = narrow(gone.withColumnsRenamed({"d": key, "h": name}), scratch)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(name, F.xxhash64("text"))
+    out = keyed.join(gone, [key, name], "left")
     parts = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
     text = F.when(F.col(cut).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
