@@ -7,7 +7,8 @@ folder and reads them again, so a lost executor repeats one stage at most.
 1. language: documents without a letter (``und``) go; the rest keep their text.
 2. line dedup: near-duplicate lines of earlier documents are taken out of the text
    and n_chars follows; documents that lose all their text go.
-3. near dedup: one document of each SuperMinHash component stays.
+3. near dedup: one document of each SuperMinHash component stays (five-word shingles, similarity 0.8 or more),
+   also of rows without a doc_id, which come last; wholly equal rows of one doc_id become one.
 4. decontamination: documents with a benchmark window go.
 5. byte-level BPE: doc_id, number of tokens, and digests of the ids and of their decoded bytes.
 """
@@ -20,6 +21,11 @@ from pyspark.sql import functions as F
 from tracelens.llm import bpe, decontaminate, language, linededup, minhash
 from tracelens.llm.common import Scratch, fresh, narrow, table
 
+#: Hundredths of Jaccard similarity for the near-dedup stage; the query op10_superminhash has its own.
+SIMILAR = 80
+#: Numbers that monotonically_increasing_id may need.
+ROOM = 1 << 56
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = language.bucket(F.col("doc_id"), 5) == 0
@@ -39,10 +45,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "minhash")
-    # rows of one doc_id are one document: it goes if none of them is kept
-    gone = minhash.near_duplicates(docs, scratch).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(narrow(gone, scratch), "doc_id", "left_anti").select(*docs.columns)
+    scratch, key = Scratch(spark, "minhash"), fresh(docs, "_id")
+    # wholly equal rows of one doc_id are one; its other rows are one document, which goes if none of them is kept
+    again = narrow(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), scratch)
+    named = docs.where("doc_id is not null")
+    named = named.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(named.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates())
+    # rows without a doc_id get numbers outside the others' range, after them if there is room; saved, as the numbers depend on the run
+    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    row = F.monotonically_increasing_id()
+    if high is not None and high >= 2**63 - ROOM and low < ROOM - 2**63:
+        raise ValueError("no numbers are left for rows without a doc_id")
+    number = F.lit(low - 1) - row if high is not None and high >= 2**63 - ROOM else F.lit(0 if high is None else high + 1) + row
+    nameless = scratch.save(docs.where("doc_id is null").withColumn(key, number.cast("long")), "nameless")
+    rows = named.withColumn(key, F.col("doc_id").cast("long")).unionByName(nameless)
+    found = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), scratch, percent=SIMILAR)
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias(key))
+    return rows.join(narrow(gone, scratch), key, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
