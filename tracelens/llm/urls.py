@@ -60,24 +60,52 @@ def fitting_rule(h: Column, p: Column, rules=RULES) -> Column:
     return out
 
 
+def _without_dots(place: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments."""
+    parts = F.split(place, "/")
+    step = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The absolute form of a link's target on a page; null if it is empty, or relative to a page without ``://``."""
+    target = F.regexp_replace(target, r"(?s)\A\s+|\s+\z", "")
+    origin = F.regexp_extract(base, r"(?s)\A[^:/?#]+://[^/?#]*", 0)
+    here = F.regexp_extract(base, r"(?s)\A[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    place, rest = F.regexp_extract(target, r"(?s)\A[^?#]*", 0), F.regexp_extract(target, r"(?s)\A[^?#]*(.*)", 1)
+    rest = F.when(F.startswith(target, F.lit("#")), F.concat(F.regexp_extract(base, r"(?s)\A[^?#]*(\?[^#]*)", 1), rest)).otherwise(rest)
+    folder = F.when(here == "", F.lit("/")).otherwise(F.regexp_extract(here, r"(?s)\A.*/", 0))
+    moved = F.when(place == "", here).when(F.startswith(place, F.lit("/")), _without_dots(place)).otherwise(_without_dots(F.concat(folder, place)))
+    relative = F.when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, r"\A[^:/?#]+:", 0), target)).otherwise(F.concat(origin, moved, rest))
+    return F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), target).when((target != "") & (origin != ""), relative)
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    """Its value, quoted or not, with ``&amp;`` decoded; empty if there is none."""
+    shape = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
+    return F.regexp_replace(F.concat(*[F.regexp_extract(tag, shape, i) for i in (1, 2, 3)]), r"(?i)&(?:amp|#38|#x26);", "&")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url) of what the pages themselves state: canonical links and refreshes to absolute URLs."""
+    """(from_url, to_url) of what the pages themselves state: canonical links and refreshes, resolved against the page or its ``<base>``."""
     hit = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    tags = hit.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
-    refresh = F.regexp_extract("tag", r"(?is)url\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    to = F.when(F.lower(_attribute(F.col("tag"), "rel")) == "canonical", _attribute(F.col("tag"), "href")).when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", refresh)
-    return tags.select(F.col("url").alias("from_url"), to.alias("to_url"))
+    stated = resolve(F.col("url"), _attribute(F.regexp_extract("html", r"(?is)<base\b[^>]*>", 0), "href"))
+    tags = hit.select("url", F.coalesce(stated, "url").alias("base"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    tag = F.col("tag")
+    timed = F.regexp_extract(_attribute(tag, "content"), r"(?is)\A\s*[\d.]*\s*[;,]\s*(?:url\s*=\s*)?[\"']?\s*([^\"']*)", 1)
+    loose = F.regexp_replace(F.regexp_extract(tag, r"(?is)url\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), r"(?i)&(?:amp|#38|#x26);", "&")
+    refresh = F.when(timed.rlike(r"\S"), timed).otherwise(loose)
+    canonical = F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    to = F.when(canonical, _attribute(tag, "href")).when(F.trim(F.lower(_attribute(tag, "http-equiv"))) == "refresh", refresh)
+    return tags.select(F.col("url").alias("from_url"), resolve(F.col("base"), to).alias("to_url"))
 
 
 def judge(pages: DataFrame, scratch: Scratch, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.  ``redirects`` (from_url, to_url) adds edges seen by a crawler."""
     links = page_links(pages)
     if redirects is not None:
-        links = links.unionByName(redirects.select("from_url", "to_url"))
+        links = links.unionByName(redirects.select("from_url", resolve(F.col("from_url"), F.col("to_url")).alias("to_url")))
     links = links.select(*[F.struct(address(F.col(u)).alias("addr"), fitting_rule(host(F.col(u)), path(F.col(u)), rules)["verdict"].alias("own")).alias(e) for u, e in (("from_url", "a"), ("to_url", "b"))])
     links = scratch.save(links.where("a.addr is not null and b.addr is not null and a.addr != b.addr").distinct(), "links")
     edges = links.select(F.col("a.addr").alias("a"), F.col("b.addr").alias("b"))
