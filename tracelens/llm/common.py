@@ -51,18 +51,30 @@ def fresh(df: DataFrame, name: str) -> str:
 
 #: Rows that a Python worker gets at once: texts and word sets are long, and both sides of the pipe hold a batch.
 BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A query that writes a table needs its shuffle files no more once the table is there.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside hand Python workers ``BATCH_ROWS`` rows at a time at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings that hold inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside hand Python workers ``BATCH_ROWS`` rows at a time at most."""
+    now = int(spark.conf.get(_BATCH))
+    with settings(spark, **{_BATCH: str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS)}):
+        yield
 
 
 class Scratch:
@@ -77,7 +89,7 @@ class Scratch:
         """Write ``df`` and read it back: the result has no lineage before the files."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        with small_batches(self.spark):
+        with small_batches(self.spark), settings(self.spark, **{_CLEAN: "true"}):
             df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._tracelens_path = path
@@ -92,11 +104,17 @@ class Scratch:
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Rows of ids that are sent to every executor instead of shuffling the wide side of a join.
-NARROW_ROWS = 2_000_000
+#: Bytes of a table that is sent to every executor instead of shuffling the wide side of a join.
+NARROW_BYTES = 16 << 20
 
 
-def narrow(ids: DataFrame, scratch: Scratch, most: int = NARROW_ROWS) -> DataFrame:
-    """``ids`` (a few short columns) saved, and marked for broadcast if it has at most ``most`` rows; else it is joined by a shuffle."""
+def narrow(ids: DataFrame, scratch: Scratch, most: int = NARROW_BYTES) -> DataFrame:
+    """``ids`` saved, and marked for broadcast if its values and row headers take at most ``most`` bytes; else it is joined by a shuffle."""
     ids = scratch.save(ids, "ids")
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+    wide = F.lit(16 + 16 * len(ids.columns))
+    for name, kind in ids.dtypes:
+        if kind in ("string", "binary"):
+            wide = wide + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            wide = wide + 8 * F.coalesce(F.size(name), F.lit(0))
+    return F.broadcast(ids) if (ids.agg(F.sum(wide.cast("long")).alias("n")).first()["n"] or 0) <= most else ids

@@ -1,176 +1,206 @@
-"""Near-duplicate lines by an exact set-similarity join.
+"""Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words (cut at white space, A-Z lower-cased).  A line is
 removed if an earlier one, by doc_id and then line number, has at least
 ``PERCENT`` hundredths of Jaccard similarity with it; the earliest of a group of
 equal sets stays.
 
-Words are ordered by rarity, from counts over all documents (in 2**20 hashed bins
-of one byte, so that the table has a fixed size; any one order gives right results).
-Two similar sets share a word among the first few of that order, so only these
-prefixes are joined.  Length and positional filters drop pairs that cannot
-reach the overlap, and the rest are verified on the full sets.
+Words are ordered by rarity, from counts over all documents (in 2**20 hashed bins,
+so that the table has a fixed size; any one order gives right results).  Equal
+sets become one class first.  Two similar sets share words among the first few of
+that order, so only these prefixes are joined:
 
-Every later line needs one match only.  So each word's earliest line is compared
-with the others first; what it removes is no longer sought.  What remains is
-joined with all earlier lines that share a prefix word.  Large families of copies
-end in the first step, which is linear, and no pair is left out.
+* length filter: of sizes n and m, the smaller is at least ``PERCENT`` hundredths of the larger;
+* positional prefix: with ``need`` common words needed, a word counts up to place
+  n - need + EXTRA, and of such places EXTRA at least have to agree (fewer where the
+  prefix ends earlier): any word of the prefix that is lacking in the other set uses
+  up one of the n - need that may lack;
+* the words after the last common place bound what the sets can still share.
 
-Words are compared by 56 bits of a hash and their bin's rarity.  Lines are cut,
-hashed and ordered by numpy over whole batches; counting, joins, filters and
-grouping are DataFrame operations.  (Built from DataFrame functions alone, one pass
-of cutting and hashing took 340 CPU seconds a GB; see the README.)
+The pairs left are verified on their words, read again from the texts.
+
+Every later line needs one match only.  So, before, each frequent word's earliest
+line is compared with the others (one partner a line, the one with most words in
+common); what that removes is compared with the lines that remain only.  Large families of
+copies end there, which is linear, and no pair is left out.
 
 Defined results: lines without a word are kept and match nothing; null and empty
-texts stay; rows with one doc_id are one place, whose equal line numbers do not
-remove each other, but each loses only its own lines; null doc_ids come first.
+texts stay; a text of any length is cut whole; rows with one doc_id are one place,
+whose equal line numbers do not remove each other, but each loses only its own
+lines; null doc_ids come first; repeated rows lose the same lines; extra columns are
+kept, and the new column's name gets underscores where ``docs`` has it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import log2
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, narrow, table
-from .minhash import _common as common_words
-from .textbytes import U64, batches, mix, word_table, words
 
 PERCENT = 80
-BINS = 1 << 20
-#: The frequency class of a word that occurs once.
-ONCE = 4
-PLACE = "decimal(38,0)"
-WORD = word_table([0x20, *range(0x09, 0x0E)])
-
-
-def _cut(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """For some texts at a time: the number of lines of each, and the words of all lines with the first word of each line."""
-    for _, some in batches(texts):
-        parts = [t.split(b"\n") for t in some]
-        h, at = words([x for p in parts for x in p], WORD)
-        yield [len(p) for p in parts], h, at
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """The frequency class of each bin, from the words of all documents.  Each partition adds up its own counts first."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(BINS, dtype=np.int64)
-        for part in parts:
-            for _, h, _ in _cut(part["text"].tolist()):
-                bins, times = np.unique((h % U64(BINS)).astype(np.int64), return_counts=True)
-                n[bins] += times
-        some = np.flatnonzero(n)
-        yield pd.DataFrame({"bin": some.astype(np.int32), "n": n[some]})
-
-    seen = docs.select("text").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    got = seen.where("n > 1").select("bin", F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1) * ONCE)).cast("byte").alias("f")).toPandas()  # BINS rows at most
-    level = np.full(BINS, ONCE, dtype=np.uint8)
-    level[got["bin"].to_numpy()] = got["f"].to_numpy()
-    return level
-
-
-def _line_maker(spark: SparkSession, level: np.ndarray, percent: int, whole: bool):
-    shared = spark.sparkContext.broadcast(level)
-
-    def per_text(batch: list, out: list) -> None:
-        for counts, h, at in _cut(batch):
-            line = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            key = (shared.value[(h % U64(BINS)).astype(np.int64)].astype(np.uint64) << U64(56)) | (h >> U64(8))
-            order = np.lexsort((key, line))
-            line, key = line[order], key[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-            line, key = line[new], key[new]
-            n = np.bincount(line, minlength=len(at) - 1)
-            start = np.cumsum(n) - n
-            total = np.add.reduceat(np.append(mix(key), U64(0)), np.minimum(start, len(key)))
-            name = mix(total * U64(0x9FB21C651E98DF25) + n.astype(np.uint64)).view(np.int64)
-            stop = start + (n if whole else n - (n * percent + 99) // 100 + 1)
-            signed = key.view(np.int64)
-            a = 0
-            for c in counts:
-                full = np.flatnonzero(n[a : a + c])
-                sets = [signed[start[a + i] : stop[a + i]] for i in full]
-                out.append((full.astype(np.int32), n[a : a + c][full].astype(np.int32), name[a : a + c][full], [x.tobytes() for x in sets] if whole else sets))
-                a += c
-
-    @F.pandas_udf(f"l array<int>, n array<int>, c array<long>, t array<{'binary' if whole else 'array<long>'}>")
-    def make(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            values, out = batch.tolist(), []
-            for i in range(0, len(values), 512):
-                per_text(values[i : i + 512], out)
-            yield pd.DataFrame(out, columns=["l", "n", "c", "t"])
-
-    return make
-
-
-def lines(docs: DataFrame, level: np.ndarray, percent: int, whole: bool = False) -> DataFrame:
-    """(d, h, l, place, n, c, t) of each line with words: its row (doc_id and a hash of the text), its place in the order, the size and class of its set, and its rarest words or all of them."""
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(d.alias("d"), F.xxhash64("text").alias("h"), _line_maker(docs.sparkSession, level, percent, whole)("text").alias("x"))
-    rows = rows.select("d", "h", F.explode(F.arrays_zip("x.l", "x.n", "x.c", "x.t")).alias("r")).select("d", "h", "r.*")
-    place = F.col("d").cast(PLACE) * F.lit(2**31).cast("decimal(11,0)") + F.col("l").cast("decimal(11,0)")
-    return rows.select("d", "h", "l", place.cast(PLACE).alias("place"), "n", "c", "t")
-
-
-def _may_match(n: Column, pos: Column, m: Column, q: Column, percent: int) -> Column:
-    """Length filter, and the positional filter at the first common word."""
-    need = F.ceil((n + m) * percent / (100 + percent))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - q) + 1 >= need)
+#: Common words asked of a pair's prefixes, where these are long enough.
+EXTRA = 2
+BIN_BITS = 20
+#: Steps of rarity for each doubling of a bin's count.
+STEPS = 4
+#: Classes with a word in their prefix from which on its earliest one is tried first.
+FREQUENT = 64
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NO_ID = -(2**63)
+
+
+def _div(a: Column | str, b: Column) -> Column:
+    return F.call_function("div", F.col(a) if isinstance(a, str) else a, b)
+
+
+def _ceil_div(a: Column, b: int) -> Column:
+    return _div(a + (b - 1), F.lit(b))
+
+
+def _words(line: str) -> Column:
+    """The words of a line, in order; an empty word may stand at its ends or between blanks."""
+    # lower() is the same for ASCII, and much faster than translate()
+    low = F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, UPPER.lower()))
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.col(line).contains(c)
+    return F.when(odd, F.split(low, "[ \t\x0b-\r]+")).otherwise(F.split(low, " "))
+
+
+def _level(n: Column) -> Column:
+    return F.least(F.lit(127), F.floor(F.log2(n + 1) * STEPS)).cast("int")
+
+
+def rarity(docs: DataFrame) -> Column:
+    """The frequency class of each bin as a constant array: 2**BIN_BITS small numbers, whatever the input."""
+    word = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words("line")).alias("w"))
+    seen = word.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BIN_BITS).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    # packed 1,024 bins to a row, so that few rows come to the driver
+    packed = seen.groupBy(F.shiftright("bin", 10).alias("page")).agg(F.array_join(F.collect_list((F.col("bin") * 128 + _level(F.col("n"))).cast("string")), ",").alias("s"))
+    level = bytearray(1 << BIN_BITS)
+    for row in packed.select("s").collect():
+        for x in row["s"].split(","):
+            level[int(x) >> 7] = int(x) & 127
+    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<tinyint>")
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """(d, h, l, line): doc_id, a hash of the text, line number and line; not the empty ones."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(d.alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    return rows.where("line != ''")
+
+
+def lines(docs: DataFrame, level: Column, percent: int = PERCENT) -> DataFrame:
+    """(d, h, l, c, e, n, prefix) of each line: its row and number, the class (128 bits of a hash) and size of its set, and its rarest words.
+
+    A word is its frequency class in 7 bits and 56 bits of its hash, so that the order of the numbers is the order by rarity.
+    """
+
+    def key(h: Column) -> Column:
+        return F.shiftleft(F.get(level, F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    hashes = F.array_remove(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rows = _cut(docs).select("d", "h", "l", F.sort_array(F.transform(hashes, key)).alias("s"))
+    n = F.size("s")
+    keep = F.when(n * (100 - percent) >= percent, n - _ceil_div(n * percent, 100).cast("int") + 1).otherwise(0)  # a smaller set has no similar one but equals
+    return rows.select("d", "h", "l", F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), "s").alias("e"), n.alias("n"), F.slice("s", F.lit(1), keep).alias("prefix"))
+
+
+def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _need(n: Column, m: Column, percent: int) -> Column:
+    return _ceil_div((n + m) * percent, 100 + percent)
+
+
+def _places(n: Column, need: Column, percent: int) -> Column:
+    """The last place of a set's prefix that counts for a pair that needs so many common words."""
+    return F.least(n - _ceil_div(n * percent, 100) + 1, n - need + EXTRA)
+
+
+def candidates(heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the classes (id, n, prefix, gone) that pass all filters and are not both gone."""
+    words = heads.select(F.posexplode("prefix").alias("p", "token"), "id", "n", "gone").select("token", "id", "n", (F.col("p") + 1).alias("p"), "gone")
+    a, b = words.alias("a"), words.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    need = _need(n, m, percent)
+    fits = _sizes_fit(n, m, percent) & (F.col("a.p") <= n - need + EXTRA) & (F.col("b.p") <= m - need + EXTRA)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & ~(F.col("a.gone") & F.col("b.gone")) & fits)
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), n.alias("n"), m.alias("m"), F.col("a.p").alias("p"), F.col("b.p").alias("q"))
+    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("p").alias("p"), F.max("q").alias("q"))
+    n, m = F.col("n"), F.col("m")
+    need = _need(n, m, percent)
+    least = F.least(_places(n, need, percent) - n + need, _places(m, need, percent) - m + need)
+    return pairs.where((F.col("k") >= least) & (F.col("k") + F.least(n - F.col("p"), m - F.col("q")) >= need)).select("a", "b")
+
+
+def first_partners(heads: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): of each class with frequent words in its prefix, the earliest class of such a word with which it shares most of them."""
+    words = heads.select("id", "n", "d", "l", F.explode("prefix").alias("token"))
+    # a word in so many sets is in a bin of that count at least
+    level = int(log2(FREQUENT + 1) * STEPS)
+    often = words.where(F.shiftright("token", 56) >= level)
+    first = narrow(often.groupBy("token").agg(F.count("*").alias("k"), F.min("d").alias("first")).where(F.col("k") > FREQUENT).select("token", "first"), scratch)
+    pivot = often.join(first, "token").where(F.col("d") == F.col("first")).groupBy("token").agg(F.min(F.struct("l", "id", "n")).alias("f"))
+    pivot = narrow(pivot.select("token", F.col("f.id").alias("b"), F.col("f.n").alias("m")), scratch)
+    pairs = often.join(pivot, "token").where((F.col("id") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), percent))
+    pairs = pairs.groupBy("id", "b").agg(F.count("*").alias("k")).groupBy("id").agg(F.max(F.struct("k", "b")).alias("f"))
+    return pairs.select(F.col("id").alias("a"), F.col("f.b").alias("b"))
+
+
+def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The id of the later class of each pair whose sets of words are similar."""
+    pairs = scratch.save(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    need = narrow(heads.select("id", "d", "h", "l").join(narrow(ids, scratch), "id"), scratch)
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select("doc_id", "text", d.alias("d"), F.xxhash64("text").alias("h")).join(need.select("d", "h").distinct(), ["d", "h"], "left_semi")
+    words = F.array_remove(F.array_distinct(_words("line")), "")
+    sets = _cut(rows).join(need, ["d", "h", "l"]).select("id", "d", "l", words.alias("w")).dropDuplicates(["id"])
+    sets = scratch.save(sets, "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.struct("d", "l").alias("pa"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.struct("d", "l").alias("pb"), F.col("w").alias("wb")), "b")
+    both = both.select("a", "b", "pa", "pb", (F.size("wa") + F.size("wb")).alias("size"), F.size(F.array_intersect("wa", "wb")).alias("i"))
+    both = both.where((F.col("i") * 100 >= (F.col("size") - F.col("i")) * percent) & (F.col("pa") != F.col("pb")))
+    out = scratch.save(both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct(), "gone")
+    scratch.drop(sets)
+    scratch.drop(pairs)
+    return out
 
 
 def removals(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(d, h, l) of every line that an earlier line removes: another row of the same doc_id keeps its own line l."""
     docs = docs.select("doc_id", "text").where("text is not null")
-    level = rarity(docs)
-    rows = lines(docs, level, percent)
-    classes = scratch.save(rows.groupBy("c", "n").agg(F.min("place").alias("place"), F.first("t").alias("prefix")), "classes")
-
-    prefix = classes.select("c", "n", "place", F.posexplode("prefix").alias("p", "token")).withColumn("p", F.col("p") + 1)
-    shared = narrow(prefix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), scratch)
-    prefix = scratch.save(prefix.join(shared, "token"), "prefix")
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The classes of column a that are similar to their partner b, by their full sets."""
-        pairs = scratch.save(pairs.distinct(), "pairs")
-        need = narrow(pairs.select(F.col("a").alias("c"), F.col("pa").alias("place")).union(pairs.select("b", "pb")).distinct(), scratch)
-        full = lines(docs, level, percent, whole=True).join(need, ["c", "place"], "left_semi").select("c", "t")
-        full = scratch.save(full, "sets")
-        both = pairs.join(full.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(full.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
-        size = (F.octet_length("ta") / 8 + F.octet_length("tb") / 8).cast("long")
-        both = both.select("a", size.alias("size"), common_words()("ta", "tb").alias("i"))
-        return scratch.save(both.where(F.col("i") * 100 >= (F.col("size") - F.col("i")) * percent).select(F.col("a").alias("c")).distinct(), "gone")
-
-    other = [F.col("c").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("place").alias("pb")]
-    near = (F.col("pb") < F.col("place")) & _may_match(F.col("n"), F.col("p"), F.col("m"), F.col("q"), percent)
-    columns = [F.col("c").alias("a"), "b", F.col("place").alias("pa"), "pb"]
-    first = prefix.groupBy("token").agg(F.min(F.struct("place", "c", "n", "p")).alias("f")).select("token", *[F.col(f"f.{x}").alias(y) for x, y in (("c", "b"), ("n", "m"), ("p", "q"), ("place", "pb"))])
-    gone = similar(prefix.join(first, "token").where(near).select(*columns))
-    left = prefix.join(narrow(gone, scratch), "c", "left_anti")
-    more = similar(left.join(prefix.select("token", *other), "token").where(near).select(*columns))
-
-    gone = gone.union(more).select("c", F.lit(True).alias("gone"))
-    kept = classes.select("c", "n", F.col("place").alias("head")).join(gone, "c", "left")
-    return rows.select("d", "h", "l", "place", "c", "n").join(kept, ["c", "n"]).where(F.col("gone") | (F.col("place") > F.col("head"))).select("d", "h", "l")
+    rows = scratch.save(lines(docs, rarity(docs), percent), "lines")
+    earliest = F.row_number().over(Window.partitionBy("c", "e").orderBy("d", "l", "h"))
+    heads = rows.where("n > 0").withColumn("k", earliest).where("k = 1").drop("k").withColumn("id", F.monotonically_increasing_id())
+    heads = scratch.save(heads, "heads")
+    usable = heads.where(F.size("prefix") > 0)
+    gone = confirmed(first_partners(usable, scratch, percent), usable, docs, scratch, percent)
+    marked = usable.select("id", "n", "prefix").join(narrow(gone.withColumn("gone", F.lit(True)), scratch), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    more = confirmed(candidates(marked, percent), usable, docs, scratch, percent)
+    gone = narrow(gone.unionByName(more).distinct().withColumn("gone", F.lit(True)), scratch)
+    first = heads.join(gone, "id", "left").select("c", "e", F.col("d").alias("hd"), F.col("l").alias("hl"), "gone")
+    later = F.struct("d", "l") > F.struct(F.col("hd").alias("d"), F.col("hl").alias("l"))
+    return rows.where("n > 0").select("d", "h", "l", "c", "e").join(first, ["c", "e"]).where(F.col("gone") | later).select("d", "h", "l")
 
 
 def remove_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and their number as ``n_removed`` (with underscores added if ``docs`` has that column)."""
     key, name, cut, number = fresh(docs, "_d"), fresh(docs, "_h"), fresh(docs, "_gone"), fresh(docs, "n_removed")
-    gone = removals(docs, scratch, percent).distinct().groupBy("d", "h").agg(F.collect_list("l").alias(cut))
+    gone = removals(docs, scratch, percent).groupBy("d", "h").agg(F.collect_set("l").alias(cut))
     gone = narrow(gone.withColumnsRenamed({"d": key, "h": name}), scratch)
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(name, F.xxhash64("text"))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(name, F.xxhash64("text"))
     out = keyed.join(gone, [key, name], "left")
     parts = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
-    text = F.when(F.col(cut).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    n = F.when(F.col(cut).isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay))
+    untouched = F.col(cut).isNull() | F.col("text").isNull()
+    text = F.when(untouched, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    n = F.when(untouched, F.lit(0)).otherwise(F.size(cut))
     return out.withColumn(number, n.cast("long")).withColumn("text", text).select(*docs.columns, number)
 
 
