@@ -7,11 +7,14 @@ against independent hashes.  Ranks are tried level by level, and a document
 stops at the first level that leaves none of its slots without a smaller value.
 
 Banding: documents that agree in all rows of a band are candidates.  A group of
-candidates is not expanded into all its pairs.  A few pivots of each group are
-compared with its members, which joins most of a family of copies to one
-component.  Then only the members outside a group's largest component are
-compared with the rest of it: pairs within one component need no comparison, and
-no other pair is left out.
+candidates is not expanded into all its pairs.  A few pivots of each group, those
+with most fellow candidates in all their groups, are compared with its members: a
+family's least changed copies are among them, and join most of it to one component.
+Then only the members outside a group's largest component are compared with the
+rest of it: pairs within one component need no comparison, and no other pair is left
+out.  Before its sets are read, such a pair has to pass an exact bound: each shingle
+flips one of ``PARITY`` bits, so two sets differ in as many shingles at least as
+their bits differ, and similar sets may differ in few.
 
 Verification: pairs are confirmed on the full sets of 64-bit shingle hashes.
 Grouping: union-find inside each partition of links, then star contraction
@@ -31,7 +34,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, table
@@ -45,6 +48,8 @@ PERCENT = 85
 WORD = word_table([0x20, *range(0x09, 0x0E)])
 #: Pivots of a group of candidates.
 PIVOTS = 4
+#: Bits of the parity sketch of a set.
+PARITY = 1024
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -111,11 +116,23 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits as 64-bit numbers: bit i tells whether an odd number of the set's hashes fall on it."""
+    odd = (np.bincount((s % U64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_be_similar(n: Column, m: Column, a: str, b: str, percent: int) -> Column:
+    """Sets of sizes n and m with the parities a and b may reach the similarity: their difference has at most (n + m) (100 - percent) / (100 + percent) shingles."""
+    apart = sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _sketcher(size: int, bands: int, rows: int):
-    @F.pandas_udf("n long, class binary, bands array<long>")
+    @F.pandas_udf("n long, class binary, bands array<long>, parity array<long>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            n, name, keys, todo, held = [], [], [], [], 0
+            n, name, keys, odd, todo, held = [], [], [], [], [], 0
 
             def flush() -> None:
                 nonlocal todo, held
@@ -127,12 +144,13 @@ def _sketcher(size: int, bands: int, rows: int):
             for s in sets(batch.tolist(), size):
                 n.append(len(s))
                 name.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                odd.append(parity(s) if len(s) else None)
                 todo.append(s)
                 held += len(s)
                 if held > SHARD_BYTES // 16:
                     flush()
             flush()
-            yield pd.DataFrame({"n": n, "class": name, "bands": keys})
+            yield pd.DataFrame({"n": n, "class": name, "bands": keys, "parity": odd})
 
     return sketch
 
@@ -185,11 +203,11 @@ def local_forest(edges: DataFrame) -> DataFrame:
 def linked(heads: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(id, component) of all documents with a confirmed link.
 
-    ``heads``: (id, n, bands) of one document of each class, ``texts``: (id, text) of all ids.
+    ``heads``: (id, n, bands, parity) of one document of each class, ``texts``: (id, text) of all ids.
     """
     members = heads.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
-    several = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    groups = scratch.save(members.join(several, "bucket"), "groups")
+    several = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    groups = scratch.save(members.join(several, "bucket").withColumnRenamed("m", "fellows"), "groups")
     mine = groups.select("id").distinct()
     full = scratch.save(texts.join(narrow(mine, scratch), "id").select("id", _set_maker(size)("text").alias("s")), "sets")
 
@@ -200,9 +218,10 @@ def linked(heads: DataFrame, texts: DataFrame, scratch: Scratch, percent: int =
         return scratch.save(local_forest(checked.where(F.col("i") * 100 >= (F.col("both") - F.col("i")) * percent).select("a", "b")), "links")
 
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    # first the smallest ids of each bucket's residue classes: a map-side combined minimum, no sort of a bucket
+    # first those with most fellows in each bucket's residue classes: a map-side combined maximum, no sort of a bucket
+    weight = groups.groupBy("id").agg(F.sum("fellows").alias("weight"))
     lane = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
-    pivots = groups.groupBy("bucket", lane.alias("lane")).agg(F.min(F.struct("id", "n")).alias("p")).select("bucket", F.col("p.id").alias("p"), F.col("p.n").alias("m"))
+    pivots = groups.join(weight, "id").groupBy("bucket", lane.alias("lane")).agg(F.max(F.struct("weight", F.bitwise_not("id").alias("low"), "id", "n")).alias("p")).select("bucket", F.col("p.id").alias("p"), F.col("p.n").alias("m"))
     pairs = groups.join(pivots, "bucket").where("id != p").where(near)
     edges = confirmed(pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct())
     comps = components(edges, scratch)
@@ -212,12 +231,12 @@ def linked(heads: DataFrame, texts: DataFrame, scratch: Scratch, percent: int =
     rows = scratch.save(rows, "labelled")
     count = rows.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     top = count.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("neg"))).alias("t"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(top.select("bucket", (-F.col("t.neg")).alias("main")), "bucket").join(heads.select("id", "bands"), "id")
+    rows = rows.join(top.select("bucket", (-F.col("t.neg")).alias("main")), "bucket").join(heads.select("id", "bands", "parity"), "id")
     rows = scratch.save(rows, "open")
-    apart = rows.where("c != main").select("bucket", F.col("id").alias("p"), F.col("n").alias("m"), F.col("c").alias("pc"), F.col("bands").alias("pbands"))
+    apart = rows.where("c != main").select("bucket", F.col("id").alias("p"), F.col("n").alias("m"), F.col("c").alias("pc"), F.col("bands").alias("pbands"), F.col("parity").alias("pparity"))
     # a pair counts in the first band that it shares; of two outsiders the larger id asks
     before = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("band")), F.slice("pbands", F.lit(1), F.col("band")))
-    pairs = rows.join(apart, "bucket").where("c != pc and (c = main or id < p)").where(near & ~before)
+    pairs = rows.join(apart, "bucket").where("c != pc and (c = main or id < p)").where(near & _may_be_similar(F.col("n"), F.col("m"), "parity", "pparity", percent) & ~before)
     more = confirmed(pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")))
     return comps if more.isEmpty() else components(edges.unionByName(more), scratch)
 
@@ -225,12 +244,12 @@ def linked(heads: DataFrame, texts: DataFrame, scratch: Scratch, percent: int =
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    got = docs.select("doc_id", _sketcher(size, bands, rows)("text").alias("k")).select("doc_id", F.col("k.n").alias("n"), F.col("k.class").alias("class"), F.col("k.bands").alias("bands"))
+    got = docs.select("doc_id", _sketcher(size, bands, rows)("text").alias("k")).select("doc_id", F.col("k.n").alias("n"), F.col("k.class").alias("class"), F.col("k.bands").alias("bands"), F.col("k.parity").alias("parity"))
     got = scratch.save(got, "sketches")
     real = got.where("class is not null and doc_id is not null")
     # classes of equal sets: one representative each, counted before the shuffle
     classes = scratch.save(real.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
-    heads = real.join(classes, "class").where("doc_id = id").dropDuplicates(["class"]).select("id", "n", "bands")
+    heads = real.join(classes, "class").where("doc_id = id").dropDuplicates(["class"]).select("id", "n", "bands", "parity")
     heads = scratch.save(heads, "heads")
     # a doc_id that heads several classes (rows with an equal doc_id and different texts) joins them
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
