@@ -3,16 +3,49 @@ import json
 from tracelens.operators import dataflow, induce, positions
 
 
-def test_positions_learn_and_apply(spark):
-    texts = ["alert: service=payments trace 12ab fired", "alert: service=web trace 77 fired", "note service=search-api trace 9 x"]
-    values = ["payments", "web"]
-    program = positions.learn([(t, (t.index(v), t.index(v) + len(v))) for t, v in zip(texts, values, strict=False)])
-    assert positions.apply(program, texts[2]).startswith("search")
-    rows = [("s", "a", t, t.index(v), t.index(v) + len(v)) for t, v in zip(texts, values, strict=False)]
-    learnt = positions.learn_programs(spark.createDataFrame(rows, "step string, arg string, text string, start long, end long"), ["step", "arg"])
-    assert json.loads(learnt.first()["program"]) == program
-    got = positions.extract(spark.createDataFrame([("s", "a", texts[0]), ("s", "b", "x")], "step string, arg string, text string"), learnt, ["step", "arg"], "text")
-    assert {(r["arg"], r["value"]) for r in got.collect()} == {("a", "payments"), ("b", None)}
+EXAMPLE = "step string, arg string, text string, start long, end long"
+
+
+def learnt(spark, texts, values, arg="a"):
+    rows = [("s", arg, t, t.index(v), t.index(v) + len(v)) for t, v in zip(texts, values, strict=False)]
+    return positions.learn_programs(spark.createDataFrame(rows, EXAMPLE), ["step", "arg"])
+
+
+REPORTS = ["Ticket for search-web opened 2026-01-02.\nCause: DiskFull: no room left\nref ref_id=0af3 end", "Ticket for api opened 2026-02-03.\nCause: Timeout: too slow\nref ref_id=77be end", "Ticket for cart-db opened 2026-03-04.\nCause: Refused: none listens\nref ref_id=d00d end"]
+
+
+def test_positions_between_literals(spark):
+    (row,) = learnt(spark, REPORTS, ["search-web", "api", "cart-db"]).collect()
+    made = json.loads(row["program"])
+    tokens = [t for side in made.values() for t in side["left"] + side["right"]]
+    assert any(t.startswith("lit:") for t in tokens) and "lit:-" not in tokens
+    assert positions.value_of(row["program"], "Ticket for some-queue opened 2027-01-01.") == "some-queue"
+
+
+def test_positions_line_and_all(spark):
+    programs = learnt(spark, REPORTS, ["DiskFull: no room left", "Timeout: too slow", "Refused: none listens"])
+    program = programs.first()["program"]
+    other = "Cause: A: b\nref ref_id=1 end\nCause: C: d e\nref ref_id=2 end"
+    assert positions.value_of(program, REPORTS[0].replace("no room left", "x y")) == "DiskFull: x y"
+    assert positions.values_of(program, other) == ["A: b", "C: d e"]
+    data = spark.createDataFrame([("s", "a", other), ("s", "b", other), ("s", "a", None), ("s", "a", "")], "step string, arg string, text string")
+    got = {(r["arg"], r["text"]): r["values"] for r in positions.extract(data, programs, ["step", "arg"], "text", every=True).collect()}
+    assert got == {("a", other): ["A: b", "C: d e"], ("b", other): None, ("a", None): None, ("a", ""): []}
+
+
+def test_positions_anchor_beats_number(spark):
+    texts = ["list 11aa 22bb\nchosen=33cc\nrest=44dd", "list 55ee\nchosen=66ff\nrest=1a1a 2b2b", "list 3c3c 4d4d 5e5e\nchosen=6f6f\nrest=7a7a"]
+    program = learnt(spark, texts, ["33cc", "66ff", "6f6f"]).first()["program"]
+    assert positions.value_of(program, "list 1 2 3 4\nchosen=9b9b\nrest=0") == "9b9b"
+
+
+def test_positions_without_program(spark):
+    rows = [("s", "none", "a b", 0, 1), ("s", "none", "c d", 2, 3), ("s", "class", "ab|cd", 3, 5), ("s", "class", "xy-zw", 3, 5), ("s", "place", "ab|cd", 3, 5), ("s", "place", "abcde", 3, 5), ("s", "bad", None, 0, 1), ("s", "bad", "abc", 2, 9), (None, "class", "k: v", 3, 4)]
+    got = {(r["step"], r["arg"]): r["program"] for r in positions.learn_programs(spark.createDataFrame(rows, EXAMPLE), ["step", "arg"]).collect()}
+    assert got["s", "none"] is None and got["s", "bad"] is None
+    assert positions.value_of(got["s", "class"], "12+34") == "34"
+    assert positions.value_of(got["s", "place"], "12345") == "45"
+    assert positions.learn_programs(spark.createDataFrame([], EXAMPLE), ["step", "arg"]).collect() == []
 
 
 def steps(spark, rows):
@@ -35,6 +68,16 @@ def test_collapse(spark):
         ("jira.get", None, 1, 1, 1, []), ("logs.search", "q", 2, 1, 5, []), ("chat.search", None, 1, 1, 4, ["{{ i.summary }}", "plain"]), ("code.grep", None, 1, 2, 5, [])]
 
 
+def test_collapse_changes_of_way(spark):
+    rows = [("a", i, "t", {"q": q}, {"q": raw}, {"q": kind}, {"q": "x"}, hits) for i, (q, raw, kind, hits) in enumerate([
+        ("{{ a }}", "1", "copy", 0), ("{{ b }}", "2", "copy", 0), ("{{ b }}", "2", "copy", 3), ("plain", "p", "literal", 1), ("{{ c }} x", "3 x", "ids:n", 2), ("{{ c }} x", "4 x", "ids:n", 2)])]
+    rows += [("b", 0, "t", None, None, None, None, 1), ("b", 1, "t", None, None, None, None, 2), ("b", 2, "u", {}, {}, {}, {}, 0)]
+    got = induce.collapse(steps(spark, rows)).orderBy("session", "idx").collect()
+    assert [(r["session"], r["idx"], r["each"], r["items"], r["repeated"], r["hits"]) for r in got] == [
+        ("a", 0, "q", 2, 2, 3), ("a", 3, None, 1, 1, 1), ("a", 4, "q", 2, 1, 4), ("b", 0, None, 1, 2, 2), ("b", 2, None, 1, 1, 0)]
+    assert got[0]["args"] == {"q": "{{ item }}"}
+
+
 def test_align_and_merge(spark):
     rows = []
     for s, order in (("a", "jcl"), ("b", "jlc"), ("c", "jclx")):
@@ -50,6 +93,14 @@ def test_align_and_merge(spark):
     assert merged[per["c", "code.grep"]] == ("constant", ["only-here"], 1)
 
 
+def test_align_two_turns_and_contradictions(spark):
+    call = lambda s, i, classes: (s, i, "t", dict.fromkeys(classes, "x"), None, {}, classes, 1)
+    rows = [call("a", 0, {"q": "id"}), call("a", 1, {"q": "id,text"}), call("a", 2, {"q": "id", "w": "far"}), call("b", 0, {"q": "text"}), call("b", 1, {"q": "window"}), call("c", 0, {}), call("c", 1, {"q": "text", "w": "near"})]
+    got = {(r["session"], r["idx"]): r["step"] for r in induce.align(steps(spark, rows)).collect()}
+    assert got["a", 0] == got["b", 0] and got["a", 1] != got["a", 0] and len({got["b", 1], got["c", 0], got["a", 0]}) == 3
+    assert induce.align(steps(spark, [])).collect() == []
+
+
 def test_components_ignore_pseudo_sources():
     edges = [("prompt", "x", "a"), ("prompt", "x", "b"), ("a", "y", "c"), ("c", "z", "d")]
     assert dataflow.components_of(edges) == [frozenset({edges[0], edges[2], edges[3]}), frozenset({edges[1]})]

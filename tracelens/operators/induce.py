@@ -1,111 +1,122 @@
 """From many bound sessions to one parameterised flow: collapsed steps, steps aligned across sessions, merged arguments.
 
 Steps are rows (trigger, session, idx, tool, args, raw, kinds, classes, hits): ``args`` maps each argument to its bound
-template, ``raw`` to the recorded value, ``kinds`` to the kind of binding, and ``classes`` to what it refers to (text, id, window).
-Collapsing needs one session at a time and aligning one trigger's steps in order; merging is plain aggregation.
+template, ``raw`` to the recorded value, ``kinds`` to the kind of binding, and ``classes`` to what it refers to (text, id,
+window, several with commas).  Null maps count as empty.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dataflow import cut
+
 # Fixed value: fallbacks worth trying when a flow runs.
 MAX_LADDER = 6
 
-STEP = "trigger string, session string, idx long, tool string, args map<string,string>, raw map<string,string>, kinds map<string,string>, classes map<string,string>, hits long, repeated long, each string, items long, ladder array<string>"
+MAPS = ("args", "raw", "kinds", "classes")
+REFERENCE = r"\{\{[^}]*\}\}"
 
 
-def _dict(m) -> dict:
-    return dict(m) if m is not None else {}
+def _maps(steps: DataFrame) -> DataFrame:
+    return steps.withColumns({m: F.coalesce(m, F.create_map().cast("map<string,string>")) for m in MAPS})
 
 
-def _item(template: str | None) -> str:
-    return re.sub(r"\{\{[^}]*\}\}", "{{ item }}", template or "")
+def _changed(now: Column, was: Column) -> Column:
+    """The arguments whose values differ, sorted."""
+    names = F.array_sort(F.array_union(F.map_keys(now), F.map_keys(was)))
+    return F.filter(names, lambda k: ~now[k].eqNullSafe(was[k]))
 
 
-def _element(step: dict, arg: str) -> bool:
-    kind = step["kinds"].get(arg, "")
-    return kind == "copy" or kind.startswith("ids:")
+def _per_item(template: Column) -> Column:
+    return F.regexp_replace(F.coalesce(template, F.lit("")), REFERENCE, "{{ item }}")
 
 
-def _differ(a: dict, b: dict) -> list[str]:
-    return sorted(k for k in a.keys() | b.keys() if a.get(k) != b.get(k))
+def _way(now: dict[str, Column], was: Column) -> Column:
+    """How a call follows from the one before it: (how, arg), or null if it is a step of its own.
+
+    ``repeat``: equal arguments.  ``each``: one argument differs and is an element of a list in both, by one template.
+    ``ladder``: one template differs after a call without hits.
+    """
+    raw, bound = _changed(now["raw"], was["raw"]), _changed(now["args"], was["args"])
+    arg, rung = F.get(raw, F.lit(0)), F.get(bound, F.lit(0))
+    listed = [F.coalesce(kinds[arg] == "copy", F.lit(False)) | F.coalesce(kinds[arg].startswith("ids:"), F.lit(False)) for kinds in (now["kinds"], was["kinds"])]
+    each = (F.size(raw) == 1) & (F.size(F.array_except(bound, F.array(arg))) == 0) & listed[0] & listed[1] & (_per_item(now["args"][arg]) == _per_item(was["args"][arg]))
+    ladder = (F.size(bound) == 1) & now["args"][rung].isNotNull() & was["args"][rung].isNotNull() & (was["hits"] == 0)
+    way = lambda how, a: F.struct(F.lit(how).alias("how"), a.alias("arg"))
+    return F.when(was.isNull() | (was["tool"] != now["tool"]), None).when(F.size(raw) == 0, way("repeat", F.lit(None).cast("string"))).when(each, way("each", arg)).when(ladder, way("ladder", rung))
 
 
 def collapse(steps: DataFrame) -> DataFrame:
-    """Adjacent calls of one tool become one step: equal ones a repeat, ones that differ in an element of a list a fan-out, and ones that vary an argument after no hits a ladder."""
-
-    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in rows.sort_values("idx").to_dict("records"):
-            s = r | {k: _dict(r[k]) for k in ("args", "raw", "kinds", "classes")} | {"repeated": 1, "each": None, "items": 1, "ladder": []}
-            s["last_raw"] = s["raw"]
-            last = out[-1] if out else None
-            if last is None or last["tool"] != s["tool"]:
-                out.append(s)
-                continue
-            raw, bound = _differ(last["last_raw"], s["raw"]), _differ(last["args"], s["args"])
-            arg = raw[0] if len(raw) == 1 else None
-            if not raw:
-                last["repeated"] += 1
-                last["hits"] = max(last["hits"], s["hits"])
-            elif arg and set(bound) <= {arg} and _element(s, arg) and (_element(last, arg) or last["each"] == arg) and _item(last["args"].get(arg)) == _item(s["args"].get(arg)):
-                last.update(each=arg, items=last["items"] + 1, hits=last["hits"] + s["hits"], last_raw=s["raw"])
-                last["args"][arg] = _item(s["args"].get(arg))
-            elif len(bound) == 1 and bound[0] in last["args"] and bound[0] in s["args"] and last["hits"] == 0 and not last["each"]:
-                a = bound[0]
-                last["ladder"] = (last["ladder"] or [last["args"][a]]) + [s["args"][a]]
-                last["args"][a], last["hits"], last["last_raw"] = s["args"][a], s["hits"], s["raw"]
-            else:
-                out.append(s)
-        return pd.DataFrame(out)[[c.split()[0] for c in STEP.split(", ")]]
-
-    return steps.groupBy("trigger", "session").applyInPandas(run, STEP)
+    """Runs of neighbouring calls of one tool become one step each: repeats, a fan-out over the elements of a list, or a ladder of templates tried after no hits.
+
+    A run ends where a call does not follow from the one before, or follows in another way than the run so far (repeats
+    fit any).  Adds repeated (equal calls), each (the argument that takes the items), items, and ladder (its templates in
+    order); hits are the sum over items, the last rung's, or the most of equal calls.
+    """
+    order = Window.partitionBy("trigger", "session").orderBy("idx")
+    rows = _maps(steps).withColumn("was", F.lag(F.struct("tool", "args", "raw", "kinds", "hits")).over(order))
+    rows = rows.withColumn("way", _way({c: F.col(c) for c in ("tool", "args", "raw", "kinds")}, F.col("was"))).drop("was")
+    rows = rows.withColumn("stretch", F.sum(F.col("way").isNull().cast("int")).over(order))
+    narrower = F.when(F.col("way.how") != "repeat", F.col("way"))
+    before = F.last(narrower, ignorenulls=True).over(Window.partitionBy("trigger", "session", "stretch").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("starts", F.col("way").isNull() | F.coalesce(narrower != before, F.lit(False)))
+    rows = rows.withColumn("run", F.sum(F.col("starts").cast("int")).over(order)).withColumn("way", F.when(~F.col("starts"), F.col("way")))
+    how = F.col("way.how")
+    runs = rows.groupBy("trigger", "session", "run").agg(
+        F.min_by(F.struct("idx", "tool", *MAPS), "idx").alias("first"), F.max_by(F.struct("args", "hits"), "idx").alias("last"),
+        F.max(F.when(how == "each", F.col("way.arg"))).alias("each"), F.max(F.when(how == "ladder", F.col("way.arg"))).alias("rung"),
+        F.sum("hits").alias("total"), F.max("hits").alias("most"), (F.count_if(how == "repeat") + 1).alias("repeated"), (F.count_if(how == "each") + 1).alias("items"),
+        F.transform(F.array_sort(F.collect_list(F.when(how == "ladder", F.struct("idx", F.col("args")[F.col("way.arg")].alias("t"))))), lambda x: x["t"]).alias("tried"))
+    args = F.when(F.col("each").isNotNull(), F.transform_values(F.col("first.args"), lambda k, v: F.when(k == F.col("each"), _per_item(v)).otherwise(v))).when(F.col("rung").isNotNull(), F.col("last.args")).otherwise(F.col("first.args"))
+    ladder = F.when(F.col("rung").isNotNull(), F.concat(F.array(F.col("first.args")[F.col("rung")]), F.col("tried"))).otherwise(F.array().cast("array<string>"))
+    hits = F.when(F.col("each").isNotNull(), F.col("total")).when(F.col("rung").isNotNull(), F.col("last.hits")).otherwise(F.col("most"))
+    return runs.select("trigger", "session", "first.idx", "first.tool", args.alias("args"), "first.raw", "first.kinds", "first.classes", hits.alias("hits"), "repeated", "each", "items", ladder.alias("ladder"))
+
+
+def _signatures(steps: DataFrame) -> DataFrame:
+    """(trigger, tool, sign, named): the distinct class signatures of each tool; few, as they hold kinds of things and no values."""
+    return steps.select("trigger", "tool", "sign", "named").dropDuplicates(["trigger", "tool", "sign"])
+
+
+def _components(signs: DataFrame) -> DataFrame:
+    """(trigger, tool, sign, component): signatures that meet are one, directly or over others.
+
+    Two meet if they share a class of some argument, and of each argument for which both name classes; those without
+    any class meet each other.  Labels sink to the smallest signature until none changes.
+    """
+    token = F.explode(F.when(F.size("named") == 0, F.array(F.struct(F.lit("").alias("arg"), F.lit("").alias("class")))).otherwise(
+        F.flatten(F.transform("named", lambda x: F.transform(x["classes"], lambda c: F.struct(x["arg"].alias("arg"), c.alias("class")))))))
+    rows = signs.select("trigger", "tool", "sign", "named", token.alias("t"))
+    a = rows.select("trigger", "tool", "t", F.col("sign").alias("a"), F.col("named").alias("x"))
+    b = rows.select("trigger", "tool", "t", F.col("sign").alias("b"), F.col("named").alias("y"))
+    agree = F.forall("x", lambda p: F.forall("y", lambda q: (p["arg"] != q["arg"]) | F.arrays_overlap(p["classes"], q["classes"])))
+    links = cut(a.join(b, ["trigger", "tool", "t"]).where(agree).select("trigger", "tool", "a", "b").distinct())
+    label = cut(signs.select("trigger", "tool", "sign", F.col("sign").alias("component")))
+    while True:
+        near = links.join(label.withColumnRenamed("sign", "b"), ["trigger", "tool", "b"]).groupBy("trigger", "tool", F.col("a").alias("sign")).agg(F.min("component").alias("low"))
+        after = cut(label.join(near, ["trigger", "tool", "sign"], "left").select("trigger", "tool", "sign", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("sank")))
+        label = after.drop("sank")
+        if after.where("sank").isEmpty():
+            return label
 
 
 def align(steps: DataFrame) -> DataFrame:
-    """``steps`` with the number of the common step that each belongs to.
+    """``steps`` with the number of the common step that each belongs to, in the order of their mean places.
 
-    Sessions come in order.  A step joins the group of its tool that shares most: its classes overlap on every argument
-    that both bind, equal templates count double, near positions break ties.  One step of a session takes one group.
+    Calls of one tool whose arguments refer to the same classes of things belong together, whatever their order; the
+    second such call of a session belongs to the second common step of that kind.  Only the distinct class signatures
+    are compared, not the sessions.
     """
-
-    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
-        numbers = []
-        rows = rows.sort_values(["session", "idx"], kind="stable")
-        for _, part in rows.groupby("session", sort=True):
-            used: set[int] = set()
-            for place, r in enumerate(part.to_dict("records")):
-                args, classes = _dict(r["args"]), {k: set(filter(None, (v or "").split(","))) for k, v in _dict(r["classes"]).items()}
-                best = None
-                for n, g in enumerate(groups):
-                    if n in used or g["tool"] != r["tool"]:
-                        continue
-                    pairs = [(c, g["classes"][k]) for k, c in classes.items() if g["classes"].get(k)]
-                    if any(c and not c & d for c, d in pairs):
-                        continue
-                    score = sum(bool(c & d) for c, d in pairs) + 2 * sum(v in g["templates"].get(k, ()) for k, v in args.items())
-                    rank = (-score, abs(place - g["places"] / g["n"]), n)
-                    best = min(best, rank) if best else rank
-                if best is None:
-                    groups.append({"tool": r["tool"], "classes": {}, "templates": {}, "places": 0, "n": 0})
-                n = len(groups) - 1 if best is None else best[2]
-                g = groups[n]
-                g["places"], g["n"] = g["places"] + place, g["n"] + 1
-                for k, c in classes.items():
-                    g["classes"][k] = g["classes"].get(k, set()) | c
-                for k, v in args.items():
-                    g["templates"].setdefault(k, set()).add(v)
-                used.add(n)
-                numbers.append(n)
-        return rows.assign(step=numbers)
-
-    return steps.groupBy("trigger").applyInPandas(run, f"{STEP}, step long")
+    named = F.array_sort(F.transform(F.filter(F.map_entries("classes"), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.struct(e["key"].alias("arg"), F.array_sort(F.array_distinct(F.split(e["value"], ","))).alias("classes"))))
+    rows = _maps(steps).withColumn("named", named).withColumn("sign", F.sha2(F.to_json("named"), 256))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("trigger", "session").orderBy("idx")))
+    rows = rows.join(_components(_signatures(rows)), ["trigger", "tool", "sign"])
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("trigger", "session", "tool", "component").orderBy("idx")))
+    common = rows.groupBy("trigger", "tool", "component", "turn").agg(F.avg("place").alias("mean"))
+    number = F.row_number().over(Window.partitionBy("trigger").orderBy("mean", "tool", "component", "turn")) - 1
+    return rows.join(common.withColumn("step", number.cast("long")), ["trigger", "tool", "component", "turn"]).select(*steps.columns, "step")
 
 
 def merge_arguments(aligned: DataFrame) -> DataFrame:
