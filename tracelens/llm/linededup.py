@@ -5,7 +5,7 @@ removed if an earlier one, by doc_id and then line number, has at least
 ``PERCENT`` hundredths of Jaccard similarity with it; the earliest of a group of
 equal sets stays.
 
-Words are ordered by rarity, from counts over all documents (in 2**20 hashed bins,
+Words are ordered by rarity, from counts over all documents (in 2**18 hashed bins,
 so that the table has a fixed size; any one order gives right results).  Equal
 sets become one class first.  Two similar sets share words among the first few of
 that order, so only these prefixes are joined:
@@ -43,7 +43,7 @@ from .common import Scratch, fresh, narrow, table
 PERCENT = 80
 #: Common words asked of a pair's prefixes, where these are long enough.
 EXTRA = 2
-BIN_BITS = 20
+BIN_BITS = 18
 #: Steps of rarity for each doubling of a bin's count.
 STEPS = 4
 #: Classes with a word in their prefix from which on its earliest one is tried first.
@@ -60,14 +60,18 @@ def _ceil_div(a: Column, b: int) -> Column:
     return _div(a + (b - 1), F.lit(b))
 
 
-def _words(line: str) -> Column:
+def _lower(line: str) -> Column:
+    """A-Z lower-cased.  lower() is much faster than translate(), and the same where a line has no other letter with a small form."""
+    other = ~F.col(line).rlike(r"[[\p{Lu}\p{Lt}\p{Nl}\p{So}]&&[^A-Z]]")
+    return F.when((F.octet_length(line) == F.char_length(line)) | other, F.lower(line)).otherwise(F.translate(line, UPPER, UPPER.lower()))
+
+
+def _words(line: str, lowered: Column) -> Column:
     """The words of a line, in order; an empty word may stand at its ends or between blanks."""
-    # lower() is the same for ASCII, and much faster than translate()
-    low = F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, UPPER.lower()))
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd = odd | F.col(line).contains(c)
-    return F.when(odd, F.split(low, "[ \t\x0b-\r]+")).otherwise(F.split(low, " "))
+    return F.when(odd, F.split(lowered, "[ \t\x0b-\r]+")).otherwise(F.split(lowered, " "))
 
 
 def _level(n: Column) -> Column:
@@ -75,8 +79,11 @@ def _level(n: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The frequency class of each bin as a constant array: 2**BIN_BITS small numbers, whatever the input."""
-    word = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words("line")).alias("w"))
+    """The frequency class of each bin as a constant array: 2**BIN_BITS small numbers, whatever the input.
+
+    Words are counted with all letters lower-cased, which is cheaper; a class may be any number.
+    """
+    word = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words("line", F.lower("line"))).alias("w"))
     seen = word.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BIN_BITS).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     # packed 1,024 bins to a row, so that few rows come to the driver
     packed = seen.groupBy(F.shiftright("bin", 10).alias("page")).agg(F.array_join(F.collect_list((F.col("bin") * 128 + _level(F.col("n"))).cast("string")), ",").alias("s"))
@@ -103,8 +110,8 @@ def lines(docs: DataFrame, level: Column, percent: int = PERCENT) -> DataFrame:
     def key(h: Column) -> Column:
         return F.shiftleft(F.get(level, F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    hashes = F.array_remove(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    rows = _cut(docs).select("d", "h", "l", F.sort_array(F.transform(hashes, key)).alias("s"))
+    hashes = F.array_remove(F.transform(_words("line", _lower("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    rows = _cut(docs).select("d", "h", "l", F.array_distinct(F.sort_array(F.transform(hashes, key))).alias("s"))
     n = F.size("s")
     keep = F.when(n * (100 - percent) >= percent, n - _ceil_div(n * percent, 100).cast("int") + 1).otherwise(0)  # a smaller set has no similar one but equals
     return rows.select("d", "h", "l", F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), "s").alias("e"), n.alias("n"), F.slice("s", F.lit(1), keep).alias("prefix"))
@@ -160,7 +167,7 @@ def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, scratch: Scra
     need = narrow(heads.select("id", "d", "h", "l").join(narrow(ids, scratch), "id"), scratch)
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select("doc_id", "text", d.alias("d"), F.xxhash64("text").alias("h")).join(need.select("d", "h").distinct(), ["d", "h"], "left_semi")
-    words = F.array_remove(F.array_distinct(_words("line")), "")
+    words = F.array_remove(F.array_distinct(_words("line", _lower("line"))), "")
     sets = _cut(rows).join(need, ["d", "h", "l"]).select("id", "d", "l", words.alias("w")).dropDuplicates(["id"])
     sets = scratch.save(sets, "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.struct("d", "l").alias("pa"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.struct("d", "l").alias("pb"), F.col("w").alias("wb")), "b")
@@ -196,11 +203,14 @@ def remove_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> D
     gone = narrow(gone.withColumnsRenamed({"d": key, "h": name}), scratch)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(name, F.xxhash64("text"))
     out = keyed.join(gone, [key, name], "left")
-    parts = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
-    untouched = F.col(cut).isNull() | F.col("text").isNull()
-    text = F.when(untouched, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    n = F.when(untouched, F.lit(0)).otherwise(F.size(cut))
+
+    def without(parts: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
+        return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+
+    # the lines as a lambda's variable: a text is cut once, and not again for each line
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(F.split("text", "\n")), without), F.lit(0)))
+    n = F.when(F.col(cut).isNull(), F.lit(0)).otherwise(F.size(cut))
     return out.withColumn(number, n.cast("long")).withColumn("text", text).select(*docs.columns, number)
 
 
