@@ -116,5 +116,5 @@ def narrow(ids: DataFrame, scratch: Scratch, most: int = NARROW_BYTES) -> DataFr
         if kind in ("string", "binary"):
             wide = wide + F.coalesce(F.octet_length(name), F.lit(0))
         elif kind.startswith("array"):
-            wide = wide + 8 * F.coalesce(F.size(name), F.lit(0))
+            wide = wide + (32 if "struct" in kind else 8) * F.greatest(F.size(name), F.lit(0))
     return F.broadcast(ids) if (ids.agg(F.sum(wide.cast("long")).alias("n")).first()["n"] or 0) <= most else ids

@@ -15,7 +15,8 @@ that order, so only these prefixes are joined:
   n - need + EXTRA, and of such places EXTRA at least have to agree (fewer where the
   prefix ends earlier): any word of the prefix that is lacking in the other set uses
   up one of the n - need that may lack;
-* the words after the last common place bound what the sets can still share.
+* the words after the last common place bound what the sets can still share;
+* each word flips one of 64 bits, so that two sets differ in as many words at least as their bits differ.
 
 The pairs left are verified on their words, read again from the texts.
 
@@ -102,7 +103,7 @@ def _cut(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame, level: Column, percent: int = PERCENT) -> DataFrame:
-    """(d, h, l, c, e, n, prefix) of each line: its row and number, the class (128 bits of a hash) and size of its set, and its rarest words.
+    """(d, h, l, c, e, n, prefix, parity) of each line: its row and number, the class (128 bits of a hash) and size of its set, its rarest words, and the parity bits of all.
 
     A word is its frequency class in 7 bits and 56 bits of its hash, so that the order of the numbers is the order by rarity.
     """
@@ -110,11 +111,14 @@ def lines(docs: DataFrame, level: Column, percent: int = PERCENT) -> DataFrame:
     def key(h: Column) -> Column:
         return F.shiftleft(F.get(level, F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    hashes = F.array_remove(F.transform(_words("line", _lower("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    rows = _cut(docs).select("d", "h", "l", F.array_distinct(F.sort_array(F.transform(hashes, key))).alias("s"))
+    hashes = F.transform(_words("line", _lower("line")), lambda w: F.xxhash64(w))
+    words = F.array_remove(F.array_distinct(F.sort_array(F.transform(hashes, key))), key(F.xxhash64(F.lit(""))))
+    rows = _cut(docs).select("d", "h", "l", words.alias("s"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))  # noqa: E731  by the lowest 6 bits
+    parity = F.aggregate("s", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
     n = F.size("s")
     keep = F.when(n * (100 - percent) >= percent, n - _ceil_div(n * percent, 100).cast("int") + 1).otherwise(0)  # a smaller set has no similar one but equals
-    return rows.select("d", "h", "l", F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), "s").alias("e"), n.alias("n"), F.slice("s", F.lit(1), keep).alias("prefix"))
+    return rows.select("d", "h", "l", F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), "s").alias("e"), n.alias("n"), F.slice("s", F.lit(1), keep).alias("prefix"), parity.alias("parity"))
 
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
@@ -131,14 +135,17 @@ def _places(n: Column, need: Column, percent: int) -> Column:
 
 
 def candidates(heads: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the classes (id, n, prefix, gone) that pass all filters and are not both gone."""
-    words = heads.select(F.posexplode("prefix").alias("p", "token"), "id", "n", "gone").select("token", "id", "n", (F.col("p") + 1).alias("p"), "gone")
+    """(a, b) of the classes (id, n, prefix, parity, gone) that pass all filters and are not both gone."""
+    # size, place and mark in one number: millions of these rows are shuffled
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("p") + 1, 1)).bitwiseOR(F.col("gone").cast("int"))
+    words = heads.select(F.posexplode("prefix").alias("p", "token"), "id", "n", "gone", "parity").select("token", "id", packed.alias("at"), "parity")
     a, b = words.alias("a"), words.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
+    (n, p, x), (m, q, y) = ((F.shiftright(f"{s}.at", 32).cast("int"), F.shiftright(F.col(f"{s}.at").bitwiseAND(F.lit(0xFFFFFFFF)), 1), F.col(f"{s}.at").bitwiseAND(F.lit(1))) for s in "ab")
     need = _need(n, m, percent)
-    fits = _sizes_fit(n, m, percent) & (F.col("a.p") <= n - need + EXTRA) & (F.col("b.p") <= m - need + EXTRA)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & ~(F.col("a.gone") & F.col("b.gone")) & fits)
-    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), n.alias("n"), m.alias("m"), F.col("a.p").alias("p"), F.col("b.p").alias("q"))
+    fits = _sizes_fit(n, m, percent) & (x + y < 2) & (p <= n - need + EXTRA) & (q <= m - need + EXTRA)
+    near = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) * (100 + percent) <= (n + m) * (100 - percent)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & fits & near)
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), n.alias("n"), m.alias("m"), p.alias("p"), q.alias("q"))
     pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("p").alias("p"), F.max("q").alias("q"))
     n, m = F.col("n"), F.col("m")
     need = _need(n, m, percent)
@@ -164,11 +171,14 @@ def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, scratch: Scra
     """The id of the later class of each pair whose sets of words are similar."""
     pairs = scratch.save(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    need = narrow(heads.select("id", "d", "h", "l").join(narrow(ids, scratch), "id"), scratch)
+    need = heads.select("id", "d", "h", "l").join(narrow(ids, scratch), "id").groupBy("d", "h").agg(F.collect_list(F.struct("id", "l")).alias("wanted"))
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select("doc_id", "text", d.alias("d"), F.xxhash64("text").alias("h")).join(need.select("d", "h").distinct(), ["d", "h"], "left_semi")
+    rows = docs.select("text", d.alias("d"), F.xxhash64("text").alias("h")).join(narrow(need, scratch), ["d", "h"])
+    # a text is cut once: its lines are a lambda's variable
+    pick = lambda parts: F.transform("wanted", lambda x: F.struct(x["id"].alias("id"), x["l"].alias("l"), F.get(parts, x["l"]).alias("line")))
+    rows = rows.select("d", F.explode(F.get(F.transform(F.array(F.split("text", "\n")), pick), F.lit(0))).alias("x")).select("d", "x.*")
     words = F.array_remove(F.array_distinct(_words("line", _lower("line"))), "")
-    sets = _cut(rows).join(need, ["d", "h", "l"]).select("id", "d", "l", words.alias("w")).dropDuplicates(["id"])
+    sets = rows.select("id", "d", "l", words.alias("w")).dropDuplicates(["id"])
     sets = scratch.save(sets, "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.struct("d", "l").alias("pa"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.struct("d", "l").alias("pb"), F.col("w").alias("wb")), "b")
     both = both.select("a", "b", "pa", "pb", (F.size("wa") + F.size("wb")).alias("size"), F.size(F.array_intersect("wa", "wb")).alias("i"))
@@ -188,7 +198,7 @@ def removals(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataF
     heads = scratch.save(heads, "heads")
     usable = heads.where(F.size("prefix") > 0)
     gone = confirmed(first_partners(usable, scratch, percent), usable, docs, scratch, percent)
-    marked = usable.select("id", "n", "prefix").join(narrow(gone.withColumn("gone", F.lit(True)), scratch), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    marked = usable.select("id", "n", "prefix", "parity").join(narrow(gone.withColumn("gone", F.lit(True)), scratch), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     more = confirmed(candidates(marked, percent), usable, docs, scratch, percent)
     gone = narrow(gone.unionByName(more).distinct().withColumn("gone", F.lit(True)), scratch)
     first = heads.join(gone, "id", "left").select("c", "e", F.col("d").alias("hd"), F.col("l").alias("hl"), "gone")
