@@ -98,8 +98,22 @@ def test_language_pieces():
                         j += 1
                     i = max(i + 1, j - 1)
                     n += 1
-            # the piece at work when a block ends counts in one form only if another follows
-            assert abs(model.pieces([codes])[0][k] - n) <= -(-len(codes) // language.BLOCK)
+            assert model.pieces([codes])[0][k] == n
+
+
+def test_language_beyond_the_bmp():
+    model = language.Model({"a": [fx.prose(1, 60)], "b": ["der hund läuft über die wiese und bellt laut"]})
+    langs, scores = model.predict(["\U0001f600\U0001f680", "\U0001d7d8\U0001f9ff 12", "\U00020000\U00020001", "hund \U0001f600 wiese"])
+    assert langs[:2] == ["und", "und"] and scores[:2] == [0, 0] and langs[2] != "und" and langs[3] == "b"
+
+
+def test_many_languages_keep_their_labels(spark):
+    """More labels than whole samples would fit: all can be predicted."""
+    texts = {f"l{k:03}": " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in fx.WORDS) for k in range(230)}
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    assert model.langs == sorted(texts)
+    assert model.predict(list(texts.values()))[0] == list(texts)
 
 
 def test_language_query(spark):
@@ -146,7 +160,7 @@ def test_toxicity_odd_rows(spark):
 PAGES = [
     (None, ""), ("", ""), ("<p>plain  text\n here</p>", "plain text here"),
     ("<html><body><nav><li>Home</li></nav><article><h1>A &amp; B</h1><p>First <b>bold</b> line.</p><p>x</p><script>no()</script></article><footer>foot</footer></body></html>", "A & B\nFirst bold line.\nx"),
-    ("<main><p>one<br>two</p><!-- gone --><div class='comments'><p>reader</p></div><aside>ad</aside><form>f</form></main>", "one\ntwo"),
+    ("<main><p>one<br>two</p><!-- gone --><div class='comments'><p>reader</p></div><aside>ad</aside><form>f</form></main>", "one two"),
     ("<article><p>open <b>never closed<p>next &#233;&nbsp;z", "open never closed\nnext é z"),
 ]
 
@@ -156,6 +170,52 @@ def test_html_pages(page, want):
     assert html.extract(page) == want
 
 
+LONG = fx.prose(1, 30)
+OTHER = fx.prose(2, 30)
+LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>{fx.prose(k, 4)}</a></li>" for k in range(5)) + "</ul>"
+FORMS = [
+    # no mark: both regions around a list of links, and no link list at the top
+    (f"<body>{LINKS}<div><p>{LONG}</p></div>{LINKS}<div><p>{OTHER}</p></div></body>", f"{LONG}\n{OTHER}"),
+    # a paragraph that is a link, inside a region
+    (f"<div><p>{LONG}</p><p><a href='x'>{fx.prose(7, 9)}</a></p><p>{OTHER}</p></div>", f"{LONG}\n{fx.prose(7, 9)}\n{OTHER}"),
+    # classes that only sound like noise, and wrappers of an article
+    (f"<article><div class='article-header'><h1>Title here</h1></div><p class='ad-hoc'>{LONG}</p><p class='legal' id='article-header'>{OTHER}</p></article>", f"Title here\n{LONG}\n{OTHER}"),
+    (f"<div class='content has-sidebar no-comments'><p>{LONG}</p></div>", LONG),
+    (f"<div class='page sidebar'><div class='menu'>m</div><article><p>{LONG}</p></article></div>", LONG),
+    # real noise
+    (f"<div class='cookie-banner'>{OTHER}</div><article><p>{LONG}</p><div class='commentList'><p>{OTHER}</p></div><div class='ad-container'>{OTHER}</div><div class='social-share'>x</div></article><div id='site-footer'>{OTHER}</div>", LONG),
+    # a teaser in an article does not mark the page
+    (f"<article><a href='/t'>Teaser</a></article><div><p>{LONG}</p><p>{OTHER}</p></div>", f"{LONG}\n{OTHER}"),
+    # a page that is noise all over
+    (f"<div class='widget'><p>{LONG}</p></div>", LONG),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), FORMS)
+def test_html_forms(page, want):
+    assert html.extract(page) == want
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_html_block_sums(seed):
+    """Surge and dive points against a look at every window."""
+    r = np.random.default_rng(seed)
+    weight = r.choice([0, 0, 5, 20, 70, 200], size=int(r.integers(1, 40)))
+    n = len(weight)
+    sums = [int(weight[i : i + 3].sum()) for i in range(n)]
+    limit = 80 if max(sums) > 80 else 0
+    inside, want, start = False, [], 0
+    for i in range(n + 1):
+        now = i < n and sums[i] > (0 if inside else limit)
+        if now and not inside:
+            start = i
+        if inside and not now:
+            heavy = [k for k in range(start, i) if weight[k]]
+            want.append((heavy[0], heavy[-1] + 1))
+        inside = now
+    assert html.regions(weight, 3, 80) == want
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(PAGES)] + [(50, "<p>" + fx.prose(1, 40_000) + "</p>")], "page_id int, html string")
     got = {r["page_id"]: r["t"] for r in df.select("page_id", html.main_text("html").alias("t")).collect()}

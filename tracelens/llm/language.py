@@ -12,12 +12,13 @@ array operations.  Texts are parsed in blocks of ``BLOCK`` characters (a piece
 never spans two blocks); every block of a text counts.
 
 Training text is a bounded sample (``SLOTS`` documents a language, ``TRAIN_CHARS``
-characters): each slot keeps the document with the smallest hash in it, whatever
+characters, fewer where there are many languages): each slot keeps the document with the smallest hash in it, whatever
 the number of rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 ties go to the first language in alphabetical order; without any labelled row
-all texts are ``und``; repeated rows are predicted alike.
+all texts are ``und``; repeated rows are predicted alike; a text of any length is parsed
+whole; prediction is a column function, so no column of the table clashes with it.
 """
 
 from __future__ import annotations
@@ -34,27 +35,26 @@ from .common import table
 
 SLOTS = 192
 TRAIN_CHARS = 14_000
-#: Languages of which a model is kept; more labels than these would not fit one broadcast table.
-MAX_LANGUAGES = 200
+#: Characters of all languages together: many labels have shorter samples each, so that the broadcast model is bounded and no label goes.
+TRAIN_TOTAL = 400_000
 LONG_ROW = 20_000
 BLOCK = 256
 SYMBOLS = 64
-SPACE, OTHER = 0, 1
+SPACE = 0
+#: Codes of letters that are not among the frequent ones, by the remainder of their code point.
+SHARED = 14
 
 
 def _letter_table(texts: list[str]) -> np.ndarray:
-    """Code of each BMP character: space for all that is no letter, one code for each frequent letter, OTHER for the rest."""
-    codes = np.zeros(0x10000, dtype=np.uint8)
-    for c in range(0x10000):
-        if chr(c).isalpha():
-            codes[c] = OTHER
+    """Code of each character of the BMP: space for all that is no letter, an own code for each frequent letter, a shared one for the rest."""
+    points = np.arange(0x10000)
+    codes = np.where([chr(c).isalpha() for c in points], 1 + points % SHARED, SPACE).astype(np.uint8)
     joined = np.concatenate([_points(t) for t in texts]) if texts else np.zeros(0, dtype=np.uint32)
-    count = np.bincount(np.minimum(joined, 0xFFFF), minlength=0x10000)
+    count = np.bincount(joined[joined < 0x10000], minlength=0x10000)
     count[codes == SPACE] = 0
-    count[0xFFFF] = 0
-    top = sorted(np.flatnonzero(count), key=lambda c: (-count[c], c))[: SYMBOLS - 2]
+    top = sorted(np.flatnonzero(count), key=lambda c: (-count[c], c))[: SYMBOLS - 1 - SHARED]
     for i, c in enumerate(top):
-        codes[c] = i + 2
+        codes[c] = i + 1 + SHARED
     return codes
 
 
@@ -65,8 +65,12 @@ def _points(text: str) -> np.ndarray:
 def _codes(text: str, table: np.ndarray) -> np.ndarray:
     """Letter codes with every run of other characters as one space."""
     points = _points(text)
-    out = table[np.minimum(points, 0xFFFF)]
-    out[points > 0xFFFF] = OTHER
+    high = points > 0xFFFF
+    out = table[np.where(high, 0, points)]
+    if high.any():
+        # beyond the table: letters by their category too, so that signs such as emoji are none
+        for p in np.unique(points[high]):
+            out[points == p] = 1 + p % SHARED if chr(p).isalpha() else SPACE
     keep = np.ones(len(out), dtype=bool)
     keep[1:] = (out[1:] != SPACE) | (out[:-1] != SPACE)
     return out[keep]
@@ -105,12 +109,12 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Model:
     """``step``: for each state and symbol twice the next state, plus one if a new piece starts there."""
 
-    def __init__(self, samples: dict[str, list[str]]) -> None:
+    def __init__(self, samples: dict[str, list[str]], chars: int = TRAIN_CHARS) -> None:
         self.langs = sorted(samples)
         self.table = _letter_table([t for lang in self.langs for t in samples[lang]])
         parts, self.start, weight, base = [], [], [], 0
         for lang in self.langs:
-            codes = np.concatenate([np.append(_codes(t, self.table), np.uint8(SPACE)) for t in samples[lang]])[:TRAIN_CHARS]
+            codes = np.concatenate([np.append(_codes(t, self.table), np.uint8(SPACE)) for t in samples[lang]])[:chars]
             states = suffix_automaton(codes.tolist())
             root = np.full(SYMBOLS, base * 2 + 1, dtype=np.int32)
             for c, q in states[0].items():
@@ -192,14 +196,14 @@ def fit(docs: DataFrame, train: Column) -> Model:
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 2)
     h = h + F.when(F.length("text") > LONG_ROW, F.lit(1 << 62)).otherwise(F.lit(0))
     rows = rows.select("lang", "text", h.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SLOTS)).alias("slot"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    picks = rows.where(F.col("lang").isin(langs)).groupBy("lang", "slot").agg(F.min("h").alias("h")).select("lang", "h")
-    size = 2 * TRAIN_CHARS // SLOTS
+    chars = max(64, min(TRAIN_CHARS, TRAIN_TOTAL // max(1, rows.select("lang").distinct().count())))
+    picks = rows.groupBy("lang", "slot").agg(F.min("h").alias("h")).select("lang", "h")
+    size = max(8, 2 * chars // SLOTS)
     sample = rows.join(F.broadcast(picks), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, LONG_ROW)).alias("t"))
     got: dict[str, list[str]] = {}
     for r in sample.select("lang", "h", F.expr(f"substring(t, 1 + pmod(h, greatest(1, length(t) - {size})), {size})").alias("t")).orderBy("lang", "h").collect():
         got.setdefault(r["lang"], []).append(r["t"])
-    return Model(got)
+    return Model(got, chars)
 
 
 def predictor(spark: SparkSession, model: Model):
