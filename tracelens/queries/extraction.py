@@ -76,17 +76,9 @@ def window_extract(spark, sf_dir):
     return e.select("event_id", "w.*")
 
 
-def _leaves(events):
-    e = events.select("event_id", F.to_json(F.struct(F.from_json("props", "k int").alias("p"), F.array(F.col("event_type"), F.lit("x")).alias("list"))).alias("j"))
-    return binding.leaves(e, ["event_id"], "j")
-
-
 def json_leaves(spark, sf_dir):
-    return _leaves(read(spark, sf_dir, "events").where("event_id < 500"))
-
-
-def json_leaves_all(spark, sf_dir):
-    return _leaves(read(spark, sf_dir, "events"))
+    e = read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.from_json("props", "k int").alias("p"), F.array(F.col("event_type"), F.lit("x")).alias("list"))).alias("j"))
+    return binding.leaves(e, ["event_id"], "j")
 
 
 def count_hits(spark, sf_dir):
@@ -162,32 +154,15 @@ def metric_peaks(spark, sf_dir):
     return e.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"), F.min_by("event_id", F.struct(-F.col("value"), "event_id")).alias("peak"))
 
 
-def _on_call(spark, sf_dir, lines):
-    shifts = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("s"), F.date_add("l_shipdate", 30).alias("e"), "l_linenumber")
-    asks = read(spark, sf_dir, "orders").select("o_orderkey", F.date_add("o_orderdate", 40).alias("at"))
-    return search.on_call(asks, shifts.withColumn("s", F.to_date("s")), ["o_orderkey"], "at", "s", "e", "l_linenumber").select("o_orderkey", F.col("on_call").cast("long").alias("on_call"))
-
-
 def on_call(spark, sf_dir):
-    return _on_call(spark, sf_dir, read(spark, sf_dir, "lineitem").where("l_linenumber <= 2"))
-
-
-def on_call_all(spark, sf_dir):
-    return _on_call(spark, sf_dir, read(spark, sf_dir, "lineitem"))
-
-
-def _commit_prefix(spark, sf_dir, pages):
-    full = read(spark, sf_dir, "pages").select("page_id", F.sha1(F.col("url").cast("binary")).alias("sha"))
-    short = full.where(pages).select(F.substring("sha", 1, 9).alias("short"))
-    return search.by_prefix(short, full, "short", "sha", "page_id")
+    shifts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("s"), F.date_add("l_shipdate", 30).alias("e"), "l_linenumber")
+    asks = read(spark, sf_dir, "orders").select("o_orderkey", F.date_add("o_orderdate", 40).alias("at"))
+    return search.on_call(asks, shifts, ["o_orderkey"], "at", "s", "e", "l_linenumber").select("o_orderkey", F.col("on_call").cast("long").alias("on_call"))
 
 
 def commit_prefix(spark, sf_dir):
-    return _commit_prefix(spark, sf_dir, F.expr("page_id % 3 = 0"))
-
-
-def commit_prefix_all(spark, sf_dir):
-    return _commit_prefix(spark, sf_dir, F.lit(True))
+    full = read(spark, sf_dir, "pages").select("page_id", F.sha1(F.col("url").cast("binary")).alias("sha"))
+    return search.by_prefix(full.select(F.substring("sha", 1, 9).alias("short")), full, "short", "sha", "page_id")
 
 
 def code_owners(spark, sf_dir):
@@ -229,8 +204,8 @@ _KINDS = ("sha40", "trace_id16", "ipv4", "email", "gdrive_id", "fqdn", "aws_key_
 QUERIES = {f"ids_{k}": _ids(k) for k in _KINDS} | {
     f.__name__: f
     for f in (
-        find_all_ids, typed_mentions, type_of_values, redact_secrets, outermost_spans, gazetteer_hits, label_lines, window_extract, json_leaves, json_leaves_all, count_hits, search_tokens, term_search, issue_search,
-        message_search, record_search, page_search, grep_context, grep_counts, folded_excerpt, metric_series, metric_peaks, on_call, on_call_all, commit_prefix, commit_prefix_all, code_owners, registry_layers, newest_versions,
+        find_all_ids, typed_mentions, type_of_values, redact_secrets, outermost_spans, gazetteer_hits, label_lines, window_extract, json_leaves, count_hits, search_tokens, term_search, issue_search,
+        message_search, record_search, page_search, grep_context, grep_counts, folded_excerpt, metric_series, metric_peaks, on_call, commit_prefix, code_owners, registry_layers, newest_versions,
         previews, tool_names, templates,
     )
 }
@@ -245,9 +220,7 @@ ORACLE_SQL = {f"ids_{k}": _sql_ids(ids.SHAPES[k].replace("(?:[a-z0-9]([a-z0-9-]"
     "window_extract": """WITH w AS (SELECT event_id, date_trunc('hour', ts) AS t FROM events)
  SELECT event_id, strftime(t - INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(t + INTERVAL 4 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS "end", strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS anchor,
  strftime(t - INTERVAL 1 HOUR, '%Y-%m-%d') AS start_date, strftime(t + INTERVAL 4 HOUR, '%Y-%m-%d') AS end_date FROM w""",
-    "json_leaves": """SELECT event_id, 'p.k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE event_id < 500 UNION ALL SELECT event_id, 'list[*]', event_type FROM events WHERE event_id < 500
- UNION ALL SELECT event_id, 'list[*]', 'x' FROM events WHERE event_id < 500""",
-    "json_leaves_all": """SELECT event_id, 'p.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'list[*]', event_type FROM events
+    "json_leaves": """SELECT event_id, 'p.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'list[*]', event_type FROM events
  UNION ALL SELECT event_id, 'list[*]', 'x' FROM events""",
     "count_hits": "SELECT l_orderkey, count(*) AS hits, CAST(0 AS BIGINT) AS none FROM lineitem GROUP BY 1",
     "search_tokens": SQL_TOKENS,
@@ -267,12 +240,9 @@ ORACLE_SQL = {f"ids_{k}": _sql_ids(ids.SHAPES[k].replace("(?:[a-z0-9]([a-z0-9-]"
  p AS (SELECT service, t FROM (SELECT DISTINCT service FROM s), (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-05', INTERVAL 3 HOUR)) AS t))
  SELECT service, strftime(t, '%Y-%m-%d %H:%M:%S') AS t, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.service = p.service AND p.t BETWEEN s.s AND s.e) THEN 18.5 ELSE 0.4 END AS v FROM p""",
     "metric_peaks": "SELECT event_type, min(value) AS low, max(value) AS high, count(*) AS n, (SELECT event_id FROM events b WHERE b.event_type = a.event_type ORDER BY value DESC, event_id LIMIT 1) AS peak FROM events a GROUP BY event_type",
-    "on_call": """WITH s AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + 30 AS e, l_linenumber AS p FROM lineitem WHERE l_linenumber <= 2), o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 40 AS at_ FROM orders)
- SELECT o_orderkey, CAST(coalesce((SELECT min_by(p, struct_pack(s := s, p := p)) FROM s WHERE k = o_orderkey AND s <= at_ AND at_ < e), (SELECT max_by(p, struct_pack(s := s, p := p)) FROM s WHERE k = o_orderkey)) AS BIGINT) AS on_call FROM o""",
-    "commit_prefix": "SELECT DISTINCT left(sha1(a.url), 9) AS short, (SELECT sha1(b.url) FROM pages b WHERE starts_with(sha1(b.url), left(sha1(a.url), 9)) ORDER BY b.page_id LIMIT 1) AS sha FROM pages a WHERE a.page_id % 3 = 0",
-    "on_call_all": """WITH s AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + 30 AS e, l_linenumber AS p FROM lineitem), o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 40 AS at_ FROM orders)
+    "on_call": """WITH s AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + 30 AS e, l_linenumber AS p FROM lineitem), o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 40 AS at_ FROM orders)
  SELECT o_orderkey, CAST(coalesce((SELECT min_by(p, struct_pack(s := s, p := p)) FROM s WHERE k = o_orderkey AND s <= at_ AND at_ < e), (SELECT max_by(p, struct_pack(s := s, p := p)) FROM s WHERE k = o_orderkey)) AS BIGINT) AS on_call FROM o""",
-    "commit_prefix_all": "SELECT left(sha1(url), 9) AS short, min_by(sha1(url), page_id) AS sha FROM pages GROUP BY 1",
+    "commit_prefix": "SELECT left(sha1(url), 9) AS short, min_by(sha1(url), page_id) AS sha FROM pages GROUP BY 1",
     "code_owners": """WITH h AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, min(page_id) AS lo FROM pages GROUP BY 1), p AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages)
  SELECT path, CASE WHEN string_split(path, '/')[2] = 'en' THEN 'english' ELSE 'team' || (lo % 3) END AS owner FROM p JOIN h ON string_split(path, '/')[1] = host""",
     "registry_layers": "SELECT name, spec FROM (SELECT c_custkey % 100 AS name, CASE WHEN c_acctbal > 2000 THEN c_custkey END AS spec, row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey DESC) AS r FROM customer) WHERE r = 1 AND spec IS NOT NULL",

@@ -170,30 +170,13 @@ EDGES = (
 
 
 def closed_edge_sets(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    e = _edges(spark, sf_dir)
-    top, _ = dataflow.top_edges(dataflow.frequent_edges(e, EPISODE, 3), 12)
-    top = top.withColumn("bit", (F.row_number().over(W.orderBy(F.desc("support"), "source", "value_type", "target")) - 1).cast("int"))
-    return dataflow.closed_sets(e, top, EPISODE, 3)
-
-
-SQL_CLOSED_SETS = f"""WITH RECURSIVE {EDGES}, f AS (SELECT source, value_type, target, count(*) AS s FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3),
- top AS (SELECT *, row_number() OVER (ORDER BY s DESC, source, value_type, target) - 1 AS bit FROM f QUALIFY row_number() OVER (ORDER BY s DESC, source, value_type, target) <= 12),
- m AS (SELECT user_id, day, CAST(sum(1 << bit) AS BIGINT) AS mask FROM (SELECT DISTINCT user_id, day, bit FROM edges JOIN top USING (source, value_type, target)) GROUP BY user_id, day),
- b AS (SELECT mask, count(*) AS n FROM m GROUP BY mask),
- c AS (SELECT mask FROM b UNION SELECT c.mask & b.mask FROM c, b WHERE c.mask & b.mask != 0)
- SELECT c.mask, CAST(sum(b.n) AS BIGINT) AS support FROM c JOIN b ON b.mask & c.mask = c.mask GROUP BY c.mask HAVING sum(b.n) >= 3"""
-
-
-def closed_edge_sets_all(spark, sf_dir):
-    """The closed sets of all frequent edges; closed_edge_sets is held to SQL over the 12 most frequent."""
+    """The closed sets of all frequent edges."""
     e = _edges(spark, sf_dir)
     s = dataflow.closed_edge_lists(e, dataflow.numbered(dataflow.frequent_edges(e, EPISODE, 3)), EPISODE, 3)
     return s.select(F.array_join("edges", "; ").alias("edges"), F.size("edges").cast("long").alias("n"), "support")
 
 
-SQL_CLOSED_SETS_ALL = f"""WITH RECURSIVE {EDGES}, f AS (SELECT source, value_type, target, count(*) AS s FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3),
+SQL_CLOSED_SETS = f"""WITH RECURSIVE {EDGES}, f AS (SELECT source, value_type, target, count(*) AS s FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3),
  num AS (SELECT *, row_number() OVER (ORDER BY s DESC, source, value_type, target) - 1 AS bit FROM f),
  m AS (SELECT user_id, day, CAST(sum(CAST(1 AS HUGEINT) << bit) AS HUGEINT) AS mask FROM (SELECT DISTINCT user_id, day, bit FROM edges JOIN num USING (source, value_type, target)) GROUP BY user_id, day),
  b AS (SELECT mask, count(*) AS n FROM m GROUP BY mask),
@@ -211,21 +194,17 @@ def participating_calls(spark, sf_dir):
 
 
 def graph_layers(spark, sf_dir):
-    e = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("a"), (F.col("o_orderkey") % 20 + 10).alias("b")).where("o_orderkey < 200")
-    return dataflow.layers(e.where("a < b").select(F.col("a").alias("source"), F.col("b").alias("target")).distinct())
-
-
-def graph_layers_all(spark, sf_dir):
-    """All orders as edges from customers to orders."""
+    """Customers, their orders and the suppliers of these, as a graph of three layers."""
     o = read(spark, sf_dir, "orders").select(F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("target"))
-    return dataflow.layers(o.distinct())
+    l = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("target"))  # noqa: E741
+    return dataflow.layers(o.unionByName(l).distinct())
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         run_collapse, calls_per_token, ngram_support, seq_closed_patterns, prompt_index, result_per_prompt, ordered_prompts, episode_numbers, parent_anti_join, active_session, resequence,
-        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, frequent_edges, closed_edge_sets, closed_edge_sets_all, participating_calls, graph_layers, graph_layers_all,
+        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, frequent_edges, closed_edge_sets, participating_calls, graph_layers,
     )
 }
 ORACLE_SQL = {
@@ -255,11 +234,9 @@ ORACLE_SQL = {
  SELECT "at", src, ['exact', '1d', '1h'][n + 1] AS round, CAST([d0, d1, d2][n + 1] AS BIGINT) AS delta FROM o WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "at" ORDER BY src, n) = 1""",
     "frequent_edges": f"WITH {EDGES} SELECT source, value_type, target, count(*) AS support FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3",
     "closed_edge_sets": SQL_CLOSED_SETS,
-    "closed_edge_sets_all": SQL_CLOSED_SETS_ALL,
     "participating_calls": f"""WITH RECURSIVE {EDGES}, r AS (SELECT user_id, day, call FROM edges WHERE target = 'error' UNION SELECT r.user_id, r.day, e.src FROM r JOIN edges e ON e.call = r.call AND e.user_id = r.user_id AND e.day = r.day WHERE e.value_type = 'even')
  SELECT call FROM r""",
-    "graph_layers": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 10 AS a, o_orderkey % 20 + 10 AS b FROM orders WHERE o_orderkey < 200 AND o_custkey % 10 < o_orderkey % 20 + 10),
+    "graph_layers": """WITH RECURSIVE e AS (SELECT 'customer ' || o_custkey AS a, 'order ' || o_orderkey AS b FROM orders UNION SELECT 'order ' || l_orderkey, 'supplier ' || l_suppkey FROM lineitem),
  n AS (SELECT a AS node FROM e UNION SELECT b FROM e), l AS (SELECT node, 0 AS layer FROM n WHERE node NOT IN (SELECT b FROM e) UNION SELECT e.b, l.layer + 1 FROM l JOIN e ON l.node = e.a)
  SELECT node, CAST(max(layer) AS BIGINT) AS layer FROM l GROUP BY 1""",
-    "graph_layers_all": "SELECT DISTINCT 'customer ' || o_custkey AS node, CAST(0 AS BIGINT) AS layer FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL UNION ALL SELECT DISTINCT 'order ' || o_orderkey, 1 FROM orders",
 }

@@ -50,20 +50,12 @@ def headline_first(spark, sf_dir):
     return steps.first_value(c, ["user_id"], ["ts", "event_id"], "v")
 
 
-def _cassette(spark, sf_dir, record, replay):
-    c = calls(spark, sf_dir).withColumn("key", text.call_key(F.lit("srv"), F.col("tool"), F.create_map(F.lit("k"), F.col("k")))).withColumn("seq", F.col("event_id"))
-    recorded = c.where(record).select("key", "seq", F.col("event_id").alias("answer"))
-    hits, misses = steps.replay(c.where(replay).select("event_id", "key"), recorded)
-    return hits.select("event_id", "answer").unionByName(misses.select("event_id", F.lit(None).cast("long").alias("answer")))
-
-
 def cassette(spark, sf_dir):
-    return _cassette(spark, sf_dir, "event_id % 4 = 0", "event_id % 4 = 1")
-
-
-def cassette_all(spark, sf_dir):
     """Every call is either recorded or replayed."""
-    return _cassette(spark, sf_dir, "event_id % 2 = 0", "event_id % 2 != 0")
+    c = calls(spark, sf_dir).withColumn("key", text.call_key(F.lit("srv"), F.col("tool"), F.create_map(F.lit("k"), F.col("k")))).withColumn("seq", F.col("event_id"))
+    recorded = c.where("event_id % 2 = 0").select("key", "seq", F.col("event_id").alias("answer"))
+    hits, misses = steps.replay(c.where("event_id % 2 != 0").select("event_id", "key"), recorded)
+    return hits.select("event_id", "answer").unionByName(misses.select("event_id", F.lit(None).cast("long").alias("answer")))
 
 
 def coverage(spark, sf_dir):
@@ -164,7 +156,7 @@ def hub_join(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ladder_first_hit, foreach_fanout, fan_in_status, when_filter, merge_extracts, headline_first, cassette, cassette_all, coverage, evidence_dedup, log_summary, majority_vote, repeat_counts, bindability,
+        ladder_first_hit, foreach_fanout, fan_in_status, when_filter, merge_extracts, headline_first, cassette, coverage, evidence_dedup, log_summary, majority_vote, repeat_counts, bindability,
         value_provenance, prompt_folding, observed_values, pending_feedback, ordered_union, lifecycle_fold, declarations, classify_run, expectations, hub_join,
     )
 }
@@ -181,8 +173,7 @@ ORACLE_SQL = {
     "merge_extracts": f"WITH {CALLS}, f AS (SELECT user_id, day, tool, k, min((ts, event_id)) AS o FROM calls GROUP BY 1, 2, 3, 4) SELECT user_id, day, tool, string_agg(k, ',' ORDER BY o) AS vals FROM f GROUP BY 1, 2, 3",
     "headline_first": f"""WITH {CALLS}, u AS (SELECT DISTINCT user_id FROM calls), f AS (SELECT user_id, tool || ':' || k AS v FROM calls WHERE tool NOT IN ('view', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)
  SELECT u.user_id, f.v FROM u LEFT JOIN f USING (user_id)""",
-    "cassette": f"WITH {CALLS} SELECT a.event_id, (SELECT max(b.event_id) FROM calls b WHERE b.event_id % 4 = 0 AND b.tool = a.tool AND b.k = a.k) AS answer FROM calls a WHERE a.event_id % 4 = 1",
-    "cassette_all": f"WITH {CALLS}, r AS (SELECT tool, k, max(event_id) AS answer FROM calls WHERE event_id % 2 = 0 GROUP BY tool, k) SELECT a.event_id, r.answer FROM calls a LEFT JOIN r ON r.tool = a.tool AND r.k = a.k WHERE a.event_id % 2 != 0",
+    "cassette": f"WITH {CALLS}, r AS (SELECT tool, k, max(event_id) AS answer FROM calls WHERE event_id % 2 = 0 GROUP BY tool, k) SELECT a.event_id, r.answer FROM calls a LEFT JOIN r ON r.tool = a.tool AND r.k = a.k WHERE a.event_id % 2 != 0",
     "coverage": f"""WITH {CALLS}, s AS (SELECT user_id, bool_or(tool IN ('view', 'click') AND value > 80) AS o, bool_or(tool = 'purchase' AND value > 80) AS b, bool_or(tool = 'error' AND value > 80) AS e FROM calls GROUP BY 1)
  SELECT user_id, CAST(o AS BIGINT) + CAST(b AS BIGINT) + CAST(e AS BIGINT) AS found, CAST(3 AS BIGINT) AS total,
  concat_ws(',', CASE WHEN NOT b THEN 'bought' END, CASE WHEN NOT e THEN 'failed' END, CASE WHEN NOT o THEN 'opened' END) AS missing, concat_ws(',', CASE WHEN NOT b THEN 'bought' END, CASE WHEN NOT o THEN 'opened' END) AS required_missing FROM s""",
