@@ -25,7 +25,7 @@ def test_decontaminate_odd_rows(spark):
     rows += [(900, "begin " + items()[0][1].upper() + " end"), (901, " ".join(fx.words(items()[0][1])[3:20])), (902, "EMBER, flint! ember flint"), (903, fx.prose(302, 10) + " " + fx.prose(301, 12))]
     named = [("" if k is None else k, t) for k, t in items()]
     for most in (decontaminate.BLOCK_WORDS, 24):
-        got = decontaminate.contamination(fx.documents(spark, rows), bench, Scratch(spark, "t"), block_words=most).select("doc_id", "text", "hit.n_words", "hit.n_hit", "hit.items").collect()
+        got = decontaminate.contamination(fx.documents(spark, rows), bench, Scratch(spark, "t"), block_words=most).select("doc_id", "text", "hit_.n_words", "hit_.n_hit", "hit_.items").collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r["n_words"], r["n_hit"], sorted(set(r["items"]))) == fx.benchmark_hits(r["text"], named), r["doc_id"]
@@ -63,12 +63,15 @@ def test_decontaminate_query(spark):
 def test_bpe_odd_rows(spark):
     enc = fx.tiktoken_encoding()
     rows = [*fx.odd_rows(), (800, "naïve 日本語 \U0001f600 don't   stop\r\n\n 123456"), (801, " " * 3000 + "a" + "\n" * 500), (802, fx.prose(8, 900) + "y" * 900 + fx.prose(9, 900))]
-    docs = fx.documents(spark, rows).drop("ids")
-    out = bpe.encode(docs, Scratch(spark, "t"), chunk=1500, overlap=200).withColumn("back", bpe.decode(F.col("ids"))).collect()
+    docs = fx.documents(spark, rows)
+    out = bpe.encode(docs, Scratch(spark, "t"), chunk=1500, overlap=200)
+    assert out.columns == [*docs.columns, "ids_"]
+    out = out.withColumn("back", bpe.decode(F.col("ids_"))).collect()
     assert len(out) == len(rows)
     for r in out:
         text = r["text"] or ""
-        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == enc.encode(text, disallowed_special=()), r["doc_id"]
+        assert r["ids"] == 7
+        assert np.frombuffer(bytes(r["ids_"]), "<u4").tolist() == enc.encode(text, disallowed_special=()), r["doc_id"]
         assert bytes(r["back"]) == text.encode()
     assert bpe.digest(fx.documents(spark, []), Scratch(spark, "t")).collect() == []
 
@@ -253,7 +256,8 @@ def test_pii(spark):
         (1, "card 4111 1111 1111 1111, again 4111111111111111"), (2, "card 4111-1111-1111-1111"), (3, "on 2024-02-29 and 29.02.2024 and 02/29/2024"), (4, "not 2024-02-31 nor 300.1.1.1"), (5, None), (6, ""),
         (7, "ip 10.0.0.1 mail Jo.Doe@example.org ssn 078-05-1120 call (212) 555-0100"), (8, "x" * 50_000 + " 2020-01-01"), (9, "no data"), (7, "ip 10.0.0.1"),
     ]
-    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string").withColumns({"n": F.lit(1), "s": F.lit(1)}))
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string").withColumns({"n": F.lit(1), "s": F.lit(1), "_found": F.lit(2), "_new": F.lit(3), "n_replaced": F.lit(4)}), "secret")
+    assert out.columns[-1] == "n_replaced_" and out.where("_found = 2 and _new = 3 and n_replaced = 4").count() == len(rows)
     got = {(r["doc_id"], len(r["text"] or "")): r for r in out.collect()}
     by = {}
     for (d, _), r in got.items():
@@ -266,7 +270,65 @@ def test_pii(spark):
     assert dt.datetime.strptime(x, "%Y-%m-%d") == dt.datetime.strptime(y, "%d.%m.%Y") == dt.datetime.strptime(z, "%m/%d/%Y") and x != "2024-02-29"
     assert by[4] == rows[3][1] and by[5] is None and by[6] == "" and by[9] == "no data" and "2020-01-01" not in by[8] and len(by[8]) == 50_011
     assert not any(v in by[7] for v in ("10.0.0.1", "Jo.Doe", "078-05-1120", "555-0100")) and "@example.org" in by[7]
-    assert pii.pseudonymise(spark.createDataFrame([], "doc_id int, text string")).collect() == []
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id int, text string"), "secret").collect() == []
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(out, "")
+
+
+def pii_reference(text):
+    """What may change: the matches of the formats that pass their check, looked at one by one."""
+    import datetime as dt
+    import ipaddress
+    import re
+
+    spans = []
+    for m in re.finditer(pii.ANY, text or ""):
+        x = m[0]
+        if re.fullmatch(pii.NUMBER, x) and not any(re.fullmatch(p, x) for p in (pii.PHONE, pii.SSN, pii.DATE, pii.IPV4)) and not luhn(re.sub(r"\D", "", x)):
+            continue
+        if re.fullmatch(pii.DATE, x):
+            form = "%d.%m.%Y" if "." in x else "%m/%d/%Y" if "/" in x else "%Y-%m-%d"
+            try:
+                dt.datetime.strptime(x, form)
+            except ValueError:
+                continue
+        if re.fullmatch(pii.IPV4, x):
+            ipaddress.ip_address(x)
+        spans.append(m.span())
+    return spans
+
+
+def test_pii_query(spark):
+    """The whole table: only validated values change, in their places and formats, and equal ones alike."""
+    spark.conf.set(pii.KEY_SETTING, "secret")
+    try:
+        docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+        out = {r["doc_id"]: r for r in pii.op6_pii(spark, LARGER).collect()}
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    seen, changed = {}, 0
+    assert set(out) == set(docs)
+    for d, text in docs.items():
+        new, at, shift, n = out[d]["text"] or "", 0, 0, 0
+        for a, b in pii_reference(text):
+            assert new[at + shift : a + shift] == text[at:a]
+            mail = "@" in text[a:b]
+            value = text[a:b]
+            after = new[a + shift : new.index("@", a + shift) + len(value) - value.index("@")] if mail else new[a + shift : b + shift]
+            if value.count(".") == 3 and not mail:  # octets of other lengths
+                import re
+
+                after = re.match(pii.IPV4, new[a + shift :])[0]
+            elif not mail and not value.startswith("AKIA"):
+                assert [c.isdigit() for c in after] == [c.isdigit() for c in value]
+            assert seen.setdefault(value, after) == after
+            n += after != value
+            shift += len(after) - len(value)
+            at = b
+        assert new[at + shift :] == text[at:]
+        assert out[d]["n_replaced"] == n
+        changed += n
+    assert changed > 0 and len(set(seen.values())) == len(seen)
 
 
 def test_feistel_is_a_permutation(spark):

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 CHUNK = 65_536
 OVERLAP = 512
@@ -179,7 +179,7 @@ def encode(
     docs: DataFrame, scratch: Scratch, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None,
     chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN,
 ) -> DataFrame:
-    """``docs`` with a binary column ``out``: the ids as little-endian unsigned 32-bit integers.
+    """``docs`` with a binary column ``out`` (with underscores added if ``docs`` has that name): the ids as little-endian unsigned 32-bit integers.
 
     Texts of up to one chunk are encoded where they lie.  Only longer ones are dealt out in chunks.
     """
@@ -187,7 +187,7 @@ def encode(
         raise ValueError("a chunk has to be longer than its overlap")
     default = default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
-    enc = _encoder(path, pattern)
+    enc, out = _encoder(path, pattern), fresh(docs, out)
     size = F.coalesce(F.length(F.col(text)), F.lit(0))
     short = docs.where(size <= chunk).withColumn(out, enc(F.col(text)))
 
@@ -197,8 +197,9 @@ def encode(
     long = long.withColumn("rid", F.sha2("t", 256))
     texts = long.groupBy("rid").agg(F.first("t").alias("t"))
     n = F.ceil((F.length("t") - overlap - margin) / F.lit(chunk)).cast("int")
-    pieces = texts.select("rid", "t", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("k"))
-    pieces = pieces.select("rid", "k", F.substring(F.col("t"), F.col("k") * chunk + 1, F.lit(chunk + overlap + margin)).alias("c"))
+    # all chunks of a text as one array: its rows do not carry the text again
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.struct(k.alias("k"), F.substring(F.col("t"), k * chunk + 1, F.lit(chunk + overlap + margin)).alias("c")))
+    pieces = texts.select("rid", F.explode(cut).alias("x")).select("rid", "x.*")
     pieces = scratch.save(pieces.repartition("rid", "k"), "chunks")
 
     bounds = pieces.select("rid", "k", _boundaries(path, pattern, chunk, overlap, margin)("c").alias("b")).select("rid", "k", "b.head", "b.tail")
@@ -212,7 +213,7 @@ def encode(
     stop = F.coalesce(F.col("stop") + chunk, F.lit(2 * chunk + overlap + margin))
     parts = parts.select("rid", "k", enc(F.substring(F.col("c"), F.col("cut") + 1, stop - F.col("cut"))).alias("ids"))
     joined = parts.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
-    joined = joined.select("rid", F.aggregate("p", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["ids"])).alias(out))
+    joined = joined.select("rid", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias(out))
     whole = texts.join(lost, "rid", "left_semi").select("rid", enc("t").alias(out))
     done = long.select("rid", "row").join(joined.unionByName(whole), "rid").select("row.*", out)
     return short.unionByName(done)

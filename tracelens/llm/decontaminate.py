@@ -9,14 +9,16 @@ range of the array, and so all places, where it occurs verbatim.  Chains of such
 places along one document and one item give the longest verbatim match.
 
 Only suffixes that begin with a benchmark word are put into the array, as no
-other can match.  The benchmark side is broadcast in blocks of at most
-``BLOCK_WORDS`` words, after its size has been read; a benchmark of several blocks
+other can match, and only windows whose words all stand in the shard are searched.
+The benchmark side is broadcast in blocks of at most ``BLOCK_WORDS`` words and
+``DISTINCT`` different ones, as it is read; a benchmark of more than one block
 is searched block after block, each in a pass of its own whose results are
 written before the next.  Nothing is shuffled: a shard lies within a task.
 
 Words are compared by 64-bit hashes.  Defined results: null, empty or wordless
 texts and items match nothing; items with equal text are all reported; repeated
-documents are reported alike; an item of fewer words than a window is one window.
+documents are reported alike; an item of fewer words than a window is one window;
+texts of any length are searched whole, in shards; columns of clashing names are kept.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 from .textbytes import batches, word_table, words
 
 WINDOW = 10
 DEPTH = 12  # words by which suffixes are ordered; a window may not be longer
 SHARD_WORDS = 300_000
-#: Words of one broadcast block; 16 bits number its distinct words.
-BLOCK_WORDS = 60_000
+#: Words of one broadcast block (some 50 bytes each), and of its different words, which 16 bits number.
+BLOCK_WORDS, DISTINCT = 1_000_000, 65_000
 WORD = word_table([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 
@@ -47,17 +49,26 @@ class Block:
         self.vocab = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, dtype=np.uint64)
         rows, item, place, length = [], [], [], []
         for i, (_, h) in enumerate(items):
-            ids = np.searchsorted(self.vocab, h).astype(np.uint64) + np.uint64(1)
+            ids = (np.searchsorted(self.vocab, h) + 1).astype(np.uint16)
             n = min(window, len(ids))
-            for j in range(len(ids) - n + 1):
-                row = np.zeros(DEPTH, dtype=np.uint64)
-                row[:n] = ids[j : j + n]
-                rows.append(row)
-                item.append(i)
-                place.append(j)
-                length.append(n)
-        self.rows = np.array(rows).reshape(-1, DEPTH)
-        self.item, self.place, self.length = (np.array(x, dtype=np.int64) for x in (item, place, length))
+            wide = np.zeros((len(ids) - n + 1, DEPTH), dtype=np.uint16)
+            wide[:, :n] = np.lib.stride_tricks.sliding_window_view(ids, n)
+            rows.append(wide)
+            item.append(np.full(len(wide), i))
+            place.append(np.arange(len(wide)))
+            length.append(np.full(len(wide), n))
+        self.rows = np.concatenate(rows) if rows else np.zeros((0, DEPTH), dtype=np.uint16)
+        self.item, self.place, self.length = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (item, place, length))
+
+    def possible(self, ids: np.ndarray) -> np.ndarray:
+        """The windows all of whose words are among ``ids``."""
+        here = np.zeros(len(self.vocab) + 1, dtype=bool)
+        here[ids] = True
+        here[0] = True  # no word
+        some = np.arange(len(self.rows))
+        for k in range(DEPTH):
+            some = some[here[self.rows[some, k]]]
+        return some
 
 
 def _fours(ids: np.ndarray) -> np.ndarray:
@@ -150,11 +161,14 @@ def scan(texts: list[str | None], block: Block) -> list[tuple[int, list[tuple[in
                 part = ids[a : a + SHARD_WORDS + DEPTH - 1]
                 if not part.any():
                     continue
+                some_rows = block.possible(part.astype(np.int64))
+                if not len(some_rows):
+                    continue
                 array = SuffixArray(part)
-                low, high = array.find(block.rows, block.length)
+                low, high = array.find(block.rows[some_rows].astype(np.uint64), block.length[some_rows])
                 hit = np.flatnonzero(high > low)
                 n = (high - low)[hit]
-                which = np.repeat(hit, n)
+                which = np.repeat(some_rows[hit], n)
                 where = array.at[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[hit], n)]
                 own = where < SHARD_WORDS  # those in the overlap belong to the next shard
                 found.append((where[own] + a, which[own]))
@@ -203,54 +217,58 @@ def _scanner(spark: SparkSession, block: Block):
 def blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Block]:
     """The benchmark in blocks of bounded size, streamed to the driver one partition at a time."""
     some: list[tuple[str, np.ndarray]] = []
-    size = 0
+    size, seen = 0, set()
     rows = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
     for r in rows.toLocalIterator():
         h = words([r["text"].encode("utf-8", "surrogatepass")], WORD)[0]
         # a longer item is cut into parts that overlap by a window less one word
-        step = most - window + 1
+        longest = min(most, DISTINCT)
+        step = longest - window + 1
         for a in range(0, max(len(h) - window + 1, 1), step):
-            part = h[a : a + most]
+            part = h[a : a + longest]
             if not len(part):
                 continue
-            if some and size + len(part) > most:
+            new = set(part.tolist())
+            if some and (size + len(part) > most or len(seen | new) > DISTINCT):
                 yield Block(some, window)
-                some, size = [], 0
+                some, size, seen = [], 0, set()
             some.append((r["id"], part))
             size += len(part)
+            seen |= new
     if some:
         yield Block(some, window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with a struct column ``hit`` (which replaces any of that name): n_words, n_hit, runs of hit words, items, and the longest match with its place in words."""
+    """``docs`` with a struct column ``hit`` (with underscores added if ``docs`` has that name): n_words, n_hit, runs of hit words, items, and the longest match with its place in words."""
     if not 0 < window <= DEPTH:
         raise ValueError(f"a window has 1 to {DEPTH} words")
-    spark, out = scratch.spark, None
+    spark, out, hit, new = scratch.spark, None, fresh(docs, "hit"), fresh(docs, "_new")
     for block in blocks(benchmark, window, block_words):
         seen = _scanner(spark, block)("text")
         if out is None:
-            out = docs.withColumn("hit", seen)
+            out = docs.withColumn(hit, seen)
             continue
-        both = scratch.save(out, "pass").withColumn("_new", seen)
-        better = F.col("_new.longest") > F.col("hit.longest")
-        out = both.withColumn("hit", F.struct(
-            F.col("hit.n_words").alias("n_words"), F.array_sort(F.concat("hit.runs", "_new.runs")).alias("runs"),
-            F.array_union("hit.items", "_new.items").alias("items"), F.when(better, F.col("_new.longest")).otherwise(F.col("hit.longest")).alias("longest"),
-            F.when(better, F.col("_new.longest_at")).otherwise(F.col("hit.longest_at")).alias("longest_at"))).drop("_new")
+        both = scratch.save(out, "pass").withColumn(new, seen)
+        old, now = (lambda f: F.col(hit)[f]), (lambda f: F.col(new)[f])
+        better = now("longest") > old("longest")
+        out = both.withColumn(hit, F.struct(
+            old("n_words").alias("n_words"), F.array_sort(F.concat(old("runs"), now("runs"))).alias("runs"),
+            F.array_union(old("items"), now("items")).alias("items"), F.when(better, now("longest")).otherwise(old("longest")).alias("longest"),
+            F.when(better, now("longest_at")).otherwise(old("longest_at")).alias("longest_at"))).drop(new)
     if out is None:
-        out = docs.withColumn("hit", _scanner(spark, Block([], window))("text"))
+        out = docs.withColumn(hit, _scanner(spark, Block([], window))("text"))
     # runs of several passes may overlap: each counts from the furthest end before it
     covered = F.aggregate(
-        F.array_sort("hit.runs"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
+        F.array_sort(F.col(hit)["runs"]), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["end"]))).cast("long").alias("n"), F.greatest(acc["end"], r["b"]).alias("end")))
-    return out.withColumn("hit", F.struct("hit.*", covered["n"].alias("n_hit")))
+    return out.withColumn(hit, F.struct(f"{hit}.*", covered["n"].alias("n_hit")))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of a benchmark item occurs."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return contamination(row, benchmark, scratch, window).where("hit.n_hit = 0").select("row.*")
+    found = contamination(docs, benchmark, scratch, window)
+    return found.where(F.col(found.columns[-1])["n_hit"] == 0).select(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ hash of one half to the other one modulo its bound, and the pair is written back
 That is a bijection of the format, so equal values stay equal across documents
 and different ones stay different, and the result still passes the check:
 
-* payment card and other 13 to 19 digit numbers: all but the last digit; the last
-  keeps its distance from the Luhn digit, so valid numbers stay valid,
+* payment card and other 13 to 19 digit numbers with a right Luhn digit: all but that
+  digit, which is set anew; other long numbers (order numbers, times) stay as they are,
 * North American phone numbers: area code and number, first digits 2 to 9 kept so,
 * IPv4 addresses: 32 bits,
 * social security numbers: nine digits without the blocks that are never issued,
@@ -18,18 +18,27 @@ replaced by a keyed hash in the same alphabet.  Only DataFrame expressions are
 used: texts without a digit or ``@`` are left as they are, and others are cut at
 the matches, which are mapped and put back.
 
+The key is secret: who has it can invert the permutations.  The query takes it from the
+session's ``spark.tracelens.pii.key``; without one each run draws a key of its own, and
+values are linked within that run.
+
 Defined results: null stays null, an empty text stays empty; what fails its check
-(such as 300.1.1.1 or 2024-02-31) is left alone; all other characters keep their place.
+(such as 300.1.1.1 or 2024-02-31) is left alone; all other characters keep their place;
+a text of any length is read whole; repeated rows change alike; columns of clashing
+names are kept, and the new column's name gets underscores where it is taken.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
-KEY = "tracelens"
+#: The session setting that holds the key.
+KEY_SETTING = "spark.tracelens.pii.key"
 ROUNDS = 10
 EPOCH = "1900-01-01"
 DAYS = 73_000  # = 200 * 365
@@ -96,8 +105,8 @@ def _number(x: Column, key: str) -> Column:
     lm, rm = F.pow(F.lit(10), a).cast("long"), F.pow(F.lit(10), n - a).cast("long")
     s = feistel(F.substring(payload, F.lit(1), a), F.substring(payload, a + 1, n - a), lm, rm, key, "number")
     new = F.concat(pad(s["l"], a), pad(s["r"], n - a))
-    last = F.pmod(luhn_digit(new) + F.substring(d, -1, 1).cast("int") - luhn_digit(payload), F.lit(10))
-    return fill(x, F.concat(new, last.cast("string")))
+    valid = luhn_digit(payload) == F.substring(d, -1, 1).cast("int")
+    return F.when(valid, fill(x, F.concat(new, luhn_digit(new).cast("string")))).otherwise(x)
 
 
 def _phone(x: Column, key: str) -> Column:
@@ -142,7 +151,7 @@ def _access_key(x: Column, key: str) -> Column:
     return F.concat(F.lit("AKIA"), F.substring(h, 1, 16))
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
+def pseudonym(x: Column, key: str) -> Column:
     """The pseudonym of one match of ``ANY``."""
     whole = lambda p: x.rlike(f"^(?:{p})$")
     return (
@@ -151,17 +160,25 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, n_out: str = "n_replaced") -> DataFrame:
-    """``docs`` with the personal data of ``text`` replaced, and the number of values that changed."""
+def session_key(spark: SparkSession) -> str:
+    """The configured key, or a random one for this run."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", n_out: str = "n_replaced") -> DataFrame:
+    """``docs`` with the personal data of ``text`` replaced, and the number of values that changed as the last column."""
+    if not key:
+        raise ValueError("a key is needed")
+    found, new, n_out = fresh(docs, "_found"), fresh(docs, "_new"), fresh(docs, n_out)
     t = F.col(text)
-    hot = t.rlike("[@0-9]")
-    found = F.when(hot, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    new = F.transform("_found", lambda x: pseudonym(x, key))
-    out = docs.withColumn("_found", found).withColumn("_new", F.when(F.size("_found") > 0, new).otherwise(F.col("_found")))
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = F.aggregate(F.zip_with("_found", "_new", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-    return out.withColumn(n_out, F.coalesce(changed, F.lit(0).cast("long"))).withColumn(text, F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(t)).drop("_found", "_new")
+    matches = F.when(t.rlike("[@0-9]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    some = F.size(found) > 0
+    out = docs.withColumn(found, matches).withColumn(new, F.when(some, F.transform(found, lambda x: pseudonym(x, key))).otherwise(F.col(found)))
+    pieces = F.zip_with(F.split(t, ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    changed = F.aggregate(F.zip_with(found, new, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    out = out.withColumn(n_out, F.coalesce(changed, F.lit(0).cast("long"))).withColumn(text, F.when(some, F.array_join(pieces, "")).otherwise(t))
+    return out.select(*docs.columns, n_out)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
