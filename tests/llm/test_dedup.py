@@ -96,15 +96,42 @@ def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>"), Scratch(spark, "t")).collect() == []
 
 
-def test_embeddings_query_recall(spark):
-    """Links of the query against all pairs: at least nine in ten, and none too many."""
-    got = {r["vec_id"]: r["n_links"] for r in embeddings.op2_itq_embeddings(spark, SF).collect()}
+def test_embeddings_recall_of_planted_pairs(spark, tmp_path):
+    """The query on 6,000 vectors with pairs planted at cosines from 0.95 to 0.97 and a family in one bucket: nine links in ten at least, and none too many."""
+    r = np.random.default_rng(11)
+    base = r.normal(size=(4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = r.normal(size=(1400, 64))
+    other -= (other * base[:1400]).sum(axis=1, keepdims=True) * base[:1400]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = r.uniform(0.95, 0.97, size=(1400, 1))
+    family = base[3999] + r.normal(scale=0.008, size=(600, 64))
+    v = np.concatenate([base, base[:1400] * cos + other * np.sqrt(1 - cos**2), family]).astype(np.float32)
+    rows = [(k, x.tolist(), k % 3) for k, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x["vec_id"]: x for x in embeddings.op2_itq_embeddings(spark, str(tmp_path)).collect()}
+    u = v.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    want = near.sum(axis=1) - 1
+    mine = np.array([got[k]["n_links"] for k in range(len(v))])
+    assert want[:1400].sum() >= 1200 and want[5400:].sum() >= 600 * 500
+    assert (mine <= want).all()
+    assert mine[:5399].sum() >= 0.9 * want[:5399].sum() and mine.sum() >= 0.9 * want.sum()
+    g = fx.Groups()
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        g.join(int(i), int(j))
+    same = sum(got[k]["component_id"] == g.find(k) for k in range(len(v)))
+    assert same >= 0.95 * len(v)
+
+
+def test_embeddings_query_finds_nothing_too_many(spark):
+    """The vectors of the small table are all far apart."""
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").toPandas()
     v = np.stack(rows["embedding"].to_list()).astype(float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    want = (v @ v.T >= 0.95).sum(axis=1) - 1
-    mine = np.array([got[k] for k in rows["vec_id"]])
-    assert (mine <= want).all() and mine.sum() >= 0.9 * want.sum()
+    want = dict(zip(rows["vec_id"], (v @ v.T >= 0.95).sum(axis=1) - 1, strict=True))
+    assert {r["vec_id"]: r["n_links"] for r in embeddings.op2_itq_embeddings(spark, SF).collect()} == want
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(50, 51), (51, 52), (52, 50)]])

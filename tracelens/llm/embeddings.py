@@ -15,7 +15,7 @@ a vector, with its number of links and the smallest vector linked to it there.
 Defined results: vectors that are null, empty or zero, or hold a null or a value
 that is not finite, link with nothing.  Equal vectors are one class and count for
 each other.  Vectors of different lengths link with nothing of each other.  Rows
-of one vec_id share a component.
+of one vec_id share a component; of other columns only vec_id and embedding are read, so none clashes.
 """
 
 from __future__ import annotations
@@ -129,46 +129,82 @@ def _coder(spark: SparkSession, models: dict[int, Quantiser]):
     return code
 
 
+def _matrix(bodies: list[bytes]) -> np.ndarray:
+    """Unit vectors of equal length, from bodies that may hold single or double values."""
+    if len({(b[:1], len(b)) for b in bodies}) == 1:
+        kind = np.float32 if bodies[0][:1] == b"f" else np.float64
+        raw = np.frombuffer(b"".join(bodies), dtype=np.uint8).reshape(len(bodies), -1)[:, 1:]
+        v = np.ascontiguousarray(raw).view(kind).astype(np.float64)
+        v /= np.abs(v).max(axis=1, keepdims=True)
+    else:
+        v = np.stack([_load(b) for b in bodies])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+#: Groups of up to so many vectors are compared all at once, by their distance in the sorted rows; larger ones by a matrix product each.
+SMALL = 48
+
+
+def _near_pairs(v: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of all pairs within a group with at least the threshold's cosine; groups begin at ``starts``."""
+    size = np.diff(np.append(starts, len(v)))
+    end = np.repeat(starts + size, size)
+    small = np.repeat(size <= SMALL, size)
+    found_i, found_j = [], []
+    for k in range(1, int(size[size <= SMALL].max(initial=1))):
+        i = np.flatnonzero(small[: len(v) - k] & (np.arange(k, len(v)) < end[: len(v) - k]))
+        i = i[np.einsum("ij,ij->i", v[i], v[i + k]) >= threshold]
+        found_i.append(i)
+        found_j.append(i + k)
+    for a in np.flatnonzero(size > SMALL):
+        part = v[starts[a] : starts[a] + size[a]]
+        i, j = np.nonzero(np.triu(part @ part.T >= threshold, 1))
+        found_i.append(i + starts[a])
+        found_j.append(j + starts[a])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+
+
 def _compare(threshold: float):
-    """One row for each vector with links in a group: (id, links, root)."""
-
-    def group(rows: pd.DataFrame, out: list) -> None:
-        n = len(rows)
-        if n < 2:
-            return
-        t = int(rows["t"].iloc[0])
-        v = np.stack([_load(b) for b in rows["body"]])
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        near = v @ v.T >= threshold
-        np.fill_diagonal(near, False)
-        if rows["bi"].iloc[0] != rows["bj"].iloc[0]:
-            side = (rows["blk"] == rows["bi"]).to_numpy()
-            near &= side[:, None] != side[None, :]
-        i, j = np.nonzero(near)
-        if t and len(i):
-            keys = np.stack(rows["keys"].to_list())[:, :t]
+    """One row for each vector with links in a group: (id, links, root).  Rows come sorted by group; whole groups are compared together."""
+
+    def groups(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame | None:
+        lengths = rows["body"].map(len).to_numpy()
+        if len(set(lengths.tolist())) > 1:  # vectors of several lengths: those of one group have one, or the other kind of its values
+            parts = [groups(rows.iloc[a:b], np.zeros(1, dtype=np.int64)) for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True)] if len(starts) > 1 else []
+            parts = [p for p in parts if p is not None]
+            if len(starts) > 1:
+                return pd.concat(parts, ignore_index=True) if parts else None
+        v = _matrix(rows["body"].tolist())
+        i, j = _near_pairs(v, starts, threshold)
+        if not len(i):
+            return None
+        t, blk, bi, bj = (rows[c].to_numpy() for c in ("t", "blk", "bi", "bj"))
+        keep = (bi[i] == bj[i]) | (blk[i] != blk[j])  # of two blocks only the pairs across
+        i, j = i[keep], j[keep]
+        if len(i):
+            # a pair counts in the first table that brings it together
+            keys = np.stack(rows["keys"].to_list())
             fresh = np.ones(len(i), dtype=bool)
             for a in range(0, len(i), 65_536):
-                fresh[a : a + 65_536] = ~(keys[i[a : a + 65_536]] == keys[j[a : a + 65_536]]).any(axis=1)
+                x, y = i[a : a + 65_536], j[a : a + 65_536]
+                before = np.arange(keys.shape[1])[None, :] < t[x][:, None]
+                fresh[a : a + 65_536] = ~((keys[x] == keys[y]) & before).any(axis=1)
             i, j = i[fresh], j[fresh]
         if not len(i):
-            return
+            return None
         weight, ids = rows["w"].to_numpy(), rows["id"].to_numpy()
-        links = np.bincount(i, weights=weight[j], minlength=n).astype(np.int64)
-        root = np.arange(n)
-        order = np.argsort(ids, kind="stable")
-        place = np.empty(n, dtype=np.int64)
-        place[order] = np.arange(n)
-        root = place.copy()  # smallest place among linked vectors, passed on until nothing changes
+        links = (np.bincount(i, weights=weight[j], minlength=len(rows)) + np.bincount(j, weights=weight[i], minlength=len(rows))).astype(np.int64)
+        root = ids.copy()  # the smallest id among linked vectors, passed on until nothing changes
         while True:
             new = root.copy()
             np.minimum.at(new, i, root[j])
-            new = np.minimum(new, new[order[new]])
+            np.minimum.at(new, j, root[i])
             if (new == root).all():
                 break
             root = new
         some = np.flatnonzero(links)
-        out.append(pd.DataFrame({"id": ids[some], "links": links[some], "root": ids[order[root[some]]]}))
+        return pd.DataFrame({"id": ids[some], "links": links[some], "root": root[some]})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["t", "key", "bi", "bj"]
@@ -178,20 +214,12 @@ def _compare(threshold: float):
             if not len(part):
                 continue
             k = part[names].to_numpy()
-            edge = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            starts = np.append(0, edge)
-            out: list = []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if b - a > 1:
-                    group(part.iloc[a:b], out)
+            starts = np.append(0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1)
+            if len(starts) > 1 and (got := groups(part.iloc[: starts[-1]], starts[:-1])) is not None:
+                yield got
             carry = part.iloc[starts[-1] :]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if carry is not None:
-            out = []
-            group(carry, out)
-            if out:
-                yield out[0]
+        if carry is not None and len(carry) and (got := groups(carry, np.zeros(1, dtype=np.int64))) is not None:
+            yield got
 
     return run
 
