@@ -82,9 +82,9 @@ def _level(n: Column) -> Column:
 def rarity(docs: DataFrame) -> Column:
     """The frequency class of each bin as a constant array: 2**BIN_BITS small numbers, whatever the input.
 
-    Words are counted with all letters lower-cased, which is cheaper; a class may be any number.
+    Words are counted with all letters lower-cased and cut at blanks and line ends, which is cheaper; a class may be any number.
     """
-    word = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words("line", F.lower("line"))).alias("w"))
+    word = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     seen = word.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - BIN_BITS).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     # packed 1,024 bins to a row, so that few rows come to the driver
     packed = seen.groupBy(F.shiftright("bin", 10).alias("page")).agg(F.array_join(F.collect_list((F.col("bin") * 128 + _level(F.col("n"))).cast("string")), ",").alias("s"))
@@ -129,6 +129,11 @@ def _need(n: Column, m: Column, percent: int) -> Column:
     return _ceil_div((n + m) * percent, 100 + percent)
 
 
+def _near(n: Column, m: Column, odd: Column, other: Column, percent: int) -> Column:
+    """Whether the parity bits let two sets be similar: these differ in at most (n + m) (100 - percent) / (100 + percent) words."""
+    return F.bit_count(odd.bitwiseXOR(other)) * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _places(n: Column, need: Column, percent: int) -> Column:
     """The last place of a set's prefix that counts for a pair that needs so many common words."""
     return F.least(n - _ceil_div(n * percent, 100) + 1, n - need + EXTRA)
@@ -143,7 +148,7 @@ def candidates(heads: DataFrame, percent: int) -> DataFrame:
     (n, p, x), (m, q, y) = ((F.shiftright(f"{s}.at", 32).cast("int"), F.shiftright(F.col(f"{s}.at").bitwiseAND(F.lit(0xFFFFFFFF)), 1), F.col(f"{s}.at").bitwiseAND(F.lit(1))) for s in "ab")
     need = _need(n, m, percent)
     fits = _sizes_fit(n, m, percent) & (x + y < 2) & (p <= n - need + EXTRA) & (q <= m - need + EXTRA)
-    near = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) * (100 + percent) <= (n + m) * (100 - percent)
+    near = _near(n, m, F.col("a.parity"), F.col("b.parity"), percent)
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & fits & near)
     pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), n.alias("n"), m.alias("m"), p.alias("p"), q.alias("q"))
     pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("p").alias("p"), F.max("q").alias("q"))
@@ -155,14 +160,14 @@ def candidates(heads: DataFrame, percent: int) -> DataFrame:
 
 def first_partners(heads: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b): of each class with frequent words in its prefix, the earliest class of such a word with which it shares most of them."""
-    words = heads.select("id", "n", "d", "l", F.explode("prefix").alias("token"))
+    words = heads.select("id", "n", "d", "l", "parity", F.explode("prefix").alias("token"))
     # a word in so many sets is in a bin of that count at least
-    level = int(log2(FREQUENT + 1) * STEPS)
-    often = words.where(F.shiftright("token", 56) >= level)
+    often = words.where(F.shiftright("token", 56) >= int(log2(FREQUENT + 1) * STEPS))
     first = narrow(often.groupBy("token").agg(F.count("*").alias("k"), F.min("d").alias("first")).where(F.col("k") > FREQUENT).select("token", "first"), scratch)
-    pivot = often.join(first, "token").where(F.col("d") == F.col("first")).groupBy("token").agg(F.min(F.struct("l", "id", "n")).alias("f"))
-    pivot = narrow(pivot.select("token", F.col("f.id").alias("b"), F.col("f.n").alias("m")), scratch)
-    pairs = often.join(pivot, "token").where((F.col("id") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), percent))
+    pivot = often.join(first, "token").where(F.col("d") == F.col("first")).groupBy("token").agg(F.min(F.struct("l", "id", "n", "parity")).alias("f"))
+    pivot = narrow(pivot.select("token", F.col("f.id").alias("b"), F.col("f.n").alias("m"), F.col("f.parity").alias("odd")), scratch)
+    n, m = F.col("n"), F.col("m")
+    pairs = often.join(pivot, "token").where((F.col("id") != F.col("b")) & _sizes_fit(n, m, percent) & _near(n, m, F.col("parity"), F.col("odd"), percent))
     pairs = pairs.groupBy("id", "b").agg(F.count("*").alias("k")).groupBy("id").agg(F.max(F.struct("k", "b")).alias("f"))
     return pairs.select(F.col("id").alias("a"), F.col("f.b").alias("b"))
 
@@ -178,7 +183,8 @@ def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, scratch: Scra
     pick = lambda parts: F.transform("wanted", lambda x: F.struct(x["id"].alias("id"), x["l"].alias("l"), F.get(parts, x["l"]).alias("line")))
     rows = rows.select("d", F.explode(F.get(F.transform(F.array(F.split("text", "\n")), pick), F.lit(0))).alias("x")).select("d", "x.*")
     words = F.array_remove(F.array_distinct(_words("line", _lower("line"))), "")
-    sets = rows.select("id", "d", "l", words.alias("w")).dropDuplicates(["id"])
+    # repeated rows give a line again: one of the shuffled lines stays, and is cut then
+    sets = rows.groupBy("id", "d", "l").agg(F.max("line").alias("line")).select("id", "d", "l", words.alias("w"))
     sets = scratch.save(sets, "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.struct("d", "l").alias("pa"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.struct("d", "l").alias("pb"), F.col("w").alias("wb")), "b")
     both = both.select("a", "b", "pa", "pb", (F.size("wa") + F.size("wb")).alias("size"), F.size(F.array_intersect("wa", "wb")).alias("i"))
