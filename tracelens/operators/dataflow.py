@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import cut, number_rows
+
 # Origins that connect nothing, and the sizes at which mining stops growing.
 PSEUDO_SOURCES = ("prompt", "workspace", "catalog", "constant")
 MAX_FREQUENT_EDGES = 400
@@ -29,19 +30,9 @@ def top_edges(found: DataFrame, most: int = MAX_FREQUENT_EDGES) -> tuple[DataFra
     return top, found.limit(most + 1).count() > most
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and without lineage; only a session on one machine may do without a named folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracelens-"))
-    return df.checkpoint()
-
-
 def numbered(found: DataFrame) -> DataFrame:
-    """All of ``found``, most frequent first, with their numbers in ``bit``."""
-    return found.withColumn("bit", (F.row_number().over(W.orderBy(F.desc("support"), "source", "value_type", "target")) - 1).cast("int"))
+    """All of ``found``, most frequent first, with their numbers from 0 in ``bit``."""
+    return number_rows(found, [F.desc("support"), "source", "value_type", "target"], "bit").withColumn("bit", (F.col("bit") - 1).cast("int"))
 
 
 def _closed(edges: DataFrame, found: DataFrame, episode: list[str], min_support: int) -> tuple[DataFrame, int]:
@@ -90,17 +81,23 @@ def closed_sets(edges: DataFrame, found: DataFrame, episode: list[str], min_supp
     return out.select(F.col("w0").alias("mask"), "support")
 
 
-def closed_edge_lists(edges: DataFrame, found: DataFrame, episode: list[str], min_support: int = 2) -> DataFrame:
-    """(edges, support): every closed set of any number of numbered edges, as a list of their texts in the order of ``bit``."""
+def closed_edge_bits(edges: DataFrame, found: DataFrame, episode: list[str], min_support: int = 2) -> DataFrame:
+    """(bits, support): every closed set of any number of numbered edges, as a sorted list of their numbers."""
     out, words = _closed(edges, found, episode, min_support)
-    text = edge_text(F.col("source"), F.col("value_type"), F.col("target"))
-    names = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", text.alias("text")))), lambda x: x["text"]).alias("names"))
 
     def bits(k: int) -> Column:
         held = F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda i: F.col(f"w{k}").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
         return F.transform(held, lambda i: i + k * WORD_BITS)
 
-    return out.crossJoin(F.broadcast(names)).select(F.transform(F.concat(*[bits(k) for k in range(words)]), lambda i: F.get("names", i)).alias("edges"), "support")
+    return out.select(F.concat(*[bits(k) for k in range(words)]).alias("bits"), "support")
+
+
+def closed_edge_lists(edges: DataFrame, found: DataFrame, episode: list[str], min_support: int = 2) -> DataFrame:
+    """(edges, support): every closed set of any number of numbered edges, as a list of their texts in the order of ``bit``."""
+    text = edge_text(F.col("source"), F.col("value_type"), F.col("target"))
+    names = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", text.alias("text")))), lambda x: x["text"]).alias("names"))
+    out = closed_edge_bits(edges, found, episode, min_support)
+    return out.crossJoin(F.broadcast(names)).select(F.transform("bits", lambda i: F.get("names", i)).alias("edges"), "support")
 
 
 def components_of(edges: list[tuple[str, str, str]]) -> list[frozenset]:
@@ -120,6 +117,47 @@ def components_of(edges: list[tuple[str, str, str]]) -> list[frozenset]:
     return [frozenset(e for e, i in label.items() if i == k) for k in sorted(set(label.values()))]
 
 
+def graph_candidates(edges: DataFrame, episode: list[str], min_support: int = 2, most: int = MAX_FREQUENT_EDGES, max_edges: int = MAX_CANDIDATE_EDGES) -> DataFrame:
+    """The frequent connected closed graphs of episodes: (rank, edges, n, support, saving, rooted, truncated).
+
+    ``edges`` has rows (episode, source, value_type, target, call, src).  The closed edge sets are split where only pseudo
+    sources hold them together.  A part may be in more episodes than its set; so it gets every frequent edge of all its
+    episodes that its tool nodes reach, which is the part of that closure that holds it.  Graphs of more than
+    ``max_edges`` edges are left out.  ``saving`` counts the calls at both ends of a graph's edges in its episodes;
+    graphs with an edge from the prompt come first, then support times size decides.  ``truncated`` tells whether more
+    than ``most`` edges were frequent.
+    """
+    top, truncated = top_edges(frequent_edges(edges, episode, min_support), most)
+    found = cut(numbered(top))
+    ends = {r["bit"]: (r["source"], r["value_type"], r["target"]) for r in found.collect()}  # ``most`` rows at most
+    number = {e: b for b, e in ends.items()}
+
+    @F.pandas_udf("array<array<int>>")
+    def split(sets: pd.Series) -> pd.Series:
+        return pd.Series([[sorted(number[e] for e in part) for part in components_of([ends[b] for b in bits])] for bits in sets], dtype=object)
+
+    name = ["source", "value_type", "target"]
+    held = cut(edges.where(F.col("source") != "constant").join(F.broadcast(found.select(*name, "bit")), name).select(*episode, "bit", "call", "src"))
+    has = held.select(*episode, "bit").distinct()
+    parts = closed_edge_bits(edges, found, episode, min_support).select(F.explode(split("bits")).alias("part")).distinct()
+    parts = cut(parts.where(F.size("part") <= max_edges))
+    inside = parts.select("part", F.explode("part").alias("bit")).join(has, "bit").groupBy("part", *episode).agg(F.count("*").alias("k"))
+    inside = cut(inside.where(F.col("k") == F.size("part")).select("part", *episode))
+    n = inside.groupBy("part").agg(F.count("*").alias("support"))
+    common = inside.join(has, episode).groupBy("part", "bit").agg(F.count("*").alias("k")).join(n, "part").where("k = support")
+    closure = common.groupBy("part", "support").agg(F.array_sort(F.collect_list("bit")).alias("all"))
+    graphs = closure.select("support", "part", F.explode(split("all")).alias("graph")).where(F.size(F.array_except("part", "graph")) == 0)
+    graphs = cut(graphs.where((F.size("graph") <= max_edges) & (F.col("support") >= min_support)).groupBy("graph").agg(F.max("support").alias("support"), F.min("part").alias("part")))
+    where = graphs.select("graph", "part").join(inside, "part").select("graph", *episode, F.explode("graph").alias("bit"))
+    calls = where.join(held, [*episode, "bit"]).select("graph", *episode, F.explode(F.array("call", "src")).alias("call")).where("call is not null").distinct()
+    saving = calls.groupBy("graph").agg(F.count("*").alias("saving"))
+    text = F.transform("graph", lambda b: F.get(F.array(*[F.lit(f"{x} --{t}--> {y}") for x, t, y in (ends[k] for k in sorted(ends))]), b)) if ends else F.array().cast("array<string>")
+    roots = F.array(*[F.lit(b) for b, e in ends.items() if e[0] == "prompt"]).cast("array<int>")
+    out = graphs.join(saving, "graph", "left").select(F.array_sort(text).alias("edges"), F.size("graph").cast("long").alias("n"), "support", F.coalesce("saving", F.lit(0)).alias("saving"), F.arrays_overlap("graph", roots).alias("rooted"))
+    order = [F.desc("rooted"), -F.col("n") * F.col("support"), F.desc("support"), F.desc("saving"), "edges"]
+    return number_rows(out, order, "rank").withColumn("truncated", F.lit(truncated))
+
+
 def participating_calls(seeds: DataFrame, deps: DataFrame, episode: list[str]) -> DataFrame:
     """(episode, call): the seed calls and all calls whose results they bind to, directly or through any number of others.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dataflow import cut
+from .ranking import cut
 
 # Fixed value: fallbacks worth trying when a flow runs.
 MAX_LADDER = 6

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import number_rows
+
 MIN_SUPPORT, MIN_LEN, MAX_LEN = 2, 2, 40
 
 
@@ -30,12 +32,12 @@ def ngrams(runs: DataFrame, episode: list[str], least: int = MIN_LEN, most: int
 
 
 def support(grams: DataFrame, episode: list[str]) -> DataFrame:
-    """seq, n, support, saving, and the fan-out flags over all places, summed within episodes first."""
-    fan = F.transform("fan", lambda b: b.cast("int"))
-    first = grams.groupBy(*episode, "seq", "n").agg(F.min_by("span", "at").alias("span"), F.collect_set(fan).alias("fans"))
-    both = F.aggregate(F.flatten(F.col("f")), F.transform(F.col("seq"), lambda _: F.lit(0)), lambda acc, x: F.zip_with(acc, x, lambda a, b: F.greatest(a, b)))
-    got = first.groupBy("seq", "n").agg(F.count("*").alias("support"), F.sum("span").alias("saving"), F.collect_set("fans").alias("f"))
-    return got.select("seq", "n", "support", "saving", F.array_join(F.transform(both, lambda x: x.cast("string")), "").alias("fanout"))
+    """seq, n, support, saving, and the fan-out flags over all places: sums and greatest flags, combined before each shuffle."""
+    first = grams.groupBy(*episode, "seq", "n").agg(F.min_by("span", "at").alias("span"))
+    got = first.groupBy("seq", "n").agg(F.count("*").alias("support"), F.sum("span").alias("saving"))
+    flags = grams.select("seq", F.posexplode("fan").alias("place", "flag")).groupBy("seq", "place").agg(F.max(F.col("flag").cast("int")).alias("flag"))
+    fans = flags.groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "flag"))), lambda x: x["flag"].cast("string")), "").alias("fanout"))
+    return got.join(fans, "seq").select("seq", "n", "support", "saving", "fanout")
 
 
 def closed(found: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -48,9 +50,7 @@ def closed(found: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
 
 def ranked(found: DataFrame) -> DataFrame:
     """By support times length, then support, saving, and the tokens themselves."""
-    key = [(-F.col("support") * F.col("n")), -F.col("support"), -F.col("saving"), F.col("seq")]
-    top = found.orderBy(*key).withColumn("rank", F.row_number().over(W.orderBy(*key)).cast("long"))
-    return top
+    return number_rows(found, [(-F.col("support") * F.col("n")), -F.col("support"), -F.col("saving"), F.col("seq")], "rank")
 
 
 def ordered_distinct(rows: DataFrame, key: list[str], value: str, order: list[str], most: int) -> DataFrame:
