@@ -32,7 +32,7 @@ OVERLAP = 512
 #: Boundaries so near a chunk's end may change with the text that follows.
 MARGIN = 16
 #: Pieces kept in each of two generations; a piece of the older one moves on when it is met again.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 64_000
 
 
 class Vocabulary:

@@ -77,6 +77,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         yield
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers ``BATCH_ROWS`` rows at a time at most: for plans that the caller writes."""
+    now = int(spark.conf.get(_BATCH))
+    spark.conf.set(_BATCH, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder under one unique name."""
 
