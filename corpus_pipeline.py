@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import bpe, decontaminate, language, linededup, minhash
-from tracelens.llm.common import Scratch, fresh, narrow, table
+from tracelens.llm.common import Scratch, bound_batches, fresh, narrow, table
 
 #: Hundredths of Jaccard similarity for the near-dedup stage; the query op10_superminhash has its own.
 SIMILAR = 80
@@ -28,6 +28,8 @@ ROOM = 1 << 56
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter.  Null, empty and letterless texts go; every other row stays as it is, repeated ones and those without a doc_id too; an empty table stays empty."""
+    bound_batches(spark)
     held = language.bucket(F.col("doc_id"), 5) == 0
     predict = language.predictor(spark, language.fit(docs, ~held))
     guess = fresh(docs, "_p")
@@ -35,6 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line removes; n_chars follows where a line went.  Null and empty texts stay; a document that loses all goes; of tied rows each loses its own lines only."""
     out = linededup.remove_lines(docs, Scratch(spark, "lines"))
     removed = F.col(out.columns[-1]) > 0
     emptied = removed & ~F.col("text").rlike(r"\S")
@@ -45,6 +48,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component, that of the smallest doc_id; null and empty texts stay; wholly equal rows of one doc_id become one, its other rows stay or go together; rows without a doc_id come last."""
     scratch, key = Scratch(spark, "minhash"), fresh(docs, "_id")
     # wholly equal rows of one doc_id are one; its other rows are one document, which goes if none of them is kept
     again = narrow(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), scratch)
@@ -64,10 +68,13 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs; null and empty texts, and all rows beside an empty benchmark, stay."""
+    bound_batches(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded bytes of every row; a null text is an empty one."""
     return bpe.digest(docs, Scratch(spark, "bpe"))
 
 
