@@ -8,6 +8,7 @@ episode and value, and one row by rank.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelens.functions import ids
@@ -26,7 +27,7 @@ def leaves(rows: DataFrame, key: list[str], json: str) -> DataFrame:
     """
     level = rows.select(*key, F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
     out = None
-    for _ in range(64):
+    while True:
         shape = F.schema_of_variant("v")
         flat = level.where(~shape.rlike("^(OBJECT|ARRAY|VOID)")).select(*key, "path", F.col("v").cast("string").alias("value"))
         out = flat if out is None else out.unionByName(flat)
@@ -55,12 +56,17 @@ def rank(kind: Column, in_list: Column, first: Column) -> Column:
 
 
 def bind(args: DataFrame, candidates: DataFrame, episode: list[str]) -> DataFrame:
-    """Each argument (episode, at, arg, value) with its best earlier candidate; without one its kind is ``unresolved``."""
-    c = candidates.select(*episode, "value", F.col("at").alias("src"), "kind", "source", "name", rank(F.col("kind"), F.col("in_list"), F.col("first")).alias("_r"))
-    both = args.join(c, [*episode, "value"]).where(F.col("src") < F.col("at"))
-    best = both.groupBy(*episode, "at", "arg").agg(F.min(F.struct("_r", "src", "kind", "source", "name")).alias("b"))
-    return args.join(best, [*episode, "at", "arg"], "left").select(
-        *episode, "at", "arg", "value", F.coalesce("b.kind", F.lit("unresolved")).alias("kind"), F.col("b.src").alias("src"), F.col("b.source").alias("source"), F.col("b.name").alias("name"))
+    """Each argument (episode, at, arg, value) with its best earlier candidate; without one its kind is ``unresolved``.
+
+    Arguments and candidates of one value form one ordered stream, along which the best candidate so far is carried on:
+    linear in both, also for a value that recurs all through an episode.
+    """
+    best = F.struct(rank(F.col("kind"), F.col("in_list"), F.col("first")).alias("_r"), F.col("at").alias("src"), "kind", "source", "name")
+    right = candidates.where("value is not null").select(*episode, "value", "at", F.lit(None).cast("string").alias("arg"), F.lit(1).alias("_side"), best.alias("_c"))
+    left = args.select(*episode, "value", "at", F.col("arg"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema["_c"].dataType).alias("_c"))
+    w = W.partitionBy(*episode, "value").orderBy("at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)  # a call does not bind to itself
+    both = left.unionByName(right).withColumn("b", F.min("_c").over(w)).where("_side = 0")
+    return both.select(*episode, "at", "arg", "value", F.coalesce("b.kind", F.lit("unresolved")).alias("kind"), F.col("b.src").alias("src"), F.col("b.source").alias("source"), F.col("b.name").alias("name"))
 
 
 def attribute_candidates(mentions: DataFrame, hub: DataFrame, episode: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, mining, runs
+from . import extraction, mining, runs, sessions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**mining.QUERIES, **extraction.QUERIES, **runs.QUERIES}
-ORACLE_SQL: dict[str, str] = {**mining.ORACLE_SQL, **extraction.ORACLE_SQL, **runs.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**mining.QUERIES, **extraction.QUERIES, **runs.QUERIES, **sessions.QUERIES}
+ORACLE_SQL: dict[str, str] = {**mining.ORACLE_SQL, **extraction.ORACLE_SQL, **runs.ORACLE_SQL, **sessions.ORACLE_SQL}

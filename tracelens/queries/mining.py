@@ -129,16 +129,20 @@ def _candidates(spark, sf_dir):
         (F.col("tool") == "click").alias("in_list"), (F.col("event_id") % 2 == 0).alias("first"), F.col("tool").alias("source"), F.lit("k").alias("name"))
 
 
+def bound_calls(spark, sf_dir):
+    args = calls(spark, sf_dir).select(*EPISODE, F.col("event_id").alias("at"), F.lit("k").alias("arg"), F.col("k").alias("value"))
+    return binding.bind(args, _candidates(spark, sf_dir), EPISODE)
+
+
 def bind_values(spark, sf_dir):
-    args = calls(spark, sf_dir).where("tool in ('purchase', 'error')").select(*EPISODE, F.col("event_id").alias("at"), F.lit("k").alias("arg"), F.col("k").alias("value"))
-    return binding.bind(args, _candidates(spark, sf_dir), EPISODE).select("at", "kind", "src", "source")
+    return bound_calls(spark, sf_dir).select("at", "kind", "src", "source")
 
 
-BIND = (
+BIND_ALL = (
     CALLS
     + """, cand AS (SELECT user_id, day, event_id AS src, k AS v, tool AS source, CASE tool WHEN 'signup' THEN 'input' WHEN 'view' THEN 'ids:k' ELSE 'copy' END AS kind,
    tool = 'click' AS in_list, CASE WHEN tool = 'click' AND event_id % 2 != 0 THEN 4 WHEN tool = 'signup' THEN 0 WHEN tool = 'view' THEN 2 ELSE 1 END AS o FROM calls),
- args AS (SELECT user_id, day, event_id AS at, k AS v, tool FROM calls WHERE tool IN ('purchase', 'error')),
+ args AS (SELECT user_id, day, event_id AS at, k AS v, tool FROM calls),
  best AS (SELECT a.at, c.src, c.kind, c.source, row_number() OVER (PARTITION BY a.at ORDER BY c.o, c.in_list, c.src) AS r FROM args a JOIN cand c ON a.user_id = c.user_id AND a.day = c.day AND a.v = c.v AND c.src < a.at)"""
 )
 
@@ -226,7 +230,7 @@ ORACLE_SQL = {
  SELECT * FROM u JOIN r USING (user_id, day, k)""",
     "step_names": f"WITH {CALLS} SELECT event_id, tool || CASE WHEN n = 1 THEN '' ELSE '_' || n END AS step FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, tool ORDER BY event_id) AS n FROM calls)",
     "slice_calls": f"WITH {CALLS} SELECT event_id, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) AS seq FROM calls WHERE value > 50",
-    "bind_values": f"WITH {BIND} SELECT a.at, coalesce(b.kind, 'unresolved') AS kind, b.src, b.source FROM args a LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON a.at = b.at",
+    "bind_values": f"WITH {BIND_ALL} SELECT a.at, coalesce(b.kind, 'unresolved') AS kind, b.src, b.source FROM args a LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON a.at = b.at",
     "bind_windows": f"""WITH {CALLS}, c AS (SELECT user_id, day, event_id, tool, date_trunc('minute', ts) AS t FROM calls),
  p AS (SELECT e.event_id AS "at", a.event_id AS src, epoch(e.t) - epoch(a.t) AS d0, epoch(e.t) - epoch(date_trunc('day', a.t)) AS d1, epoch(e.t) - epoch(date_trunc('hour', a.t)) AS d2,
    date_trunc('day', a.t) != a.t AS m1, date_trunc('hour', a.t) != a.t AS m2 FROM c e JOIN c a ON e.user_id = a.user_id AND e.day = a.day AND a.event_id < e.event_id WHERE e.tool = 'error' AND a.tool != 'error'),
