@@ -1,6 +1,11 @@
 import json
 
-from tracelens.sources import traces
+import pytest
+from pyspark.sql import functions as F
+
+from tracelens import api
+from tracelens.functions import registry
+from tracelens.sources import traces, workspace
 
 
 def write(path, rows):
@@ -60,7 +65,62 @@ def test_changed_and_append(spark, tmp_path):
     a = spark.createDataFrame([("f1", 1, "t1"), ("f2", 2, "t2"), ("f3", 3, "t3")], "file string, size long, mtime string")
     b = spark.createDataFrame([("f1", 1, "t1"), ("f2", 9, "t2"), ("f4", 4, "t4")], "file string, size long, mtime string")
     assert {(r["file"], r["state"]) for r in traces.changed(a, b).collect()} == {("f1", "same"), ("f2", "changed"), ("f3", "new"), ("f4", "gone")}
-    calls = spark.createDataFrame([("s1", 1), ("s2", 1)], "session string, seq long")
+
+
+def test_write_sessions(spark, tmp_path):
+    out = str(tmp_path / "out")
+    table = lambda *rows: spark.createDataFrame(list(rows), "session string, seq long, tool string")
+    have = lambda: sorted((r["workspace"], r["session"], r["seq"], r["tool"]) for r in spark.read.parquet(out).collect())
     for _ in range(2):
-        traces.write_episodes(calls, str(tmp_path / "out"), "w")
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+        workspace.write_sessions(table(("s1", 1, "a"), ("s1", 2, "b"), ("s2", 1, "c")), out, "w")
+    first = [("w", "s1", 1, "a"), ("w", "s1", 2, "b"), ("w", "s2", 1, "c")]
+    assert have() == first
+    workspace.write_sessions(table(("s1", 1, "new")), out, "v")
+    assert have() == [("v", "s1", 1, "new"), *first]
+    workspace.write_sessions(table(("s1", 7, "z"), ("s3", 1, "d")), out, "w", force=True)
+    assert have() == [("v", "s1", 1, "new"), ("w", "s1", 7, "z"), ("w", "s2", 1, "c"), ("w", "s3", 1, "d")]
+
+
+def test_slices_and_cache(spark, tmp_path):
+    calls = spark.createDataFrame([("s", 0, "main", 1), ("s", 0, "x", 2), ("s", 3, "main", 3)], "session string, prompt_index long, agent string, seq long")
+    assert sorted((r["part"], r["seq"]) for r in workspace.slices(calls).collect()) == [("s", 1), ("s", 2), ("s", 3), ("s-e1", 1), ("s-e2-ax", 2), ("s-e3", 3)]
+    files = spark.createDataFrame([("f", 1, "t"), ("g", 2, "t")], "file string, size long, mtime string")
+    edges = spark.createDataFrame([("f", "a", "b")], "file string, source string, target string")
+    path = str(tmp_path / "edges")
+    workspace.add_edges(edges, files, path, 3)
+    cached = spark.read.parquet(path)
+    changed = spark.createDataFrame([("f", 9, "t"), ("g", 2, "t")], files.schema)
+    assert [r["file"] for r in workspace.missing(files, cached, 3).collect()] == []
+    assert [r["file"] for r in workspace.missing(changed, cached, 3).collect()] == ["f"]
+    assert workspace.missing(files, cached, 4).count() == 2
+
+
+def test_listings(spark):
+    runs = spark.createDataFrame([("r1", [(2,), (None,)]), ("r3", [(1,)]), ("r2", [])], "run_id string, steps array<struct<hits:int>>")
+    assert [(r["run_id"], r["hits"]) for r in api.runs(runs, most=2).collect()] == [("r3", 1), ("r2", 0)]
+    records = spark.createDataFrame([("a", "s1", "01"), ("a", "s2", "05"), ("b", "s1", "09")], "workspace string, session string, ts string")
+    assert [tuple(r) for r in api.workspaces(records).collect()] == [("b", 1, 1, "09"), ("a", 2, 2, "05")]
+    given = spark.createDataFrame([("s1", "new"), ("s9", "new")], "session string, v string")
+    assert [r["session"] for r in api.seed(records, given, ["session"]).collect()] == ["s9"]
+
+
+def test_import(spark, tmp_path):
+    rows = [
+        {"type": "user", "message": {"role": "user", "content": "Look"}, "timestamp": "01"},
+        {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "t1", "name": "mcp__jira__get", "input": {"k": 1}}]}, "timestamp": "02"},
+        {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "ok"}]}, "timestamp": "03"}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    report = api.import_transcripts(spark, str(tmp_path / "in"), str(tmp_path / "out"), "w").first()
+    assert (report["prompts"], report["calls"], report["episodes"]) == (1, 1, 1)
+    assert {r["part"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"s", "s-e1"}
+
+
+def test_functions_by_name(spark):
+    df = spark.createDataFrame([("it's a_b\nc",)], "s string")
+    assert df.select(registry.pipe(F.col("s"), "head", "kebab").alias("x")).first()["x"] == "it's a-b"
+    for name in registry.register(spark):
+        want = df.select(registry.apply(name[3:], F.col("s")).alias("x")).first()["x"]
+        assert df.selectExpr(f"{name}(s) AS x").first()["x"] == want, name
+    with pytest.raises(ValueError, match="no function"):
+        registry.apply("nope", F.col("s"))

@@ -42,13 +42,18 @@ def excerpt(rows: DataFrame, key: list[str], order: str, hit: Column, context: i
     return blocks.groupBy(*key, "block").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.bool_and(~F.col("_near")).alias("folded"))
 
 
-def series(spikes: DataFrame, key: str, start: str, end: str, first: str, last: str, step: str, high: float = 18.5, low: float = 0.4) -> DataFrame:
-    """A metric at even steps for each key: high inside a spike, else low.  Spikes are matched by the day they touch, so that the join has a key."""
-    keys = spikes.select(key).distinct()
-    points = keys.select(key, F.explode(F.expr(f"sequence(timestamp'{first}', timestamp'{last}', interval {step})")).alias("t"))
-    days = spikes.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("_d"))
-    hit = points.withColumn("_d", F.to_date("t")).join(days, [key, "_d"], "left").withColumn("_in", F.coalesce(F.col("t").between(F.col("_s"), F.col("_e")), F.lit(False)))
-    return hit.groupBy(key, "t").agg(F.when(F.bool_or("_in"), F.lit(high)).otherwise(F.lit(low)).alias("v"))
+def bands(points: DataFrame, spikes: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """``points`` with the number of spikes of their key around them, ends included.
+
+    Begins, points and ends of a key form one ordered stream with a running sum: linear, where a range join would pair each
+    point with all spikes around it.
+    """
+    row = F.struct(*points.columns)
+    empty = F.lit(None).cast(points.select(row.alias("r")).schema["r"].dataType)
+    edge = lambda t, side, n: spikes.select(key, F.col(t).alias("_t"), F.lit(side).alias("_side"), F.lit(n).alias("_n"), empty.alias("_row"))
+    stream = edge(start, 0, 1).unionByName(points.select(key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(0).alias("_n"), row.alias("_row"))).unionByName(edge(end, 2, -1))
+    w = W.partitionBy(key).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return stream.withColumn("spikes", F.sum("_n").over(w)).where("_side = 1").select("_row.*", "spikes")
 
 
 def on_call(asks: DataFrame, shifts: DataFrame, key: list[str], at: str, start: str, end: str, person: str) -> DataFrame:

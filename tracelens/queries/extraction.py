@@ -143,10 +143,11 @@ def folded_excerpt(spark, sf_dir):
     return search.excerpt(c, ["user_id"], "event_id", F.col("event_type") == "signup", 1).select("user_id", "first", "last", "folded")
 
 
-def metric_series(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_type = 'error' and value > 60")
-    spikes = e.select((F.col("user_id") % 5).alias("service"), F.col("ts").cast("timestamp").alias("s"), (F.col("ts").cast("timestamp") + F.expr("interval 5 hours")).alias("e"))
-    return search.series(spikes, "service", "s", "e", "2024-01-02 00:00:00", "2024-01-05 00:00:00", "3 hours").withColumn("t", F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
+def metric_bands(spark, sf_dir):
+    """Each event with the number of errors of its service in the five hours before it."""
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 5).alias("service"), F.col("ts").cast("timestamp").alias("t"))
+    spikes = e.where("event_type = 'error'").select("service", F.col("t").alias("s"), (F.col("t") + F.expr("interval 5 hours")).alias("e"))
+    return search.bands(e.select("event_id", "service", "t"), spikes, "service", "t", "s", "e").select("event_id", "spikes")
 
 
 def metric_peaks(spark, sf_dir):
@@ -205,7 +206,7 @@ QUERIES = {f"ids_{k}": _ids(k) for k in _KINDS} | {
     f.__name__: f
     for f in (
         find_all_ids, typed_mentions, type_of_values, redact_secrets, outermost_spans, gazetteer_hits, label_lines, window_extract, json_leaves, count_hits, search_tokens, term_search, issue_search,
-        message_search, record_search, page_search, grep_context, grep_counts, folded_excerpt, metric_series, metric_peaks, on_call, commit_prefix, code_owners, registry_layers, newest_versions,
+        message_search, record_search, page_search, grep_context, grep_counts, folded_excerpt, metric_bands, metric_peaks, on_call, commit_prefix, code_owners, registry_layers, newest_versions,
         previews, tool_names, templates,
     )
 }
@@ -236,9 +237,8 @@ ORACLE_SQL = {f"ids_{k}": _sql_ids(ids.SHAPES[k].replace("(?:[a-z0-9]([a-z0-9-]"
     "folded_excerpt": """WITH n AS (SELECT user_id, event_id, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM events),
  b AS (SELECT *, CASE WHEN lag(near) OVER (PARTITION BY user_id ORDER BY event_id) = near THEN 0 ELSE 1 END AS new FROM n), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM b)
  SELECT user_id, min(event_id) AS first, max(event_id) AS last, max(near) = 0 AS folded FROM g GROUP BY user_id, k""",
-    "metric_series": """WITH s AS (SELECT user_id % 5 AS service, ts AS s, ts + INTERVAL 5 HOUR AS e FROM events WHERE event_type = 'error' AND value > 60),
- p AS (SELECT service, t FROM (SELECT DISTINCT service FROM s), (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-05', INTERVAL 3 HOUR)) AS t))
- SELECT service, strftime(t, '%Y-%m-%d %H:%M:%S') AS t, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.service = p.service AND p.t BETWEEN s.s AND s.e) THEN 18.5 ELSE 0.4 END AS v FROM p""",
+    "metric_bands": """WITH e AS (SELECT event_id, event_type, user_id % 5 AS service, ts FROM events)
+ SELECT a.event_id, count(b.event_id) AS spikes FROM e a LEFT JOIN e b ON b.event_type = 'error' AND a.service = b.service AND a.ts BETWEEN b.ts AND b.ts + INTERVAL 5 HOUR GROUP BY 1""",
     "metric_peaks": "SELECT event_type, min(value) AS low, max(value) AS high, count(*) AS n, (SELECT event_id FROM events b WHERE b.event_type = a.event_type ORDER BY value DESC, event_id LIMIT 1) AS peak FROM events a GROUP BY event_type",
     "on_call": """WITH s AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + 30 AS e, l_linenumber AS p FROM lineitem), o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 40 AS at_ FROM orders)
  SELECT o_orderkey, CAST(coalesce((SELECT min_by(p, struct_pack(s := s, p := p)) FROM s WHERE k = o_orderkey AND s <= at_ AND at_ < e), (SELECT max_by(p, struct_pack(s := s, p := p)) FROM s WHERE k = o_orderkey)) AS BIGINT) AS on_call FROM o""",

@@ -18,7 +18,6 @@ from tracelens.operators import episodes
 OWN_TOOLS = ("Read", "Grep", "Glob", "Bash")
 INTERESTING = r'mcp__|"Read"|"Grep"|"Glob"|"Bash"'
 ERROR_START = r"(?i)^\s*(?:error|fatal):"
-HEADER_BYTES = 8192
 
 RECORD = "ts string, session_id string, source string, kind string, trigger string, parent_session string, prompt string, seq int, server string, tool string, input string, output string, output_text string, is_error boolean, duration_ms double, tool_use_id string, text string"
 
@@ -132,19 +131,6 @@ def changed(files: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("file", F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("now") == F.col("was"), "same").otherwise("changed").alias("state"))
 
 
-def write_episodes(calls: DataFrame, path: str, workspace: str) -> None:
-    """Append sessions that the table does not have yet, partitioned by workspace."""
-    spark = calls.sparkSession
-    rows = calls.withColumn("workspace", F.lit(workspace))
-    try:
-        have = spark.read.parquet(path).where(F.col("workspace") == workspace).select("session").distinct()
-        rows = rows.join(have, "session", "left_anti")
-    except Exception as e:  # a table that does not exist yet has nothing to leave out
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    rows.write.mode("append").partitionBy("workspace").parquet(path)
-
-
 def import_report(prompts: DataFrame, calls: DataFrame) -> DataFrame:
     """One row a session: prompts, episodes, calls, and calls per server by number and name."""
     per = calls.groupBy("session", "server").agg(F.count("*").alias("n"))

@@ -24,13 +24,19 @@ def events(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
-def ingest(stream: DataFrame) -> DataFrame:
+def ingest(stream: DataFrame, idle_hours: float = 24 * 7) -> DataFrame:
     """Calls that count, numbered within their session: foreign tools always, own tools once the session is active.
 
-    Columns: session, event_id, ts, tool, foreign.  The state of a session is whether it is active, and its last number.
+    Columns: session, event_id, ts, tool, foreign.  The state of a session is whether it is active, and its last number;
+    it goes once the session has had no call for ``idle_hours``, so that the state does not grow with all sessions there
+    ever were.  A session that goes on after that begins anew.
     """
+    idle = max(1, int(idle_hours * 3_600_000))
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         active, seq = state.get if state.exists else (False, 0)
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")
         out = []
@@ -40,9 +46,10 @@ def ingest(stream: DataFrame) -> DataFrame:
                 seq += 1
                 out.append((key[0], seq, event_id, tool))
         state.update((active, seq))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["session", "seq", "event_id", "tool"])
 
-    return stream.groupBy("session").applyInPandasWithState(step, INGESTED, "active boolean, seq long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("session").applyInPandasWithState(step, INGESTED, "active boolean, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def promote(stream: DataFrame, author: str = "promoted") -> DataFrame:
