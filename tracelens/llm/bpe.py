@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, table
+from .textbytes import give_back
 
 CHUNK = 65_536
 OVERLAP = 512
@@ -143,6 +144,7 @@ def _encoder(path: str, pattern: str):
         v = vocabulary(path, pattern)
         for batch in texts:
             yield pd.Series([v.encode(t) if isinstance(t, str) else b"" for t in batch])
+        give_back()
 
     return encode
 
@@ -153,6 +155,7 @@ def _decoder(path: str, pattern: str):
         v = vocabulary(path, pattern)
         for batch in ids:
             yield pd.Series([v.decode(bytes(x)) if x is not None else b"" for x in batch])
+        give_back()
 
     return decode
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, table
-from .textbytes import batches, word_table, words
+from .textbytes import batches, give_back, word_table, words
 
 WINDOW = 10
 DEPTH = 12  # words by which suffixes are ordered; a window may not be longer
@@ -210,6 +210,7 @@ def _scanner(spark: SparkSession, block: Block):
             yield pd.DataFrame({
                 "n_words": [r[0] for r in rows], "runs": [[{"a": x, "b": y} for x, y in r[1]] for r in rows],
                 "items": [[b.names[i] for i in sorted(r[2])] for r in rows], "longest": [r[3] for r in rows], "longest_at": [r[4] for r in rows]})
+        give_back()
 
     return run
 

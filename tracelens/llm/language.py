@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .textbytes import give_back
 
 SLOTS = 192
 TRAIN_CHARS = 14_000
@@ -221,6 +222,7 @@ def predictor(spark: SparkSession, model: Model):
                 langs += part[0]
                 scores += part[1]
             yield pd.DataFrame({"lang": langs, "score": scores})
+        give_back()
 
     return predict
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, table
 from .graph import components
-from .textbytes import SHARD_BYTES, U64, batches, draw, mix, word_table, words
+from .textbytes import SHARD_BYTES, U64, batches, draw, give_back, mix, word_table, words
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
@@ -151,6 +151,7 @@ def _sketcher(size: int, bands: int, rows: int):
                     flush()
             flush()
             yield pd.DataFrame({"n": n, "class": name, "bands": keys, "parity": odd})
+        give_back()
 
     return sketch
 
@@ -160,6 +161,7 @@ def _set_maker(size: int):
     def make(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([s.tobytes() for s in sets(batch.tolist(), size)], dtype=object)
+        give_back()
 
     return make
 

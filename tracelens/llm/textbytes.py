@@ -130,3 +130,17 @@ def words(texts: list[bytes], is_word: np.ndarray, limit: int = SHARD_BYTES, pre
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     offsets[1:] = np.searchsorted(s, ends, side="left")
     return h, offsets
+
+
+def give_back() -> None:
+    """Hand this Python worker's free memory back to the machine: workers live on between stages, beside those of later ones."""
+    import contextlib
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
