@@ -3,8 +3,9 @@
 Alternating large-star and small-star rounds: in a large-star round each node
 tells its larger neighbours the smallest id it sees, in a small-star round its
 smaller ones.  The edge list shrinks to stars around the smallest id of each
-component.  Each round is two map-side combined aggregations and two joins, so
-a node with very many neighbours is never gathered in one task.
+component.  Each round is two map-side combined aggregations and two joins; a node
+with very many neighbours is one key of a join, whose large side adaptive execution
+splits over tasks.
 """
 
 from __future__ import annotations
