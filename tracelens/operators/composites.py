@@ -14,7 +14,7 @@ from .binding import rank
 
 # The shortest value that is put in, and the characters that make a token for the boundary check.
 MIN_CHARS = 3
-TOKEN = r"[\w-]"
+TOKEN = r"[\p{L}\p{N}_-]"
 
 #: A first word and what comes before it; texts are indexed by these words.
 WORD = r"[\p{L}\p{N}_]+"

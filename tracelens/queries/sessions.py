@@ -151,7 +151,7 @@ ORACLE_SQL = {
     "composite_bindings": f"""WITH {CALLS}, f AS (SELECT a.event_id, min_by(b.tool, b.event_id) AS tool FROM calls a JOIN calls b ON a.user_id = b.user_id AND a.day = b.day AND a.k = b.k AND b.event_id < a.event_id GROUP BY 1)
  SELECT c.event_id AS "at", CASE WHEN f.tool IS NOT NULL THEN 'find {{{{ ' || f.tool || '.k }}}} of xkey-' || c.k END AS template, CAST(CASE WHEN f.tool IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n FROM calls c LEFT JOIN f USING (event_id)""",
     "quoted_values": r"""WITH w AS (SELECT DISTINCT conv_id, turn AS src, unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS part FROM conversations WHERE role = 'assistant')
- SELECT u.conv_id, u.turn AS "at", part, src FROM conversations u JOIN w ON w.conv_id = u.conv_id AND src < u.turn AND contains(u.text, part) AND u.text != part WHERE role = 'user' AND regexp_matches(u.text, '(^|[^\w-])' || part || '($|[^\w-])')""",
+ SELECT u.conv_id, u.turn AS "at", part, src FROM conversations u JOIN w ON w.conv_id = u.conv_id AND src < u.turn AND contains(u.text, part) AND u.text != part WHERE role = 'user' AND regexp_matches(u.text, '(^|[^\p{L}\p{N}_-])' || part || '($|[^\p{L}\p{N}_-])')""",
     "carried_values": """WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL), v AS (SELECT DISTINCT conv_id, turn AS t, unnest(regexp_extract_all(text, '[a-z]{8,}')) AS value FROM c WHERE turn > 0),
  s AS (SELECT v.*, EXISTS (SELECT 1 FROM c WHERE c.conv_id = v.conv_id AND turn = 0 AND list_contains(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), value)) AS given,
    (SELECT max(turn) FROM c WHERE c.conv_id = v.conv_id AND turn > 0 AND turn < v.t AND list_contains(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), value)) AS src FROM v)
