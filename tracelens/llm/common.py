@@ -111,7 +111,7 @@ class Scratch:
 
 
 #: Bytes of a table that is sent to every executor instead of shuffling the wide side of a join.
-NARROW_BYTES = 256 << 10
+NARROW_BYTES = 32 << 20
 
 
 def narrow(ids: DataFrame, scratch: Scratch, most: int = NARROW_BYTES) -> DataFrame:
