@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .ranking import cut
 
-# Fixed value: fallbacks worth trying when a flow runs.
+# Fallbacks worth trying when a flow runs, values of an unresolved argument that a report shows.
 MAX_LADDER = 6
+MAX_SHOWN = 20
 
 MAPS = ("args", "raw", "kinds", "classes")
 REFERENCE = r"\{\{[^}]*\}\}"
@@ -52,27 +53,39 @@ def collapse(steps: DataFrame) -> DataFrame:
     """Runs of neighbouring calls of one tool become one step each: repeats, a fan-out over the elements of a list, or a ladder of templates tried after no hits.
 
     A run ends where a call does not follow from the one before, or follows in another way than the run so far (repeats
-    fit any).  Adds repeated (equal calls), each (the argument that takes the items), items, and ladder (its templates in
-    order); hits are the sum over items, the last rung's, or the most of equal calls.
+    fit any).  Adds repeated (equal calls), each (the argument that takes the items), items, item_refs (the references that
+    gave them), rung (the argument of a ladder), ladder (its templates in order) and rung_hits; hits are the sum over
+    items, the last rung's, or the most of equal calls.
     """
     order = Window.partitionBy("trigger", "session").orderBy("idx")
     rows = _maps(steps).withColumn("was", F.lag(F.struct("tool", "args", "raw", "kinds", "hits")).over(order))
     rows = rows.withColumn("way", _way({c: F.col(c) for c in ("tool", "args", "raw", "kinds")}, F.col("was"))).drop("was")
     rows = rows.withColumn("stretch", F.sum(F.col("way").isNull().cast("int")).over(order))
-    narrower = F.when(F.col("way.how") != "repeat", F.col("way"))
-    before = F.last(narrower, ignorenulls=True).over(Window.partitionBy("trigger", "session", "stretch").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("starts", F.col("way").isNull() | F.coalesce(narrower != before, F.lit(False)))
+    # neighbouring ways that are equal form a block; the call with a block's first way begins a run of its own, unless the
+    # run before it has no way yet: then the block goes on with that one
+    stretch = Window.partitionBy("trigger", "session", "stretch")
+    rows = rows.withColumn("narrower", F.when(F.col("way.how") != "repeat", F.col("way")))
+    before = F.last("narrower", ignorenulls=True).over(stretch.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("turns", F.col("narrower").isNotNull() & ~F.col("narrower").eqNullSafe(before))
+    rows = rows.withColumn("block", F.sum(F.col("turns").cast("long")).over(stretch.orderBy("idx")))
+    single = F.count("narrower").over(Window.partitionBy("trigger", "session", "stretch", "block")) == 1
+    rows = rows.withColumn("settled", F.when(~single | (F.col("block") <= 1), F.col("block")))
+    last = F.max("settled").over(stretch.orderBy("block").rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("starts", F.col("way").isNull() | F.coalesce(F.col("turns") & (F.col("block") > 1) & ((F.col("block") - last) % 2 == 1), F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.col("starts").cast("int")).over(order)).withColumn("way", F.when(~F.col("starts"), F.col("way")))
     how = F.col("way.how")
     runs = rows.groupBy("trigger", "session", "run").agg(
         F.min_by(F.struct("idx", "tool", *MAPS), "idx").alias("first"), F.max_by(F.struct("args", "hits"), "idx").alias("last"),
         F.max(F.when(how == "each", F.col("way.arg"))).alias("each"), F.max(F.when(how == "ladder", F.col("way.arg"))).alias("rung"),
         F.sum("hits").alias("total"), F.max("hits").alias("most"), (F.count_if(how == "repeat") + 1).alias("repeated"), (F.count_if(how == "each") + 1).alias("items"),
-        F.transform(F.array_sort(F.collect_list(F.when(how == "ladder", F.struct("idx", F.col("args")[F.col("way.arg")].alias("t"))))), lambda x: x["t"]).alias("tried"))
+        F.array_sort(F.collect_list(F.when(how == "ladder", F.struct("idx", F.col("args")[F.col("way.arg")].alias("t"), "hits")))).alias("tried"),
+        F.collect_set(F.when(how == "each", F.regexp_extract(F.col("args")[F.col("way.arg")], REFERENCE, 0))).alias("taken"), F.min_by("hits", "idx").alias("hits_first"))
     args = F.when(F.col("each").isNotNull(), F.transform_values(F.col("first.args"), lambda k, v: F.when(k == F.col("each"), _per_item(v)).otherwise(v))).when(F.col("rung").isNotNull(), F.col("last.args")).otherwise(F.col("first.args"))
-    ladder = F.when(F.col("rung").isNotNull(), F.concat(F.array(F.col("first.args")[F.col("rung")]), F.col("tried"))).otherwise(F.array().cast("array<string>"))
+    rungs = lambda first, field, kind: F.when(F.col("rung").isNotNull(), F.concat(F.array(first), F.transform("tried", lambda x: x[field]))).otherwise(F.array().cast(kind))
+    ladder, rung_hits = rungs(F.col("first.args")[F.col("rung")], "t", "array<string>"), rungs(F.col("hits_first"), "hits", "array<long>")
+    refs = F.when(F.col("each").isNotNull(), F.array_sort(F.array_remove(F.array_union("taken", F.array(F.regexp_extract(F.col("first.args")[F.col("each")], REFERENCE, 0))), ""))).otherwise(F.array().cast("array<string>"))
     hits = F.when(F.col("each").isNotNull(), F.col("total")).when(F.col("rung").isNotNull(), F.col("last.hits")).otherwise(F.col("most"))
-    return runs.select("trigger", "session", "first.idx", "first.tool", args.alias("args"), "first.raw", "first.kinds", "first.classes", hits.alias("hits"), "repeated", "each", "items", ladder.alias("ladder"))
+    return runs.select("trigger", "session", "first.idx", "first.tool", args.alias("args"), "first.raw", "first.kinds", "first.classes", hits.alias("hits"), "repeated", "each", "items", refs.alias("item_refs"), "rung", ladder.alias("ladder"), rung_hits.alias("rung_hits"))
 
 
 def _signatures(steps: DataFrame) -> DataFrame:
@@ -119,27 +132,61 @@ def align(steps: DataFrame) -> DataFrame:
     return rows.join(common.withColumn("step", number.cast("long")), ["trigger", "tool", "component", "turn"]).select(*steps.columns, "step")
 
 
-def merge_arguments(aligned: DataFrame) -> DataFrame:
-    """(trigger, step, arg, kind, templates): each argument of a common step as constant, bound, ladder or unresolved.
+def argument_rows(aligned: DataFrame) -> DataFrame:
+    """One row for each template that a session's step gives an argument: (trigger, step, session, idx, arg, template, hits, open, raw, window); a ladder gives one for each rung, with its own hits.
 
-    Literals go by majority, the first seen at ties.  Different templates become a ladder by hit rate, then frequency; a
-    literal of a single session never gets on it.  An argument whose values differ with no binding is unresolved.
+    ``open``: nothing explains the value; ``window``: it refers to a time.
     """
+    has = aligned.columns
+    rung = F.col("rung") if "rung" in has else F.lit(None).cast("string")
+    rows = aligned.select("trigger", "step", "session", "idx", "hits", "kinds", "classes", "raw", rung.alias("rung"), *([c for c in ("ladder", "rung_hits") if c in has]), F.explode("args").alias("arg", "template"))
+    one = F.array(F.struct(F.col("template").alias("t"), F.col("hits").alias("h")))
+    tried = F.when(F.col("arg") == F.col("rung"), F.zip_with("ladder", "rung_hits", lambda t, h: F.struct(t.alias("t"), h.alias("h")))).otherwise(one) if "rung_hits" in has else one
+    open_ = F.coalesce(F.col("kinds")[F.col("arg")] == "unresolved", F.lit(False))
+    window = F.coalesce(F.col("classes")[F.col("arg")] == "window", F.lit(False))
+    return rows.select("trigger", "step", "session", "idx", "arg", F.explode(tried).alias("x"), open_.alias("open"), F.col("raw")[F.col("arg")].alias("raw"), window.alias("window")).select(
+        "trigger", "step", "session", "idx", "arg", F.col("x.t").alias("template"), F.col("x.h").alias("hits"), "open", "raw", "window")
+
+
+def merge_arguments(aligned: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(trigger, step, arg, kind, templates, dropped, open_values, seen_in): each argument of a common step as constant, bound, majority, window, ladder or unresolved.
+
+    Without any reference the usual literal goes, the first seen at ties; if values differ that nothing explains, the
+    argument is unresolved.  Times never become a ladder: the template of most sessions goes.  Other different templates
+    become a ladder by hit rate, then frequency, then references, ``MAX_LADDER`` at most; an unexplained literal of a
+    single session never gets on it.  Rungs that render the same references are one query with changing constants: the
+    first stays and the argument is unresolved.  ``dropped`` counts what is left out; ``open_values`` are the first
+    ``MAX_SHOWN`` values of an unresolved argument.  Variants are ranked by a bounded window, never gathered.
+    """
+    rows = argument_rows(aligned) if rows is None else rows
+    key = ["trigger", "step", "arg"]
     sessions = aligned.groupBy("trigger", "step").agg(F.countDistinct("session").alias("seen_in"))
-    args = aligned.select("trigger", "step", "session", "idx", "hits", "kinds", F.explode("args").alias("arg", "template"))
-    args = args.withColumn("kind", F.col("kinds")[F.col("arg")])
-    fixed = F.col("kind").isin("literal", "unresolved")
-    rungs = args.groupBy("trigger", "step", "arg", "template", fixed.alias("fixed"), (F.col("kind") == "unresolved").alias("open")).agg(
-        F.count("*").alias("n"), F.countDistinct("session").alias("s"), F.avg((F.col("hits") > 0).cast("double")).alias("rate"), F.min(F.struct("session", "idx")).alias("first"))
-    key = F.struct((-F.col("rate")).alias("r"), (-F.col("n")).alias("n"), "first", "template")
-    per = rungs.groupBy("trigger", "step", "arg").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("fixed"), key))).alias("bound"), F.array_sort(F.collect_list(F.when(F.col("fixed") & (F.col("s") > 1), key))).alias("common"),
-        F.min_by("template", F.when(F.col("fixed"), F.struct((-F.col("n")).alias("m"), "first"))).alias("usual"),
-        F.count_if(F.col("fixed")).alias("values"), F.bool_or("open").alias("open"))
-    ladder = F.slice(F.transform(F.concat("bound", "common"), lambda x: x["template"]), 1, MAX_LADDER)
-    kind = F.when((F.size("bound") == 0) & (F.col("values") == 1), "constant").when((F.size("bound") == 0) & F.col("open"), "unresolved").when(F.size("bound") == 0, "majority").when(F.size(ladder) == 1, "bound").otherwise("ladder")
-    templates = F.when(F.size("bound") == 0, F.array("usual")).otherwise(ladder)
-    return per.select("trigger", "step", "arg", kind.alias("kind"), templates.alias("templates")).join(sessions, ["trigger", "step"])
+    refs = F.regexp_extract_all("template", F.lit(REFERENCE), F.lit(0))
+    variants = rows.groupBy(*key, "template").agg(
+        F.count("*").alias("n"), F.countDistinct("session").alias("s"), F.avg((F.col("hits") > 0).cast("double")).alias("rate"), F.min(F.struct("session", "idx")).alias("first"), F.bool_or("open").alias("open"), F.bool_or("window").alias("window"))
+    variants = variants.withColumn("refs", F.array_join(refs, " ")).withColumn("n_refs", F.size(refs)).withColumn("bound", F.col("n_refs") > 0)
+    variants = variants.withColumn("stays", ~(~F.col("bound") & F.col("open") & (F.col("s") == 1)))
+    shape = F.when(F.col("stays"), F.col("refs"))
+    per = variants.groupBy(*key).agg(
+        F.count("*").alias("variants"), F.count_if("bound").alias("bounds"), F.count_if("stays").alias("stay"), F.bool_or("window").alias("window"), (F.min(shape) == F.max(shape)).alias("alike"),
+        F.min_by("template", F.struct((-F.col("n")).alias("m"), "first", "template")).alias("usual"), F.min_by("template", F.struct((-F.col("s")).alias("m"), "template")).alias("time"))
+    best = Window.partitionBy(*key).orderBy(F.col("rate").desc(), F.col("n").desc(), F.col("n_refs").desc(), "first", "template")
+    top = variants.where("stays").withColumn("r", F.row_number().over(best)).where(F.col("r") <= MAX_LADDER)
+    top = top.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "template"))), lambda x: x["template"]).alias("rungs"))
+    values = rows.where("open").groupBy(*key, "raw").agg(F.lit(True).alias("v"))
+    shown = values.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("raw"))).where(F.col("r") <= MAX_SHOWN)
+    shown = shown.groupBy(*key).agg(F.array_sort(F.collect_list("raw")).alias("shown"))
+    both = per.join(top, key, "left").join(shown, key, "left").join(sessions, ["trigger", "step"])
+    several = F.coalesce(F.size("shown") > 1, F.lit(False))
+    kind = (
+        F.when((F.col("variants") == 1) & (F.col("bounds") == 0), "constant").when(F.col("variants") == 1, "bound").when((F.col("bounds") == 0) & several, "unresolved").when(F.col("bounds") == 0, "majority")
+        .when(F.col("window"), "window").when(F.col("stay") == 1, "bound").when(F.col("alike"), "unresolved").otherwise("ladder")
+    )
+    both = both.withColumn("kind", kind)
+    fixed = F.col("kind").isin("constant", "majority") | (F.col("bounds") == 0)
+    templates = F.when(fixed | (F.col("variants") == 1), F.array("usual")).when(F.col("kind") == "window", F.array("time")).when(F.col("kind") == "unresolved", F.slice("rungs", 1, 1)).otherwise(F.col("rungs"))
+    dropped = F.when(F.col("kind").isin("ladder", "bound"), F.col("variants") - F.size(templates)).otherwise(0)
+    return both.select(*key, "kind", templates.alias("templates"), dropped.cast("long").alias("dropped"), F.when(several | (F.col("kind") == "unresolved"), F.coalesce("shown", F.array().cast("array<string>"))).alias("open_values"), "seen_in")
 
 
 def reproduces(rendered: DataFrame, recorded: DataFrame, key: list[str]) -> DataFrame:
