@@ -125,6 +125,24 @@ WEEKS = (
  w AS (SELECT session, first_value(tool) OVER s AS trigger, row_number() OVER s - 1 AS idx, tool, CAST(CAST(k AS INT) % 8 AS VARCHAR) AS key, CASE WHEN value > 100 THEN 'large' ELSE 'small' END AS size
    FROM wk WINDOW s AS (PARTITION BY session ORDER BY ts, event_id))"""
 )
+
+
+def _dependency_sql() -> str:
+    """Level by level: seven suppliers a graph, each waiting for larger ones only, so at most seven levels."""
+    parts = [
+        "o AS (SELECT o_custkey AS graph, 's' || (l_suppkey % 7) AS node, (o_orderkey, l_linenumber) AS pl FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
+        "n AS (SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY min(pl)) AS rank FROM o GROUP BY 1, 2)",
+        "e AS (SELECT DISTINCT graph, node, dep FROM (SELECT *, lag(node) OVER (PARTITION BY graph ORDER BY pl) AS dep FROM o) WHERE dep > node)",
+        "d AS (SELECT graph, node, 0 AS lv FROM n UNION SELECT e.graph, e.node, d.lv + 1 FROM d JOIN e ON e.graph = d.graph AND e.dep = d.node)",
+        "v AS (SELECT n.graph, n.node, n.rank, max(lv) AS lv FROM n JOIN d USING (graph, node) GROUP BY ALL)",
+        "k0 AS (SELECT graph, node, [rank] AS path FROM v WHERE lv = 0)",
+    ]
+    for i in range(1, 7):
+        parts.append(f"m{i} AS (SELECT v.graph, v.node, v.rank, max(path) AS floor FROM v JOIN e ON e.graph = v.graph AND e.node = v.node JOIN k{i - 1} k ON k.graph = e.graph AND k.node = e.dep WHERE lv = {i} GROUP BY ALL)")
+        parts.append(f"k{i} AS (SELECT * FROM k{i - 1} UNION ALL SELECT graph, node, CASE WHEN floor > [rank] THEN list_append(floor, rank) ELSE [rank] END FROM m{i})")
+    return "WITH RECURSIVE " + ",\n ".join(parts) + "\n SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY path, node) - 1 AS place FROM k6"
+
+
 ORACLE_SQL = {
     "replayed_bindings": f"""WITH {WEEKS}, f AS (SELECT trigger, session, tool AS step, arg_min(key, idx) AS key, arg_min(size, idx) AS size FROM w GROUP BY ALL), i AS (SELECT session, key AS asked FROM w WHERE idx = 0),
  r AS (SELECT f.trigger, f.step, asked, unnest([{{'a': 'key', 't': '{{{{ inputs.key }}}}', 'v': f.key, 'g': asked}}, {{'a': 'key', 't': '{{{{ ' || f.step || '.key | short }}}}', 'v': f.key, 'g': left(f.key, 10)}}, {{'a': 'size', 't': 'small', 'v': f.size, 'g': 'small'}}]) AS x FROM f JOIN i USING (session)),
@@ -132,9 +150,5 @@ ORACLE_SQL = {
  w2 AS (SELECT *, CASE WHEN passed < checked THEN 'differs' WHEN contains(template, '{{{{') AND NOT varies AND checked > 1 THEN 'constant' ELSE 'reproduced' END AS why FROM d)
  SELECT trigger, step, arg, template, checked, passed, why = 'reproduced' AS accepted, why FROM w2 UNION ALL SELECT DISTINCT trigger, tool, 'other', 'x', 0, 0, false, 'never passed' FROM w""",
     "rendered_sentences": "SELECT c_custkey, c_name || ' of ' || regexp_replace(n_name || '_x', '[_-]+', ' ', 'g') || ', -' || left(c_name, 10) || '/' || c_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "dependency_order": """WITH RECURSIVE o AS (SELECT o_custkey AS graph, 's' || (l_suppkey % 7) AS node, (o_orderkey, l_linenumber) AS pl FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
- n AS (SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY min(pl)) AS rank FROM o GROUP BY 1, 2),
- e AS (SELECT DISTINCT graph, node, dep FROM (SELECT *, lag(node) OVER (PARTITION BY graph ORDER BY pl) AS dep FROM o) WHERE dep > node),
- p AS (SELECT graph, node, [rank] AS path FROM n UNION SELECT e.graph, e.node, CASE WHEN p.path > [n.rank] THEN list_append(p.path, n.rank) ELSE [n.rank] END FROM p JOIN e ON e.graph = p.graph AND e.dep = p.node JOIN n ON n.graph = e.graph AND n.node = e.node)
- SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY max(path), node) - 1 AS place FROM p GROUP BY graph, node""",
+    "dependency_order": _dependency_sql(),
 }
