@@ -97,7 +97,7 @@ def rendered_sentences(spark, sf_dir):
 def _order_graphs(spark, sf_dir):
     """Of each customer, the suppliers in the order in which they first come up: a small graph."""
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    o = o.select(F.col("o_custkey").alias("graph"), F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("node"), F.struct("o_orderkey", "l_linenumber").alias("at"), F.col("l_quantity"))
+    o = o.select(F.col("o_custkey").alias("graph"), F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("node"), F.struct("o_orderkey", "l_linenumber", "l_suppkey", "l_quantity").alias("at"), F.col("l_quantity"))
     rank = F.row_number().over(W.partitionBy("graph").orderBy("at"))
     nodes = o.groupBy("graph", "node").agg(F.min("at").alias("at")).withColumn("rank", rank.cast("long")).select("graph", "node", "rank")
     before = F.lag("node").over(W.partitionBy("graph").orderBy("at"))
@@ -130,7 +130,7 @@ WEEKS = (
 def _dependency_sql() -> str:
     """Level by level: seven suppliers a graph, each waiting for larger ones only, so at most seven levels."""
     parts = [
-        "o AS (SELECT o_custkey AS graph, 's' || (l_suppkey % 7) AS node, (o_orderkey, l_linenumber) AS pl FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
+        "o AS (SELECT o_custkey AS graph, 's' || (l_suppkey % 7) AS node, (o_orderkey, l_linenumber, l_suppkey, l_quantity) AS pl FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
         "n AS (SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY min(pl)) AS rank FROM o GROUP BY 1, 2)",
         "e AS (SELECT DISTINCT graph, node, dep FROM (SELECT *, lag(node) OVER (PARTITION BY graph ORDER BY pl) AS dep FROM o) WHERE dep > node)",
         "d AS (SELECT graph, node, 0 AS lv FROM n UNION SELECT e.graph, e.node, d.lv + 1 FROM d JOIN e ON e.graph = d.graph AND e.dep = d.node)",
