@@ -1,4 +1,5 @@
 import json
+import random
 
 from tracelens.operators import dataflow, induce, positions
 
@@ -39,6 +40,38 @@ def test_positions_anchor_beats_number(spark):
     assert positions.value_of(program, "list 1 2 3 4\nchosen=9b9b\nrest=0") == "9b9b"
 
 
+def test_positions_prefer_what_fits_no_other_value(spark):
+    """A number among the values cannot explain the choice, an anchor can; of two anchors the one that fits fewer others goes."""
+    texts = ["box aa11bb22 cc33dd44\npick=ee55ff66\nlast=12ab34cd", "box 12121212\npick=fe98dc76\nlast=ab12cd34 98769876", "box 33334444 55556666 77778888\npick=ba76dc98\nlast=00000000"]
+    values = ["ee55ff66", "fe98dc76", "ba76dc98"]
+    rows = [("s", "a", t, t.index(v), t.index(v) + len(v)) for t, v in zip(texts, values, strict=True)]
+    rows += [("s", "kept", t, t.index(v), t.index(v) + len(v)) for t, v in (("one two three four", "three"), ("a b c d e f", "e"))]
+    (a, kept) = positions.learn_programs(spark.createDataFrame(rows, EXAMPLE), ["step", "arg"], gate=True).orderBy("arg").collect()
+    assert positions.value_of(a["program"], "box 1 2 3\npick=0a0b0c0d\nlast=1") == "0a0b0c0d" and (a["examples"], a["holds"]) == (3, True)
+    assert (kept["examples"], kept["holds"]) == (2, False)
+
+
+def test_held_out_gate_is_leave_one_out(spark):
+    """The gate from counts against learning anew without each example."""
+    rnd, rows = random.Random(3), []
+    for arg in range(14):
+        for _ in range(rnd.randint(1, 5)):
+            words = [rnd.choice(["alpha", "b7", "x-1", "99", "id:", "k=v"]) for _ in range(rnd.randint(2, 6))]
+            value, place = f"v{rnd.randint(10, 99)}", rnd.randint(0, len(words))
+            marked = [*words[:place], *(["at:"] if arg % 3 else []), value, *words[place:]]
+            text = rnd.choice([" ", " ", "\n"]).join(marked)
+            rows.append(("s", f"{arg:02}", text, text.index(value), text.index(value) + len(value)))
+    rows = sorted(set(rows))
+    got = {r["arg"]: (r["program"], r["examples"], r["holds"]) for r in positions.learn_programs(spark.createDataFrame(rows, EXAMPLE), ["step", "arg"], gate=True).collect()}
+    folds = [(f"{i}", r[1], *r[2:]) for i, x in enumerate(rows) for r in rows if r[1] == x[1] and r != x]
+    learnt = {(r["step"], r["arg"]): r["program"] for r in positions.learn_programs(spark.createDataFrame(folds, EXAMPLE), ["step", "arg"]).collect()}
+    for arg in got:
+        mine = [(i, x) for i, x in enumerate(rows) if x[1] == arg]
+        finds = [(p := learnt.get((f"{i}", arg))) is not None and positions.value_of(p, x[2]) == x[2][x[3] : x[4]] for i, x in mine]
+        assert got[arg][1:] == (len(mine), len(mine) > 1 and all(finds)), arg
+    assert {True, False} == {g[2] for g in got.values()}
+
+
 def test_positions_without_program(spark):
     rows = [("s", "none", "a b", 0, 1), ("s", "none", "c d", 2, 3), ("s", "class", "ab|cd", 3, 5), ("s", "class", "xy-zw", 3, 5), ("s", "place", "ab|cd", 3, 5), ("s", "place", "abcde", 3, 5), ("s", "bad", None, 0, 1), ("s", "bad", "abc", 2, 9), (None, "class", "k: v", 3, 4)]
     got = {(r["step"], r["arg"]): r["program"] for r in positions.learn_programs(spark.createDataFrame(rows, EXAMPLE), ["step", "arg"]).collect()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelens.operators import binding, flows, induce, ordering, templates
+from tracelens.operators import binding, flows, induce, ordering, positions, templates
 
 from .tables import CALLS, calls, read
 
@@ -118,7 +118,34 @@ def cyclic_order(spark, sf_dir):
     return order.join(cuts.groupBy("graph", "node").agg(F.count("*").alias("lost")), ["graph", "node"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
 
 
-QUERIES = {f.__name__: f for f in (collapsed_steps, aligned_steps, induced_flows, induced_arguments, induced_cases, replayed_bindings, rendered_sentences, dependency_order, cyclic_order)}
+def _position_examples(spark, sf_dir) -> DataFrame:
+    """Sentences about suppliers, a key for each nation, and what was taken from them: the nation, the balance, or a word at a place that nothing explains."""
+    s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    balance = F.format_string("%.2f", "s_acctbal")
+    text = F.concat(F.lit("ref "), F.repeat(F.lit("x1 "), (F.col("s_suppkey") % 3).cast("int")), F.lit("Supplier "), "s_name", F.lit(" from nation="), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("\nbalance: "), balance, F.lit(" USD\nnote a b c d"))
+    odd = F.substring("s_name", -1, 1)
+    some = lambda arg, value: F.struct(F.lit(arg).alias("arg"), value.alias("value"))
+    picked = F.explode(F.array(some("nation", F.replace("n_name", F.lit(" "), F.lit("_"))), some("balance", balance), some("name", F.col("s_name")), some("odd", F.element_at(F.array(F.lit("a b"), F.lit("b"), F.lit("USD"), F.lit("balance")), (odd.cast("int") % 4 + 1))))).alias("x")
+    rows = s.select((F.col("s_nationkey") % 5).cast("string").alias("step"), text.alias("text"), picked).select("step", "x.arg", "text", "x.value")
+    start = F.expr("locate(value, text) - 1")
+    return rows.select("step", "arg", "text", start.cast("long").alias("start"), (start + F.length("value")).cast("long").alias("end"))
+
+
+def learned_positions(spark, sf_dir):
+    """Where each argument stands in its text, learnt from all suppliers, with the held-out gate."""
+    p = positions.learn_programs(_position_examples(spark, sf_dir), ["step", "arg"], gate=True)
+    return p.select("step", "arg", "program", "examples", "holds")
+
+
+def positioned_values(spark, sf_dir):
+    """The values that programs which hold find in all texts again."""
+    examples = _position_examples(spark, sf_dir)
+    programs = positions.learn_programs(examples, ["step", "arg"], gate=True).where("holds and arg != 'odd'")
+    texts = examples.join(programs.select("step", "arg"), ["step", "arg"], "left_semi")
+    return positions.extract(texts, programs, ["step", "arg"], "text").groupBy("step", "arg", "value").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (collapsed_steps, aligned_steps, induced_flows, induced_arguments, induced_cases, replayed_bindings, rendered_sentences, dependency_order, cyclic_order, learned_positions, positioned_values)}
 WEEKS = (
     CALLS
     + """, wk AS (SELECT *, user_id || '-' || strftime(date_trunc('week', day), '%Y%m%d') AS session FROM calls),
@@ -151,4 +178,6 @@ ORACLE_SQL = {
  SELECT trigger, step, arg, template, checked, passed, why = 'reproduced' AS accepted, why FROM w2 UNION ALL SELECT DISTINCT trigger, tool, 'other', 'x', 0, 0, false, 'never passed' FROM w""",
     "rendered_sentences": "SELECT c_custkey, c_name || ' of ' || regexp_replace(n_name || '_x', '[_-]+', ' ', 'g') || ', -' || left(c_name, 10) || '/' || c_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "dependency_order": _dependency_sql(),
+    "positioned_values": """WITH s AS (SELECT CAST(s_nationkey % 5 AS VARCHAR) AS step, unnest([{'arg': 'nation', 'value': replace(n_name, ' ', '_')}, {'arg': 'balance', 'value': printf('%.2f', s_acctbal)}, {'arg': 'name', 'value': s_name}]) AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+ SELECT step, x.arg AS arg, x.value AS value, count(*) AS n FROM s WHERE step IN (SELECT step FROM s GROUP BY 1 HAVING count(*) > 3) GROUP BY ALL""",
 }
