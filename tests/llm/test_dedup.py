@@ -142,3 +142,15 @@ def test_components(spark, edges):
             g.join(a, b)
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {x: g.find(x) for x in g.up}
+
+
+def test_rows_of_one_id_share_a_component(spark):
+    """An id with several texts, or embeddings, joins whatever is linked with any of them."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (1, c), (20, c + " more"), (20, b + " end"), (30, "alone"), (None, a), (8, None), (8, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"))
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got.where("doc_id is not null").collect()} == {(1, 1, True), (3, 1, False), (5, 1, False), (9, 1, False), (20, 1, False), (30, 30, True), (8, 8, True)}
+    x, y = [1.0, 0.0, 0.0, 0.5], [0.0, 1.0, 0.3, 0.0]
+    vectors = spark.createDataFrame([(3, x), (5, x), (5, y), (9, y), (7, [0.0, 0.0, 0.0, 1.0]), (7, None)], "vec_id long, embedding array<float>")
+    got = embeddings.near_duplicates(vectors, Scratch(spark, "t"))
+    assert {(r["vec_id"], r["component_id"], r["kept"]) for r in got.collect()} == {(3, 3, True), (5, 3, False), (9, 3, False), (7, 7, True)}

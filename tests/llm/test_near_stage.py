@@ -35,3 +35,12 @@ def test_copies_without_id(spark, named):
     assert len(texts & {b, b + " end"}) == 1 and len(texts & {a, words(200, {199})}) == 1
     if named != 2**63 - 1:
         assert (named, a) in got
+
+
+def test_extra_map_column(spark):
+    """Wholly equal rows of one doc_id become one, also beside a map."""
+    rows = [(1, words(60), {"a": 1}), (1, words(60), {"a": 1}), (1, words(60), {"a": 2}), (2, words(60), None), (3, "other", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    out = dict(cp.STAGES)["near_dedup"](spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["m"]) for r in out.collect()), key=repr) == [(1, {"a": 1}), (1, {"a": 2}), (3, None)]

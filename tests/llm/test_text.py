@@ -234,7 +234,9 @@ def test_urls(spark):
         (11, "https://far.io/q", link.format("https://alias.io/p?utm_source=1")), (12, "https://mixed.io/", link.format("https://a.com/en/y")), (13, "https://a.com/en/y", link.format("https://example.com/en/7")), (1, "https://a.com/en/x", None),
     ]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumns({"addr": F.lit(1), "component": F.lit(1), "host": F.lit("z")})
-    out = urls.judge(pages, Scratch(spark, "t"))
+    # without the normal forms, the link to a tracked url is no link to its page
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, Scratch(spark, "t")).collect()}[11] == "allow"
+    out = urls.judge(pages, Scratch(spark, "t"), normal=True)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
     assert out.count() == len(rows)
     assert got == {
@@ -298,6 +300,17 @@ def pii_reference(text):
     return spans
 
 
+def test_no_plan_shows_the_key(spark):
+    secret = "a-key-that-nobody-should-read"
+    docs = spark.createDataFrame([(1, "call (212) 555-0199 or mail a@b.example", 5)], "doc_id long, text string, _key int")
+    out = pii.pseudonymise(docs, secret)
+    assert out.columns == ["doc_id", "text", "_key", "n_replaced"]
+    (row,) = out.collect()
+    assert row["n_replaced"] == 2 and row["_key"] == 5 and pii.pseudonymise(docs, secret).collect() == [row] != pii.pseudonymise(docs, "other").collect()
+    for seen in (out._jdf.queryExecution().toString(), out._jdf.queryExecution().executedPlan().treeString(), out._jdf.queryExecution().optimizedPlan().treeString()):
+        assert secret not in seen
+
+
 def test_pii_query(spark):
     """The whole table: only validated values change, in their places and formats, and equal ones alike."""
     spark.conf.set(pii.KEY_SETTING, "secret")

@@ -34,5 +34,15 @@ def test_forms_pass_the_block_on(spark, query):
 
 def test_decoded_target_is_the_page(spark):
     rows = [(1, "http://example.net/s", "<link rel=canonical href='http://h.xyz/s?b=2&amp;a=1'>"), (2, "http://h.xyz/s?a=1&b=2", "<link rel=canonical href='http://example.net/de/8'>")]
-    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t")).collect()
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t"), normal=True).collect()
     assert [r["verdict"] for r in out] == ["block", "block"]
+
+
+def test_no_verdict_without_an_edge(spark):
+    urls_ = ["http://x.com/en/", "http://x.com/en", "http://www.x.com/en?ref=1", "http://x.com/en/#top", "https://x.com/en/"]
+    df = spark.createDataFrame([(i, u, "<p></p>") for i, u in enumerate(urls_)], "page_id long, url string, html string")
+    assert [r["verdict"] for r in urls.judge(df, Scratch(spark, "t")).orderBy("page_id").collect()] == ["block", "allow", "allow", "block", "block"]
+    assert [r["verdict"] for r in urls.judge(df, Scratch(spark, "t"), normal=True).orderBy("page_id").collect()] == ["block"] * 5
+    seen = spark.createDataFrame([("http://www.x.com/en?ref=1", "http://x.com/en/")], "from_url string, to_url string")
+    assert [r["verdict"] for r in urls.judge(df, Scratch(spark, "t"), redirects=seen).orderBy("page_id").collect()] == ["block", "allow", "block", "block", "block"]
+    assert urls.judge(df.where("false"), Scratch(spark, "t")).collect() == []

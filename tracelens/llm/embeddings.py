@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, table
-from .graph import components
+from .graph import components, shared_ids
 
 THRESHOLD = 0.95
 #: Wanted share of the links of exactly the threshold; closer ones are found more surely.
@@ -252,7 +252,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     found = scratch.save(rows.mapInPandas(_compare(threshold), "id long, links long, root long"), "links")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
+    # rows of one id stand for one vector of the graph, so a vec_id with several embeddings joins their classes
+    known = shared_ids(got.where("class is not null and vec_id is not null"), "vec_id", "class", classes)
+    comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(known), scratch)
     heads = classes.select("class", "w", "id").join(links, "id", "left").join(comps, "id", "left")
     heads = heads.select("class", "w", "links", F.coalesce("component", "id").alias("c"))
     out = got.select("vec_id", "class").join(heads, "class", "left")

@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+def shared_ids(rows: DataFrame, id_: str, class_: str, heads: DataFrame) -> DataFrame:
+    """Edges (a, b) between an id that stands in several classes and the head of each of them; ``heads`` has (class, id).
+
+    Rows with one id are one node of the graph, so their classes belong together.
+    """
+    many = rows.groupBy(id_).agg(F.min(class_).alias("lo"), F.max(class_).alias("hi")).where("lo != hi").select(id_)
+    return rows.select(id_, class_).join(many, id_, "left_semi").join(heads.select(F.col("id").alias("b"), F.col("class").alias(class_)), class_).select(F.col(id_).alias("a"), "b").where("a != b").distinct()
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """``edges`` has columns a and b of one orderable type; returns (id, component) of every node on an edge.
 

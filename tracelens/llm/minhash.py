@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, table
-from .graph import components
+from .graph import components, shared_ids
 from .textbytes import SHARD_BYTES, U64, batches, draw, give_back, mix, word_table, words
 
 SHINGLE = 5
@@ -202,10 +202,10 @@ def local_forest(edges: DataFrame) -> DataFrame:
     return edges.mapInPandas(run, "a long, b long")
 
 
-def linked(heads: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def linked(heads: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE, known: DataFrame | None = None) -> DataFrame:
     """(id, component) of all documents with a confirmed link.
 
-    ``heads``: (id, n, bands, parity) of one document of each class, ``texts``: (id, text) of all ids.
+    ``heads``: (id, n, bands, parity) of one document of each class, ``texts``: (id, text) of all ids, ``known``: links (a, b) that need no check.
     """
     members = heads.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     several = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
@@ -226,6 +226,8 @@ def linked(heads: DataFrame, texts: DataFrame, scratch: Scratch, percent: int =
     pivots = groups.join(weight, "id").groupBy("bucket", lane.alias("lane")).agg(F.max(F.struct("weight", F.bitwise_not("id").alias("low"), "id", "n")).alias("p")).select("bucket", F.col("p.id").alias("p"), F.col("p.n").alias("m"))
     pairs = groups.join(pivots, "bucket").where("id != p").where(near)
     edges = confirmed(pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct())
+    if known is not None:
+        edges = edges.unionByName(known)
     comps = components(edges, scratch)
 
     # then whoever is outside the largest component of a bucket, against all of it
@@ -253,9 +255,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
     classes = scratch.save(real.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
     heads = real.join(classes, "class").where("doc_id = id").dropDuplicates(["class"]).select("id", "n", "bands", "parity")
     heads = scratch.save(heads, "heads")
-    # a doc_id that heads several classes (rows with an equal doc_id and different texts) joins them
+    # a doc_id with several texts joins their classes
+    known = scratch.save(shared_ids(real, "doc_id", "class", classes), "known")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    comps = linked(heads, texts, scratch, percent, size)
+    comps = linked(heads, texts, scratch, percent, size, known)
     head = classes.join(comps, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
     out = got.join(head, "class", "left")
     whole = F.coalesce("component_id", "doc_id")

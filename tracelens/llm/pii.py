@@ -54,13 +54,13 @@ NUMBER = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, ACCESS_KEY, PHONE, IPV4, SSN, DATE, NUMBER))
 
 
-def keyed(key: str, *parts: Column | str) -> Column:
+def keyed(key: Column | str, *parts: Column | str) -> Column:
     """A 60-bit keyed hash."""
     text = F.concat_ws("|", F.lit(key), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, left_mod: Column, right_mod: Column, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, left_mod: Column, right_mod: Column, key: Column | str, kind: str) -> Column:
     """struct(l, r): a keyed permutation of the pairs below (left_mod, right_mod).  The halves change places each round, so an even number of rounds restores them."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"), left_mod.cast("long").alias("lm"), right_mod.cast("long").alias("rm"))
 
@@ -97,7 +97,7 @@ def pad(x: Column, n: Column | int) -> Column:
     return F.lpad(x.cast("string"), n, F.lit("0") if isinstance(n, Column) else "0")
 
 
-def _number(x: Column, key: str) -> Column:
+def _number(x: Column, key: Column) -> Column:
     d = digits(x)
     payload = F.substring(d, F.lit(1), F.length(d) - 1)
     n = F.length(payload)
@@ -109,7 +109,7 @@ def _number(x: Column, key: str) -> Column:
     return F.when(valid, fill(x, F.concat(new, luhn_digit(new).cast("string")))).otherwise(x)
 
 
-def _phone(x: Column, key: str) -> Column:
+def _phone(x: Column, key: Column) -> Column:
     ten = F.substring(digits(x), -10, 10)
     # area code and exchange begin with 2 to 9: 800 area codes, then 800 exchanges of 10000 numbers
     s = feistel(F.substring(ten, 1, 3).cast("int") - 200, F.substring(ten, 4, 7).cast("int") - 2_000_000, F.lit(800), F.lit(8_000_000), key, "phone")
@@ -117,13 +117,13 @@ def _phone(x: Column, key: str) -> Column:
     return fill(x, F.concat(F.when(F.length(digits(x)) == 11, F.lit("1")).otherwise(F.lit("")), new))
 
 
-def _ipv4(x: Column, key: str) -> Column:
+def _ipv4(x: Column, key: Column) -> Column:
     o = F.transform(F.split(x, r"\."), lambda p: p.cast("int"))
     s = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65_536), F.lit(65_536), key, "ipv4")
     return F.concat_ws(".", *[y.cast("string") for half in (s["l"], s["r"]) for y in (F.floor(half / 256), half % 256)])
 
 
-def _ssn(x: Column, key: str) -> Column:
+def _ssn(x: Column, key: Column) -> Column:
     area = F.substring(x, 1, 3).cast("int")
     # areas 001 to 899 without 666: 898 values; groups 01 to 99, serials 0001 to 9999
     s = feistel(area - 1 - (area > 666).cast("int"), (F.substring(x, 5, 2).cast("int") - 1) * 9_999 + F.substring(x, 8, 4).cast("int") - 1, F.lit(898), F.lit(99 * 9_999), key, "ssn")
@@ -131,7 +131,7 @@ def _ssn(x: Column, key: str) -> Column:
     return F.concat_ws("-", pad(new, 3), pad(F.floor(s["r"] / 9_999) + 1, 2), pad(s["r"] % 9_999 + 1, 4))
 
 
-def _date(x: Column, key: str) -> Column:
+def _date(x: Column, key: Column) -> Column:
     y = F.when(F.contains(x, F.lit(".")), F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2))).when(
         F.contains(x, F.lit("/")), F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2))).otherwise(x)
     day = F.datediff(y.try_cast("date"), F.to_date(F.lit(EPOCH)))
@@ -141,17 +141,17 @@ def _date(x: Column, key: str) -> Column:
     return F.when(day.between(0, DAYS - 1), written).otherwise(x)
 
 
-def _email(x: Column, key: str) -> Column:
+def _email(x: Column, key: Column) -> Column:
     h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(x)).cast("binary"), 256)
     return F.concat(F.lit("u"), F.substring(h, 1, 16), F.lit("@"), F.substring_index(x, "@", -1))
 
 
-def _access_key(x: Column, key: str) -> Column:
+def _access_key(x: Column, key: Column) -> Column:
     h = F.upper(F.sha2(F.concat_ws("|", F.lit(key), F.lit("access"), x).cast("binary"), 256))
     return F.concat(F.lit("AKIA"), F.substring(h, 1, 16))
 
 
-def pseudonym(x: Column, key: str) -> Column:
+def pseudonym(x: Column, key: Column) -> Column:
     """The pseudonym of one match of ``ANY``."""
     whole = lambda p: x.rlike(f"^(?:{p})$")
     return (
@@ -166,14 +166,18 @@ def session_key(spark: SparkSession) -> str:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", n_out: str = "n_replaced") -> DataFrame:
-    """``docs`` with the personal data of ``text`` replaced, and the number of values that changed as the last column."""
+    """``docs`` with the personal data of ``text`` replaced, and the number of values that changed as the last column.
+
+    The key comes from a table of one row by a scalar subquery, so that no plan, and no event log of one, shows it.
+    """
     if not key:
         raise ValueError("a key is needed")
-    found, new, n_out = fresh(docs, "_found"), fresh(docs, "_new"), fresh(docs, n_out)
+    found, new, n_out, secret = fresh(docs, "_found"), fresh(docs, "_new"), fresh(docs, n_out), fresh(docs, "_key")
     t = F.col(text)
     matches = F.when(t.rlike("[@0-9]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     some = F.size(found) > 0
-    out = docs.withColumn(found, matches).withColumn(new, F.when(some, F.transform(found, lambda x: pseudonym(x, key))).otherwise(F.col(found)))
+    hidden = docs.sparkSession.createDataFrame([(key,)], "k string").scalar()
+    out = docs.withColumn(secret, hidden).withColumn(found, matches).withColumn(new, F.when(some, F.transform(found, lambda x: pseudonym(x, F.col(secret)))).otherwise(F.col(found)))
     pieces = F.zip_with(F.split(t, ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = F.aggregate(F.zip_with(found, new, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
     out = out.withColumn(n_out, F.coalesce(changed, F.lit(0).cast("long"))).withColumn(text, F.when(some, F.array_join(pieces, "")).otherwise(t))

@@ -1,11 +1,12 @@
 """URL block lists that reach all aliases of an address.
 
 Host and path rules decide first.  All other pages are judged through their
-aliases: redirects, canonical links and refreshes are edges between addresses
-(written without scheme, ``www.``, fragment, tracking parameters and trailing
-slash), and the connected components of that graph share a verdict; addresses known from links
-only count too.  An explicit
-allow anywhere in a component goes before a block.
+aliases: redirects, canonical links and refreshes are edges between urls, and the
+connected components of that graph share a verdict; urls known from links only count
+too.  An explicit allow anywhere in a component goes before a block.  No verdict passes
+without an edge, unless ``normal`` is asked for: then urls that differ in scheme,
+``www.``, default port, fragment, tracking parameters, their order, and trailing slash
+are one.
 
 Only DataFrame operations are used.  Pages without an edge never enter the
 graph; verdicts are or-ed before the shuffle, so one address held by very many
@@ -13,6 +14,8 @@ rows is no hot key.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule and has no alias, so it is allowed.  Repeated rows are judged alike.
+An empty table stays empty; a page of any length is read whole; columns other than
+page_id, url and html take no part, whatever their names.
 Ties between rules of equal length go to the first in alphabetical order.
 """
 
@@ -43,8 +46,10 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def address(url: Column) -> Column:
-    """The form of a URL in which its trivial aliases are equal; null if it has no ``://``."""
+def address(url: Column, normal: bool = True) -> Column:
+    """The node of a URL: itself, or with ``normal`` the form in which its trivial aliases are equal; null if it has no ``://``."""
+    if not normal:
+        return F.when(F.contains(url, F.lit("://")), url)
     query = F.regexp_extract(url, r"(?s)\A[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(?:utm_[^=]*|ref|gclid|fbclid)(?:=|$)")))
     place = F.concat(F.regexp_replace(host(url), r"^www\.|:(?:80|443)$", ""), F.regexp_replace(path(url), r"/+$", ""))
@@ -101,17 +106,17 @@ def page_links(pages: DataFrame) -> DataFrame:
     return tags.select(F.col("url").alias("from_url"), resolve(F.col("base"), to).alias("to_url"))
 
 
-def judge(pages: DataFrame, scratch: Scratch, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, scratch: Scratch, rules=RULES, redirects: DataFrame | None = None, normal: bool = False) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.  ``redirects`` (from_url, to_url) adds edges seen by a crawler."""
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", resolve(F.col("from_url"), F.col("to_url")).alias("to_url")))
-    links = links.select(*[F.struct(address(F.col(u)).alias("addr"), fitting_rule(host(F.col(u)), path(F.col(u)), rules)["verdict"].alias("own")).alias(e) for u, e in (("from_url", "a"), ("to_url", "b"))])
+    links = links.select(*[F.struct(address(F.col(u), normal).alias("addr"), fitting_rule(host(F.col(u)), path(F.col(u)), rules)["verdict"].alias("own")).alias(e) for u, e in (("from_url", "a"), ("to_url", "b"))])
     links = scratch.save(links.where("a.addr is not null and b.addr is not null and a.addr != b.addr").distinct(), "links")
     edges = links.select(F.col("a.addr").alias("a"), F.col("b.addr").alias("b"))
     part = scratch.save(components(edges, scratch), "components") if not edges.isEmpty() else None
 
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), address(F.col("url")).alias("addr"))
+    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), address(F.col("url"), normal).alias("addr"))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "addr", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("own"))
     # One row an address, summed before the shuffle; then one a component.
