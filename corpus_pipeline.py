@@ -53,7 +53,10 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # wholly equal rows of one doc_id are one; its other rows are one document, which goes if none of them is kept
     again = narrow(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), scratch)
     named = docs.where("doc_id is not null")
-    named = named.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(named.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates())
+    # rows are compared as JSON: some types of columns, such as maps, cannot be
+    whole = fresh(docs, "_row")
+    several = named.join(again, "doc_id", "left_semi").withColumn(whole, F.to_json(F.struct(*docs.columns)))
+    named = named.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(several.dropDuplicates(["doc_id", whole]).select(*docs.columns))
     # rows without a doc_id get numbers outside the others' range, after them if there is room; saved, as the numbers depend on the run
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     row = F.monotonically_increasing_id()
