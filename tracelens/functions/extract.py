@@ -94,22 +94,55 @@ def window(ts: Column, before: str = "1h", after: str = "4h", round_to: str | No
     return F.struct(iso(start).alias("start"), iso(end).alias("end"), iso(t).alias("anchor"), F.date_format(start, "yyyy-MM-dd").alias("start_date"), F.date_format(end, "yyyy-MM-dd").alias("end_date"))
 
 
-def gazetteer(texts: DataFrame, key: str, text: str, names: list[tuple[str, str]]) -> DataFrame:
+#: A token of a text or an alias.
+TOKEN = r"(?U)[\w-]+"
+
+
+def _tokens(text: Column) -> tuple[Column, Column]:
+    """The tokens of a text as gazetteers see it (small letters, ``_`` as ``-``), and what stands before, between and behind them."""
+    norm = F.translate(F.lower(text), "_", "-")
+    return F.regexp_extract_all(norm, F.lit(TOKEN), F.lit(0)), F.split(norm, TOKEN, -1)
+
+
+def _stands(w: Column, g: Column, c: Column) -> Column:
+    """Whether the alias c (at, aw, ag) stands in a text of tokens w and gaps g from token number ``at`` on, with no token character beside it."""
+    at, m = c["at"], F.size(c["aw"])
+    lead, trail, before, behind = F.get(c["ag"], F.lit(0)), F.get(c["ag"], m), F.get(g, at), F.get(g, at + m)
+    free_left = (lead == "") | (at == 0) | (F.length(before) > F.length(lead))
+    free_right = (trail == "") | (at + m == F.size(w)) | (F.length(behind) > F.length(trail))
+    inside = (F.slice(w, at + 1, m) == c["aw"]) & (F.slice(g, at + 2, m - 1) == F.slice(c["ag"], F.lit(2), m - 1))
+    return (at >= 0) & (at + m <= F.size(w)) & inside & F.endswith(before, lead) & F.startswith(behind, trail) & free_left & free_right
+
+
+def gazetteer(texts: DataFrame, key: str, text: str, names: DataFrame | list[tuple[str, str]]) -> DataFrame:
     """(key, n, name) of the entities that a text mentions, in order of first mention.
 
-    ``names`` is a hub's list of (alias, name): small and given by the caller.  Longer aliases go first, case does
-    not matter, ``-`` and ``_`` are one, and a mention stands alone (no word character or hyphen beside it).
+    ``names`` is a hub, a table (alias, name) of any size.  Longer aliases go first, case does not matter, ``-`` and
+    ``_`` are one, and a mention stands alone (no word character or hyphen beside it).  An alias without a word character
+    is never found; of several names of one alias the least counts; null texts mention nothing.
+
+    A text meets an alias at the alias's rarest token: an equi-join of tokens, whatever the number of aliases.  The
+    aliases that stand there are settled in each text from left to right.
     """
-    norm = lambda s: s.lower().replace("_", "-")
-    canon = {norm(a): n for a, n in names}
-    if not canon:
-        return texts.select(key, F.lit(1).alias("n"), F.lit("").alias("name")).where(F.lit(False))
-    alts = sorted((a for a, _ in names), key=len, reverse=True)
-    rx = "(?iU)(?<![\\w-])(" + "|".join("[-_]".join(r"\Q" + p + r"\E" for p in re.split("[-_]", a)) for a in alts) + ")(?![\\w-])"
-    found = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(rx), F.lit(1))).alias("at", "hit"))
-    lookup = F.create_map(*[F.lit(x) for kv in canon.items() for x in kv])
-    named = found.select(key, "at", lookup[F.translate(F.lower("hit"), "_", "-")].alias("name")).where("name is not null")
-    first = named.groupBy(key, "name").agg(F.min("at").alias("at"))
-    from pyspark.sql import Window as W
-
-    return first.select(key, F.row_number().over(W.partitionBy(key).orderBy("at")).alias("n"), "name")
+    spark = texts.sparkSession
+    hub = names if isinstance(names, DataFrame) else spark.createDataFrame(names, "alias string, name string")
+    aw, ag = _tokens(F.col("alias"))
+    hub = hub.select(aw.alias("aw"), ag.alias("ag"), "name").where(F.size("aw") > 0).groupBy("aw", "ag").agg(F.min("name").alias("name"))
+    rows = texts.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct().withColumn("_row", F.xxhash64("_text"))
+    w, g = _tokens(F.col("_text"))
+    tokens = rows.select(key, "_row", F.posexplode(w).alias("i", "token"))
+    parts = hub.select("*", F.posexplode("aw").alias("j", "token"))
+    # only tokens of aliases are counted, and an alias that lacks one in all texts is none
+    often = tokens.join(parts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("often"))
+    anchors = parts.join(often, "token", "left").groupBy("aw", "ag", "name").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token", "j")).alias("a"))
+    anchors = anchors.where("a.often > 0").select("aw", "ag", "name", F.col("a.token").alias("token"), F.col("a.j").alias("j"))
+    met = tokens.join(anchors, "token").where("i >= j").select(key, "_row", F.struct((F.col("i") - F.col("j")).alias("at"), "aw", "ag", "name").alias("c"))
+    per = met.groupBy(key, "_row").agg(F.collect_list("c").alias("c"))
+    # tokens and gaps as a lambda's variable: a text is cut once
+    cut = F.get(F.transform(F.array(F.struct(w.alias("w"), g.alias("g"))), lambda t: F.filter("c", lambda c: _stands(t["w"], t["g"], c))), F.lit(0))
+    size = lambda c: F.length(F.array_join(c["aw"], "")) + F.length(F.array_join(c["ag"], ""))
+    order = F.array_sort(F.transform("hits", lambda c: F.struct(c["at"].alias("at"), (-size(c)).alias("short"), (c["at"] + F.size(c["aw"])).alias("end"), c["name"].alias("name"))))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("names"))
+    taken = lambda acc, c: F.when(c["at"] >= acc["end"], F.struct(c["end"].alias("end"), F.array_append(acc["names"], c["name"]).alias("names"))).otherwise(acc)
+    found = rows.join(per, [key, "_row"]).select(key, "_row", cut.alias("hits")).where(F.size("hits") > 0).select(key, F.array_distinct(F.aggregate(order, start, taken)["names"]).alias("names"))
+    return found.select(key, F.posexplode("names").alias("n", "name")).select(key, (F.col("n") + 1).alias("n"), "name")

@@ -74,13 +74,42 @@ def attribute_candidates(mentions: DataFrame, hub: DataFrame, episode: list[str]
     return mentions.join(hub, "name").select(*episode, "at", "value", F.concat(F.lit("catalog-attr:"), F.col("attr")).alias("kind"), F.lit(False).alias("in_list"), F.lit(True).alias("first"), F.col("name").alias("source"), F.col("attr").alias("name"))
 
 
-def bind_windows(times: DataFrame, anchors: DataFrame, episode: list[str]) -> DataFrame:
-    """Times that lie whole steps away from an earlier time of the episode: (episode, at, src, round, delta).
+def _lanes(rows: DataFrame, keep: list[str], t: str, kind: str) -> DataFrame:
+    """A row for each rounding and side of reach: seconds of equal ``n`` and ``left`` are whole steps apart; in a lane's ``bucket``, what comes first by ``x`` is in reach.
 
-    The exact anchor is tried first, then the anchor floored to the day and to the hour; the earliest anchor wins, then
-    the order of the roundings, then the smallest distance.
+    Buckets are as wide as the reach: all of a time's own bucket is in reach, of the one before it what is late enough,
+    of the one behind it what is early enough.
+    """
+    out = []
+    for n, (unit, step) in enumerate(ROUNDINGS):
+        a = floor_to(F.col(t), unit) if unit and kind == "anchor" else F.col(t)
+        some = rows.where(a != F.col(t)) if unit and kind == "anchor" else rows
+        s = F.unix_timestamp(a)
+        bucket = F.floor(s / REACH_SECONDS)
+        if kind == "anchor":
+            lane = [(0, bucket, F.lit(0)), (1, bucket, -s), (2, bucket, s)]
+        else:
+            lane = [(0, bucket, F.lit(0)), (1, bucket - 1, -(s - REACH_SECONDS)), (2, bucket + 1, s + REACH_SECONDS)]
+        lanes = F.explode(F.array(*[F.struct(F.lit(i).alias("lane"), b.cast("long").alias("bucket"), x.cast("long").alias("x")) for i, b, x in lane])).alias("l")
+        out.append(some.select(*keep, s.alias("s"), F.lit(n).alias("n"), F.pmod(s, F.lit(step)).alias("left"), lanes).select(*keep, "s", "n", "left", "l.*"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def earliest_anchors(times: DataFrame, anchors: DataFrame, episode: list[str]) -> DataFrame:
+    """(episode, at, src): of each time the earliest call before it with an anchor a whole number of steps away.
+
+    Times and anchors of one episode, rounding and remainder form ordered streams, along which the earliest call so far
+    is carried on: no pair of them is made.
     """
-    both = times.select(*episode, "at", "t").join(anchors.select(*episode, F.col("at").alias("src"), F.col("t").alias("a")), episode).where(F.col("src") < F.col("at"))
+    a = _lanes(anchors.where("t is not null").select(*episode, "at", "t"), [*episode, "at"], "t", "anchor").select(*episode, "n", "left", "lane", "bucket", "x", F.lit(0).alias("side"), F.col("at").alias("src"), F.lit(None).cast("long").alias("at"))
+    q = _lanes(times.where("t is not null").select(*episode, "at", "t"), [*episode, "at"], "t", "time").select(*episode, "n", "left", "lane", "bucket", "x", F.lit(1).alias("side"), F.lit(None).cast("long").alias("src"), F.col("at").cast("long").alias("at"))
+    w = W.partitionBy(*episode, "n", "left", "lane", "bucket").orderBy("x", "side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = a.unionByName(q).withColumn("src", F.min("src").over(w)).where("side = 1 and src < at")
+    return seen.groupBy(*episode, "at").agg(F.min("src").alias("src"))
+
+
+def _options(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of a time t and an anchor a with the first rounding that fits as ``o`` (n, far, round, delta)."""
     options = []
     for n, (unit, step) in enumerate(ROUNDINGS):
         anchor = floor_to(F.col("a"), unit) if unit else F.col("a")
@@ -89,11 +118,38 @@ def bind_windows(times: DataFrame, anchors: DataFrame, episode: list[str]) -> Da
         if unit:
             fits = fits & (anchor != F.col("a"))
         options.append(F.when(fits, F.struct(F.lit(n).alias("n"), F.abs(delta).alias("far"), F.lit(unit or "exact").alias("round"), delta.alias("delta"))))
-    best = both.withColumn("o", F.coalesce(*options)).where("o is not null")
+    return pairs.withColumn("o", F.coalesce(*options)).where("o is not null")
+
+
+def bind_windows(times: DataFrame, anchors: DataFrame, episode: list[str]) -> DataFrame:
+    """Times that lie whole steps away from an earlier time of the episode: (episode, at, src, round, delta).
+
+    The exact anchor is tried first, then the anchor floored to the day and to the hour; the earliest anchor wins, then
+    the order of the roundings, then the smallest distance.
+    """
+    first = times.join(earliest_anchors(times, anchors, episode), [*episode, "at"])
+    best = _options(first.join(anchors.select(*episode, F.col("at").alias("src"), F.col("t").alias("a")), [*episode, "src"]))
     top = best.groupBy(*episode, "at").agg(F.min(F.struct("src", "o.n", "o.far", "o.round", "o.delta")).alias("b"))
     return top.select(*episode, "at", "b.src", F.col("b.round").alias("round"), F.col("b.delta").alias("delta"))
 
 
+def session_windows(times: DataFrame, anchors: DataFrame, episode: list[str]) -> DataFrame:
+    """(episode, at, arg, src, path, round, delta, side): all times of an episode held against one anchor field, ``side`` being start or end of its window.
+
+    times: (episode, at, arg, t); anchors: (episode, at, path, in_list, t), the times in the calls' results.  First the
+    field is settled: of the earliest call whose times explain any later one, rather no list's, then the one with the
+    earliest time that does, then by name.  Then every later time that lies whole steps from it is bound, by the order of
+    the roundings, then the nearest; all others stay unbound.
+    """
+    early = earliest_anchors(times, anchors, episode).groupBy(*episode).agg(F.min("src").alias("src"))
+    fields = anchors.select(*episode, F.col("at").alias("src"), "path", "in_list", F.col("t").alias("a")).join(early, [*episode, "src"])
+    fits = _options(times.join(fields, episode).where(F.col("src") < F.col("at")))
+    field = fits.groupBy(*episode, "src", "path").agg(F.min(F.struct("in_list", "a", "path")).alias("f")).groupBy(*episode).agg(F.min_by("path", "f").alias("path"))
+    best = fits.join(field, [*episode, "path"]).groupBy(*episode, "at", "arg").agg(F.min(F.struct("o.n", "o.far", "o.round", "o.delta", "src", "path")).alias("b"))
+    side = F.when(F.col("b.delta") <= 0, "start").otherwise("end")
+    return best.select(*episode, "at", "arg", "b.src", "b.path", F.col("b.round").alias("round"), F.col("b.delta").alias("delta"), side.alias("side"))
+
+
 def edges(bound: DataFrame, episode: list[str], target: str) -> DataFrame:
     """Call edges from bindings: (episode, source, value_type, target, arg, src, at); unresolved ones have none."""
     kind = F.col("kind")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelens.functions.text import occurs
+# Fixed value: characters from which on a value counts inside a text.
+LEAST = 5
 
 
 def coverage(expected: DataFrame, steps: DataFrame, run: list[str]) -> DataFrame:
@@ -53,8 +54,11 @@ def majority(rows: DataFrame, key: list[str], value: str, order: str) -> DataFra
 
 def repeats(rows: DataFrame, key: list[str], count: str) -> DataFrame:
     """The most and the upper median of a count."""
-    sorted_ = F.array_sort(F.collect_list(count))
-    return rows.groupBy(*key).agg(F.max(count).alias("most"), F.get(sorted_, (F.floor(F.size(sorted_) / 2)).cast("int")).alias("median"))
+    per = rows.groupBy(*key, count).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*key).orderBy(count))
+    total = F.sum("_n").over(W.partitionBy(*key))
+    placed = per.withColumn("_upto", upto).withColumn("_total", total).where(F.col(count).isNotNull())
+    return placed.groupBy(*key).agg(F.max(count).alias("most"), F.min(F.when(F.col("_upto") > F.call_function("div", F.col("_total"), F.lit(2)), F.col(count))).alias("median"))
 
 
 def bindability(args: DataFrame, key: list[str]) -> DataFrame:
@@ -66,10 +70,18 @@ def bindability(args: DataFrame, key: list[str]) -> DataFrame:
 def provenance(origins: DataFrame, uses: DataFrame, run: list[str], bucket: Column | None = None) -> DataFrame:
     """(run, use, value, origin): where each used text got a value from, the latest origin before the use.
 
-    origins: (run, at, value); uses: (run, use, at, text).  Both sides meet within one run only.
+    origins: (run, at, value); uses: (run, use, at, text).  A text and a value meet if they are equal, or by the first
+    ``LEAST`` characters of a value that may stand inside a text: equi-joins within a run, not all pairs of it.
     """
-    both = uses.alias("u").join(origins.select(*run, F.col("at").alias("_at"), "value"), run).where((F.col("_at") < F.col("at")) & occurs(F.col("value"), F.col("text")))
-    return both.groupBy(*run, "use", "value").agg(F.max("_at").alias("origin"))
+    inside = (F.length("value") >= LEAST) & ~F.col("value").rlike(r"^\d+$")
+    given = origins.select(*run, F.col("at").alias("_at"), "value").where("value is not null")
+    same = uses.select(*run, "use", "at", F.col("text").alias("value")).join(given, [*run, "value"]).where(F.col("_at") < F.col("at")).select(*run, "use", "value", "_at")
+    begins = given.where(inside).withColumn("_head", F.substring("value", 1, LEAST))
+    n = F.length("text") - LEAST + 1
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("text"), i, F.lit(LEAST))))
+    cut = uses.where(n >= 1).select(*run, "use", "at", "text", F.explode(heads).alias("_head"))
+    held = cut.join(begins, [*run, "_head"]).where((F.col("_at") < F.col("at")) & F.contains("text", F.col("value"))).select(*run, "use", "value", "_at")
+    return same.unionByName(held).groupBy(*run, "use", "value").agg(F.max("_at").alias("origin"))
 
 
 def folded_prompts(prompts: DataFrame, key: list[str], fold: Column, order: str, text: str, most: int = 12) -> DataFrame:

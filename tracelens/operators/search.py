@@ -57,12 +57,26 @@ def bands(points: DataFrame, spikes: DataFrame, key: str, at: str, start: str, e
 
 
 def on_call(asks: DataFrame, shifts: DataFrame, key: list[str], at: str, start: str, end: str, person: str) -> DataFrame:
-    """Who is on call: the first shift that holds the time, else the last shift's person."""
+    """Who is on call: the first shift that holds the time, else the last shift's person.
+
+    In the order of their starts, a shift counts only if it ends later than all before it: the first of these that ends
+    after a time holds it, if it has begun, and no other shift does otherwise.  So asks and such ends form one stream.
+    """
     last = shifts.groupBy(*key).agg(F.max_by(person, F.struct(start, person)).alias("_last"))
-    both = asks.join(shifts.select(*key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(person).alias("_p")), key, "left")
-    inside = (F.col("_s") <= F.col(at)) & (F.col(at) < F.col("_e"))
-    found = both.groupBy(*asks.columns).agg(F.min_by("_p", F.when(inside, F.struct("_s", "_p"))).alias("_hit"))
-    return found.join(last, key, "left").select(*asks.columns, F.coalesce("_hit", "_last").alias("on_call"))
+    s = shifts.where((F.col(start) < F.col(end)) & F.col(start).isNotNull()).select(*key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(person).alias("_p"))
+    before = F.max("_e").over(W.partitionBy(*key).orderBy("_s", "_p", "_e").rowsBetween(W.unboundedPreceding, -1))
+    records = s.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_e") > F.col("_b")))
+    row = F.struct(*asks.columns)
+    empty = F.lit(None).cast(asks.select(row.alias("r")).schema["r"].dataType)
+    shift = F.struct("_s", "_p")
+    left = asks.select(*key, F.col(at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(s.select(shift.alias("x")).schema["x"].dataType).alias("_x"), row.alias("_row"))
+    right = records.select(*key, F.col("_e").alias("_t"), F.lit(1).alias("_side"), shift.alias("_x"), empty.alias("_row"))
+    # from late to early, an ask before an end at the same time: the nearest end passed is the first that comes after it
+    w = W.partitionBy(*key).orderBy(F.col("_t").desc(), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = left.unionByName(right).withColumn("_x", F.last("_x", ignorenulls=True).over(w)).where("_side = 0")
+    hit = F.when(F.col("_x._s") <= F.col("_t"), F.col("_x._p"))
+    rows = found.select("_row.*", hit.alias("_hit"))
+    return rows.join(last, key, "left").select(*asks.columns, F.coalesce("_hit", "_last").alias("on_call"))
 
 
 def by_prefix(short: DataFrame, full: DataFrame, short_id: str, full_id: str, order: str, least: int = 7) -> DataFrame:

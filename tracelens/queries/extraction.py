@@ -61,7 +61,7 @@ def outermost_spans(spark, sf_dir):
 
 def gazetteer_hits(spark, sf_dir):
     nations = read(spark, sf_dir, "nation")
-    names = [(r["n_name"], r["n_name"].lower()) for r in nations.collect()] + [("UNITED_KINGDOM", "united kingdom")]
+    names = nations.select(F.col("n_name").alias("alias"), F.lower("n_name").alias("name")).unionByName(spark.sql("SELECT 'UNITED_KINGDOM' AS alias, 'united kingdom' AS name"))
     texts = read(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws(" ", F.lit("From:"), F.initcap("n_name"), F.lit("to"), "n_name", F.lit("xCHINA-1")).alias("t"))
     return extract.gazetteer(texts, "c_custkey", "t", names).select("c_custkey", F.col("n").cast("long").alias("n"), "name")
 

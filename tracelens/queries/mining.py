@@ -152,6 +152,15 @@ def bind_windows(spark, sf_dir):
     return binding.bind_windows(c.where("tool = 'error'"), c.where("tool != 'error'"), EPISODE).select("at", "src", F.col("round"), "delta")
 
 
+def session_windows(spark, sf_dir):
+    """The times of a day's errors held against one field of the day: the minutes, or the quarters of an hour, of its other calls."""
+    c = calls(spark, sf_dir).select(*EPISODE, F.col("event_id").alias("at"), F.date_trunc("minute", "ts").cast("timestamp").alias("t"), "tool", "ts")
+    quarter = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900) * 900)
+    other = c.where("tool != 'error'")
+    anchors = other.select(*EPISODE, "at", F.lit("minute").alias("path"), F.lit(False).alias("in_list"), "t").unionByName(other.select(*EPISODE, "at", F.lit("quarters[*]").alias("path"), F.lit(True).alias("in_list"), quarter.alias("t")))
+    return binding.session_windows(c.where("tool = 'error'").select(*EPISODE, "at", F.lit("from").alias("arg"), "t"), anchors, EPISODE).drop("day", "user_id", "arg")
+
+
 def _edges(spark, sf_dir):
     """A call binds to the call before it of the same episode: source tool, its argument as type, target tool."""
     from pyspark.sql import Window as W
@@ -208,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_collapse, calls_per_token, ngram_support, seq_closed_patterns, prompt_index, result_per_prompt, ordered_prompts, episode_numbers, parent_anti_join, active_session, resequence,
-        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, frequent_edges, closed_edge_sets, participating_calls, graph_layers,
+        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, session_windows, frequent_edges, closed_edge_sets, participating_calls, graph_layers,
     )
 }
 ORACLE_SQL = {
@@ -236,6 +245,14 @@ ORACLE_SQL = {
    date_trunc('day', a.t) != a.t AS m1, date_trunc('hour', a.t) != a.t AS m2 FROM c e JOIN c a ON e.user_id = a.user_id AND e.day = a.day AND a.event_id < e.event_id WHERE e.tool = 'error' AND a.tool != 'error'),
  o AS (SELECT "at", src, CASE WHEN d0 % 900 = 0 THEN 0 WHEN m1 AND d1 % 86400 = 0 THEN 1 WHEN m2 AND d2 % 1800 = 0 THEN 2 END AS n, d0, d1, d2 FROM p)
  SELECT "at", src, ['exact', '1d', '1h'][n + 1] AS round, CAST([d0, d1, d2][n + 1] AS BIGINT) AS delta FROM o WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "at" ORDER BY src, n) = 1""",
+    "session_windows": f"""WITH {CALLS}, c AS (SELECT user_id, day, event_id, tool, date_trunc('minute', ts) AS t, make_timestamp((epoch_us(ts) // 900000000) * 900000000) AS q FROM calls),
+ a AS (SELECT user_id, day, event_id AS src, 'minute' AS path, false AS in_list, t AS a FROM c WHERE tool != 'error' UNION ALL SELECT user_id, day, event_id, 'quarters[*]', true, q FROM c WHERE tool != 'error'),
+ p AS (SELECT e.user_id, e.day, e.event_id AS "at", src, path, in_list, a, epoch(e.t) - epoch(a) AS d0, epoch(e.t) - epoch(date_trunc('day', a)) AS d1, epoch(e.t) - epoch(date_trunc('hour', a)) AS d2, date_trunc('day', a) != a AS m1, date_trunc('hour', a) != a AS m2
+   FROM c e JOIN a ON e.user_id = a.user_id AND e.day = a.day AND src < e.event_id WHERE e.tool = 'error'),
+ o AS (SELECT * FROM (SELECT *, CASE WHEN d0 % 900 = 0 THEN 0 WHEN m1 AND d1 % 86400 = 0 THEN 1 WHEN m2 AND d2 % 1800 = 0 THEN 2 END AS n FROM p) WHERE n IS NOT NULL),
+ f AS (SELECT user_id, day, src, path FROM o QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY src, in_list, a, path) = 1)
+ SELECT "at", src, path, ['exact', '1d', '1h'][n + 1] AS round, CAST([d0, d1, d2][n + 1] AS BIGINT) AS delta, CASE WHEN [d0, d1, d2][n + 1] <= 0 THEN 'start' ELSE 'end' END AS side FROM o JOIN f USING (user_id, day, src, path)
+ QUALIFY row_number() OVER (PARTITION BY "at" ORDER BY n, abs([d0, d1, d2][n + 1])) = 1""",
     "frequent_edges": f"WITH {EDGES} SELECT source, value_type, target, count(*) AS support FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3",
     "closed_edge_sets": SQL_CLOSED_SETS,
     "participating_calls": f"""WITH RECURSIVE {EDGES}, r AS (SELECT user_id, day, call FROM edges WHERE target = 'error' UNION SELECT r.user_id, r.day, e.src FROM r JOIN edges e ON e.call = r.call AND e.user_id = r.user_id AND e.day = r.day WHERE e.value_type = 'even')
