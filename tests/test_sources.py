@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelens import api
 from tracelens.functions import registry
-from tracelens.sources import traces, workspace
+from tracelens.sources import index, traces, workspace
 
 
 def write(path, rows):
@@ -124,3 +124,55 @@ def test_functions_by_name(spark):
         assert df.selectExpr(f"{name}(s) AS x").first()["x"] == want, name
     with pytest.raises(ValueError, match="no function"):
         registry.apply("nope", F.col("s"))
+
+
+def trace(n, session="s", text="look"):
+    return [{"kind": "meta", "session_id": session, "prompt": "meta prompt"}, {"kind": "prompt", "text": text}, *[{"server": "jira", "tool": f"t{k}"} for k in range(n)]]
+
+
+def entries(spark, path):
+    return {r["file"].rsplit("/", 1)[1]: (r["session_id"], r["prompt"], r["nodes"], r["n_calls"]) for r in index.read(spark, path).collect()}
+
+
+def test_index_follows_the_files(spark, tmp_path):
+    """New, changed, vanished and half-written files; nothing is read that has not moved; a repeated update changes nothing."""
+    folder, path = tmp_path / "traces", str(tmp_path / "index")
+    assert index.refresh(spark, str(folder), path).collect() == [] and entries(spark, path) == {}
+    for name in "abc":
+        write(folder / f"{name}.jsonl", trace(2, f"s{name}"))
+    states = lambda: {r["file"].rsplit("/", 1)[1]: r["state"] for r in index.refresh(spark, str(folder), path).collect()}
+    assert states() == {"a.jsonl": "new", "b.jsonl": "new", "c.jsonl": "new"}
+    first = entries(spark, path)
+    assert first["a.jsonl"] == ("sa", "look", ["jira.t0", "jira.t1"], 2) and len(first) == 3
+    assert set(states().values()) == {"same"} and entries(spark, path) == first
+    write(folder / "a.jsonl", trace(3, "sa", "look again"))
+    (folder / "b.jsonl").unlink()
+    write(folder / "d.jsonl", [{"server": "x", "tool": "y"}])
+    write(folder / "e.jsonl", [*trace(1), '{"server": "x", "to'])
+    assert states() == {"a.jsonl": "changed", "b.jsonl": "gone", "c.jsonl": "same", "d.jsonl": "new", "e.jsonl": "new"}
+    now = entries(spark, path)
+    assert now == {"a.jsonl": ("sa", "look again", ["jira.t0", "jira.t1", "jira.t2"], 3), "c.jsonl": first["c.jsonl"], "d.jsonl": ("d", None, ["x.y"], 1)}
+    write(folder / "e.jsonl", trace(1, "se"))
+    write(folder / "c.jsonl", [*trace(1), "{"])
+    assert states()["e.jsonl"] == "new" and set(entries(spark, path)) == {"a.jsonl", "d.jsonl", "e.jsonl"}
+    for f in folder.glob("*.jsonl"):
+        f.unlink()
+    assert set(states().values()) == {"gone"} and entries(spark, path) == {}
+
+
+def test_index_as_a_stream(spark, tmp_path):
+    """Files that come between runs, a batch that comes again after a failure, and files that vanish."""
+    folder, path, checkpoint = tmp_path / "traces", str(tmp_path / "index"), str(tmp_path / "checkpoint")
+    for name in "ab":
+        write(folder / f"{name}.jsonl", trace(1, f"s{name}"))
+    index.follow(spark, str(folder), path, checkpoint, per_trigger=1).awaitTermination()
+    assert set(entries(spark, path)) == {"a.jsonl", "b.jsonl"}
+    write(folder / "c.jsonl", trace(2, "sc"))
+    (folder / "a.jsonl").unlink()
+    index.follow(spark, str(folder), path, checkpoint).awaitTermination()
+    then = entries(spark, path)
+    assert set(then) == {"b.jsonl", "c.jsonl"} and then["c.jsonl"][3] == 2
+    texts = spark.read.text(str(folder), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+    for _ in range(2):
+        index.apply_batch(texts, str(folder), path)
+    assert entries(spark, path) == then and index.read(spark, path).count() == 2
