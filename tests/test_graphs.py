@@ -55,6 +55,30 @@ def test_truncated_is_told(spark):
     assert [(r["n"], r["support"], r["truncated"]) for r in got] == [(3, 3, True)]
 
 
+@pytest.mark.parametrize("most", [1, 5, 17, 500])
+def test_best_closed_sets(spark, most):
+    """The best sets are those of the whole list, for any bound, also with more edges than a word holds."""
+    rng = random.Random(most)
+    names = [(f"n{k:02}", "x", f"m{k:02}") for k in range(70)]
+    episodes = [frozenset(rng.sample(names[:9], rng.randint(2, 6)) + rng.sample(names[9:], 3)) | {names[69]} for _ in range(26)]
+    rows = [(i, *e) for i, x in enumerate(episodes) for e in sorted(x)]
+    df = spark.createDataFrame(rows, "ep long, source string, value_type string, target string")
+    found = dataflow.numbered(dataflow.frequent_edges(df, ["ep"], 2)).cache()
+    number = {(r["source"], r["value_type"], r["target"]): r["bit"] for r in found.collect()}
+    masks = [frozenset(number[e] for e in x if e in number) for x in episodes]
+    sets, todo = set(masks), set(masks)
+    while todo:
+        todo = {a & b for a, b in itertools.product(todo, masks)} - sets
+        sets |= todo
+    support = {s: n for s in sets if s and (n := sum(s <= m for m in masks)) >= 2}
+    word = lambda s, k: sum(1 << b % 62 for b in s if b // 62 == k)
+    want = sorted(support, key=lambda s: (-support[s], len(s), word(s, 0), word(s, 1)))[:most]
+    text = {b: f"{a} --{t}--> {c}" for (a, t, c), b in number.items()}
+    got, left_out = dataflow.top_closed_edge_lists(df, found, ["ep"], most, 2)
+    assert {tuple(r["edges"]): r["support"] for r in got.collect()} == {tuple(text[b] for b in sorted(s)): support[s] for s in want}
+    assert left_out == (len(support) > most)
+
+
 def test_numbers(spark):
     rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("x"))
     got = [r["n"] for r in number_rows(rows, ["x"], "n").orderBy("x").collect()]

@@ -189,6 +189,13 @@ def closed_edge_sets(spark, sf_dir):
     return s.select(F.array_join("edges", "; ").alias("edges"), F.size("edges").cast("long").alias("n"), "support")
 
 
+def top_closed_edge_sets(spark, sf_dir):
+    """The twelve best of the closed sets, and whether there are more."""
+    e = _edges(spark, sf_dir)
+    s, left_out = dataflow.top_closed_edge_lists(e, dataflow.numbered(dataflow.frequent_edges(e, EPISODE, 3)), EPISODE, 12, 3)
+    return s.select(F.array_join("edges", "; ").alias("edges"), F.size("edges").cast("long").alias("n"), "support").withColumn("left_out", F.lit(left_out))
+
+
 SQL_CLOSED_SETS = f"""WITH RECURSIVE {EDGES}, f AS (SELECT source, value_type, target, count(*) AS s FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3),
  num AS (SELECT *, row_number() OVER (ORDER BY s DESC, source, value_type, target) - 1 AS bit FROM f),
  m AS (SELECT user_id, day, CAST(sum(CAST(1 AS HUGEINT) << bit) AS HUGEINT) AS mask FROM (SELECT DISTINCT user_id, day, bit FROM edges JOIN num USING (source, value_type, target)) GROUP BY user_id, day),
@@ -199,6 +206,12 @@ SQL_CLOSED_SETS = f"""WITH RECURSIVE {EDGES}, f AS (SELECT source, value_type, t
  FROM k JOIN num ON k.mask & (CAST(1 AS HUGEINT) << bit) != 0 GROUP BY k.mask"""
 
 
+SQL_TOP_SETS = SQL_CLOSED_SETS.rsplit("\n SELECT string_agg", 1)[0] + """,
+ t AS (SELECT mask, support, row_number() OVER (ORDER BY support DESC, bit_count(mask), mask) AS r, count(*) OVER () > 12 AS left_out FROM k)
+ SELECT string_agg(source || ' --' || value_type || '--> ' || target, '; ' ORDER BY bit) AS edges, count(*) AS n, any_value(support) AS support, any_value(left_out) AS left_out
+ FROM t JOIN num ON t.mask & (CAST(1 AS HUGEINT) << bit) != 0 WHERE r <= 12 GROUP BY t.mask"""
+
+
 def participating_calls(spark, sf_dir):
     e = _edges(spark, sf_dir)
     seeds = e.where("target = 'error'").select(*EPISODE, "call")
@@ -217,7 +230,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_collapse, calls_per_token, ngram_support, seq_closed_patterns, prompt_index, result_per_prompt, ordered_prompts, episode_numbers, parent_anti_join, active_session, resequence,
-        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, session_windows, frequent_edges, closed_edge_sets, participating_calls, graph_layers,
+        as_of_prompt, pair_results, step_names, slice_calls, bind_values, bind_windows, session_windows, frequent_edges, closed_edge_sets, top_closed_edge_sets, participating_calls, graph_layers,
     )
 }
 ORACLE_SQL = {
@@ -255,6 +268,7 @@ ORACLE_SQL = {
  QUALIFY row_number() OVER (PARTITION BY "at" ORDER BY n, abs([d0, d1, d2][n + 1])) = 1""",
     "frequent_edges": f"WITH {EDGES} SELECT source, value_type, target, count(*) AS support FROM (SELECT DISTINCT user_id, day, source, value_type, target FROM edges) GROUP BY ALL HAVING count(*) >= 3",
     "closed_edge_sets": SQL_CLOSED_SETS,
+    "top_closed_edge_sets": SQL_TOP_SETS,
     "participating_calls": f"""WITH RECURSIVE {EDGES}, r AS (SELECT user_id, day, call FROM edges WHERE target = 'error' UNION SELECT r.user_id, r.day, e.src FROM r JOIN edges e ON e.call = r.call AND e.user_id = r.user_id AND e.day = r.day WHERE e.value_type = 'even')
  SELECT call FROM r""",
     "graph_layers": """WITH RECURSIVE e AS (SELECT 'customer ' || o_custkey AS a, 'order ' || o_orderkey AS b FROM orders UNION SELECT 'order ' || l_orderkey, 'supplier ' || l_suppkey FROM lineitem),
