@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.functions import text
-from tracelens.operators import lifecycle, reports
+from tracelens.operators import cards, lifecycle, reports
 from tracelens.plans import steps
 
 from .tables import CALLS, EPISODE, calls, read
@@ -147,6 +147,30 @@ def expectations(spark, sf_dir):
     return lifecycle.check_expectations(s, want, ["user_id"])
 
 
+def _evidence(spark, sf_dir) -> DataFrame:
+    """Cards of the tools' results about each customer: orders as tickets, events as log lines found by two searches, its nation's page found and read."""
+    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("O-"), "o_orderkey").alias("key"), F.struct(F.lit("order").alias("summary")).alias("fields")))).alias("issues"))
+    e = calls(spark, sf_dir).select(F.col("user_id").alias("run"), "tool", F.struct(F.map_from_arrays(F.array(*[F.lit(x) for x in ("@timestamp", "level", "kubernetes.pod_name", "message")]), F.array(F.col("day").cast("string"), F.col("tool"), F.concat(F.lit("p-"), F.col("k").cast("int") % 3), F.lit("called"))).alias("_source")).alias("h"))
+    logs = lambda some: some.groupBy("run").agg(F.collect_list("h").alias("hits"))
+    n = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumnRenamed("c_custkey", "run")
+    page = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.lit("about it").alias("excerpt"))
+    home = F.struct(F.lit(-1).cast("long").alias("id"), F.lit("home").alias("title"), F.lit("all").alias("excerpt"))
+    step = lambda df, k, name, tool, value: df.select("run", F.lit(k).alias("n"), F.lit(name).alias("step"), F.lit(None).cast("string").alias("item"), F.lit(tool).alias("tool"), F.to_json(value).alias("result"), F.lit(None).cast("string").alias("error"))
+    rows = step(o, 0, "tickets", "jira.jira_search", F.struct("issues")).unionByName(step(logs(e.where("tool = 'error'")), 1, "errors", "logz.search_logs", F.struct("hits"))).unionByName(step(logs(e), 2, "lines", "logz.search_logs_simple", F.struct("hits")))
+    rows = rows.unionByName(step(n, 3, "pages", "confluence.confluence_search", F.struct(F.array(page, home).alias("results")))).unionByName(step(n.where("run % 2 = 0"), 4, "page", "confluence.confluence_get_page", F.struct(F.col("n_nationkey").alias("id"), F.lit("whole").alias("body"))))
+    rows = rows.unionByName(step(n.where("run % 5 = 0"), 5, "code", "code.grep", F.struct(F.array().cast("array<int>").alias("matches")))).unionByName(step(n.where("run % 7 = 0"), 6, "flow", "flows.other", F.struct(F.col("n_name").alias("x"))))
+    return cards.evidence(cards.cards(rows, ["run", "n"]), ["run"], ["n"])
+
+
+def evidence_cards(spark, sf_dir):
+    a = F.col("attrs")
+    return _evidence(spark, sf_dir).select("run", "step", "kind", "type", F.coalesce(a["key"], a["id"], a["pod"], a["text"]).alias("what"), F.coalesce(a["body"], a["excerpt"], a["ts"]).alias("more"))
+
+
+def evidence_groups(spark, sf_dir):
+    return cards.groups(_evidence(spark, sf_dir), ["run"], "step").withColumn("steps", F.array_join("steps", ","))
+
+
 def hub_join(spark, sf_dir):
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     hub = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
@@ -158,10 +182,19 @@ QUERIES = {
     for f in (
         ladder_first_hit, foreach_fanout, fan_in_status, when_filter, merge_extracts, headline_first, cassette, coverage, evidence_dedup, log_summary, majority_vote, repeat_counts, bindability,
         value_provenance, prompt_folding, observed_values, pending_feedback, ordered_union, lifecycle_fold, declarations, classify_run, expectations, hub_join,
+        evidence_cards, evidence_groups,
     )
 }
 
+EVIDENCE = f"""{CALLS}, ev AS (SELECT o_custkey AS run, 'tickets' AS step, 'issue' AS kind, 'issue' AS type, 'O-' || o_orderkey AS what, NULL AS more FROM orders
+ UNION ALL SELECT user_id, CASE WHEN bool_or(tool = 'error') THEN 'errors' ELSE 'lines' END, 'log', 'log', 'p-' || (CAST(k AS INT) % 3), CAST(day AS VARCHAR) FROM calls GROUP BY user_id, day, CAST(k AS INT) % 3
+ UNION ALL SELECT c_custkey, 'pages', 'page', 'page', '-1', 'all' FROM customer
+ UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'page' ELSE 'pages' END, 'page', 'page', CAST(c_nationkey AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 'whole' ELSE 'about it' END FROM customer
+ UNION ALL SELECT c_custkey, 'flow', 'json', 'flow', '{{"x":"' || n_name || '"}}', NULL FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 = 0)"""
 ORACLE_SQL = {
+    "evidence_cards": f"WITH {EVIDENCE} SELECT * FROM ev",
+    "evidence_groups": f"""WITH {EVIDENCE} SELECT run, list_position(['issue', 'incident', 'message', 'metric', 'log', 'commit', 'code', 'owners', 'page', 'flow', 'other'], type) AS place, type, count(*) AS cards, count(DISTINCT step) AS sources, string_agg(DISTINCT step, ',' ORDER BY step) AS steps
+ FROM ev GROUP BY run, type""",
     "ladder_first_hit": """WITH f AS (SELECT o_orderkey, count(*) FILTER (WHERE l_quantity > 40 AND l_returnflag = 'R') AS h0, count(*) FILTER (WHERE l_quantity > 40) AS h1, count(l_orderkey) AS h2
  FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
  SELECT o_orderkey, CAST(CASE WHEN h0 > 0 THEN 0 WHEN h1 > 0 AND o_orderkey % 5 != 0 THEN 1 ELSE 2 END AS BIGINT) AS rung, CASE WHEN h0 > 0 THEN h0 WHEN h1 > 0 AND o_orderkey % 5 != 0 THEN h1 ELSE h2 END AS hits,
