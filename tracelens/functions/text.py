@@ -153,3 +153,41 @@ def is_injected(prompt: Column) -> Column:
     for p in INJECTED:
         out = out | F.startswith(F.ltrim(prompt), F.lit(p))
     return out
+
+
+# Programs that only read, the parts of some that do, programs that may run only a given line, and what joins or redirects commands.
+READ_ONLY = (
+    "ls", "cat", "head", "tail", "wc", "grep", "egrep", "fgrep", "rg", "find", "file", "stat", "du", "df", "echo", "pwd", "date", "which", "type", "basename", "dirname", "realpath", "readlink", "sort", "uniq",
+    "cut", "tr", "awk", "sed", "jq", "yq", "column", "diff", "cmp", "md5", "shasum", "tree", "env", "printenv", "git", "python3", "python", "node", "uv", "npm", "pip", "cargo", "go",
+)
+SAFE_PARTS = {
+    "git": ("log", "show", "grep", "blame", "diff", "status", "branch", "tag", "describe", "rev-parse", "ls-files", "ls-tree", "shortlog", "config", "remote", "cat-file", "count-objects"),
+    "npm": ("ls", "list", "view", "outdated"), "pip": ("list", "show", "freeze"), "uv": ("tree", "pip"), "cargo": ("tree", "metadata"), "go": ("list", "version", "env"),
+}
+INTERPRETERS, LINE_FLAGS = ("python", "python3", "node"), ("-c", "-V", "--version")
+JOINS = r"(^|\s)(>|>>|\||&&|;|\$\(|`)"
+#: A shell word: plain characters, escaped ones, and quoted parts.
+SHELL_WORD = r"""(?s)(?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+"""
+
+
+def shell_words(command: Column) -> Column:
+    """The words of a command line without their quotes; null if a quote or an escape is left open."""
+    words = F.regexp_extract_all(command, F.lit(SHELL_WORD), F.lit(0))
+    open_ = F.regexp_replace(command, SHELL_WORD, "").rlike(r"\S")
+    bare = lambda w: F.regexp_replace(F.regexp_replace(w, r"""(?s)"((?:[^"\\]|\\.)*)"|'([^']*)'""", "$1$2"), r"(?s)\\(.)", "$1")
+    return F.when(~open_, F.transform(words, bare))
+
+
+def is_read_only(command: Column) -> Column:
+    """Whether a shell command is a single read that may be run again: no joined or redirected commands, a program that
+    only reads, one of its parts that do, and an interpreter only with a line of its own or for its version."""
+    line = F.trim(command)
+    words = shell_words(line)
+    program = F.element_at(F.split(F.get(words, F.lit(0)), "/"), -1)
+    rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    part = F.get(F.filter(rest, lambda w: ~F.startswith(w, F.lit("-"))), F.lit(0))
+    ok = program.isin(*READ_ONLY)
+    for name, parts in SAFE_PARTS.items():
+        ok = F.when(program == name, F.coalesce(part.isin(*parts), F.lit(False))).otherwise(ok)
+    ok = F.when(program.isin(*INTERPRETERS), F.arrays_overlap(rest, F.array(*[F.lit(x) for x in LINE_FLAGS]))).otherwise(ok)
+    return F.when(F.coalesce(line, F.lit("")) == "", False).when(line.rlike(JOINS), False).otherwise(F.coalesce(ok, F.lit(False)))

@@ -156,3 +156,49 @@ def groups(shown: DataFrame, run: list[str], step: str) -> DataFrame:
     """(run, place, type, cards, sources, steps): the groups of a run in their order; ``sources`` are the steps and items that gave cards, ``steps`` the steps by name."""
     item = F.struct(step, "item") if "item" in shown.columns else F.struct(step)
     return shown.groupBy(*run, "place", "type").agg(F.count("*").alias("cards"), F.countDistinct(item).alias("sources"), F.array_sort(F.collect_set(step)).alias("steps"))
+
+
+# Cards of a step or item, items of a step, characters of a card's text and of a run.
+MOST_CARDS, MOST_ITEMS, TEXT_CHARS, RUN_CHARS = 3, 6, 280, 14_000
+
+
+def capped(shown: DataFrame, run: list[str], step: list[str], most_chars: int = RUN_CHARS) -> DataFrame:
+    """Cards (run, step.., item, card, attrs) of a summary: at most ``MOST_CARDS`` of each item and ``MOST_ITEMS`` items of a step, fewer cards where a run would be too long.
+
+    Texts are cut to ``TEXT_CHARS`` characters.  Of three, two, one or no cards an item, a run gets the most with which
+    all its cards take at most ``most_chars`` characters: the totals of all four come from one aggregate.  Adds
+    ``per_item``, the number that a run got, and ``truncated``.
+    """
+    rank = lambda of, order: F.row_number().over(W.partitionBy(*of).orderBy(*order))
+    places = F.dense_rank().over(W.partitionBy(*run, *step).orderBy("item"))
+    cut = F.transform_values("attrs", lambda k, v: F.when(F.length(v) > TEXT_CHARS, F.concat(F.substring(v, 1, TEXT_CHARS), F.lit("…"))).otherwise(v))
+    rows = shown.withColumn("attrs", cut).withColumn("_n", rank([*run, *step, "item"], ["card"])).withColumn("_item", places).where(F.col("_item") <= MOST_ITEMS).withColumn("_size", F.length(F.to_json("attrs")))
+    totals = rows.groupBy(*run).agg(*[F.sum(F.when(F.col("_n") <= n, F.col("_size")).otherwise(0)).alias(f"_t{n}") for n in range(MOST_CARDS, 0, -1)])
+    level = F.lit(0)
+    for n in range(1, MOST_CARDS + 1):
+        level = F.when(F.col(f"_t{n}") <= most_chars, n).otherwise(level)
+    levels = totals.select(*run, level.alias("per_item"))
+    return rows.join(levels, run).where(F.col("_n") <= F.col("per_item")).withColumn("truncated", F.col("per_item") < MOST_CARDS).drop("_n", "_item", "_size")
+
+
+def lede(facts: DataFrame) -> Column:
+    """The opening sentences of a report from its facts; a missing fact makes no sentence.
+
+    facts may have: what, service, started, resolved, duration, status, owners (array), person, commits (number), sha,
+    subject, repeat_of, caused_by.
+    """
+    has = lambda name: F.col(name) if name in facts.columns else F.lit(None).cast("string")
+    what, service, started, resolved = has("what"), has("service"), has("started"), has("resolved")
+    owners = F.array_join("owners", ", ") if "owners" in facts.columns else F.lit(None).cast("string")
+    owned = F.when(F.coalesce(owners, F.lit("")) != "", owners)
+    person = F.coalesce(F.concat(F.lit(" ("), has("person"), F.lit(" on it)")), F.lit(""))
+    ended = F.coalesce(F.concat(F.lit(", resolved after "), F.when(resolved.isNotNull(), has("duration"))), F.concat(F.lit(", resolved "), resolved), F.lit(""))
+    n = has("commits").cast("long")
+    some = F.when(n > 1, F.concat(n.cast("string"), F.lit(" commits"))).when(n == 1, "One commit")
+    sentences = [
+        F.when(what.isNotNull() & service.isNotNull(), F.concat(what, F.lit(" on "), service)).when(what.isNotNull(), what).when(service.isNotNull(), F.concat(F.lit("An incident on "), service)),
+        F.concat(F.lit("Fired "), started, ended), F.when(resolved.isNull(), F.concat(F.lit("The incident is "), has("status"))), F.concat(F.lit("Owned by "), owned, person),
+        F.when(has("sha").isNotNull(), F.concat(some, F.lit(" touched the service just before, latest "), has("sha"), F.lit(" “"), has("subject"), F.lit("”"))).otherwise(F.concat(some, F.lit(" just before: "), has("subject"))),
+        F.concat(F.lit("This is a repeat of "), has("repeat_of")), F.concat(F.lit("Caused by "), has("caused_by")),
+    ]
+    return F.concat_ws(" ", *[F.concat(s, F.lit(".")) for s in sentences])

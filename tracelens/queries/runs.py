@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.functions import text
-from tracelens.operators import cards, lifecycle, reports
+from tracelens.operators import cards, expansion, lifecycle, reports
 from tracelens.plans import steps
 
 from .tables import CALLS, EPISODE, calls, read
@@ -171,6 +171,38 @@ def evidence_groups(spark, sf_dir):
     return cards.groups(_evidence(spark, sf_dir), ["run"], "step").withColumn("steps", F.array_join("steps", ","))
 
 
+def expanded_calls(spark, sf_dir):
+    """Customers' orders as calls, every third of them a flow whose items are its lines; the runs of the odd ones are lost."""
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
+    flow = F.col("o_orderkey") % 3 == 0
+    args = lambda v: F.create_map(F.lit("part"), v.cast("string"))
+    made = o.select(
+        "o_custkey", F.col("o_orderkey").alias("seq"), F.when(flow, "flows.run_flow").when(F.col("o_orderkey") % 11 == 0, "claude-code.Read").otherwise("shop.order").alias("tool"), args(F.lit("all")).alias("args"),
+        F.when(flow, F.concat(F.lit('{"run_id": "r'), F.col("o_orderkey").cast("string"), F.lit('"}'))).otherwise("{}").alias("result"), F.lit(False).alias("is_error"))
+    lines = l.where("l_orderkey % 3 = 0 and l_orderkey % 2 = 0").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_partkey").cast("string").alias("k")))), lambda x: x["k"]).alias("parts"))
+    items = F.transform("parts", lambda k: F.struct(F.create_map(F.lit("part"), k).alias("args"), F.lit(None).cast("string").alias("result"), F.lit(None).cast("string").alias("error"), F.lit(None).cast(expansion.ATTEMPTS).alias("attempts")))
+    step = F.struct(F.lit("shop.line").alias("tool"), F.lit(None).cast("boolean").alias("skipped"), F.lit(None).cast("map<string,string>").alias("args"), F.lit(None).cast("string").alias("result"), F.lit(None).cast("string").alias("error"), F.lit(None).cast(expansion.ATTEMPTS).alias("attempts"), items.alias("items"))
+    runs = lines.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"), F.lit("lines").alias("flow"), F.array(step).alias("steps"))
+    out, _ = expansion.expand_flow_calls(made, runs, ["o_custkey"])
+    return out.select("o_custkey", "seq", "tool", F.col("args")["part"].alias("part"), "from_flow")
+
+
+def read_only_commands(spark, sf_dir):
+    shapes = ("ls -la %s", "git log -n %s", "git push %s", "cat %s | wc", "python %s.py", "python -c 'print(%s)'", "rm %s", "/bin/grep 'a b' %s")
+    e = calls(spark, sf_dir).select("event_id", F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("event_id") % 8 + 1).cast("int")).alias("shape"), "k")
+    return e.select("event_id", text.is_read_only(F.replace("shape", F.lit("%s"), F.col("k"))).alias("ok"))
+
+
+def ledes(spark, sf_dir):
+    """Opening sentences about customers: those of odd number have no owner, every third one no commits, every fifth is resolved."""
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey")
+    facts = c.select(
+        "c_custkey", F.col("c_name").alias("what"), F.when(key % 4 > 0, F.col("n_name")).alias("service"), F.lit("Monday").alias("started"), F.when(key % 5 == 0, "Tuesday").alias("resolved"), F.when(key % 10 == 0, "1h").alias("duration"),
+        F.lit("open").alias("status"), F.when(key % 2 == 0, F.array(F.lit("@a"), F.lit("@b"))).alias("owners"), F.when(key % 7 == 0, "ann").alias("person"), (key % 3).alias("commits"), F.lit("abc").alias("sha"), F.lit("fix").alias("subject"))
+    return facts.select("c_custkey", cards.lede(facts).alias("lede"))
+
+
 def hub_join(spark, sf_dir):
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     hub = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
@@ -182,7 +214,7 @@ QUERIES = {
     for f in (
         ladder_first_hit, foreach_fanout, fan_in_status, when_filter, merge_extracts, headline_first, cassette, coverage, evidence_dedup, log_summary, majority_vote, repeat_counts, bindability,
         value_provenance, prompt_folding, observed_values, pending_feedback, ordered_union, lifecycle_fold, declarations, classify_run, expectations, hub_join,
-        evidence_cards, evidence_groups,
+        evidence_cards, evidence_groups, expanded_calls, read_only_commands, ledes,
     )
 }
 
@@ -192,6 +224,13 @@ EVIDENCE = f"""{CALLS}, ev AS (SELECT o_custkey AS run, 'tickets' AS step, 'issu
  UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'page' ELSE 'pages' END, 'page', 'page', CAST(c_nationkey AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 'whole' ELSE 'about it' END FROM customer
  UNION ALL SELECT c_custkey, 'flow', 'json', 'flow', '{{"x":"' || n_name || '"}}', NULL FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 = 0)"""
 ORACLE_SQL = {
+    "expanded_calls": """WITH c AS (SELECT o_custkey, o_orderkey AS s, 0 AS j, 'shop.order' AS tool, 'all' AS part, NULL AS from_flow FROM orders WHERE o_orderkey % 3 != 0 AND o_orderkey % 11 != 0
+ UNION ALL SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey), 'shop.line', CAST(l_partkey AS VARCHAR), 'lines' FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)
+ SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY s, j) AS seq, tool, part, from_flow FROM c""",
+    "read_only_commands": "SELECT event_id, event_id % 8 IN (0, 1, 5, 7) AS ok FROM events",
+    "ledes": """SELECT c_custkey, c_name || CASE WHEN c_custkey % 4 > 0 THEN ' on ' || n_name ELSE '' END || '. Fired Monday' || CASE WHEN c_custkey % 10 = 0 THEN ', resolved after 1h.' WHEN c_custkey % 5 = 0 THEN ', resolved Tuesday.' ELSE '. The incident is open.' END
+ || CASE WHEN c_custkey % 2 = 0 THEN ' Owned by @a, @b' || CASE WHEN c_custkey % 7 = 0 THEN ' (ann on it)' ELSE '' END || '.' ELSE '' END
+ || CASE c_custkey % 3 WHEN 1 THEN ' One commit touched the service just before, latest abc “fix”.' WHEN 2 THEN ' 2 commits touched the service just before, latest abc “fix”.' ELSE '' END AS lede FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "evidence_cards": f"WITH {EVIDENCE} SELECT * FROM ev",
     "evidence_groups": f"""WITH {EVIDENCE} SELECT run, list_position(['issue', 'incident', 'message', 'metric', 'log', 'commit', 'code', 'owners', 'page', 'flow', 'other'], type) AS place, type, count(*) AS cards, count(DISTINCT step) AS sources, string_agg(DISTINCT step, ',' ORDER BY step) AS steps
  FROM ev GROUP BY run, type""",
