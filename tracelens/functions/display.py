@@ -21,7 +21,7 @@ def markable(value: Column) -> Column:
 
 
 def singular(name: Column) -> Column:
-    """``trace_ids`` is ``trace_id``; a number at the end goes first; ``status`` and ``thread_ts`` stay."""
+    """A name without its plural ending, once a counter behind it is gone; short names and endings that may be no plural stay as they are."""
     n = F.regexp_replace(name, r"_\d+$", "")
     return (
         F.when((F.length(n) > 4) & n.rlike("ies$"), F.regexp_replace(n, "ies$", "y")).when((F.length(n) > 4) & n.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(n, "es$", ""))
@@ -34,7 +34,7 @@ def plural(name: Column) -> Column:
 
 
 def display_type(value_type: Column, name: Column) -> Column:
-    """A value type as the word for what moved: the id's or entity's kind, the hub's attribute, or the singular of the name."""
+    """What a reader is told about a value: the kind of an id or entity, else the attribute of the hub, else the field's name for a single one."""
     head, rest = F.substring_index(value_type, ":", 1), F.regexp_extract(value_type, "^[^:]*:(.*)$", 1)
     plain = F.when(singular(name) != "", singular(name)).when(value_type != "", value_type).otherwise(F.lit("value"))
     attribute = F.substring_index(rest, ".", -1)

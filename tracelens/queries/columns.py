@@ -19,6 +19,25 @@ VALUES = {
     "log_level": "concat('ERR', 'OR')", "s3_uri": "concat('s3://bucket/o/', o_orderkey)", "mac_address": "concat('00:1b:44:11:3a:', 10 + o_orderkey % 80)", "cidr": "concat('10.0.', o_orderkey % 200, '.0/24')",
     "slack_token": "concat('xoxb-', lpad(cast(o_orderkey as varchar(20)), 12, '0'))", "google_key": "concat('AIza', lpad(cast(o_orderkey as varchar(20)), 35, 'x'))", "abs_path": "concat('/srv/app/o', o_orderkey, '/main.py')", "ec2_instance": "concat('i-', lpad(cast(o_orderkey as varchar(20)), 17, '0'))",
 }
+_KEY = "cast(o_orderkey as varchar(20))"
+
+
+def _pad(n: int, fill: str = "0") -> str:
+    return f"lpad({_KEY}, {n}, '{fill}')"
+
+
+#: The same for the kinds that are told apart by length, by what stands around them, or by the order of kinds.
+MORE_VALUES = {
+    "sha40": f"concat('abc', {_pad(37)})", "trace_id": f"concat('abc', {_pad(29)})", "trace_id16": f"concat('abc', {_pad(13)})", "sha_short": f"concat('abc', {_pad(7)})", "k8s_pod": f"concat('o', {_KEY}, '-bcdfghjkl-bcdfg')",
+    "slack_dm_id": f"concat('D0', {_pad(9)})", "pd_incident_id": f"concat('Q', {_pad(13)})", "pd_service_id": f"concat('P', {_pad(6)})", "http_status": "concat('', 200 + o_orderkey % 300)", "slack_channel": f"concat('#team-', {_KEY})",
+    "error_class": f"concat('Order', {_KEY}, 'Error')", "semver": f"concat('1.', {_KEY}, '.0')", "git_remote": f"concat('git@ex.org:team/r', {_KEY}, '.git')", "github_ref": f"concat('team/repo#', {_KEY})", "file_line": f"concat('src/o', {_KEY}, '.py:12')",
+    "java_class": f"concat('org.ex.Order', {_KEY})", "python_module": f"concat('pkg.mod.o', {_KEY})", "package_spec": f"concat('pkg', {_KEY}, '==1.2')", "docker_image": f"concat('reg/app', {_KEY}, ':v1')", "image_digest": f"concat('sha256:', {_pad(64)})",
+    "aws_arn": f"concat('arn:aws:s3:::o', {_KEY})", "gcs_uri": f"concat('gs://b/o', {_KEY})", "k8s_namespace_ref": f"concat('ns/o', {_KEY})", "k8s_resource": f"concat('pod/o', {_KEY})", "ipv6": "concat('2001:db8::', o_orderkey % 1000)",
+    "host_port": f"concat('h', {_KEY}, '.ex.org:8080')", "fqdn": f"concat('h-', {_KEY}, '.ex.org')", "ulid": f"concat('01', {_pad(24)})", "object_id": f"concat('abc', {_pad(21)})", "snowflake_id": f"concat('12', {_pad(16)})", "epoch_ms": f"concat('170', {_pad(10)})",
+    "traceparent": f"concat('00-', {_pad(32)}, '-', {_pad(16)}, '-01')", "gdrive_id": f"concat('1A', {_pad(32, 'x')})", "prom_metric": f"concat('o', {_KEY}, '_total')", "prom_selector": f"concat('{{a=\"o', {_KEY}, '\"}}')", "iso_duration": "concat('P', o_orderkey % 9 + 1, 'D')",
+    "relative_time": "concat('now-', o_orderkey % 50, 'm')", "cron_expr": "concat('*/', o_orderkey % 50 + 1, ' * * * *')", "hex_color": f"concat('#', {_pad(6)})", "openai_key": f"concat('sk-', {_pad(24)})", "bearer": f"concat('Bearer ', {_pad(24, 'a')})",
+    "jwt": f"concat('eyJ', {_pad(12, 'a')}, '.', {_pad(12, 'b')}, '.', {_pad(12, 'c')})", "private_key": "concat('-----BEGIN ', 'RSA PRIVATE KEY-----')", "github_repo": f"concat('github.com/team/r', {_KEY})",
+}
 _SPARK = {k: v.replace("varchar(20)", "string") for k, v in VALUES.items()}
 
 
@@ -28,6 +47,22 @@ def typed_values(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", pairs).select("o_orderkey", "v.value", ids.type_of(F.col("v.value")).alias("kind"))
 
 
+def more_typed_values(spark, sf_dir):
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(v.replace("varchar(20)", "string")).alias("value")) for k, v in MORE_VALUES.items()])).alias("v")
+    return read(spark, sf_dir, "orders").select("o_orderkey", pairs).select("o_orderkey", "v.value", ids.type_of(F.col("v.value")).alias("kind"))
+
+
+def found_in_text(spark, sf_dir):
+    """Such values found by kind in a line that has each twice."""
+    o = read(spark, sf_dir, "orders")
+    out = None
+    for kind in FOUND:
+        line = F.concat(F.lit("( "), F.expr(MORE_VALUES[kind].replace("varchar(20)", "string")), F.lit(" ) and "), F.expr(MORE_VALUES[kind].replace("varchar(20)", "string")), F.lit(" ;"))
+        one = ids.find_all(o.select("o_orderkey", line.alias("line")), "o_orderkey", "line", kind).select("o_orderkey", F.lit(kind).alias("kind"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def planted_ids(spark, sf_dir):
     """Keys, addresses and mails inside a sentence, found by kind."""
     line = F.concat(F.lit("see "), F.expr(_SPARK["jira_key"]), F.lit(" from "), F.expr(_SPARK["ipv4"]), F.lit(", mail "), F.expr(_SPARK["email"]), F.lit(" again "), F.expr(_SPARK["jira_key"]))
@@ -77,10 +112,14 @@ def analysis_progress(spark, sf_dir):
     return ingest.progress(read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (typed_values, planted_ids, planted_secrets, slugs, regex_extracts, durations, catalog_attributes, proposals, analysis_progress)}
+#: Kinds that are found in lines of their own.
+FOUND = ("sha40", "k8s_pod", "java_class", "docker_image", "traceparent", "cron_expr")
+QUERIES = {f.__name__: f for f in (typed_values, more_typed_values, found_in_text, planted_ids, planted_secrets, slugs, regex_extracts, durations, catalog_attributes, proposals, analysis_progress)}
 _KINDS = " UNION ALL ".join(f"SELECT o_orderkey, {v} AS value, '{k}' AS kind FROM orders" for k, v in VALUES.items())
 ORACLE_SQL = {
     "typed_values": _KINDS,
+    "more_typed_values": " UNION ALL ".join(f"SELECT o_orderkey, {v} AS value, '{k}' AS kind FROM orders" for k, v in MORE_VALUES.items()),
+    "found_in_text": " UNION ALL ".join(f"SELECT o_orderkey, '{k}' AS kind, {MORE_VALUES[k]} AS value FROM orders" for k in FOUND),
     "planted_ids": " UNION ALL ".join(f"SELECT o_orderkey, '{k}' AS kind, CAST(1 AS BIGINT) AS n, {VALUES[k]} AS value FROM orders" for k in ("jira_key", "ipv4", "email")),
     "planted_secrets": f"SELECT o_orderkey, concat('key [redacted] token [redacted] ticket ', {VALUES['jira_key']}) AS line FROM orders",
     "slugs": "SELECT c_custkey, trim(regexp_replace(lower(c_name || ' (x)'), '[^a-z0-9]+', '-', 'g'), '-') || '-' || left(sha1(c_name || ' (x)'), 8) AS slug FROM customer",
