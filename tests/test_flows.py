@@ -8,7 +8,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tracelens.operators import flows, induce, ordering, templates
+from tracelens import api
+from tracelens.operators import flows, induce, ordering, skeleton, templates
 from tracelens.queries import induction
 
 SF = "/root/testdata/sf0.001"
@@ -282,10 +283,30 @@ def test_flow_of_three_sessions(spark):
     assert args["read", "path"]["kind"] == "unresolved" and len(args["read", "path"]["templates"]) == 1 and steps["read"]["unresolved"] == ["path"]
     assert [(r["name"], r["type"], r["example"]) for r in got.inputs.collect()] == [("key", "jira_key", "ABC-1")]
     assert {(r["inputs"], r["sessions"], tuple(r["min_hits"])) for r in got.cases.collect()} == {('{"key":"ABC-1"}', 1, ("grep", "issue", "read", "search")), ('{"key":"ABC-2"}', 2, ("grep", "issue", "read", "search"))}
+    (shown,) = api.card(got).collect()
+    assert shown["found"] == "Every traced run had hits on: grep, issue, read, search." and [o["name"] for o in shown["outputs"]] == ["jira", "code", "logs", "pd", "chat"]
+    assert api.induce(spark.createDataFrame(rows, STEPS), inputs).steps.count() == 6
     empty = flows.induce_flows(spark.createDataFrame([], STEPS), inputs.where("false"))
     assert empty.steps.collect() == empty.arguments.collect() == empty.cases.collect() == []
 
 
+def test_skeletons(spark):
+    """Groups by name, tool and server; required ones; what is not looked at."""
+    steps = [("slack_thread", 0, "repeat_search", "jira.jira_search", None, None, False), ("slack_thread", 1, "issue", "jira.jira_get_issue", None, None, True), ("slack_thread", 2, "code", "code.grep", "(a.x) | unique | list", 4, False), ("slack_thread", 3, "read", "code.read_file", None, None, True), ("slack_thread", 4, "odd", "own.thing", None, None, False), ("bare", 0, "x", "own.thing", None, None, False)]
+    df = spark.createDataFrame(steps, "trigger string, place long, id string, tool string, for_each string, max_items long, expected boolean")
+    arguments = spark.createDataFrame([("slack_thread", "issue", "q", "ladder", ["a", "b"]), ("slack_thread", "issue", "w", "bound", ["a"])], "trigger string, id string, arg string, kind string, templates array<string>")
+    inputs = spark.createDataFrame([("slack_thread", "key", "jira_key", "A-1"), ("slack_thread", "team", "string", None)], "trigger string, name string, type string, example string")
+    got = {r["trigger"]: r.asDict(recursive=True) for r in skeleton.skeletons(df, arguments, inputs).collect()}
+    one = got["slack_thread"]
+    assert [(o["name"], o["steps"], o["required"]) for o in one["outputs"]] == [("repeats", ["repeat_search"], False), ("ticket", ["issue"], True), ("code", ["code", "read"], True), ("own", ["odd"], False)]
+    assert one["outputs"][1]["description"] == "the Jira ticket (jira.jira_get_issue, 2-rung ladder on q)"
+    assert one["outputs"][2]["description"] == "source lines that raise or log the error (code.grep, per item of `(a.x) | unique | list`, first 4); the source file that handles the request (code.read_file)"
+    assert one["use_case"] == "Run it on a slack thread (key, team) to gather: repeats, ticket, code, own." and one["inputs"] == ["key (jira_key), e.g. A-1", "team (string)"]
+    assert one["not_covered"] == [f"no {s} lookups" for s in ("slack", "confluence", "chronosphere", "logz", "pagerduty", "git")] + ["code looks at the first 4 items of its fan-out only"]
+    assert one["found"] == "Every traced run had hits on: issue, read."
+    assert got["bare"]["use_case"] == "Run it on a bare (no inputs) to gather: own." and got["bare"]["inputs"] == [] and len(got["bare"]["not_covered"]) == 8 and got["bare"]["found"] == ""
+
+
 @pytest.mark.parametrize("small", [ordering.SMALL_EDGES, 1, 0])
 def test_cycles_cut_fallbacks_first(spark, small):
     """Sessions in opposite orders: a ladder falls back on a later step and that one's list on the first; rungs give way, scalars stay."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.operators import dataflow, lifecycle, search, sequences
-from tracelens.sources import traces, workspace
+from tracelens.operators import cards, dataflow, lifecycle, search, sequences, skeleton
+from tracelens.operators import flows as induced
+from tracelens.sources import index, traces, workspace
 
 
 def import_transcripts(spark: SparkSession, source: str, target: str, name: str, force: bool = False) -> DataFrame:
@@ -28,6 +29,34 @@ def sequence_candidates(runs: DataFrame, episode: list[str], most: int | None =
     return found.where(F.col("rank") <= most) if most else found
 
 
+def induce(calls: DataFrame, inputs: DataFrame) -> induced.Flows:
+    """The flows of all triggers from their sessions' bound calls."""
+    return induced.induce_flows(calls, inputs)
+
+
+def card(found: induced.Flows) -> DataFrame:
+    """What each induced flow is for, what it should find, and what it does not look at."""
+    return skeleton.skeletons(found.steps, found.arguments, found.inputs)
+
+
+def evidence(results: DataFrame, run: list[str], order: list[str], key: list[str]) -> DataFrame:
+    """What the tools' results of a run show, without repeats, by type of information."""
+    return cards.evidence(cards.cards(results, key), run, order)
+
+
+def test(steps: DataFrame, expect: DataFrame, run: list[str]) -> DataFrame:
+    """The expectations that runs do not meet."""
+    return lifecycle.check_expectations(steps, expect, run)
+
+
+test.__test__ = False  # no test of pytest
+
+
+def refresh(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """Bring the index of a trace folder up to date, and tell what was new, changed or gone."""
+    return index.refresh(spark, folder, path)
+
+
 def status(events: DataFrame, flow: list[str], order: list[str]) -> DataFrame:
     """The promotion state of each flow after its outcomes."""
     return lifecycle.fold(events, flow, order)

@@ -119,10 +119,18 @@ def classify_runs(steps: DataFrame, run: list[str], order: str) -> DataFrame:
 
 
 def check_expectations(steps: DataFrame, expect: DataFrame, run: list[str]) -> DataFrame:
-    """Expectations (step, min_hits, max_hits) that a run does not meet."""
-    got = expect.join(steps.select(*run, "step", "hits", "skipped"), [*run, "step"], "left")
+    """Expectations (step, min_hits, max_hits) that a run does not meet; with ``extracts`` also a value that an extract has to have.
+
+    ``extracts`` are maps: name to value in ``expect``, name to the list of values in ``steps``; the first that is not met by name is told.
+    """
+    told = [c for c in ("extracts",) if c in expect.columns and c in steps.columns]
+    got = expect.withColumnsRenamed({c: f"_want_{c}" for c in told}).join(steps.select(*run, "step", "hits", "skipped", *told), [*run, "step"], "left")
     hits = F.coalesce("hits", F.lit(0))
     why = (
         F.when(F.col("skipped").isNull(), F.lit("missing")).when(F.col("skipped"), F.lit("skipped")).when(hits < F.col("min_hits"), F.lit("too few hits")).when(hits > F.col("max_hits"), F.lit("too many hits"))
     )
+    if told:
+        entries = F.array_sort(F.map_entries("_want_extracts"))
+        lost = F.get(F.filter(entries, lambda e: ~F.coalesce(F.array_contains(F.col("extracts")[e["key"]], e["value"]), F.lit(False))), F.lit(0))
+        why = F.coalesce(why, F.when(lost.isNotNull(), F.concat(F.lit("extract "), lost["key"], F.lit(" is not "), lost["value"])))
     return got.withColumn("why", why).where("why is not null").select(*run, "step", "why")

@@ -203,6 +203,16 @@ def ledes(spark, sf_dir):
     return facts.select("c_custkey", cards.lede(facts).alias("lede"))
 
 
+def extract_expectations(spark, sf_dir):
+    """Users' tools held against expected keys: views have to know 3, errors 5 and then 500, which none does."""
+    keys = F.array_agg("k")
+    s = calls(spark, sf_dir).groupBy("user_id", F.col("tool").alias("step")).agg(F.count("*").alias("hits"), F.create_map(F.lit("k"), keys, F.lit("none"), F.array().cast("array<string>")).alias("extracts")).withColumn("skipped", F.lit(False))
+    want = s.where("step in ('view', 'error', 'click')").select(
+        "user_id", "step", F.lit(1).cast("long").alias("min_hits"), F.lit(1000).cast("long").alias("max_hits"),
+        F.when(F.col("step") == "view", F.create_map(F.lit("k"), F.lit("3"))).when(F.col("step") == "error", F.create_map(F.lit("k"), F.lit("5"), F.lit("none"), F.lit("500"))).alias("extracts"))
+    return lifecycle.check_expectations(s, want, ["user_id"])
+
+
 def hub_join(spark, sf_dir):
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     hub = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
@@ -214,7 +224,7 @@ QUERIES = {
     for f in (
         ladder_first_hit, foreach_fanout, fan_in_status, when_filter, merge_extracts, headline_first, cassette, coverage, evidence_dedup, log_summary, majority_vote, repeat_counts, bindability,
         value_provenance, prompt_folding, observed_values, pending_feedback, ordered_union, lifecycle_fold, declarations, classify_run, expectations, hub_join,
-        evidence_cards, evidence_groups, expanded_calls, read_only_commands, ledes,
+        evidence_cards, evidence_groups, expanded_calls, read_only_commands, ledes, extract_expectations,
     )
 }
 
@@ -227,6 +237,8 @@ ORACLE_SQL = {
     "expanded_calls": """WITH c AS (SELECT o_custkey, o_orderkey AS s, 0 AS j, 'shop.order' AS tool, 'all' AS part, NULL AS from_flow FROM orders WHERE o_orderkey % 3 != 0 AND o_orderkey % 11 != 0
  UNION ALL SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey), 'shop.line', CAST(l_partkey AS VARCHAR), 'lines' FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)
  SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY s, j) AS seq, tool, part, from_flow FROM c""",
+    "extract_expectations": f"""WITH {CALLS}, s AS (SELECT user_id, tool AS step, bool_or(k = '3') AS three, bool_or(k = '5') AS five FROM calls GROUP BY 1, 2)
+ SELECT user_id, step, CASE WHEN step = 'view' THEN 'extract k is not 3' WHEN five THEN 'extract none is not 500' ELSE 'extract k is not 5' END AS why FROM s WHERE step = 'error' OR step = 'view' AND NOT three""",
     "read_only_commands": "SELECT event_id, event_id % 8 IN (0, 1, 5, 7) AS ok FROM events",
     "ledes": """SELECT c_custkey, c_name || CASE WHEN c_custkey % 4 > 0 THEN ' on ' || n_name ELSE '' END || '. Fired Monday' || CASE WHEN c_custkey % 10 = 0 THEN ', resolved after 1h.' WHEN c_custkey % 5 = 0 THEN ', resolved Tuesday.' ELSE '. The incident is open.' END
  || CASE WHEN c_custkey % 2 = 0 THEN ' Owned by @a, @b' || CASE WHEN c_custkey % 7 = 0 THEN ' (ann on it)' ELSE '' END || '.' ELSE '' END
