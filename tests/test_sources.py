@@ -126,6 +126,25 @@ def test_functions_by_name(spark):
         registry.apply("nope", F.col("s"))
 
 
+def test_long_files_are_split(spark, tmp_path):
+    """A trace read by many tasks keeps the order of its lines."""
+    write(tmp_path / "long.jsonl", [{"kind": "meta", "session_id": "s", "trigger": f"t{k}"} for k in range(3)] + [{"session_id": "s", "seq": k, "server": "x", "tool": f"t{k}", "input": {"k": "é" * (k % 40)}} for k in range(600)] + [{"kind": "result", "session_id": "s", "text": "last"}])
+    write(tmp_path / "deep" / "other.jsonl", [{"session_id": "o", "seq": 1, "server": "x", "tool": "y"}])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        records = traces.read_records(spark, str(tmp_path))
+        assert records.rdd.getNumPartitions() > 10
+        entry = {r["session_id"]: r for r in traces.index(records).collect()}
+        assert entry["s"]["nodes"] == [f"x.t{k}" for k in range(600)] and entry["s"]["n_calls"] == 600 and entry["o"]["nodes"] == ["x.y"]
+        one = traces.sessions(records).where("session_id = 's'").first()
+        assert (one["trigger"], one["result"], one["n_calls"]) == ("t2", "last", 600)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def trace(n, session="s", text="look"):
     return [{"kind": "meta", "session_id": session, "prompt": "meta prompt"}, {"kind": "prompt", "text": text}, *[{"server": "jira", "tool": f"t{k}"} for k in range(n)]]
 

@@ -23,10 +23,15 @@ RECORD = "ts string, session_id string, source string, kind string, trigger stri
 
 
 def _lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """Lines of all files with their file and place.  A file is one trace and read whole: its line order is its meaning."""
-    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
-    return files.select("file", "size", "mtime", F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw") != "")
+    """Lines of all files with their file and place, in the order of ``line``; long files are split.
+
+    A place is the start of the split and the row's number in the scan, which grows along a split, so places order the
+    lines of a file, whichever tasks read its splits.
+    """
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    files = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"), place.alias("line"), F.col("value").alias("raw"))
+    return files.where(F.trim("raw") != "")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
