@@ -349,3 +349,15 @@ def test_feistel_is_a_permutation(spark):
         df = spark.range(lm).withColumnRenamed("id", "l").crossJoin(spark.range(rm).withColumnRenamed("id", "r"))
         out = {tuple(r["s"])[:2] for r in df.select(pii.feistel(F.col("l"), F.col("r"), F.lit(lm), F.lit(rm), "k", "t").alias("s")).collect()}
         assert out == {(x, y) for x in range(lm) for y in range(rm)}
+
+
+def test_very_many_languages(spark, monkeypatch):
+    """The model has a bound, whatever the number of labels: the languages of most rows stay, and all texts get one of these."""
+    monkeypatch.setattr(language, "MAX_LANGS", 40)
+    one = spark.range(20_000).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("dirty label number "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("lang"))
+    words = {"aa": "amber birch cedar delta", "bb": "quartz river stone tidal"}
+    two = spark.createDataFrame([(k, f"{words[lang]} {k} {words[lang]}", lang) for k, lang in enumerate(["aa", "bb"] * 30)], "doc_id long, text string, lang string")
+    model = language.fit(one.unionByName(two), F.lit(True))
+    assert len(model.langs) == 40 and {"aa", "bb"} < set(model.langs)
+    predict = language.predictor(spark, model)
+    assert [r[0] for r in two.orderBy("doc_id").limit(4).select(predict("text")["lang"]).collect()] == ["aa", "bb"] * 2

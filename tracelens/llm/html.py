@@ -71,37 +71,9 @@ _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+")
 _CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-_CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-_CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
-def _noise_class(token: str, in_article: bool) -> bool:
-    """Whether a class or id names something set apart."""
-    parts = _WORD.findall(_CASE.sub("-", token).lower())
-    if not parts or parts[0] in ABOUT:
-        return False
-    if len(parts) == 1:
-        return parts[0] in NOISE_WORDS and not (in_article and parts[0] in PARTS)
-    for i in (0, -1):
-        if parts[i] in NOISE_WORDS - WHOLE_ONLY or parts[i] in WHOLE_ONLY and all(p in PLACES or p in NOISE_WORDS for p in parts):
-            return not (in_article and parts[i] in PARTS)
-    return False
-
-
-def _noise_class(token: str, in_article: bool) -> bool:
-    """Whether a class or id names something set apart."""
-    parts = _WORD.findall(_CASE.sub("-", token).lower())
-    if not parts or parts[0] in ABOUT:
-        return False
-    if len(parts) == 1:
-        return parts[0] in NOISE_WORDS and not (in_article and parts[0] in PARTS)
-    for i in (0, -1):
-        if parts[i] in NOISE_WORDS - WHOLE_ONLY or parts[i] in WHOLE_ONLY and all(p in PLACES or p in NOISE_WORDS for p in parts):
-            return not (in_article and parts[i] in PARTS)
-    return False
-
-
 def _noise_class(token: str, in_article: bool) -> bool:
     """Whether a class or id names something set apart."""
     parts = _WORD.findall(_CASE.sub("-", token).lower())
@@ -232,40 +204,6 @@ def regions(weight: np.ndarray, window: int, threshold: int) -> list[tuple[int,
     return out
 
 
-def regions(weight: np.ndarray, window: int, threshold: int) -> list[tuple[int, int]]:
-    """(first, last + 1) of the lines between each surge of the block sums above the threshold and the dive that ends it."""
-    block = np.convolve(weight, np.ones(window, dtype=np.int64))[window - 1 :]  # sum of each line and the window - 1 after it
-    limit = threshold if (block > threshold).any() else 0
-    out, i = [], 0
-    while i < len(block):
-        if block[i] <= limit:
-            i += 1
-            continue
-        surge = i
-        while i < len(block) and block[i] > 0:
-            i += 1
-        heavy = surge + np.flatnonzero(weight[surge:i])
-        out.append((int(heavy[0]), int(heavy[-1]) + 1))
-    return out
-
-
-def regions(weight: np.ndarray, window: int, threshold: int) -> list[tuple[int, int]]:
-    """(first, last + 1) of the lines between each surge of the block sums above the threshold and the dive that ends it."""
-    block = np.convolve(weight, np.ones(window, dtype=np.int64))[window - 1 :]  # sum of each line and the window - 1 after it
-    limit = threshold if (block > threshold).any() else 0
-    out, i = [], 0
-    while i < len(block):
-        if block[i] <= limit:
-            i += 1
-            continue
-        surge = i
-        while i < len(block) and block[i] > 0:
-            i += 1
-        heavy = surge + np.flatnonzero(weight[surge:i])
-        out.append((int(heavy[0]), int(heavy[-1]) + 1))
-    return out
-
-
 def extract(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     if not page:
         return ""

@@ -11,9 +11,10 @@ starts the next piece, so that thousands of texts are parsed in lock step by
 array operations.  Texts are parsed in blocks of ``BLOCK`` characters (a piece
 never spans two blocks); every block of a text counts.
 
-Training text is a bounded sample (``SLOTS`` documents a language, ``TRAIN_CHARS``
-characters, fewer where there are many languages): each slot keeps the document with the smallest hash in it, whatever
-the number of rows.
+Training text is a bounded sample (``SLOTS`` documents a language and ``TRAIN_SLOTS`` in all,
+``TRAIN_CHARS`` characters, fewer where there are many languages): each slot keeps the document with the smallest hash
+in it, whatever the number of rows.  Of more than ``MAX_LANGS`` labels, as of a dirty column, those of most rows are
+learnt, the first in alphabetical order at ties; so what comes to the driver and is broadcast has a fixed bound.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 ties go to the first language in alphabetical order; without any labelled row
@@ -38,6 +39,8 @@ SLOTS = 192
 TRAIN_CHARS = 14_000
 #: Characters of all languages together: many labels have shorter samples each, so that the broadcast model is bounded and no label goes.
 TRAIN_TOTAL = 400_000
+#: Documents of all languages together, and languages, that a model is made of.
+TRAIN_SLOTS, MAX_LANGS = 40_000, 2_000
 LONG_ROW = 20_000
 BLOCK = 256
 SYMBOLS = 64
@@ -196,10 +199,16 @@ def fit(docs: DataFrame, train: Column) -> Model:
     # Short rows come first: their hash is made smaller than that of any longer row.
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 2)
     h = h + F.when(F.length("text") > LONG_ROW, F.lit(1 << 62)).otherwise(F.lit(0))
-    rows = rows.select("lang", "text", h.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SLOTS)).alias("slot"))
-    chars = max(64, min(TRAIN_CHARS, TRAIN_TOTAL // max(1, rows.select("lang").distinct().count())))
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n = labels.count()
+    if n > MAX_LANGS:  # a list of MAX_LANGS names
+        rows = rows.join(F.broadcast(labels.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")), "lang", "left_semi")
+    n = max(1, min(n, MAX_LANGS))
+    slots = max(1, min(SLOTS, TRAIN_SLOTS // n))
+    rows = rows.select("lang", "text", h.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(slots)).alias("slot"))
+    chars = max(64, min(TRAIN_CHARS, TRAIN_TOTAL // n))
     picks = rows.groupBy("lang", "slot").agg(F.min("h").alias("h")).select("lang", "h")
-    size = max(8, 2 * chars // SLOTS)
+    size = max(8, 2 * chars // slots)
     sample = rows.join(F.broadcast(picks), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, LONG_ROW)).alias("t"))
     got: dict[str, list[str]] = {}
     for r in sample.select("lang", "h", F.expr(f"substring(t, 1 + pmod(h, greatest(1, length(t) - {size})), {size})").alias("t")).orderBy("lang", "h").collect():
