@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # What is no parameter, plural endings that stay, and how a recurrence is told.
 NO_VALUES = ("true", "false", "none")
 KEEP_PLURAL = r"(ss|us|is|ts)$"
-REPEAT = r"(?:looks like|same as|repeat of|recurrence of|again[,:]?\s+like)\s+([A-Z][A-Z0-9]{1,9}-\d{1,6})"
-AGAIN = r"([A-Z][A-Z0-9]{1,9}-\d{1,6})\s+again\b"
+REPEAT = r"(?:looks like|same as|repeat of|recurrence of|again[,:]?\s+like)\s+([A-Z][A-Z0-9]{1,9}-\d+)"
+AGAIN = r"([A-Z][A-Z0-9]{1,9}-\d+)\s+again\b"
 TRUST = {"promoted": 0, "candidate": 1, "draft": 2}
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
