@@ -77,3 +77,46 @@ def test_gazetteer(spark):
     df = spark.createDataFrame([(1, "payments_api and PAYMENTS-API, not xpayments-api; web app"), (2, None)], "id long, t string")
     got = extract.gazetteer(df, "id", "t", [("payments-api", "payments"), ("web", "web"), ("web app", "webapp")]).collect()
     assert [(r["id"], r["n"], r["name"]) for r in sorted(got)] == [(1, 1, "payments"), (1, 2, "webapp")]
+
+
+def test_guards_let_every_value_through(spark):
+    """Each kind against its bare shape, on values of all kinds alone and inside texts."""
+    rnd = random.Random(8)
+    made = ["PAY-1234567", "ab-" + "b" * 8 + "-bcdfg", "C0123456789", "Q" + "A" * 13, "P123456", "404", "a.b@c.d", "http://x", "#ab", "AnError", "1.2.3", "git@a:b/c", "github.com/a/b", "a/b#1", "./a.py:1", "/a/b", "a.b.C", "a.b.c", "a@1.2", "p==1.2", "a/b:c", "sha256:" + "a" * 64]
+    made += ["arn:aws:s:::b", "i-" + "0" * 8, "s3://b", "gs://b", "ns/a", "job/a", "00:1b:44:11:3a:b7", "a::b", "::1", "1:2:3:4:5:6:7:8", "1.2.3.4/8", "1.2.3.4", "a.bc:12", "a.b.co", "h-1.ex.org", "01" + "A" * 24, "abc" + "0" * 21, "12" + "0" * 16, "170" + "0" * 10, "1700000000", "00-" + "1" * 32 + "-" + "2" * 16 + "-01", "1A" + "x" * 31, "a_sum", '{a=""}', "WARN", "P1D", "PT1H", "P", "now-1m"]
+    made += ["* * * * *", "*/5 1 2 3 4", "#a1b2c3", "ghp_" + "a" * 36, "xoxb-" + "1" * 10, "ASIA" + "A" * 16, "sk-" + "a" * 20, "AIza" + "x" * 35, "eyJ" + "a" * 10 + "." + "b" * 10 + "." + "c" * 10, "-----BEGIN PRIVATE KEY-----", "Bearer " + "a" * 20, "2024-01-10", "2024-01-10T10:00:00Z", "1700000000.000100", "٤٠٤", "x٤-٤"]
+    made += ["0123456789abcdef", "abc1234", "f" * 39 + "1", "3f2504e0-4f89-11d3-9a0c-0305e82c3301", "plain", "", "é" * 7]
+    texts = [*made, *[" ".join(rnd.choices(made, k=5)) for _ in range(60)], *[rnd.choice(made) + rnd.choice(["é", ".", "/", "x", ", "]) + rnd.choice(made) for _ in range(300)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    bare = F.array(*[F.when(F.col("t").rlike(f"(?U)^(?:{ids.SHAPES[k]})\\z"), F.lit(k)) for k in ids.KINDS])
+    rows = df.select("t", ids.type_of(F.col("t")).alias("kind"), F.get(F.array_compact(bare), F.lit(0)).alias("want")).collect()
+    assert [(r["t"], r["kind"]) for r in rows] == [(r["t"], r["want"]) for r in rows]
+    assert {r["kind"] for r in rows} >= set(ids.KINDS) - {"epoch_s", "epoch_ms", "trace_id", "slack_dm_id", "slack_user_id", "mac_address"}
+    found = {}
+    for r in ids.spans(df, "id", "t").collect():
+        assert texts[r["id"]][r["start"] : r["end"]] == r["value"]
+        found.setdefault((r["id"], r["kind"]), []).append(r["value"])
+    all_ = df.select("id", *[F.regexp_extract_all("t", F.lit("(?U)" + ids.SHAPES[k]), F.lit(0)).alias(k) for k in ids.KINDS]).collect()
+    assert found == {(r["id"], k): r[k] for r in all_ for k in ids.KINDS if r[k]}
+
+
+def test_find_all_against_all_pairs(spark):
+    rnd = random.Random(3)
+    some = ["payments-7d4b9c6f5d-x2k9p", "7d4b9c6f5d", "abc1234", "PAY-12", "10.1.2.3", "a.b@c.io", "x/y:1.2", "org.ex.Order", "é"]
+    texts = [(i, rnd.choice([" ", ""]).join(rnd.choice(some) + rnd.choice([" ", "-", ", "]) for _ in range(rnd.randint(0, 7)))) for i in range(200)]
+    df = spark.createDataFrame([*texts, (900, None)], "id long, t string")
+    at = {}
+    for r in ids.spans(df, "id", "t").collect():
+        at.setdefault(r["id"], []).append((r["start"], r["end"], r["kind"], r["ord"], r["value"]))
+    for kind in ("sha_short", "docker_image", "ipv4", "java_class"):
+        got = {}
+        for r in ids.find_all(df, "id", "t", kind).orderBy("id", "n").collect():
+            got.setdefault(r["id"], []).append(r["value"])
+        before = ids.KINDS.index(kind)
+        want = {}
+        for i, found in at.items():
+            over = [f for f in found if f[2] != kind and (f[3] < before or f[2] == "k8s_pod")]
+            free = [f for f in sorted(found) if f[2] == kind and not any(c[0] <= f[0] and f[1] <= c[1] and c[1] - c[0] > f[1] - f[0] for c in over)]
+            if free:
+                want[i] = list(dict.fromkeys(f[4] for f in free))
+        assert got == want, kind
