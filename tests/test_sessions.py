@@ -1,5 +1,8 @@
 """Sessions: joins of hooks and subagents, inputs from prompts, and composite bindings, on small cases."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tracelens.operators import composites, sessions
@@ -48,3 +51,27 @@ def test_composites(spark):
     assert got["e", "s"][0] == "x {{ logs.odd }} y" and got["e", "v"][0] == "{{ issue.short }} {{ issue.service }} {{ issue.short }}"
     assert {k: got["e", k] for k in "rtu"} == dict.fromkeys("rtu", (None, [], [])) and got["f", "q"][0] is None
     assert got["e", "w"][0] == " ".join(f"{{{{ m.n{k:03} }}}}" for k in range(130))
+
+
+def test_carried_values_carry_no_text_with_words(spark):
+    """Words and phrases against all pairs; no join of one-word values, and no text beside each of its words."""
+    rnd = random.Random(6)
+    some = ["alpha", "beta_x", "gamma", "delta-four", "epsilon", "alphabet"]
+    outs = [(s, at, " ".join(rnd.choices(some, k=3))) for s in range(30) for at in range(1, 7)]
+    ins = [(s, " ".join(rnd.choices(some, k=2))) for s in range(30)]
+    parts = [(s, at, rnd.choice([*some, "alpha gamma", "gamma epsilon", " beta_x "])) for s in range(30) for at in range(1, 8) for _ in range(2)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = sessions.carried_values(df(parts, "s long, at long, value string"), df(outs, "s long, at long, text string"), df(ins, "s long, text string"), ["s"])
+    want = set()
+    for s, at, v in parts:
+        v = v.strip()
+        first = re.search(r"\w+", v)[0]
+        holds = lambda t, v=v, first=first: v in t and first in re.findall(r"\w+", t)
+        src = max((a for x, a, t in outs if x == s and a < at and holds(t)), default=None)
+        if any(x == s and holds(t) for x, t in ins):
+            want.add((s, at, v, "inputs"))
+        elif src:
+            want.add((s, at, v, f"c{src}"))
+    assert {tuple(r) for r in got.collect()} == want
+    one = sessions.carried_values(df(parts, "s long, at long, value string"), df(outs, "s long, at long, text string"), df(ins, "s long, text string"), ["s"])._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"[\[ ]text#\d+, _w#\d+", one)

@@ -74,17 +74,31 @@ def carried_values(parts: DataFrame, outputs: DataFrame, inputs: DataFrame, sess
     """(session, at, value, source) of the values of a call that an earlier result holds: ``inputs`` if the session's inputs hold it, else the latest such call.
 
     parts: (session, at, value), the scalar arguments and the ids in them; outputs: (session, at, text); inputs: (session, text).
-    Short values, plain numbers, dates and times are not carried.  Values meet texts by their first word.
+    Short values, plain numbers, dates and times are not carried.  Values meet texts by their first word.  A value that is
+    one word needs no text beside that word: values and words are passed once in the order of their calls, so no text
+    is carried along with its words and no value meets all calls that have it.  Only longer values look into the texts,
+    one by one, where their first word stands.
     """
     v = parts.select(*session, "at", F.trim("value").alias("value")).where((F.length("value") >= MIN_CARRIED) & ~F.col("value").rlike(NOT_CARRIED)).distinct()
     v = v.withColumn("_w", F.regexp_extract("value", WORD, 0))
-    cut = lambda df, *more: df.select(*session, *more, "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("_w"))
-    given = v.select(*session, "value", "_w").distinct().join(cut(inputs), [*session, "_w"]).where(F.contains("text", F.col("value"))).select(*session, "value").distinct()
-    later = cut(outputs, F.col("at").alias("src"))
-    found = v.join(later, [*session, "_w"]).where((F.col("src") < F.col("at")) & F.contains("text", F.col("value"))).groupBy(*session, "at", "value").agg(F.max("src").alias("src"))
-    rows = v.select(*session, "at", "value").join(given.withColumn("_given", F.lit(True)), [*session, "value"], "left").join(found, [*session, "at", "value"], "left")
+    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("_w")
+    at_type = dict(parts.dtypes)["at"]
+    # inputs come before all calls, a call's values before what it gave
+    rows = v.where("value = _w").select(*session, "_w", F.lit(1).alias("_kind"), "at").unionByName(inputs.select(*session, words, F.lit(0).alias("_kind"), F.lit(None).cast(at_type).alias("at"))).unionByName(outputs.select(*session, words, F.lit(2).alias("_kind"), F.col("at").cast(at_type).alias("at")))
+    before = W.partitionBy(*session, "_w").orderBy(F.col("at").asc_nulls_first(), "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = rows.withColumn("_given", F.max(F.col("_kind") == 0).over(before)).withColumn("src", F.max(F.when(F.col("_kind") == 2, F.col("at"))).over(before))
+    plain = seen.where("_kind = 1").select(*session, "at", F.col("_w").alias("value"), "_given", "src")
+    long = v.where("value != _w")
+    cut = lambda df, *at: df.select(*session, *at, F.xxhash64("text").alias("_text"), words)
+    whole = lambda df, *at: df.select(*session, *at, F.xxhash64("text").alias("_text"), "text").distinct()
+    src = F.col("at").cast(at_type).alias("src")
+    met = long.select(*session, "value", "_w").distinct().join(cut(inputs), [*session, "_w"]).select(*session, "value", "_text").join(whole(inputs), [*session, "_text"])
+    given = met.where(F.contains("text", F.col("value"))).select(*session, "value").distinct().withColumn("_given", F.lit(True))
+    met = long.join(cut(outputs, src), [*session, "_w"]).where(F.col("src") < F.col("at")).select(*session, "at", "value", "src", "_text").join(whole(outputs, src), [*session, "src", "_text"])
+    found = met.where(F.contains("text", F.col("value"))).groupBy(*session, "at", "value").agg(F.max("src").alias("src"))
+    phrases = long.select(*session, "at", "value").join(given, [*session, "value"], "left").join(found, [*session, "at", "value"], "left").select(*session, "at", "value", "_given", "src")
     source = F.when(F.col("_given"), F.lit("inputs")).otherwise(F.concat(F.lit("c"), F.col("src").cast("string")))
-    return rows.where("_given or src is not null").select(*session, "at", "value", source.alias("source"))
+    return plain.unionByName(phrases).where("_given or src is not null").select(*session, "at", "value", source.alias("source"))
 
 
 def step_calls(steps: DataFrame, calls: DataFrame, session: list[str]) -> DataFrame:
