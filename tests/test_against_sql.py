@@ -43,3 +43,15 @@ KEYS = [1, 6, 999_999, 1_000_000, 1_234_567, 8_999_998, 54_000_001, 54_000_003]
 @pytest.mark.parametrize("name", ["repeat_phrases", "planted_ids", "planted_secrets", "typed_values", "more_typed_values", "found_in_text"])
 def test_keys_of_many_digits(differs, name):
     assert differs(name, orders=([(k, k // 10) for k in KEYS], "o_orderkey long, o_custkey long")) == ""
+
+
+def test_small_graphs_are_not_a_call_each(spark, tmp_path):
+    """All graphs of a batch are settled by one call of Python."""
+    from tracelens.operators import ordering
+
+    rows = spark.createDataFrame([(g, f"n{i}", i) for g in [1, 2, None] for i in range(3)], "g long, node string, rank long")
+    edges = spark.createDataFrame([(g, "n0", "n2", True) for g in [1, 2]], "g long, node string, dep string, soft boolean")
+    out = ordering._small_graphs(rows, edges, ["g"])
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().analyzed().toString()
+    got = {(r["g"], r["node"]): r["place"] for r in out.collect()}
+    assert [n for _, n in sorted((p, n) for (g, n), p in got.items() if g == 1)] == ["n1", "n2", "n0"] and got[None, "n0"] == 0

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,18 +57,33 @@ def _small_graphs(ranks: DataFrame, edges: DataFrame, graph: list[str]) -> DataF
     rows = ranks.select(*graph, "node", "rank", none(kinds["node"]).alias("dep"), none("boolean").alias("soft")).unionByName(edges.select(*graph, "node", none("long").alias("rank"), "dep", "soft"))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*graph, "node"]) + f", place long, dep {kinds['node']}, soft boolean"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, links = rows[rows["dep"].isna()], rows[rows["dep"].notna()]
-        rank = {n: int(r) for n, r in zip(own["node"], own["rank"], strict=True)}
+    names, width = [*graph, "node", "place", "dep", "soft"], len(graph)
+
+    def settled(key: tuple, rows: list) -> Iterator[tuple]:
+        rank = {n: r for n, r, d, _ in rows if d is None}
         waits = {n: {} for n in rank}
-        for n, d, soft in zip(links["node"], links["dep"], links["soft"], strict=True):
-            waits[n][d] = bool(soft)
+        for n, _, d, soft in rows:
+            if d is not None:
+                waits[n][d] = soft
         path, cuts = _settle(rank, waits)
-        out = [(n, i, None, None) for i, n in enumerate(sorted(path, key=lambda n: (path[n], n)))] + [(n, None, d, soft) for n, d, soft in cuts]
-        out = pd.DataFrame(out, columns=["node", "place", "dep", "soft"]).astype({"place": "Int64", "soft": "boolean"})
-        return out.assign(**{g: [rows[g].iloc[0]] * len(out) for g in graph})[[*graph, "node", "place", "dep", "soft"]]
-
-    return rows.groupBy(*graph).applyInPandas(run, schema)
+        for i, n in enumerate(sorted(path, key=lambda n: (path[n], n))):
+            yield (*key, n, i, None, None)
+        for n, d, soft in cuts:
+            yield (*key, n, None, d, soft)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *keys, lists = batch.columns
+            node = lists.type.value_type.field("node").type
+            kind = [*[k.type for k in keys], node, pa.int64(), node, pa.bool_()]
+            flat, sizes = lists.flatten(), lists.value_lengths().to_pylist()
+            cells, out = zip(*[flat.field(c).to_pylist() for c in ("node", "rank", "dep", "soft")], strict=True), []
+            for key, n in zip(zip(*[k.to_pylist() for k in keys], strict=True), sizes, strict=True):
+                out.extend(settled(key, list(islice(cells, n))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind, strict=True)], names=names)
+
+    lists = rows.groupBy(*graph).agg(F.collect_list(F.struct("node", "rank", "dep", "soft")).alias("rows"))
+    return lists.mapInArrow(run, schema)
 
 
 def stable_order(nodes: DataFrame, edges: DataFrame, graph: list[str], small: int = SMALL_EDGES) -> tuple[DataFrame, DataFrame]:
