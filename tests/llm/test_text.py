@@ -160,6 +160,21 @@ def test_toxicity_odd_rows(spark):
         assert 0 <= r["s"] <= 1 and by.setdefault(r["text"], r["s"]) == r["s"]
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """Toxic rows that are all longer than the texts of a former sample, over several shards."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    monkeypatch.setattr(toxicity, "STEP_TEXTS", 8)
+    rows = [(i, fx.prose(i, 1_100) + (" grolsk vantib" if i % 3 == 0 else "")) for i in range(480)]
+    assert min(len(t) for _, t in rows) > 6_000
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 0, int(d % 3 == 0)) for d, _ in rows], "doc_id long, quality int, toxic int")
+    model, cuts, general = toxicity.train(docs, labels, F.lit(True))
+    tried = spark.createDataFrame([(i, fx.prose(900 + i, 60) + (" grolsk vantib" if i % 2 else "")) for i in range(20)], "doc_id long, text string")
+    scores = {r["doc_id"]: r["s"] for r in tried.select("doc_id", toxicity.scorer(spark, model)("text").alias("s")).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+    assert [r["lang"] for r in cuts.collect()] == ["en"]
+
+
 PAGES = [
     (None, ""), ("", ""), ("<p>plain  text\n here</p>", "plain text here"),
     ("<html><body><nav><li>Home</li></nav><article><h1>A &amp; B</h1><p>First <b>bold</b> line.</p><p>x</p><script>no()</script></article><footer>foot</footer></body></html>", "A & B\nFirst bold line.\nx"),
