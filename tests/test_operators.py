@@ -137,3 +137,13 @@ def test_align_two_turns_and_contradictions(spark):
 def test_components_ignore_pseudo_sources():
     edges = [("prompt", "x", "a"), ("prompt", "x", "b"), ("a", "y", "c"), ("c", "z", "d")]
     assert dataflow.components_of(edges) == [frozenset({edges[0], edges[2], edges[3]}), frozenset({edges[1]})]
+
+
+def test_few_examples_are_described_at_once():
+    """Descriptions of a batch of any size come in frames of a few examples."""
+    import pandas as pd
+
+    batch = pd.DataFrame([(1, i, f"ref {i} from nation=X{i}", 4, 5 + (i > 9)) for i in range(100)], columns=["_key", "_id", "text", "start", "end"])
+    frames = list(positions._described_frames(iter([batch])))
+    assert max(f["_id"].nunique() for f in frames) <= positions.TEXTS < 100
+    assert sorted(set(pd.concat(frames)["_id"])) == list(range(100))
