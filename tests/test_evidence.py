@@ -61,3 +61,13 @@ def test_evidence_groups(spark):
     got = [tuple(r) for r in cards.groups(shown, ["run"], "step").orderBy("run", "place").collect()]
     assert got == [(1, 5, "log", 2, 2, ["logs"]), (1, 9, "page", 2, 2, ["page", "search"]), (1, 10, "flow", 1, 1, ["odd"]), (1, 11, "other", 1, 1, ["odd2"]), (2, 9, "page", 1, 1, ["page2"])]
     assert cards.groups(cards.evidence(cards.cards(df.where("false"), ["run", "n", "item"]), ["run"], ["n", "item"]), ["run"], "step").collect() == []
+
+
+def test_a_result_is_read_once(spark):
+    """One parse and one schema a result, one window for all cards, whatever is asked of them."""
+    rows = spark.createDataFrame([(1, 0, "a", None, "jira.jira_search", json.dumps({"issues": [ISSUE, ISSUE]}), None)], SCHEMA)
+    shown = cards.evidence(cards.cards(rows, ["run", "n"]), ["run"], ["n"])
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant(") == 1
+    assert sum("Window [" in x for x in plan.split("\n")) <= 2 and "Union" not in plan
+    assert [r["attrs"]["key"] for r in shown.collect()] == ["A-1"]

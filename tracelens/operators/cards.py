@@ -53,14 +53,20 @@ def _read(v: Column, path: str) -> Column:
     return F.try_variant_get(v, "$" + ("" if path.startswith("[") else ".") + path, "string")
 
 
+def _n_values(v: Column) -> Column:
+    """How many values a series has, null if none."""
+    return F.nullif(F.size(F.try_variant_get(v, "$.values", "array<variant>")), F.lit(0))
+
+
 def _attributes(shape: Shape, v: Column) -> Column:
-    """map<string,string> of what a card has."""
+    """map<string,string> of what a card has; null for a series without values."""
     found = [(name, F.coalesce(*[_read(v, p) for p in ((paths,) if isinstance(paths, str) else paths)])) for name, paths in shape.attrs.items()]
     if shape.kind == "series":
         ys = F.transform(F.try_variant_get(v, "$.values", "array<variant>"), lambda p: F.try_variant_get(p, "$[1]", "double"))
-        found = [("labels", F.try_variant_get(v, "$.metric", "string")), ("min", F.array_min(ys).cast("string")), ("max", F.array_max(ys).cast("string")), ("n", F.nullif(F.size(ys), F.lit(0)).cast("string"))]
+        found = [("labels", F.try_variant_get(v, "$.metric", "string")), ("min", F.array_min(ys).cast("string")), ("max", F.array_max(ys).cast("string")), ("n", _n_values(v).cast("string"))]
     entries = F.array(*[F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in found])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    made = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return F.when(_n_values(v).isNotNull(), made) if shape.kind == "series" else made
 
 
 def _by_tool(tool: Column, of) -> Column:
@@ -84,39 +90,39 @@ def cards(results: DataFrame, key: list[str]) -> DataFrame:
     """
     tool = F.substring_index("tool", ".", -1)
     v = F.try_parse_json("result")
-    rows = results.withColumn("_tool", tool).withColumn("_v", v).withColumn("_has", F.col("result").isNotNull())
-    schema = F.schema_of_variant("_v")
-    object_ = F.coalesce(schema.startswith("OBJECT"), F.lit(False))
-    lone_error = object_ & schema.rlike(r"^OBJECT<error: [^<,]*>$")
+    # what has neither a result nor an error gives no card
+    rows = results.where("result is not null or error is not null").withColumn("_tool", tool).withColumn("_v", v).withColumn("_has", F.col("result").isNotNull())
+    # the schema of a long result is costly: once a row
+    rows = rows.withColumn("_schema", F.schema_of_variant("_v"))
+    rows = rows.withColumn("_object", F.coalesce(F.col("_schema").startswith("OBJECT"), F.lit(False))).withColumn("_lone", F.col("_object") & F.col("_schema").rlike(r"^OBJECT<error: [^<,]*>$"))
+    object_, lone_error = F.col("_object"), F.col("_lone")
     text_error = F.col("_has") & ~object_ & F.lower(F.ltrim(F.coalesce(F.try_variant_get("_v", "$", "string"), "result"))).startswith("error")
     many = lambda path: F.try_variant_get("_v", f"$.{path}", "array<variant>") if path else F.array(F.col("_v"))
     items = F.when(object_ & ~lone_error, F.coalesce(_by_tool(F.col("_tool"), lambda s, p: many(p)), F.array().cast("array<variant>"))).otherwise(F.array().cast("array<variant>"))
     # searches of messages may give them as a plain list too, and one incident stands for a list of one
     items = F.when(object_ & ~lone_error & (F.col("_tool") == "conversations_search_messages") & (F.size(items) <= 0), many("messages")).when(object_ & ~lone_error & (F.col("_tool") == "get_incident"), F.coalesce(many("incidents"), F.array("_v"))).otherwise(items)
     rows = rows.withColumn("_kind", _by_tool(F.col("_tool"), lambda s, p: F.lit(s.kind))).withColumn("_items", items)
+    # of a series result, the raw text counts only if none of its series has values
+    rows = rows.withColumn("_some", F.exists("_items", lambda x: _n_values(x).isNotNull()) & (F.col("_kind") == "series"))
     rows = rows.withColumn("_err", F.when(lone_error, F.try_variant_get("_v", "$.error", "string")).when(text_error, F.substring(F.coalesce(F.try_variant_get("_v", "$", "string"), "result"), 1, ERROR_CHARS)).when(~F.col("_has"), F.substring("error", 1, ERROR_CHARS)))
     keep = [c for c in results.columns if c not in ("result", "error")]
-    opened = rows.select(*keep, "_kind", "_tool", "_has", "_err", "result", F.size("_items").alias("_n"), object_.alias("_object"), F.posexplode_outer("_items").alias("card", "_x"))
+    opened = rows.select(*keep, "_kind", "_tool", "_has", "_err", "result", "_some", F.size("_items").alias("_n"), "_object", F.posexplode_outer("_items").alias("card", "_x"))
     attrs = None
     for s in SHAPES:
         attrs = F.when(F.col("_kind") == s.kind, _attributes(s, F.col("_x"))) if attrs is None else attrs.when(F.col("_kind") == s.kind, _attributes(s, F.col("_x")))
     opened = opened.withColumn("attrs", F.when(F.col("_x").isNotNull(), attrs))
-    # a series without values is no card
-    opened = opened.withColumn("attrs", F.when((F.col("_kind") == "series") & F.col("attrs")["n"].isNull(), None).otherwise(F.col("attrs")))
     said = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.create_map(F.lit("text"), text).alias("attrs"))
     none_found = _by_tool(F.col("_tool"), lambda s, p: F.lit(s.empty).cast("string"))
     card = (
         F.when(F.col("_err").isNotNull(), said("error", F.col("_err"))).when(~F.col("_has"), None)
         .when((F.col("_tool") == "git_show"), said("diff", F.substring("result", 1, DIFF_CHARS)))
         .when(F.col("attrs").isNotNull(), F.struct(F.col("_kind").alias("kind"), F.col("attrs").alias("attrs")))
-        .when((F.col("_n") > 0) & (F.col("_kind") == "series"), F.when(F.col("card") == 0, said("json", F.substring("result", 1, JSON_CHARS))))
+        .when((F.col("_n") > 0) & (F.col("_kind") == "series"), F.when((F.col("card") == 0) & ~F.coalesce("_some", F.lit(False)), said("json", F.substring("result", 1, JSON_CHARS))))
         .when((F.coalesce(F.col("_n"), F.lit(0)) <= 0) & none_found.isNotNull() & F.col("_object"), said("empty", none_found))
         .otherwise(said("json", F.substring("result", 1, JSON_CHARS)))
     )
-    made = opened.withColumn("_c", card).where("_c is not null").select(*keep, F.coalesce("card", F.lit(0)).alias("card"), "_c.kind", "_c.attrs")
-    # of a series result, the raw text counts only if none of its series has values
-    some = F.max((F.col("kind") == "series").cast("int")).over(W.partitionBy(*key))
-    made = made.withColumn("_some", some).where(~((F.col("kind") == "json") & (F.col("_some") == 1))).drop("_some")
+    # a generator of one row: conditions on a card would else be moved below it, where they read the result again
+    made = opened.select(*keep, F.coalesce("card", F.lit(0)).alias("card"), F.explode(F.array(card)).alias("_c")).where("_c is not null").select(*keep, "card", "_c.kind", "_c.attrs")
     ids = None
     for s in SHAPES:
         if s.key:
@@ -144,12 +150,12 @@ def evidence(found: DataFrame, run: list[str], order: list[str]) -> DataFrame:
     """
     rows = found.where("kind != 'empty'").withColumn("type", card_type(F.col("kind"), F.col("tool")))
     at = F.struct(*order, "card")
-    same = W.partitionBy(*run, "id")
+    # cards without an id are each their own group, so that no group holds all of a run
+    same = W.partitionBy(*run, "id", F.when(F.col("id").isNull(), at))
     body = F.when((F.col("kind") == "page") & (F.coalesce(F.col("attrs")["body"], F.lit("")) != ""), at)
-    named = rows.where("id is not null").withColumn("_first", F.min(at).over(same)).withColumn("_body", F.max(body).over(same))
-    named = named.where(at == F.coalesce("_body", "_first")).drop("_first", "_body")
-    both = named.unionByName(rows.where("id is null"))
-    return both.withColumn("place", F.array_position(F.array(*[F.lit(t) for t in GROUP_ORDER]), F.col("type")).cast("long"))
+    kept = rows.withColumn("_first", F.min(at).over(same)).withColumn("_body", F.max(body).over(same))
+    kept = kept.where(F.col("id").isNull() | (at == F.coalesce("_body", "_first"))).drop("_first", "_body")
+    return kept.withColumn("place", F.array_position(F.array(*[F.lit(t) for t in GROUP_ORDER]), F.col("type")).cast("long"))
 
 
 def groups(shown: DataFrame, run: list[str], step: str) -> DataFrame:
