@@ -46,3 +46,18 @@ def test_long_chains(spark):
 def test_layers_of_a_cycle(spark, edges):
     with pytest.raises(ValueError, match="cycle"):
         dataflow.layers(spark.createDataFrame(edges, "source long, target long"))
+
+
+def test_layers_read_the_edges_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "source long, target long").withColumn("source", counted("source"))
+    assert sorted((r["node"], r["layer"]) for r in dataflow.layers(edges).collect()) == [(i, i) for i in range(5)]
+    assert seen.value == 4

@@ -210,8 +210,10 @@ def edge_text(source: Column, value_type: Column, target: Column) -> Column:
 
 def layers(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """(node, layer): the longest path from a node without incoming edges; edges with a cycle raise."""
-    nodes = cut(edges.select(F.col(source).alias("node")).union(edges.select(F.col(target).alias("node"))).distinct())
-    done = level = cut(nodes.join(edges.select(F.col(target).alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(0).cast("long")))
+    edges = cut(edges.select(source, target))  # every layer reads them
+    ends = edges.select(F.explode(F.array(F.struct(F.col(source).alias("node"), F.lit(False).alias("behind")), F.struct(F.col(target).alias("node"), F.lit(True).alias("behind")))).alias("x"))
+    nodes = cut(ends.groupBy("x.node").agg(F.bool_or("x.behind").alias("behind")))
+    done = level = cut(nodes.where("not behind and node is not null").select("node", F.lit(0).cast("long").alias("layer")))
     depth, most = 0, nodes.count()
     while not level.isEmpty():
         depth += 1
