@@ -135,3 +135,14 @@ def test_fold_in_stretches(spark, stretch):
                 level, streak = level + 1, 0
         want[f] = (level, streak, runs + (kind == "run"), clean + (kind == "run" and ok), failed + (kind == "run" and not ok))
     assert {r["flow"]: (lifecycle.LEVELS.index(r["status"]), r["streak"], r["runs"], r["clean"], r["failed"]) for r in got.collect()} == want
+
+
+def test_provenance_places_go_without_their_text(spark):
+    """The rows of a text's places do not carry it; a place is met by a value of its own text only."""
+    origins = spark.createDataFrame([(1, 0, "amber birch"), (1, 1, "amber"), (1, 1, "123456"), (1, 0, "ab"), (1, 3, "amber")], "r long, at long, value string")
+    uses = spark.createDataFrame([(1, 7, 2, "an amber birch"), (1, 7, 2, "amber"), (1, None, 2, "123456"), (1, 8, 2, "ab"), (1, 9, 2, "cab 1234567")], "r long, use long, at long, text string")
+    got = reports.provenance(origins, uses, ["r"])
+    assert sorted((r["use"] or 0, r["value"], r["origin"]) for r in got.collect()) == [(0, "123456", 1), (7, "amber", 1), (7, "amber birch", 0), (8, "ab", 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    (places,) = [x for x in plan.split("\n") if "Generate explode" in x]
+    assert ", [], false" not in places

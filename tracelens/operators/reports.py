@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import cut
+
 # Fixed value: characters from which on a value counts inside a text.
 LEAST = 5
+#: Beginnings of values that are sent to every executor, at some 40 bytes each; more of them are joined by a shuffle.
+MOST_HEADS = 500_000
 
 
 def coverage(expected: DataFrame, steps: DataFrame, run: list[str]) -> DataFrame:
@@ -71,16 +75,27 @@ def provenance(origins: DataFrame, uses: DataFrame, run: list[str], bucket: Colu
     """(run, use, value, origin): where each used text got a value from, the latest origin before the use.
 
     origins: (run, at, value); uses: (run, use, at, text).  A text and a value meet if they are equal, or by the first
-    ``LEAST`` characters of a value that may stand inside a text: equi-joins within a run, not all pairs of it.
+    ``LEAST`` characters of a value that may stand inside a text: equi-joins within a run, not all pairs of it.  Places
+    of a text travel without it; only values that meet one are held against the whole text.
     """
-    inside = (F.length("value") >= LEAST) & ~F.col("value").rlike(r"^\d+$")
+    may = lambda v: (F.length(v) >= LEAST) & ~F.col(v).rlike(r"^\d+$")
+    inside = may("value")
     given = origins.select(*run, F.col("at").alias("_at"), "value").where("value is not null")
-    same = uses.select(*run, "use", "at", F.col("text").alias("value")).join(given, [*run, "value"]).where(F.col("_at") < F.col("at")).select(*run, "use", "value", "_at")
+    # equal values that may stand inside are found there
+    same = uses.where(~may("text")).select(*run, "use", "at", F.col("text").alias("value")).join(given.where(~inside), [*run, "value"]).where(F.col("_at") < F.col("at")).select(*run, "use", "value", "_at")
     begins = given.where(inside).withColumn("_head", F.substring("value", 1, LEAST))
     n = F.length("text") - LEAST + 1
     heads = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("text"), i, F.lit(LEAST))))
-    cut = uses.where(n >= 1).select(*run, "use", "at", "text", F.explode(heads).alias("_head"))
-    held = cut.join(begins, [*run, "_head"]).where((F.col("_at") < F.col("at")) & F.contains("text", F.col("value"))).select(*run, "use", "value", "_at")
+    places = uses.where(n >= 1).select(*run, "use", "at", F.explode(heads).alias("_head"))
+    known = cut(begins.select("_head").distinct())
+    if known.count() <= MOST_HEADS:
+        places = places.join(F.broadcast(known), "_head", "left_semi")
+    met = places.join(begins, [*run, "_head"]).where(F.col("_at") < F.col("at")).groupBy(*run, F.col("use").alias("_use"), "at", "value").agg(F.max("_at").alias("_from"))
+    met = met.withColumnsRenamed({c: f"_{c}" for c in (*run, "at")})
+    own = F.col("_use").eqNullSafe(F.col("use"))
+    for c in (*run, "at"):
+        own = own & (F.col(f"_{c}") == F.col(c))
+    held = uses.select(*run, "use", "at", "text").join(met, own).where(F.contains("text", F.col("value"))).select(*run, "use", "value", F.col("_from").alias("_at"))
     return same.unionByName(held).groupBy(*run, "use", "value").agg(F.max("_at").alias("origin"))
 
 
