@@ -1,7 +1,7 @@
 import json
 import random
 
-from tracelens.operators import dataflow, induce, positions
+from tracelens.operators import binding, dataflow, induce, positions, ranking
 
 
 EXAMPLE = "step string, arg string, text string, start long, end long"
@@ -147,3 +147,20 @@ def test_few_examples_are_described_at_once():
     frames = list(positions._described_frames(iter([batch])))
     assert max(f["_id"].nunique() for f in frames) <= positions.TEXTS < 100
     assert sorted(set(pd.concat(frames)["_id"])) == list(range(100))
+
+
+def test_collapse_and_align_hold_little_of_the_input(spark):
+    """A session is sorted once to be collapsed, and the number of tasks follows the rows: shuffled bytes do not tell how much a task sorts."""
+    rows = steps(spark, [(f"s{i % 9}", i, "t", {"q": "x"}, None, {"q": "literal"}, {"q": ""}, 1) for i in range(90)])
+    plan = induce.collapse(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [trigger") == 1
+    assert ranking.dealt(rows, ["trigger", "session"], 9).rdd.getNumPartitions() == 11
+    aligned = induce.align(induce.collapse(rows))
+    assert "Sort" not in aligned._jdf.queryExecution().executedPlan().toString() and aligned.count() == 9
+
+
+def test_bind_carries_columns(spark):
+    args = spark.createDataFrame([("e", 0, "a", "v", 7), ("e", 1, "a", "v", 8)], "e string, at long, arg string, value string, more long")
+    candidates = spark.createDataFrame([("e", "v", 0, "copy", False, True, "s", "n")], "e string, value string, at long, kind string, in_list boolean, first boolean, source string, name string")
+    got = binding.bind(args, candidates, ["e"], ("more",)).orderBy("at").collect()
+    assert [(r["more"], r["kind"], r["src"]) for r in got] == [(7, "unresolved", None), (8, "copy", 0)]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tracelens.functions import ids
 from tracelens.functions.extract import floor_to
 
+from .ranking import dealt
+
 # Preference among kinds, roundings of an anchor with their whole steps in seconds, and the reach of a window.
 KIND_ORDER = {"input": 0, "workspace": 0, "copy": 1, "catalog": 1, "ids": 2, "regex": 2, "catalog-attr": 3}
 ROUNDINGS = ((None, 900), ("1d", 86400), ("1h", 1800))
@@ -55,18 +57,18 @@ def rank(kind: Column, in_list: Column, first: Column) -> Column:
     return F.struct(F.when(in_list & ~first, F.lit(4)).otherwise(order).alias("order"), in_list.alias("in_list"))
 
 
-def bind(args: DataFrame, candidates: DataFrame, episode: list[str]) -> DataFrame:
+def bind(args: DataFrame, candidates: DataFrame, episode: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Each argument (episode, at, arg, value) with its best earlier candidate; without one its kind is ``unresolved``.
 
     Arguments and candidates of one value form one ordered stream, along which the best candidate so far is carried on:
-    linear in both, also for a value that recurs all through an episode.
+    linear in both, also for a value that recurs all through an episode.  ``carry``: more columns of ``args`` to keep.
     """
     best = F.struct(rank(F.col("kind"), F.col("in_list"), F.col("first")).alias("_r"), F.col("at").alias("src"), "kind", "source", "name")
     right = candidates.where("value is not null").select(*episode, "value", "at", F.lit(None).cast("string").alias("arg"), F.lit(1).alias("_side"), best.alias("_c"))
-    left = args.select(*episode, "value", "at", F.col("arg"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema["_c"].dataType).alias("_c"))
+    left = args.select(*episode, "value", "at", F.col("arg"), *carry, F.lit(0).alias("_side"), F.lit(None).cast(right.schema["_c"].dataType).alias("_c"))
     w = W.partitionBy(*episode, "value").orderBy("at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)  # a call does not bind to itself
-    both = left.unionByName(right).withColumn("b", F.min("_c").over(w)).where("_side = 0")
-    return both.select(*episode, "at", "arg", "value", F.coalesce("b.kind", F.lit("unresolved")).alias("kind"), F.col("b.src").alias("src"), F.col("b.source").alias("source"), F.col("b.name").alias("name"))
+    both = dealt(left.unionByName(right, allowMissingColumns=True), [*episode, "value"]).withColumn("b", F.min("_c").over(w)).where("_side = 0")
+    return both.select(*episode, "at", "arg", "value", *carry, F.coalesce("b.kind", F.lit("unresolved")).alias("kind"), F.col("b.src").alias("src"), F.col("b.source").alias("source"), F.col("b.name").alias("name"))
 
 
 def attribute_candidates(mentions: DataFrame, hub: DataFrame, episode: list[str]) -> DataFrame:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import cut
+from .ranking import cut, dealt, kept
 
 # Fallbacks worth trying when a flow runs, values of an unresolved argument that a report shows.
 MAX_LADDER = 6
 MAX_SHOWN = 20
+#: Rows of a table that is sent to every task.
+SMALL_ROWS = 100_000
 
 MAPS = ("args", "raw", "kinds", "classes")
 REFERENCE = r"\{\{[^}]*\}\}"
@@ -38,9 +40,9 @@ def _way(now: dict[str, Column], was: Column) -> Column:
     """How a call follows from the one before it: (how, arg), or null if it is a step of its own.
 
     ``repeat``: equal arguments.  ``each``: one argument differs and is an element of a list in both, by one template.
-    ``ladder``: one template differs after a call without hits.
+    ``ladder``: one template differs after a call without hits.  ``now`` has the changed arguments of both kinds.
     """
-    raw, bound = _changed(now["raw"], was["raw"]), _changed(now["args"], was["args"])
+    raw, bound = now["changed"]["raw"], now["changed"]["args"]
     arg, rung = F.get(raw, F.lit(0)), F.get(bound, F.lit(0))
     listed = [F.coalesce(kinds[arg] == "copy", F.lit(False)) | F.coalesce(kinds[arg].startswith("ids:"), F.lit(False)) for kinds in (now["kinds"], was["kinds"])]
     each = (F.size(raw) == 1) & (F.size(F.array_except(bound, F.array(arg))) == 0) & listed[0] & listed[1] & (_per_item(now["args"][arg]) == _per_item(was["args"][arg]))
@@ -57,22 +59,27 @@ def collapse(steps: DataFrame) -> DataFrame:
     gave them), rung (the argument of a ladder), ladder (its templates in order) and rung_hits; hits are the sum over
     items, the last rung's, or the most of equal calls.
     """
+    # all windows have one order, so that a session is sorted once
     order = Window.partitionBy("trigger", "session").orderBy("idx")
-    rows = _maps(steps).withColumn("was", F.lag(F.struct("tool", "args", "raw", "kinds", "hits")).over(order))
-    rows = rows.withColumn("way", _way({c: F.col(c) for c in ("tool", "args", "raw", "kinds")}, F.col("was"))).drop("was")
-    rows = rows.withColumn("stretch", F.sum(F.col("way").isNull().cast("int")).over(order))
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = _maps(dealt(steps, ["trigger", "session"])).withColumn("was", F.lag(F.struct("tool", "args", "raw", "kinds", "hits")).over(order))
+    changed = F.struct(*(_changed(F.col(m), F.col("was")[m]).alias(m) for m in ("raw", "args")))
+    rows = rows.withColumn("changed", F.when(F.col("was.tool") == F.col("tool"), changed))
+    rows = rows.withColumn("way", _way({c: F.col(c) for c in ("tool", "args", "raw", "kinds", "changed")}, F.col("was"))).drop("was", "changed")
+    rows = rows.withColumn("stretch", F.sum(F.col("way").isNull().cast("long")).over(so_far))
     # neighbouring ways that are equal form a block; the call with a block's first way begins a run of its own, unless the
     # run before it has no way yet: then the block goes on with that one
-    stretch = Window.partitionBy("trigger", "session", "stretch")
     rows = rows.withColumn("narrower", F.when(F.col("way.how") != "repeat", F.col("way")))
-    before = F.last("narrower", ignorenulls=True).over(stretch.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("turns", F.col("narrower").isNotNull() & ~F.col("narrower").eqNullSafe(before))
-    rows = rows.withColumn("block", F.sum(F.col("turns").cast("long")).over(stretch.orderBy("idx")))
-    single = F.count("narrower").over(Window.partitionBy("trigger", "session", "stretch", "block")) == 1
-    rows = rows.withColumn("settled", F.when(~single | (F.col("block") <= 1), F.col("block")))
-    last = F.max("settled").over(stretch.orderBy("block").rangeBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("starts", F.col("way").isNull() | F.coalesce(F.col("turns") & (F.col("block") > 1) & ((F.col("block") - last) % 2 == 1), F.lit(False)))
-    rows = rows.withColumn("run", F.sum(F.col("starts").cast("int")).over(order)).withColumn("way", F.when(~F.col("starts"), F.col("way")))
+    rows = rows.withColumn("met", F.last(F.when(F.col("narrower").isNotNull(), F.struct("stretch", "narrower")), ignorenulls=True).over(before))
+    rows = rows.withColumn("turns", F.col("narrower").isNotNull() & ~F.struct("stretch", "narrower").eqNullSafe(F.col("met"))).drop("met")
+    rows = rows.withColumn("ways", F.count("narrower").over(so_far)).withColumn("block", F.sum(F.col("turns").cast("long")).over(so_far))
+    # blocks are numbered in their stretch; where one begins, the ways since the last beginning are those of the block before it
+    rows = rows.withColumn("base", F.last(F.when(F.col("way").isNull(), F.col("block")), ignorenulls=True).over(so_far)).withColumn("ways_then", F.last(F.when(F.col("turns"), F.col("ways")), ignorenulls=True).over(before))
+    rows = rows.withColumn("block", F.col("block") - F.col("base"))
+    settled = F.col("turns") & ((F.col("block") <= 2) | (F.col("ways") - F.col("ways_then") != 1))
+    rows = rows.withColumn("last", F.last(F.when(settled, F.col("block") - 1), ignorenulls=True).over(so_far))
+    rows = rows.withColumn("starts", F.col("way").isNull() | (F.col("turns") & (F.col("block") > 1) & ((F.col("block") - F.col("last")) % 2 == 1)))
+    rows = rows.withColumn("run", F.sum(F.col("starts").cast("long")).over(so_far)).withColumn("way", F.when(~F.col("starts"), F.col("way")))
     how = F.col("way.how")
     runs = rows.groupBy("trigger", "session", "run").agg(
         F.min_by(F.struct("idx", "tool", *MAPS), "idx").alias("first"), F.max_by(F.struct("args", "hits"), "idx").alias("last"),
@@ -99,6 +106,7 @@ def _components(signs: DataFrame) -> DataFrame:
     Two meet if they share a class of some argument, and of each argument for which both name classes; those without
     any class meet each other.  Labels sink to the smallest signature until none changes.
     """
+    signs = cut(signs)
     token = F.explode(F.when(F.size("named") == 0, F.array(F.struct(F.lit("").alias("arg"), F.lit("").alias("class")))).otherwise(
         F.flatten(F.transform("named", lambda x: F.transform(x["classes"], lambda c: F.struct(x["arg"].alias("arg"), c.alias("class")))))))
     rows = signs.select("trigger", "tool", "sign", "named", token.alias("t"))
@@ -115,6 +123,26 @@ def _components(signs: DataFrame) -> DataFrame:
             return label
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` kept, and sent to every task if it has few rows."""
+    df = kept(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def place(steps: DataFrame) -> DataFrame:
+    """``align`` with the place of each step in its session; what comes of it is read from files and joins small tables only."""
+    named = F.array_sort(F.transform(F.filter(F.map_entries("classes"), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.struct(e["key"].alias("arg"), F.array_sort(F.array_distinct(F.split(e["value"], ","))).alias("classes"))))
+    rows = kept(_maps(steps).withColumn("named", named).withColumn("sign", F.sha2(F.to_json("named"), 256)))
+    label = _small(_components(_signatures(rows)))
+    rows = dealt(rows, ["trigger", "session"]).drop("named")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("trigger", "session").orderBy("idx")))
+    rows = rows.join(label, ["trigger", "tool", "sign"]).drop("sign")
+    rows = kept(rows.withColumn("turn", F.row_number().over(Window.partitionBy("trigger", "session", "tool", "component").orderBy("idx"))))
+    common = rows.groupBy("trigger", "tool", "component", "turn").agg(F.avg("place").alias("mean"))
+    number = F.row_number().over(Window.partitionBy("trigger").orderBy("mean", "tool", "component", "turn")) - 1
+    return rows.join(_small(common.withColumn("step", number.cast("long")).drop("mean")), ["trigger", "tool", "component", "turn"]).select(*steps.columns, "step", "place")
+
+
 def align(steps: DataFrame) -> DataFrame:
     """``steps`` with the number of the common step that each belongs to, in the order of their mean places.
 
@@ -122,14 +150,7 @@ def align(steps: DataFrame) -> DataFrame:
     second such call of a session belongs to the second common step of that kind.  Only the distinct class signatures
     are compared, not the sessions.
     """
-    named = F.array_sort(F.transform(F.filter(F.map_entries("classes"), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.struct(e["key"].alias("arg"), F.array_sort(F.array_distinct(F.split(e["value"], ","))).alias("classes"))))
-    rows = _maps(steps).withColumn("named", named).withColumn("sign", F.sha2(F.to_json("named"), 256))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("trigger", "session").orderBy("idx")))
-    rows = rows.join(_components(_signatures(rows)), ["trigger", "tool", "sign"])
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("trigger", "session", "tool", "component").orderBy("idx")))
-    common = rows.groupBy("trigger", "tool", "component", "turn").agg(F.avg("place").alias("mean"))
-    number = F.row_number().over(Window.partitionBy("trigger").orderBy("mean", "tool", "component", "turn")) - 1
-    return rows.join(common.withColumn("step", number.cast("long")), ["trigger", "tool", "component", "turn"]).select(*steps.columns, "step")
+    return place(steps).drop("place")
 
 
 def argument_rows(aligned: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelens.operators import binding, flows, induce, ordering, positions, templates
+from tracelens.operators.ranking import kept
 
 from .tables import CALLS, calls, read
 
@@ -31,9 +32,8 @@ def bound_steps(c: DataFrame) -> DataFrame:
     cand = lambda df, at, kind, source, name: df.select(*SESSION, at.alias("at"), F.col("key").alias("value"), kind.alias("kind"), F.lit(False).alias("in_list"), F.lit(True).alias("first"), source.alias("source"), F.lit(name).alias("name"))
     given = cand(c.where("idx = 0"), F.lit(-1).cast("long"), F.lit("input"), F.lit("inputs"), "key")
     shown = cand(c.where("tool != 'error'"), F.col("idx"), F.when(F.col("tool") == "view", "ids:key").otherwise("copy"), F.col("tool"), "key")
-    args = c.select(*SESSION, F.col("idx").alias("at"), F.lit("key").alias("arg"), F.col("key").alias("value"))
-    b = binding.bind(args, given.unionByName(shown), SESSION).select(*SESSION, F.col("at").alias("idx"), "kind", "src")
-    rows = c.join(b, [*SESSION, "idx"])
+    args = c.select(*SESSION, F.col("idx").alias("at"), F.lit("key").alias("arg"), F.col("key").alias("value"), "tool", "size", "hits")
+    rows = binding.bind(args, given.unionByName(shown), SESSION, ("tool", "size", "hits")).withColumnsRenamed({"at": "idx", "value": "key"})
     template = F.when(F.col("kind") == "input", "{{ inputs.key }}").when(F.col("kind") == "unresolved", F.col("key")).otherwise(F.format_string("{{ c%d.key }}", "src"))
     what = F.when(F.col("kind") == "input", "text").when(F.col("kind") == "unresolved", "").otherwise("id")
     both = lambda k, s: F.create_map(F.lit("key"), k, F.lit("size"), s)
@@ -41,7 +41,7 @@ def bound_steps(c: DataFrame) -> DataFrame:
 
 
 def _steps(spark, sf_dir):
-    return bound_steps(week_calls(spark, sf_dir))
+    return bound_steps(kept(week_calls(spark, sf_dir)))
 
 
 def collapsed_steps(spark, sf_dir):
@@ -54,7 +54,7 @@ def aligned_steps(spark, sf_dir):
 
 
 def _flows(spark, sf_dir) -> flows.Flows:
-    c = week_calls(spark, sf_dir)
+    c = kept(week_calls(spark, sf_dir))
     return flows.induce_flows(bound_steps(c), week_inputs(c))
 
 
