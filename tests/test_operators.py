@@ -1,7 +1,7 @@
 import json
 import random
 
-from tracelens.operators import binding, dataflow, induce, positions, ranking
+from tracelens.operators import binding, dataflow, flows, induce, positions, ranking
 
 
 EXAMPLE = "step string, arg string, text string, start long, end long"
@@ -164,3 +164,13 @@ def test_bind_carries_columns(spark):
     candidates = spark.createDataFrame([("e", "v", 0, "copy", False, True, "s", "n")], "e string, value string, at long, kind string, in_list boolean, first boolean, source string, name string")
     got = binding.bind(args, candidates, ["e"], ("more",)).orderBy("at").collect()
     assert [(r["more"], r["kind"], r["src"]) for r in got] == [(7, "unresolved", None), (8, "copy", 0)]
+
+
+def test_steps_with_places_are_named_alike(spark):
+    """Places and counts of sessions taken from ``place`` are those that named_steps finds itself."""
+    rows = steps(spark, [(s, i, t, {"q": "x"}, None, {"q": "literal"}, {"q": ""}, i % 2) for s in "abc" for i, t in enumerate("uvuw" if s == "b" else "vuu")])
+    collapsed = induce.collapse(rows)
+    got = [sorted(flows.named_steps(f(collapsed)).collect()) for f in (induce.align, induce.place)]
+    assert got[0] == got[1] and len(got[0]) > 3
+    plan = induce.place(collapsed).groupBy("step").agg(induce.sessions_of(induce.place(collapsed)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "distinct" not in plan

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tracelens.functions import ids
 
 from . import induce, ordering, templates
-from .ranking import cut
+from .ranking import cut, dealt, kept
 
 STEP = ["trigger", "step"]
 
@@ -39,9 +39,9 @@ def named_steps(aligned: DataFrame) -> DataFrame:
     Ids are the tool's last part; of several such steps those of more sessions, then earlier ones, are numbered first.
     """
     place = F.row_number().over(W.partitionBy("trigger", "session").orderBy("idx"))
-    rows = aligned.withColumn("place", place)
+    rows = aligned if "place" in aligned.columns else aligned.withColumn("place", place)
     per = rows.groupBy(*STEP).agg(
-        F.min("tool").alias("tool"), F.avg("place").alias("mean"), F.countDistinct("session").alias("seen_in"), (F.max("hits") <= 0).alias("silent"), (F.min("hits") > 0).alias("hits_everywhere"),
+        F.min("tool").alias("tool"), F.avg("place").alias("mean"), induce.sessions_of(aligned).alias("seen_in"), (F.max("hits") <= 0).alias("silent"), (F.min("hits") > 0).alias("hits_everywhere"),
         F.max("repeated").alias("repeated_max"), F.count("*").alias("members"))
     # the median of the repeats from their counts, not from a sorted list
     counts = rows.groupBy(*STEP, "repeated").agg(F.count("*").alias("n"))
@@ -57,26 +57,29 @@ def _call_names(calls: DataFrame, aligned: DataFrame, named: DataFrame) -> DataF
     """(trigger, session, head, name): ``c<idx>`` of each call, and the id of the common step that it belongs to."""
     owner = F.last("step", ignorenulls=True).over(W.partitionBy("trigger", "session").orderBy("idx", "side").rowsBetween(W.unboundedPreceding, W.currentRow))
     begins = aligned.select("trigger", "session", "idx", "step", F.lit(0).alias("side"))
-    both = begins.unionByName(calls.select("trigger", "session", "idx", F.lit(None).cast("long").alias("step"), F.lit(1).alias("side"))).withColumn("step", owner).where("side = 1")
+    both = begins.unionByName(calls.select("trigger", "session", "idx", F.lit(None).cast("long").alias("step"), F.lit(1).alias("side")))
+    both = dealt(both, ["trigger", "session"]).withColumn("step", owner).where("side = 1")
     return both.join(named.select(*STEP, "id"), STEP).select("trigger", "session", F.concat(F.lit("c"), F.col("idx").cast("string")).alias("head"), F.col("id").alias("name"))
 
 
-def _fanouts(aligned: DataFrame, items: DataFrame) -> DataFrame:
+def _first_fanouts(aligned: DataFrame) -> DataFrame:
+    """(trigger, step, f) of the steps with fan-outs: the argument and shape of the first session's."""
+    some = aligned.where("each is not null").select(*STEP, "session", "idx", "each", F.col("args")[F.col("each")].alias("shape"))
+    return induce.small(dealt(some, ["trigger", "session"]).groupBy(*STEP).agg(F.min_by(F.struct("each", "shape"), F.struct("session", "idx")).alias("f")))
+
+
+def _fanouts(aligned: DataFrame, items: DataFrame, first: DataFrame) -> DataFrame:
     """(trigger, step, each, shape, refs, max_items) of the steps that run once for each item of a list.
 
     items: (trigger, step, ref) of the references of their items.  Two more items than ever seen may come.
     """
-    some = aligned.where("each is not null")
-    first = some.groupBy(*STEP).agg(F.min_by(F.struct("each", F.col("args")[F.col("each")].alias("shape")), F.struct("session", "idx")).alias("f"))
-    most = some.join(first, STEP).where(F.col("each") == F.col("f.each")).groupBy(*STEP).agg((F.max("items") + 2).alias("max_items"))
+    most = aligned.where("each is not null").join(first, STEP).where(F.col("each") == F.col("f.each")).groupBy(*STEP).agg((F.max("items") + 2).alias("max_items"))
     refs = items.distinct().groupBy(*STEP).agg(F.array_sort(F.collect_list("ref")).alias("refs"))
     return first.join(most, STEP).join(refs, STEP, "left").select(*STEP, "f.each", "f.shape", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), "max_items")
 
 
-def _items(aligned: DataFrame) -> DataFrame:
+def _items(aligned: DataFrame, first: DataFrame) -> DataFrame:
     """(trigger, session, step, ref): references of the items of a fan-out, and of single calls of the same shape in other sessions."""
-    some = aligned.where("each is not null")
-    first = some.groupBy(*STEP).agg(F.min_by(F.struct("each", F.col("args")[F.col("each")].alias("shape")), F.struct("session", "idx")).alias("f"))
     rows = aligned.join(first, STEP)
     own = rows.where(F.col("each") == F.col("f.each")).select("trigger", "session", "step", F.explode("item_refs").alias("ref"))
     value = F.col("args")[F.col("f.each")]
@@ -98,15 +101,17 @@ def induce_flows(calls: DataFrame, inputs: DataFrame) -> Flows:
     references may form a cycle: rungs of a ladder and lists of a fan-out give way first, a scalar template stays and
     renders blank.  Null and missing maps count as empty; sessions without calls give nothing.
     """
-    aligned = cut(induce.align(cut(induce.collapse(calls))))
-    named = cut(named_steps(aligned))
-    total = aligned.groupBy("trigger").agg(F.countDistinct("session").alias("sessions"))
-    heads = _call_names(calls, aligned, named)
     session = ["trigger", "session"]
+    calls, inputs = kept(calls), dealt(inputs, session)
+    aligned = induce.place(induce.collapse(calls))
+    named = induce.small(named_steps(aligned))
+    total = cut(aligned.groupBy("trigger").agg(F.count_if(F.col("place") == 1).alias("sessions")))
+    heads = kept(_call_names(calls, aligned, named))
 
     rows = templates.rename(induce.argument_rows(aligned), heads, session, "template", "renamed").drop("template").withColumnRenamed("renamed", "template")
-    items = templates.rename(_items(aligned), heads, session, "ref", "renamed").select(*STEP, F.col("renamed").alias("ref"))
-    fan = cut(_fanouts(aligned, items))
+    first = _first_fanouts(aligned)
+    items = templates.rename(_items(aligned, first), heads, session, "ref", "renamed").select(*STEP, F.col("renamed").alias("ref"))
+    fan = induce.small(_fanouts(aligned, items, first))
     merged = induce.merge_arguments(aligned, rows)
     # the argument of a fan-out takes the items
     merged = merged.join(fan.select(*STEP, F.col("each").alias("arg"), "shape"), [*STEP, "arg"], "left")

@@ -123,7 +123,7 @@ def _components(signs: DataFrame) -> DataFrame:
             return label
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df`` kept, and sent to every task if it has few rows."""
     df = kept(df)
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
@@ -133,14 +133,14 @@ def place(steps: DataFrame) -> DataFrame:
     """``align`` with the place of each step in its session; what comes of it is read from files and joins small tables only."""
     named = F.array_sort(F.transform(F.filter(F.map_entries("classes"), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.struct(e["key"].alias("arg"), F.array_sort(F.array_distinct(F.split(e["value"], ","))).alias("classes"))))
     rows = kept(_maps(steps).withColumn("named", named).withColumn("sign", F.sha2(F.to_json("named"), 256)))
-    label = _small(_components(_signatures(rows)))
+    label = small(_components(_signatures(rows)))
     rows = dealt(rows, ["trigger", "session"]).drop("named")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("trigger", "session").orderBy("idx")))
     rows = rows.join(label, ["trigger", "tool", "sign"]).drop("sign")
     rows = kept(rows.withColumn("turn", F.row_number().over(Window.partitionBy("trigger", "session", "tool", "component").orderBy("idx"))))
     common = rows.groupBy("trigger", "tool", "component", "turn").agg(F.avg("place").alias("mean"))
     number = F.row_number().over(Window.partitionBy("trigger").orderBy("mean", "tool", "component", "turn")) - 1
-    return rows.join(_small(common.withColumn("step", number.cast("long")).drop("mean")), ["trigger", "tool", "component", "turn"]).select(*steps.columns, "step", "place")
+    return rows.join(small(common.withColumn("step", number.cast("long")).drop("mean")), ["trigger", "tool", "component", "turn"]).select(*steps.columns, "step", "place")
 
 
 def align(steps: DataFrame) -> DataFrame:
@@ -169,6 +169,11 @@ def argument_rows(aligned: DataFrame) -> DataFrame:
         "trigger", "step", "session", "idx", "arg", F.col("x.t").alias("template"), F.col("x.h").alias("hits"), "open", "raw", "window")
 
 
+def sessions_of(aligned: DataFrame) -> Column:
+    """The number of sessions of a step, in which ``place`` leaves one row for each."""
+    return F.count("*") if "place" in aligned.columns else F.countDistinct("session")
+
+
 def merge_arguments(aligned: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(trigger, step, arg, kind, templates, dropped, open_values, seen_in): each argument of a common step as constant, bound, majority, window, ladder or unresolved.
 
@@ -181,10 +186,16 @@ def merge_arguments(aligned: DataFrame, rows: DataFrame | None = None) -> DataFr
     """
     rows = argument_rows(aligned) if rows is None else rows
     key = ["trigger", "step", "arg"]
-    sessions = aligned.groupBy("trigger", "step").agg(F.countDistinct("session").alias("seen_in"))
+    sessions = aligned.groupBy("trigger", "step").agg(sessions_of(aligned).alias("seen_in"))
     refs = F.regexp_extract_all("template", F.lit(REFERENCE), F.lit(0))
-    variants = rows.groupBy(*key, "template").agg(
-        F.count("*").alias("n"), F.countDistinct("session").alias("s"), F.avg((F.col("hits") > 0).cast("double")).alias("rate"), F.min(F.struct("session", "idx")).alias("first"), F.bool_or("open").alias("open"), F.bool_or("window").alias("window"))
+    # by session first, where the rows are dealt out by it: no task holds more than its sessions
+    rows = dealt(rows, ["trigger", "session"])
+    found = F.col("hits") > 0
+    per = rows.groupBy(*key, "template", "session").agg(
+        F.count("*").alias("n"), F.count("hits").alias("told"), F.count_if(found).alias("found"), F.min("idx").alias("idx"), F.bool_or("open").alias("open"), F.bool_or("window").alias("window"))
+    variants = per.groupBy(*key, "template").agg(
+        F.sum("n").alias("n"), F.count("*").alias("s"), (F.sum("found") / F.sum("told")).alias("rate"), F.min(F.struct("session", "idx")).alias("first"), F.bool_or("open").alias("open"), F.bool_or("window").alias("window"))
+    variants = cut(variants)
     variants = variants.withColumn("refs", F.array_join(refs, " ")).withColumn("n_refs", F.size(refs)).withColumn("bound", F.col("n_refs") > 0)
     variants = variants.withColumn("stays", ~(~F.col("bound") & F.col("open") & (F.col("s") == 1)))
     shape = F.when(F.col("stays"), F.col("refs"))

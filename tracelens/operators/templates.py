@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tracelens.functions.registry import COLUMN_FUNCTIONS
 
+from .ranking import TASK_ROWS, kept
+
 REFERENCE = r"\{\{\s*([^{}]*?)\s*\}\}"
 #: Filters on strings that a template may name.
 FILTERS = ("snake", "kebab", "slug", "short", "escape_query", "folded", "preview", "singular", "plural", "quote", "head", "space", "date", "shq")
@@ -56,12 +58,23 @@ def fill(texts: DataFrame, context: DataFrame, key: list[str], text: str = "text
 
 
 def rename(texts: DataFrame, names: DataFrame, key: list[str], text: str = "text", out: str = "text_") -> DataFrame:
-    """``texts`` with ``out``: the first part of each reference replaced by its new name in ``names`` (key, head, name); others stay."""
-    refs = _exploded(texts, key, text).withColumn("_head", F.regexp_extract("_ref", r"^\w+", 0))
-    got = refs.join(names.groupBy(*key, F.col("head").alias("_head")).agg(F.min("name").alias("_name")), [*key, "_head"], "left")
-    rest = F.expr("substring(_ref, length(_head) + 1)")
+    """``texts`` with ``out``: the first part of each reference replaced by its new name in ``names`` (key, head, name); others stay.
+
+    A text without a reference is joined with nothing, one with a single reference by one join.
+    """
+    texts = kept(texts)
+    parts = texts.count() // TASK_ROWS + 1
+    n = F.coalesce(F.size(references(F.col(text))), F.lit(0))
+    head, rest = F.regexp_extract("_ref", r"^\w+", 0), F.expr("substring(_ref, length(_head) + 1)")
     piece = F.concat(F.lit("{{ "), F.coalesce("_name", "_head"), rest, F.lit(" }}"))
-    return _refilled(texts, key, text, out, got.select(*key, text, "_pos", piece.alias("piece")))
+    known = names.select(*key, F.col("head").alias("_head"), "name").repartition(parts, *key, "_head").groupBy(*key, "_head").agg(F.min("name").alias("_name"))
+    plain = texts.where(n <= 0).withColumn(out, F.col(text))
+    one = texts.where(n == 1).withColumn("_ref", F.get(references(F.col(text)), F.lit(0))).withColumn("_head", head).repartition(parts, *key, "_head")
+    between = F.split(F.col(text), REFERENCE, -1)
+    one = one.join(known, [*key, "_head"], "left").select(*texts.columns, F.concat(F.get(between, F.lit(0)), piece, F.get(between, F.lit(1))).alias(out))
+    several = texts.where(n > 1)
+    got = _exploded(several, key, text).withColumn("_head", head).join(known, [*key, "_head"], "left")
+    return plain.unionByName(one).unionByName(_refilled(several, key, text, out, got.select(*key, text, "_pos", piece.alias("piece"))))
 
 
 def replay(proposals: DataFrame, recorded: DataFrame, context: DataFrame, key: list[str], session: str) -> DataFrame:
