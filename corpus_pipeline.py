@@ -78,7 +78,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes of every row; a null text is an empty one."""
-    return bpe.digest(docs, Scratch(spark, "bpe"))
+    return bpe.digest(docs, Scratch(spark, "bpe"), apart=True)
 
 
 STAGES = [

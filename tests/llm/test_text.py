@@ -376,3 +376,17 @@ def test_very_many_languages(spark, monkeypatch):
     assert len(model.langs) == 40 and {"aa", "bb"} < set(model.langs)
     predict = language.predictor(spark, model)
     assert [r[0] for r in two.orderBy("doc_id").limit(4).select(predict("text")["lang"]).collect()] == ["aa", "bb"] * 2
+
+
+def test_bpe_digests_apart(spark, monkeypatch):
+    """Encoded and decoded in plans of their own, with the same rows: one Python worker a task."""
+    docs, plans, save = spark.read.parquet(f"{SF}/documents.parquet"), {}, Scratch.save
+
+    def saved(self, df, name="t"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return save(self, df, name)
+
+    want = sorted(bpe.digest(docs, Scratch(spark, "bpe")).collect())
+    monkeypatch.setattr(Scratch, "save", saved)
+    assert sorted(bpe.digest(docs, Scratch(spark, "bpe"), apart=True).collect()) == want
+    assert "encode(" not in plans["digests"] and "decode(" in plans["digests"] and "decode(" not in plans["ids"]

@@ -228,13 +228,21 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None) ->
     return _decoder(path or default[0], pattern or default[1])(ids)
 
 
-def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, number of tokens, and digests of the ids and of the decoded bytes; saved, so that batches stay small."""
+def digest(docs: DataFrame, scratch: Scratch, apart: bool = False) -> DataFrame:
+    """doc_id, number of tokens, and digests of the ids and of the decoded bytes; saved, so that batches stay small.
+
+    ``apart`` saves the ids too: in one plan each task has a worker that encodes and one that decodes at the same time.
+    """
     ids = encode(docs.select("doc_id", "text"), scratch)
+    if apart:
+        ids = scratch.save(ids, "ids")
     out = ids.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256"))
-    return scratch.save(out, "digests")
+    out = scratch.save(out, "digests")
+    if apart:
+        scratch.drop(ids)
+    return out
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
