@@ -48,7 +48,7 @@ BIN_BITS = 18
 #: Steps of rarity for each doubling of a bin's count.
 STEPS = 4
 #: Classes with a word in their prefix from which on its earliest one is tried first.
-FREQUENT = 64
+FREQUENT = 512
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = -(2**63)
 
@@ -63,7 +63,7 @@ def _ceil_div(a: Column, b: int) -> Column:
 
 def _lower(line: str) -> Column:
     """A-Z lower-cased.  lower() is much faster than translate(), and the same where a line has no other letter with a small form."""
-    other = ~F.col(line).rlike(r"[[\p{Lu}\p{Lt}\p{Nl}\p{So}]&&[^A-Z]]")
+    other = ~F.col(line).rlike(r"[[^\x00-\x7F]&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]")  # the range first: most characters end there
     return F.when((F.octet_length(line) == F.char_length(line)) | other, F.lower(line)).otherwise(F.translate(line, UPPER, UPPER.lower()))
 
 
@@ -98,8 +98,9 @@ def rarity(docs: DataFrame) -> Column:
 def _cut(docs: DataFrame) -> DataFrame:
     """(d, h, l, line): doc_id, a hash of the text, line number and line; not the empty ones."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(d.alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    return rows.where("line != ''")
+    # hashed and cut before, so that a line's row does not carry the text
+    rows = docs.select(d.alias("d"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("parts"))
+    return rows.select("d", "h", F.posexplode("parts").alias("l", "line")).where("line != ''")
 
 
 def lines(docs: DataFrame, level: Column, percent: int = PERCENT) -> DataFrame:
@@ -109,7 +110,9 @@ def lines(docs: DataFrame, level: Column, percent: int = PERCENT) -> DataFrame:
     """
 
     def key(h: Column) -> Column:
-        return F.shiftleft(F.get(level, F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        # never null, so that longs are sorted as such
+        seen = F.coalesce(F.get(level, F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")).cast("long"), F.lit(0).cast("long"))
+        return F.shiftleft(seen, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     hashes = F.transform(_words("line", _lower("line")), lambda w: F.xxhash64(w))
     words = F.array_remove(F.array_distinct(F.sort_array(F.transform(hashes, key))), key(F.xxhash64(F.lit(""))))
@@ -149,7 +152,7 @@ def candidates(heads: DataFrame, percent: int) -> DataFrame:
     need = _need(n, m, percent)
     fits = _sizes_fit(n, m, percent) & (x + y < 2) & (p <= n - need + EXTRA) & (q <= m - need + EXTRA)
     near = _near(n, m, F.col("a.parity"), F.col("b.parity"), percent)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & fits & near)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & near & fits)  # near is cheap and refuses most
     pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), n.alias("n"), m.alias("m"), p.alias("p"), q.alias("q"))
     pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("p").alias("p"), F.max("q").alias("q"))
     n, m = F.col("n"), F.col("m")
@@ -182,15 +185,15 @@ def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, scratch: Scra
     # a text is cut once: its lines are a lambda's variable
     pick = lambda parts: F.transform("wanted", lambda x: F.struct(x["id"].alias("id"), x["l"].alias("l"), F.get(parts, x["l"]).alias("line")))
     rows = rows.select("d", F.explode(F.get(F.transform(F.array(F.split("text", "\n")), pick), F.lit(0))).alias("x")).select("d", "x.*")
-    words = F.array_remove(F.array_distinct(_words("line", _lower("line"))), "")
-    # repeated rows give a line again: one of the shuffled lines stays, and is cut then
-    sets = rows.groupBy("id", "d", "l").agg(F.max("line").alias("line")).select("id", "d", "l", words.alias("w"))
-    sets = scratch.save(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.struct("d", "l").alias("pa"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.struct("d", "l").alias("pb"), F.col("w").alias("wb")), "b")
-    both = both.select("a", "b", "pa", "pb", (F.size("wa") + F.size("wb")).alias("size"), F.size(F.array_intersect("wa", "wb")).alias("i"))
-    both = both.where((F.col("i") * 100 >= (F.col("size") - F.col("i")) * percent) & (F.col("pa") != F.col("pb")))
+    # repeated rows give a line again: one stays; lines are shuffled once, by id, for both sides of the pairs
+    sets = rows.groupBy("id").agg(F.max(F.struct("d", "l", "line")).alias("x")).select("id", "x.*")
+    words = lambda line: F.array_remove(F.array_distinct(_words(line, _lower(line))), "")
+    first = sets.select(F.col("id").alias("a"), F.struct("d", "l").alias("pa"), F.col("line").alias("la"))
+    second = sets.select(F.col("id").alias("b"), F.struct("d", "l").alias("pb"), words("line").alias("wb"))
+    # a pair carries the line to its second join, which is shorter than its words; these are a lambda's variable, so that it is cut once
+    similar = lambda wa: F.size(F.array_intersect(wa, "wb")) * (100 + percent) >= (F.size(wa) + F.size("wb")) * percent
+    both = pairs.join(first, "a").join(second, "b").where((F.col("pa") != F.col("pb")) & F.get(F.transform(F.array(words("la")), similar), F.lit(0)))
     out = scratch.save(both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct(), "gone")
-    scratch.drop(sets)
     scratch.drop(pairs)
     return out
 
@@ -198,18 +201,23 @@ def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, scratch: Scra
 def removals(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(d, h, l) of every line that an earlier line removes: another row of the same doc_id keeps its own line l."""
     docs = docs.select("doc_id", "text").where("text is not null")
-    rows = scratch.save(lines(docs, rarity(docs), percent), "lines")
+    rows = scratch.save(lines(docs, rarity(docs), percent), "lines").where("n > 0")
+    # most classes have one line, which is their head: only the others are ordered and joined
+    copied = narrow(rows.groupBy("c", "e").agg(F.count("*").alias("k")).where("k > 1").select("c", "e"), scratch)
+    copies = rows.join(copied, ["c", "e"])
     earliest = F.row_number().over(Window.partitionBy("c", "e").orderBy("d", "l", "h"))
-    heads = rows.where("n > 0").withColumn("k", earliest).where("k = 1").drop("k").withColumn("id", F.monotonically_increasing_id())
-    heads = scratch.save(heads, "heads")
+    firsts = copies.withColumn("k", earliest).where("k = 1").drop("k").withColumn("several", F.lit(True))
+    heads = rows.join(copied, ["c", "e"], "left_anti").withColumn("several", F.lit(False)).unionByName(firsts)
+    heads = scratch.save(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
     usable = heads.where(F.size("prefix") > 0)
     gone = confirmed(first_partners(usable, scratch, percent), usable, docs, scratch, percent)
     marked = usable.select("id", "n", "prefix", "parity").join(narrow(gone.withColumn("gone", F.lit(True)), scratch), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     more = confirmed(candidates(marked, percent), usable, docs, scratch, percent)
     gone = narrow(gone.unionByName(more).distinct().withColumn("gone", F.lit(True)), scratch)
-    first = heads.join(gone, "id", "left").select("c", "e", F.col("d").alias("hd"), F.col("l").alias("hl"), "gone")
+    alone = heads.where("not several").join(gone, "id").select("d", "h", "l")
+    first = narrow(heads.where("several").join(gone, "id", "left").select("c", "e", F.col("d").alias("hd"), F.col("l").alias("hl"), F.coalesce("gone", F.lit(False)).alias("gone")), scratch)
     later = F.struct("d", "l") > F.struct(F.col("hd").alias("d"), F.col("hl").alias("l"))
-    return rows.where("n > 0").select("d", "h", "l", "c", "e").join(first, ["c", "e"]).where(F.col("gone") | later).select("d", "h", "l")
+    return rows.select("d", "h", "l", "c", "e").join(first, ["c", "e"]).where(F.col("gone") | later).select("d", "h", "l").unionByName(alone)
 
 
 def remove_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
@@ -217,6 +225,7 @@ def remove_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> D
     key, name, cut, number = fresh(docs, "_d"), fresh(docs, "_h"), fresh(docs, "_gone"), fresh(docs, "n_removed")
     gone = removals(docs, scratch, percent).groupBy("d", "h").agg(F.collect_set("l").alias(cut))
     gone = narrow(gone.withColumnsRenamed({"d": key, "h": name}), scratch)
+    scratch.keep(gone)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(name, F.xxhash64("text"))
     out = keyed.join(gone, [key, name], "left")
 
