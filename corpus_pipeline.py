@@ -66,8 +66,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     nameless = scratch.save(docs.where("doc_id is null").withColumn(key, number.cast("long")), "nameless")
     rows = named.withColumn(key, F.col("doc_id").cast("long")).unionByName(nameless)
     found = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), scratch, percent=SIMILAR)
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias(key))
-    return rows.join(narrow(gone, scratch), key, "left_anti").select(*docs.columns)
+    gone = narrow(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias(key)), scratch)
+    scratch.keep(again, nameless, gone)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes of every row; a null text is an empty one."""
-    return bpe.digest(docs, Scratch(spark, "bpe"), apart=True)
+    return bpe.digest(docs, Scratch(spark, "bpe"))
 
 
 STAGES = [

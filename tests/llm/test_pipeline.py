@@ -53,3 +53,21 @@ def test_stages_on_odd_rows(spark, tmp_path):
                 assert docs.where("hit != 7 or _p != 7 or n_removed != 7").count() == 0
         assert (docs.count() > 0) == bool(rows)
     assert np.all([len(s) == 2 for s in cp.STAGES])
+
+
+def test_byte_bpe_saves_no_ids_and_has_one_worker(spark, tmp_path, monkeypatch):
+    """The ids of the corpus are not written, and no task of the plan that reads the texts has an encoder beside a decoder."""
+    plans, save = [], Scratch.save
+
+    def saved(self, df, name="t"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    rows = [(1, "some words"), (2, None), (3, fx.prose(7, 20_000)), (4, "")]
+    out = cp.tokenise(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert "ids" not in [name for name, _ in plans]
+    # one for short texts, one for the ids of long ones, which are saved before
+    assert plans[-1][0] == "digests" and plans[-1][1].count("ArrowEvalPython") == 2
+    enc = fx.tiktoken_encoding()
+    assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == {k: len(enc.encode(t or "", disallowed_special=())) for k, t in rows}

@@ -149,6 +149,20 @@ def _encoder(path: str, pattern: str):
     return encode
 
 
+def _round_trip(path: str, pattern: str):
+    """Ids and the bytes that these decode to, from one worker: in one plan, an encoder and a decoder are two at the same time."""
+
+    @F.pandas_udf("ids binary, raw binary")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path, pattern)
+        for batch in texts:
+            ids = [v.encode(t) if isinstance(t, str) else b"" for t in batch]
+            yield pd.DataFrame({"ids": ids, "raw": [v.decode(x) for x in ids]})
+        give_back()
+
+    return both
+
+
 def _decoder(path: str, pattern: str):
     @F.pandas_udf("binary")
     def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -180,11 +194,12 @@ def _boundaries(path: str, pattern: str, chunk: int, overlap: int, margin: int):
 
 def encode(
     docs: DataFrame, scratch: Scratch, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None,
-    chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN,
+    chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN, decoded: str | None = None,
 ) -> DataFrame:
     """``docs`` with a binary column ``out`` (with underscores added if ``docs`` has that name): the ids as little-endian unsigned 32-bit integers.
 
     Texts of up to one chunk are encoded where they lie.  Only longer ones are dealt out in chunks.
+    With ``decoded``, a column of that name has the bytes that the ids decode to.
     """
     if not overlap + margin < chunk:
         raise ValueError("a chunk has to be longer than its overlap")
@@ -192,7 +207,12 @@ def encode(
     path, pattern = path or default[0], pattern or default[1]
     enc, out = _encoder(path, pattern), fresh(docs, out)
     size = F.coalesce(F.length(F.col(text)), F.lit(0))
-    short = docs.where(size <= chunk).withColumn(out, enc(F.col(text)))
+    short = docs.where(size <= chunk)
+    if decoded:
+        both = fresh(docs, "_both")
+        short = short.withColumn(both, _round_trip(path, pattern)(F.col(text))).select(*docs.columns, F.col(both)["ids"].alias(out), F.col(both)["raw"].alias(decoded))
+    else:
+        short = short.withColumn(out, enc(F.col(text)))
 
     kept = [c for c in docs.columns]
     long = docs.where(size > chunk).select(F.struct(*kept).alias("row"), F.col(text).alias("t"))
@@ -218,7 +238,10 @@ def encode(
     joined = parts.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
     joined = joined.select("rid", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias(out))
     whole = texts.join(lost, "rid", "left_semi").select("rid", enc("t").alias(out))
-    done = long.select("rid", "row").join(joined.unionByName(whole), "rid").select("row.*", out)
+    ids = joined.unionByName(whole)
+    if decoded:
+        ids = scratch.save(ids, "long").withColumn(decoded, _decoder(path, pattern)(F.col(out)))
+    done = long.select("rid", "row").join(ids, "rid").select("row.*", *ids.columns[1:])
     return short.unionByName(done)
 
 
@@ -228,20 +251,14 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None) ->
     return _decoder(path or default[0], pattern or default[1])(ids)
 
 
-def digest(docs: DataFrame, scratch: Scratch, apart: bool = False) -> DataFrame:
-    """doc_id, number of tokens, and digests of the ids and of the decoded bytes; saved, so that batches stay small.
-
-    ``apart`` saves the ids too: in one plan each task has a worker that encodes and one that decodes at the same time.
-    """
-    ids = encode(docs.select("doc_id", "text"), scratch)
-    if apart:
-        ids = scratch.save(ids, "ids")
+def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, number of tokens, and digests of the ids and of the decoded bytes; saved, so that batches stay small."""
+    ids = encode(docs.select("doc_id", "text"), scratch, decoded="raw")
     out = ids.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256"))
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("raw"), 256).alias("decoded_sha256"))
     out = scratch.save(out, "digests")
-    if apart:
-        scratch.drop(ids)
+    scratch.keep(out)
     return out
 
 
