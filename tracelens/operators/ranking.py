@@ -46,6 +46,11 @@ def dealt(df: DataFrame, key: list[str], rows: int = TASK_ROWS) -> DataFrame:
     return df.repartition(df.count() // rows + 1, *key)
 
 
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` over as many tasks as its rows need, where each row makes many or takes long: a file of few bytes is read by one task."""
+    return df.repartition(df.count() // rows + 1)
+
+
 def number_rows(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """``rows`` with their numbers from 1 in the given order, which has to be total.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelens.functions import extract, ids, text
-from tracelens.operators import binding, induce
+from tracelens.operators import binding, induce, ranking
 from tracelens.streaming import ingest
 
 from .tables import CALLS, calls, read
@@ -41,15 +41,21 @@ MORE_VALUES = {
 _SPARK = {k: v.replace("varchar(20)", "string") for k, v in VALUES.items()}
 
 
+def _typed(spark, sf_dir, values):
+    made = F.array(*[F.expr(v.replace("varchar(20)", "string")) for v in values.values()])
+    # made in a step of its own; nothing is added, but the lambda keeps all of it out of one method, too long for the JVM to compile
+    made = F.concat(made, F.filter(F.array(F.col("o_orderkey").cast("string")), lambda v: F.lit(False)))
+    rows = ranking.spread(read(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", made.alias("values"))
+    return ids.typed(rows.select("o_orderkey", F.explode_outer("values").alias("value")), "value")
+
+
 def typed_values(spark, sf_dir):
     """The kind of a value of each kind."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(v).alias("value")) for k, v in _SPARK.items()])).alias("v")
-    return read(spark, sf_dir, "orders").select("o_orderkey", pairs).select("o_orderkey", "v.value", ids.type_of(F.col("v.value")).alias("kind"))
+    return _typed(spark, sf_dir, VALUES)
 
 
 def more_typed_values(spark, sf_dir):
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(v.replace("varchar(20)", "string")).alias("value")) for k, v in MORE_VALUES.items()])).alias("v")
-    return read(spark, sf_dir, "orders").select("o_orderkey", pairs).select("o_orderkey", "v.value", ids.type_of(F.col("v.value")).alias("kind"))
+    return _typed(spark, sf_dir, MORE_VALUES)
 
 
 def found_in_text(spark, sf_dir):
