@@ -93,3 +93,33 @@ def test_values_are_made_and_typed_in_methods_that_are_compiled(spark, tmp_path)
     df = queries.QUERIES["more_typed_values"](spark, orders(spark, tmp_path, 60_000))
     assert longest_method(spark, df) < 8000
     assert df.rdd.getNumPartitions() == 3, "a file of few bytes is no single task"
+
+
+def test_found_among_all_pairs(spark):
+    """Every pair of a match and a longer one around it may be one, and what is found is what none covers; also beside the marks that the search makes."""
+    rnd = random.Random(5)
+    texts = [rnd.choice([" ", "", "\t"]).join(rnd.choice(MADE) + rnd.choice([" ", "-", ", ", "/", ":", " ", "\x01", "\x02", ""]) for _ in range(rnd.randint(1, 6))) for _ in range(500)]
+    texts += ['{a="1 2 3 * 5"} 1 2 3 * 5', '1 2 3 4 5 6 * {a="1 2 3 4 5", b="*"}', "x/y:1.2 https://x/y:1.2 x/y:1.2", "00-" + "1" * 32 + "-" + "2" * 16 + "-01.example.org", "\x01abc1234\x02 abc1234", "http://x\x01y/a/b:c\x02"]
+    df = spark.createDataFrame([*enumerate(texts), (9000, None)], "id long, t string")
+    at = {}
+    for r in ids.spans(df, "id", "t").collect():
+        at.setdefault(r["id"], []).append((r["start"], r["end"], r["kind"], r["ord"], r["value"]))
+    around = lambda f, c: c[0] <= f[0] and f[1] <= c[1] and c[1] - c[0] > f[1] - f[0]
+    pairs = {(c[2], f[2]) for found in at.values() for f in found for c in found if c[2] != f[2] and around(f, c)}
+    assert len(pairs) > 50 and all(ids._may_cover(*p) for p in pairs)
+    for kind in ("k8s_pod", "docker_image", "cron_expr", "sha_short", "traceparent", "http_status", "url"):
+        got, want, before = {}, {}, ids.KINDS.index(kind)
+        for r in ids.find_all(df, "id", "t", kind).orderBy("id", "n").collect():
+            got.setdefault(r["id"], []).append(r["value"])
+        for i, found in at.items():
+            over = [c for c in found if c[2] != kind and (c[3] < before or c[2] == "k8s_pod")]
+            free = [f[4] for f in sorted(found) if f[2] == kind and not any(around(f, c) for c in over)]
+            want |= {i: list(dict.fromkeys(free))} if free else {}
+        assert got == want, kind
+
+
+def test_lines_are_searched_by_few_shapes_in_many_tasks(spark, tmp_path):
+    df = queries.QUERIES["found_in_text"](spark, orders(spark, tmp_path, 60_000))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") < 60
+    assert longest_method(spark, df) < 8000
+    assert df.rdd.getNumPartitions() == 6 * 3

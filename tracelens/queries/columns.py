@@ -60,11 +60,12 @@ def more_typed_values(spark, sf_dir):
 
 def found_in_text(spark, sf_dir):
     """Such values found by kind in a line that has each twice."""
-    o = read(spark, sf_dir, "orders")
+    o = ranking.spread(read(spark, sf_dir, "orders").select("o_orderkey"))
     out = None
     for kind in FOUND:
-        line = F.concat(F.lit("( "), F.expr(MORE_VALUES[kind].replace("varchar(20)", "string")), F.lit(" ) and "), F.expr(MORE_VALUES[kind].replace("varchar(20)", "string")), F.lit(" ;"))
-        one = ids.find_all(o.select("o_orderkey", line.alias("line")), "o_orderkey", "line", kind).select("o_orderkey", F.lit(kind).alias("kind"), "value")
+        line = F.concat(F.lit("( "), "value", F.lit(" ) and "), "value", F.lit(" ;"))
+        lines = o.select("o_orderkey", F.expr(MORE_VALUES[kind].replace("varchar(20)", "string")).alias("value")).select("o_orderkey", line.alias("line"))
+        one = ids.find_all(lines, "o_orderkey", "line", kind).select("o_orderkey", F.lit(kind).alias("kind"), "value")
         out = one if out is None else out.unionByName(one)
     return out
 
