@@ -251,9 +251,14 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None) ->
     return _decoder(path or default[0], pattern or default[1])(ids)
 
 
-def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, number of tokens, and digests of the ids and of the decoded bytes; saved, so that batches stay small."""
-    ids = encode(docs.select("doc_id", "text"), scratch, decoded="raw")
+def digest(docs: DataFrame, scratch: Scratch, apart: bool = False) -> DataFrame:
+    """doc_id, number of tokens, and digests of the ids and of the decoded bytes; saved, so that batches stay small.
+
+    ``apart`` saves the ids too and decodes them in a plan of its own, instead of in the worker that encodes.
+    """
+    ids = encode(docs.select("doc_id", "text"), scratch, decoded=None if apart else "raw")
+    if apart:
+        ids = scratch.save(ids, "ids").withColumn("raw", decode(F.col("ids")))
     out = ids.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("raw"), 256).alias("decoded_sha256"))
